@@ -79,12 +79,15 @@ SELECT CAST(c_custkey AS VARCHAR) AS base_mdm_id, c_name AS base_name FROM custo
 
 def with_tables(body: str) -> str:
     """Prefix a query with the coverage tables as common table expressions."""
-    return (
+    head = (
         f"WITH lives AS ({LIVES_SQL}),\n"
         f"benefit_config AS ({CONFIG_SQL}),\n"
-        f"mco_hierarchy AS ({HIERARCHY_SQL})\n"
-        f"{body}"
+        f"mco_hierarchy AS ({HIERARCHY_SQL})"
     )
+    body = body.strip()
+    if body[:5].upper() == "WITH ":
+        return f"{head},\n{body[5:]}"
+    return f"{head}\n{body}"
 
 
 def share_sql(num: str, den: str) -> str:

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from ..operators.summary import lives_summary
-from ..oracle import LIVES_SUM
+from pyspark.sql import functions as F
+
+from ..functions.members import DIMENSION_NAMES, filter_group
+from ..operators.summary import config_count, lives_summary
+from ..oracle import GEO_TYPE, LIVES_SUM
 from ..registry import register
-from ..sources.fixtures import lives_table
+from ..sources.fixtures import derive_benefit_config, lives_table
+from ..sources.readers import read_benefit_config, read_lives
+
+ALL_SUMS_SQL = f"""{LIVES_SUM} AS lives, count(*) AS record_count,
+    CAST(sum(mx_lives) AS BIGINT) AS mx_lives, CAST(sum(rx_lives) AS BIGINT) AS rx_lives,
+    CAST(sum(pbm_rx_lives) AS BIGINT) AS pbm_rx_lives"""
+ALL_MEASURES = ["lives", "record_count", "mx_lives", "rx_lives", "pbm_rx_lives"]
+
+
+# ------------------------------------------------------------ flagship, S1
 
 
 @register(
@@ -16,3 +28,245 @@ from ..sources.fixtures import lives_table
 )
 def lives_by_payer_category_current_commercial(spark, sf_dir):
     return lives_summary(lives_table(spark, sf_dir), ["lives"], ["payer_category"], segments=["current_commercial"])
+
+
+@register("scan_lives", "SELECT * FROM lives")
+def scan_lives(spark, sf_dir):
+    """The whole fact through the declared-schema reader (all 37 columns)."""
+    return read_lives(spark, lives_table(spark, sf_dir))
+
+
+# ------------------------------------------------------- measures A1-A5, P10
+
+
+@register(
+    "measures_all_by_benefit_type",
+    f"SELECT benefit_type, {ALL_SUMS_SQL} FROM lives GROUP BY benefit_type",
+)
+def measures_all_by_benefit_type(spark, sf_dir):
+    return lives_summary(lives_table(spark, sf_dir), ALL_MEASURES, ["benefit_type"])
+
+
+@register("measures_total", f"SELECT {ALL_SUMS_SQL} FROM lives")
+def measures_total(spark, sf_dir):
+    return lives_summary(lives_table(spark, sf_dir), ALL_MEASURES, [])
+
+
+@register("count_by_state", "SELECT state_code, count(*) AS record_count FROM lives GROUP BY state_code")
+def count_by_state(spark, sf_dir):
+    return lives_summary(lives_table(spark, sf_dir), ["record_count"], ["state_code"])
+
+
+@register(
+    "lives_by_geography_type",
+    f"""SELECT {GEO_TYPE} AS geography_type, {LIVES_SUM} AS lives, count(*) AS record_count
+        FROM lives GROUP BY 1""",
+)
+def lives_by_geography_type(spark, sf_dir):
+    return lives_summary(lives_table(spark, sf_dir), ["lives", "record_count"], ["geography_type"])
+
+
+@register(
+    "pbm_lives_by_pbm",
+    """SELECT pbm_id, pbm_name, CAST(sum(pbm_rx_lives) AS BIGINT) AS pbm_rx_lives FROM lives
+       GROUP BY pbm_id, pbm_name""",
+)
+def pbm_lives_by_pbm(spark, sf_dir):
+    return lives_summary(lives_table(spark, sf_dir), ["pbm_rx_lives"], ["pbm_id", "pbm_name"])
+
+
+@register(
+    "lives_by_plan",
+    f"""SELECT plan_id, plan_name, plan_type, {LIVES_SUM} AS lives, CAST(sum(rx_lives) AS BIGINT) AS rx_lives,
+        CAST(sum(mx_lives) AS BIGINT) AS mx_lives FROM lives GROUP BY plan_id, plan_name, plan_type""",
+)
+def lives_by_plan(spark, sf_dir):
+    """A wide request: one row per plan (the grouping key has high cardinality)."""
+    return lives_summary(lives_table(spark, sf_dir), ["lives", "rx_lives", "mx_lives"], ["plan_id", "plan_name", "plan_type"])
+
+
+@register(
+    "lives_by_zip_month",
+    f"""SELECT zip, date_year_month, {LIVES_SUM} AS lives, count(*) AS record_count FROM lives
+        GROUP BY zip, date_year_month""",
+)
+def lives_by_zip_month(spark, sf_dir):
+    return lives_summary(lives_table(spark, sf_dir), ["lives", "record_count"], ["zip", "date_year_month"])
+
+
+# --------------------------------------------------- named filters F3-F8, F10
+
+
+def _segment_query(name, segments, sql_where):
+    @register(
+        name,
+        f"""SELECT benefit_type, date_year, {LIVES_SUM} AS lives, count(*) AS record_count FROM lives
+            WHERE {sql_where} GROUP BY benefit_type, date_year""",
+    )
+    def run(spark, sf_dir):
+        return lives_summary(
+            lives_table(spark, sf_dir), ["lives", "record_count"], ["benefit_type", "date_year"], segments=segments
+        )
+
+    return run
+
+
+_segment_query("segment_current_commercial", ["current_commercial"],
+               "flag_current_record = 'Y' AND book_of_business = 'Commercial'")
+_segment_query("segment_ecosystem", ["ecosystem_level"], f"{GEO_TYPE} = 'ECOSYSTEM'")
+_segment_query("segment_national", ["national_level"], f"{GEO_TYPE} = 'NATIONAL'")
+_segment_query("segment_plan_source", ["plan_source"], "lives_source = 'DRG Plan'")
+_segment_query("segment_pharmacy", ["pharmacy_benefit"], "benefit_type = 'Pharmacy Benefit'")
+_segment_query("segment_medical", ["medical_benefit"], "benefit_type = 'Medical Benefit'")
+_segment_query(
+    "segments_combined",
+    ["current_commercial", "ecosystem_level", "plan_source"],
+    f"flag_current_record = 'Y' AND book_of_business = 'Commercial' AND {GEO_TYPE} = 'ECOSYSTEM'"
+    " AND lives_source = 'DRG Plan'",
+)
+_segment_query("segments_disjoint", ["pharmacy_benefit", "medical_benefit"], "FALSE")
+
+
+# ------------------------------------------------------ filter group F1, F2, F9
+
+
+@register(
+    "filter_group_or",
+    f"""SELECT payer_role, {LIVES_SUM} AS lives, count(*) AS record_count FROM lives
+        WHERE flag_current_record = 'Y' OR book_of_business IN ('Medicare', 'Medicaid_FFS')
+           OR lives_source = 'Payer-PBM'
+        GROUP BY payer_role""",
+)
+def filter_group_or(spark, sf_dir):
+    group = filter_group("Y", ["Medicare", "Medicaid_FFS"], "Payer-PBM", how="or")
+    lives = read_lives(spark, lives_table(spark, sf_dir), where=group)
+    return lives_summary(lives, ["lives", "record_count"], ["payer_role"])
+
+
+@register(
+    "filter_group_mixed",
+    f"""SELECT payer_role, {LIVES_SUM} AS lives FROM lives
+        WHERE (flag_current_record = 'Y' AND book_of_business = 'Commercial') OR lives_source = 'Payer-PBM'
+        GROUP BY payer_role""",
+)
+def filter_group_mixed(spark, sf_dir):
+    group = (F.col("flag_current_record") == "Y") & (F.col("book_of_business") == "Commercial")
+    group = group | (F.col("lives_source") == "Payer-PBM")
+    lives = read_lives(spark, lives_table(spark, sf_dir), where=group)
+    return lives_summary(lives, ["lives"], ["payer_role"])
+
+
+@register(
+    "filter_group_and",
+    f"""SELECT lives_source, {LIVES_SUM} AS lives FROM lives
+        WHERE flag_current_record = 'Y' AND book_of_business = 'Commercial' AND lives_source = 'DRG Plan'
+        GROUP BY lives_source""",
+)
+def filter_group_and(spark, sf_dir):
+    group = filter_group("Y", "Commercial", "DRG Plan")
+    return lives_summary(read_lives(spark, lives_table(spark, sf_dir), where=group), ["lives"], ["lives_source"])
+
+
+@register(
+    "filter_group_empty",
+    f"SELECT lives_source, {LIVES_SUM} AS lives, count(*) AS record_count FROM lives GROUP BY lives_source",
+)
+def filter_group_empty(spark, sf_dir):
+    group = filter_group()
+    lives = read_lives(spark, lives_table(spark, sf_dir), where=group)
+    return lives_summary(lives, ["lives", "record_count"], ["lives_source"])
+
+
+@register(
+    "caller_filter",
+    f"""SELECT ecosystem_name, {LIVES_SUM} AS lives FROM lives
+        WHERE plan_type IN ('HMO', 'PPO') AND date_year >= '1996' AND payer_name IS NOT NULL
+        GROUP BY ecosystem_name""",
+)
+def caller_filter(spark, sf_dir):
+    where = F.col("plan_type").isin("HMO", "PPO") & (F.col("date_year") >= "1996") & F.col("payer_name").isNotNull()
+    return lives_summary(lives_table(spark, sf_dir), ["lives"], ["ecosystem_name"], where=where)
+
+
+@register(
+    "default_filters",
+    f"""SELECT payer_category, benefit_type, {LIVES_SUM} AS lives FROM lives
+        WHERE flag_current_record = 'Y' AND book_of_business = 'Commercial' AND lives_source = 'DRG Plan'
+        GROUP BY payer_category, benefit_type""",
+)
+def default_filters(spark, sf_dir):
+    return lives_summary(lives_table(spark, sf_dir), ["lives"], ["payer_category", "benefit_type"], defaults=True)
+
+
+# ------------------------------------------------------------ dimensions P1-P35
+
+_VALUE_DIMS = ["benefit_type", "geography_type", "lives_source", "book_of_business", "flag_current_record",
+               "payer_role", "plan_type", "state_code", "commercial_region_name", "source_book_of_business"]
+
+
+@register(
+    "dimension_values",
+    f"""SELECT DISTINCT benefit_type, {GEO_TYPE} AS geography_type, lives_source, book_of_business,
+        flag_current_record, payer_role, plan_type, state_code, commercial_region_name, source_book_of_business
+        FROM lives""",
+)
+def dimension_values(spark, sf_dir):
+    return lives_summary(lives_table(spark, sf_dir), [], _VALUE_DIMS)
+
+
+_EVERY_DIM_SQL = ", ".join(f"{GEO_TYPE} AS geography_type" if d == "geography_type" else d for d in DIMENSION_NAMES)
+_EVERY_DIM_GROUP = ", ".join(str(i + 1) for i in range(len(DIMENSION_NAMES)))
+
+
+@register(
+    "group_by_every_dimension",
+    f"SELECT {_EVERY_DIM_SQL}, {ALL_SUMS_SQL} FROM lives GROUP BY {_EVERY_DIM_GROUP}",
+)
+def group_by_every_dimension(spark, sf_dir):
+    return lives_summary(lives_table(spark, sf_dir), ALL_MEASURES, list(DIMENSION_NAMES))
+
+
+@register(
+    "lives_by_time",
+    f"""SELECT date_id, date_year_month, date_year_quarter, date_year, {LIVES_SUM} AS lives FROM lives
+        GROUP BY date_id, date_year_month, date_year_quarter, date_year""",
+)
+def lives_by_time(spark, sf_dir):
+    return lives_summary(lives_table(spark, sf_dir), ["lives"], ["date_id", "date_year_month", "date_year_quarter", "date_year"])
+
+
+@register(
+    "lives_by_organisation",
+    f"""SELECT payer_parent_id, payer_parent_name, pbm_parent_id, pbm_parent_name, gpo_id, gpo_name,
+        gpo_parent_id, gpo_parent_name, mco_name, {LIVES_SUM} AS lives FROM lives
+        GROUP BY payer_parent_id, payer_parent_name, pbm_parent_id, pbm_parent_name, gpo_id, gpo_name,
+        gpo_parent_id, gpo_parent_name, mco_name""",
+)
+def lives_by_organisation(spark, sf_dir):
+    dims = ["payer_parent_id", "payer_parent_name", "pbm_parent_id", "pbm_parent_name", "gpo_id", "gpo_name",
+            "gpo_parent_id", "gpo_parent_name", "mco_name"]
+    return lives_summary(lives_table(spark, sf_dir), ["lives"], dims)
+
+
+# ------------------------------------------------------ configuration S2, S3, A6, A7
+
+
+@register("config_count", "SELECT count(*) AS record_count FROM benefit_config")
+def config_count_total(spark, sf_dir):
+    return config_count(read_benefit_config(spark, derive_benefit_config(spark, sf_dir)))
+
+
+@register(
+    "config_count_by_benefit_type",
+    "SELECT benefit_type, count(*) AS record_count FROM benefit_config GROUP BY benefit_type",
+)
+def config_count_by_benefit_type(spark, sf_dir):
+    return config_count(read_benefit_config(spark, derive_benefit_config(spark, sf_dir)), ["benefit_type"])
+
+
+@register(
+    "config_count_by_gpo",
+    "SELECT benefit_type, gpo_name, count(*) AS record_count FROM benefit_config GROUP BY benefit_type, gpo_name",
+)
+def config_count_by_gpo(spark, sf_dir):
+    return config_count(read_benefit_config(spark, derive_benefit_config(spark, sf_dir)), ["benefit_type", "gpo_name"])

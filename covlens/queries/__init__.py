@@ -1,3 +1,3 @@
 """Registered queries, grouped by the part of the model they exercise."""
 
-from . import share_queries, summary_queries  # noqa: F401
+from . import hierarchy_queries, rollup_queries, share_queries, summary_queries  # noqa: F401

@@ -154,6 +154,18 @@ def derive_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECTIVE_COLUMNS = ("book_of_business", "flag_current_record", "lives_source", "benefit_type")
 
 
+def lives_table_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the stored lives fact for this session and input folder (written on first use)."""
+    key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir.rstrip("/"))
+    with _LOCK:
+        path = _MATERIALIZED.get(key)
+        if path is None:
+            path = fresh_path(spark, "lives")
+            derive_lives(spark, sf_dir).sortWithinPartitions(*SELECTIVE_COLUMNS).write.mode("overwrite").parquet(path)
+            _MATERIALIZED[key] = path
+    return path
+
+
 def lives_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lives fact as a stored Parquet table in the shared folder.
 
@@ -162,11 +174,4 @@ def lives_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     re-running the seven-way join. The written table also cuts lineage: a lost
     executor costs a re-read, not a re-join.
     """
-    key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir.rstrip("/"))
-    with _LOCK:
-        path = _MATERIALIZED.get(key)
-        if path is None:
-            path = fresh_path(spark, "lives")
-            derive_lives(spark, sf_dir).sortWithinPartitions(*SELECTIVE_COLUMNS).write.mode("overwrite").parquet(path)
-            _MATERIALIZED[key] = path
-    return spark.read.schema(LIVES_SCHEMA).parquet(path)
+    return spark.read.schema(LIVES_SCHEMA).parquet(lives_table_path(spark, sf_dir))

@@ -149,6 +149,19 @@ def derive_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer.select(_text(F.col("c_custkey")).alias("base_mdm_id"), F.col("c_name").alias("base_name"))
 
 
+def derive_zip_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zip to ecosystem code and name and state: one row per customer zip."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    joined = customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
+    return joined.select(
+        F.lpad(_text(F.col("c_custkey")), 5, "0").alias("zip"),
+        F.concat(F.lit("ECO"), F.lpad(_text(F.col("n_nationkey")), 3, "0")).alias("ecosystem_code"),
+        F.col("n_name").alias("ecosystem_name"),
+        _case(F.col("n_regionkey"), STATE_BY_REGION, "ZZ").alias("state_code"),
+    )
+
+
 # Columns whose sort order makes Parquet row-group statistics
 # selective for the common filters (book, current flag, source, benefit).
 SELECTIVE_COLUMNS = ("book_of_business", "flag_current_record", "lives_source", "benefit_type")

@@ -168,9 +168,8 @@ def prepare_feed_union(spark, sf_dir):
     return union_feeds({"DRG Plan": plan_feed, "Payer-PBM": pbm_feed})
 
 
-_DEDUP_SQL = """SELECT DISTINCT row_hashkey, plan_type, rx_lives, load_time FROM (
-       SELECT row_hashkey, plan_type, rx_lives, load_time FROM lives
-       UNION ALL SELECT row_hashkey, plan_type, rx_lives, load_time FROM lives WHERE plan_type = 'HMO')"""
+_DOUBLED_SQL = """SELECT row_hashkey, plan_type, rx_lives, load_time FROM lives
+       UNION ALL SELECT row_hashkey, plan_type, rx_lives, load_time FROM lives WHERE plan_type = 'HMO'"""
 
 
 def _doubled(spark, sf_dir):
@@ -178,11 +177,21 @@ def _doubled(spark, sf_dir):
     return lives.unionByName(lives.filter(F.col("plan_type") == "HMO"))
 
 
-@register("prepare_dedup", _DEDUP_SQL)
+@register(
+    "prepare_dedup",
+    f"""WITH d AS ({_DOUBLED_SQL}), newest AS (SELECT row_hashkey, max(load_time) AS m FROM d GROUP BY row_hashkey)
+        SELECT DISTINCT d.row_hashkey, d.plan_type, d.rx_lives, d.load_time
+        FROM d JOIN newest ON d.row_hashkey = newest.row_hashkey AND d.load_time = newest.m""",
+)
 def prepare_dedup(spark, sf_dir):
+    """Copies of a key: the newest load wins (the driver data repeats a line with two ship dates)."""
     return dedup(_doubled(spark, sf_dir), "row_hashkey", newest_by=["load_time"])
 
 
-@register("prepare_dedup_any", _DEDUP_SQL)
+@register(
+    "prepare_dedup_any",
+    f"SELECT DISTINCT row_hashkey, plan_type FROM ({_DOUBLED_SQL})",
+)
 def prepare_dedup_any(spark, sf_dir):
-    return dedup(_doubled(spark, sf_dir), "row_hashkey")
+    """Any one copy per key; only columns equal across copies are shown, so the result is stable."""
+    return dedup(_doubled(spark, sf_dir), "row_hashkey").select("row_hashkey", "plan_type")

@@ -83,16 +83,29 @@ def with_row_hash(df: DataFrame, columns: Sequence[str] = HASH_COLUMNS, name: st
 # ------------------------------------------------------ T5 change detection
 
 
+def content_hash(columns: Sequence[str]) -> Column:
+    """64-bit hash of a row's content for comparing two versions of the same key.
+
+    ``xxhash64`` skips NULL inputs, so the NULL pattern is hashed as well: a
+    value moved from one column to the next changes the hash. Only rows with
+    the same key are compared, so a false "same" needs a 64-bit collision
+    between a row's two versions.
+    """
+    return F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
+
+
+
 def detect_changes(previous: DataFrame, current: DataFrame, key: str = "row_hashkey",
                    content: Sequence[str] | None = None) -> DataFrame:
     """Insert, update, delete or same per key between two loads.
 
-    A content hash per side is compared after a full outer join on the key;
-    both sides are shuffled once on the key.
+    A content hash per side (8 bytes per row) is compared after a full outer
+    join on the key; both sides are shuffled once on the key, carrying only
+    the key and the hash.
     """
     cols = list(content) if content is not None else [c for c in previous.columns if c != key]
-    prev = previous.select(F.col(key).alias("__k"), row_hash(cols).alias("__old"))
-    cur = current.select(F.col(key).alias("__k2"), row_hash(cols).alias("__new"))
+    prev = previous.select(F.col(key).alias("__k"), content_hash(cols).alias("__old"))
+    cur = current.select(F.col(key).alias("__k2"), content_hash(cols).alias("__new"))
     joined = prev.join(cur, prev["__k"] == cur["__k2"], "full_outer")
     change = (
         F.when(F.col("__k").isNull(), F.lit("insert"))

@@ -11,6 +11,29 @@ from pyspark.sql import SparkSession
 _LOCK = threading.Lock()
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
+def _context(spark: SparkSession):
+    """The SparkContext, or None for a session without one (Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:
+        return None
+
+
+def app_id(spark: SparkSession) -> str:
+    sc = _context(spark)
+    return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "connect")
+
+
+def default_parallelism(spark: SparkSession) -> int:
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for tables this library writes (fixtures, rollups).
 
@@ -18,14 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
     names none (local runs and tests) is a fresh local folder taken and set.
     """
     with _LOCK:
-        sc = spark.sparkContext
-        current = sc.getCheckpointDir()
+        sc = _context(spark)
+        current = sc.getCheckpointDir() if sc is not None else None
         if not current:
             current = spark.conf.get("spark.checkpoint.dir", None)
-            if not current:
-                current = tempfile.mkdtemp(prefix="covlens-")
-            sc.setCheckpointDir(current)
-            current = sc.getCheckpointDir()
+        if not current:
+            key = app_id(spark)
+            current = _LOCAL_DIRS.setdefault(key, tempfile.mkdtemp(prefix="covlens-"))
+            if sc is not None:
+                sc.setCheckpointDir(current)
+                current = sc.getCheckpointDir()
         return current.rstrip("/")
 
 

@@ -6,10 +6,13 @@ the data. The mapping is the one of FIXTURES.md section 2.
 
 Join order for scale: the order side (orders + customer + nation + region) is
 joined first, at order grain; the line side then meets it once on the order
-key. Nation and region are fixed-size (25 and 5 rows), so they are broadcast
-by hint; part and supplier are left to the planner, which broadcasts them only
-when their measured size is under the broadcast threshold (AQE re-checks at
-run time) and otherwise uses a shuffled join.
+key in a sort-merge join, hinted so: these are the two largest tables, and a
+file-size estimate of the pruned line columns would otherwise broadcast the
+line side at small scale and run the whole join as one serial stream. Nation
+and region are fixed-size (25 and 5 rows), so they are broadcast by hint;
+customer, part and supplier are left to the planner, which broadcasts them
+only when their measured size is under the threshold (AQE re-checks at run
+time) and otherwise uses a shuffled join.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh_path, shared_dir
+from ..session import app_id, default_parallelism, fresh_path, shared_dir
 from .schemas import LIVES_SCHEMA
 
 _MATERIALIZED: dict[tuple[str, str, str], str] = {}
@@ -71,7 +74,7 @@ def derive_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_returnflag", "l_linestatus", "l_shipdate",
     )
     joined = (
-        lineitem.join(order_side, lineitem.l_orderkey == order_side.o_orderkey)
+        lineitem.hint("merge").join(order_side, lineitem.l_orderkey == order_side.o_orderkey)
         .join(part, lineitem.l_partkey == part.p_partkey)
         .join(supplier, lineitem.l_suppkey == supplier.s_suppkey)
     )
@@ -180,7 +183,7 @@ def write_table(df: DataFrame, path: str) -> None:
     by the common filter columns so Parquet statistics can skip row groups,
     and no file exceeds ``MAX_ROWS_PER_FILE`` rows.
     """
-    parts = 2 * df.sparkSession.sparkContext.defaultParallelism
+    parts = 2 * default_parallelism(df.sparkSession)
     (
         df.repartition(parts)
         .sortWithinPartitions(*SELECTIVE_COLUMNS)
@@ -192,7 +195,7 @@ def write_table(df: DataFrame, path: str) -> None:
 
 def lives_table_path(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the stored lives fact for this session and input folder (written on first use)."""
-    key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir.rstrip("/"))
+    key = (app_id(spark), shared_dir(spark), sf_dir.rstrip("/"))
     with _LOCK:
         path = _MATERIALIZED.get(key)
         if path is None:

@@ -26,6 +26,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="covlens-warehouse-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

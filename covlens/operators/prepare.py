@@ -96,24 +96,35 @@ def content_hash(columns: Sequence[str]) -> Column:
 
 
 def detect_changes(previous: DataFrame, current: DataFrame, key: str = "row_hashkey",
-                   content: Sequence[str] | None = None) -> DataFrame:
+                   content: Sequence[str] | None = None, newest_by: Sequence[str] | None = None) -> DataFrame:
     """Insert, update, delete or same per key between two loads.
 
-    A content hash per side (8 bytes per row) is compared after a full outer
-    join on the key; both sides are shuffled once on the key, carrying only
-    the key and the hash.
+    A key must be unique within a load; with ``newest_by`` each load is first
+    reduced to its newest row per key (``dedup``). Both loads are reduced to
+    (key, content hash, side), stacked, and grouped by key: one shuffle of
+    8-byte hashes, combined map-side, instead of a full outer join, whose
+    skewed keys AQE cannot split.
     """
     cols = list(content) if content is not None else [c for c in previous.columns if c != key]
-    prev = previous.select(F.col(key).alias("__k"), content_hash(cols).alias("__old"))
-    cur = current.select(F.col(key).alias("__k2"), content_hash(cols).alias("__new"))
-    joined = prev.join(cur, prev["__k"] == cur["__k2"], "full_outer")
+    if newest_by:
+        previous = dedup(previous, key, newest_by)
+        current = dedup(current, key, newest_by)
+    stacked = previous.select(F.col(key), content_hash(cols).alias("__h"), F.lit(1).alias("__side")).unionByName(
+        current.select(F.col(key), content_hash(cols).alias("__h"), F.lit(2).alias("__side"))
+    )
+    per_key = stacked.groupBy(key).agg(
+        F.max(F.when(F.col("__side") == 1, F.col("__h"))).alias("__old"),
+        F.max(F.when(F.col("__side") == 2, F.col("__h"))).alias("__new"),
+        F.bool_or(F.col("__side") == 1).alias("__in_old"),
+        F.bool_or(F.col("__side") == 2).alias("__in_new"),
+    )
     change = (
-        F.when(F.col("__k").isNull(), F.lit("insert"))
-        .when(F.col("__k2").isNull(), F.lit("delete"))
+        F.when(~F.col("__in_old"), F.lit("insert"))
+        .when(~F.col("__in_new"), F.lit("delete"))
         .when(F.col("__old") == F.col("__new"), F.lit("same"))
         .otherwise(F.lit("update"))
     )
-    return joined.select(F.coalesce(F.col("__k"), F.col("__k2")).alias(key), change.alias("change"))
+    return per_key.select(F.col(key), change.alias("change"))
 
 
 # ------------------------------------------------------ T6 current-record flag

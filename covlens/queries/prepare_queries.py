@@ -86,8 +86,11 @@ _CUR_SELECT = ", ".join(
 
 @register(
     "prepare_changes",
-    f"""WITH prev AS (SELECT row_hashkey AS k, {_hash_sql(_CHANGE_COLS)} AS h FROM lives WHERE date_year <= '1997'),
-       cur0 AS (SELECT {_CUR_SELECT} FROM lives WHERE date_year >= '1996'),
+    f"""WITH prev0 AS (SELECT * FROM lives WHERE date_year <= '1997'
+                      QUALIFY row_number() OVER (PARTITION BY row_hashkey ORDER BY load_time DESC) = 1),
+       prev AS (SELECT row_hashkey AS k, {_hash_sql(_CHANGE_COLS)} AS h FROM prev0),
+       cur0 AS (SELECT {_CUR_SELECT} FROM lives WHERE date_year >= '1996'
+                QUALIFY row_number() OVER (PARTITION BY row_hashkey ORDER BY load_time DESC) = 1),
        cur AS (SELECT row_hashkey AS k, {_hash_sql(_CHANGE_COLS)} AS h FROM cur0)
        SELECT coalesce(prev.k, cur.k) AS row_hashkey,
          CASE WHEN prev.k IS NULL THEN 'insert' WHEN cur.k IS NULL THEN 'delete'
@@ -95,12 +98,15 @@ _CUR_SELECT = ", ".join(
        FROM prev FULL OUTER JOIN cur ON prev.k = cur.k""",
 )
 def prepare_changes(spark, sf_dir):
-    """Two loads from the fact: up to 1997, and from 1996 with HMO pharmacy lives revised."""
-    lives = lives_table(spark, sf_dir).select("row_hashkey", *_CHANGE_COLS)
+    """Two loads from the fact: up to 1997, and from 1996 with HMO pharmacy lives revised.
+
+    The driver data repeats a line key with two ship dates, so each load keeps its newest row per key.
+    """
+    lives = lives_table(spark, sf_dir).select("row_hashkey", "load_time", *_CHANGE_COLS)
     previous = lives.filter(F.col("date_year") <= "1997")
     revised = F.when(F.col("plan_type") == "HMO", F.col("rx_lives") + 1).otherwise(F.col("rx_lives"))
     current = lives.filter(F.col("date_year") >= "1996").withColumn("rx_lives", revised)
-    return detect_changes(previous, current, "row_hashkey", _CHANGE_COLS)
+    return detect_changes(previous, current, "row_hashkey", _CHANGE_COLS, newest_by=["load_time"])
 
 
 @register(

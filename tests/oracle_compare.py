@@ -1,6 +1,7 @@
 """Compare registered Spark queries with their DuckDB SQL on the driver tables.
 
-Row count, column names (sorted) and an order-insensitive multiset of rows.
+Row count, column names and types, and an order-insensitive multiset of rows
+(values compared exactly, doubles included).
 Run as a script: ``python tests/oracle_compare.py [sf_dir] [name ...]``.
 """
 
@@ -37,11 +38,9 @@ def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return round(v, 9)
+        return "nan" if math.isnan(v) else v
     if isinstance(v, decimal.Decimal):
-        return round(float(v), 9)
+        return float(v)
     if isinstance(v, bool):
         return int(v)
     if hasattr(v, "isoformat"):
@@ -55,6 +54,11 @@ def _rows(columns, rows):
     return sorted(out, key=lambda t: tuple((x is None, str(type(x)), x if x is not None else 0) for x in t))
 
 
+# Spark type names against DuckDB's.
+TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
+              "date": "DATE"}
+
+
 def compare(spark, name: str, sf_dir: str, con=None) -> dict:
     from __spark_entry__ import oracle_sql, queries
 
@@ -67,10 +71,13 @@ def compare(spark, name: str, sf_dir: str, con=None) -> dict:
     sql = oracle_sql().get(name)
     if sql is None:
         return {"name": name, "ok": None, "rows": len(s_rows), "spark_sec": round(t1 - t0, 2)}
+    rel = con.sql(sql)
+    d_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
     res = con.execute(sql)
     d_cols = [c[0] for c in res.description]
     d_rows = res.fetchall()
-    ok_cols = sorted(s_cols) == sorted(d_cols)
+    s_types = {f.name: TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    ok_cols = sorted(s_cols) == sorted(d_cols) and s_types == d_types
     ok_count = len(s_rows) == len(d_rows)
     ok_vals = ok_cols and ok_count and _rows(s_cols, s_rows) == _rows(d_cols, d_rows)
     out = {
@@ -81,7 +88,7 @@ def compare(spark, name: str, sf_dir: str, con=None) -> dict:
         "spark_sec": round(t1 - t0, 2),
     }
     if not ok_cols:
-        out["columns"] = (sorted(s_cols), sorted(d_cols))
+        out["columns"] = (s_types, d_types)
     elif not ok_vals:
         a, b = _rows(s_cols, s_rows), _rows(d_cols, d_rows)
         diff_a = [r for r in a if r not in set(b)][:3]

@@ -60,3 +60,15 @@ def test_filter_before_window_stage(lives_small):
     df = lives_shares(lives_small, ["pct_ecosystem_lives"], ["ecosystem_code", "benefit_type", "date_year_month"],
                       where=F.col("payer_role") == "TPA", method="window")
     assert "EqualTo(payer_role,TPA)" in " ".join(pushed_filters(df))
+
+
+def test_no_cross_join_nested_loop_or_python_anywhere(spark):
+    from __spark_entry__ import queries
+
+    bad = {}
+    for name, fn in sorted(queries().items()):
+        df = fn(spark, SMALL)
+        joins = join_strategies(df)
+        if any(j in ("BroadcastNestedLoopJoin", "CartesianProduct") for j in joins) or uses_python(df):
+            bad[name] = joins
+    assert not bad, bad

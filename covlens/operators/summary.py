@@ -68,14 +68,24 @@ def lives_summary(
     ``where`` is any boolean Column (the filter group and caller filters),
     ``segments`` names filters that must all hold, ``defaults`` adds the
     model's default filter values. A dimension of ``hierarchy`` (other than
-    its key) makes the many-to-one join; without one no join is made. With no
-    measure the result is the distinct dimension values.
+    its key) makes the many-to-one join; without one no join is made. The
+    measures are then summed before the join, to the request's own dimensions
+    and the join keys, so the join sees one row per such group rather than one
+    per fact row. With no measure the result is the distinct dimension values.
     """
     own, joined = _split_dimensions(list(dimensions), hierarchy)
     base = filtered(df, where, segments, defaults)
     if joined:
         from .hierarchy import with_hierarchy
 
+        if measures:
+            # Every measure is a sum or a count, so the fact is summed first
+            # (map-side) to the request's own keys plus the join keys; only
+            # that frame meets the hierarchy, and sums of sums finish it.
+            pre_keys = [dimension(d) for d in own] + [F.col("plan_id"), F.col("payer_id")]
+            pre = base.groupBy(*pre_keys).agg(*[measure(m) for m in measures])
+            pre = with_hierarchy(pre, hierarchy, match=hierarchy_match)
+            return pre.groupBy(*own, *joined).agg(*[F.sum(F.col(m)).alias(m) for m in measures])
         base = with_hierarchy(base, hierarchy, match=hierarchy_match)
     keys = [dimension(d) for d in own] + [F.col(d) for d in joined]
     if not measures:

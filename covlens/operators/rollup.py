@@ -1,8 +1,10 @@
 """The stored rollup: build, coverage test, serve, refresh.
 
 The rollup holds the main measure and the benefit-manager lives, summed by 13
-dimensions and written as Parquet, with its build time in a one-row table
-beside it. Both measures are sums, so a coarser request is answered by
+dimensions and written as Parquet. Each build writes a new version folder;
+a one-row table beside it names the current version and its build time, and
+is written last, so a build that fails half-way (a lost executor that the
+retries cannot cover, a killed job) leaves the previous version in service. Both measures are sums, so a coarser request is answered by
 summing the stored sums (with the same NULL-for-nothing result as the fact).
 It holds no month, plan, zip or count, and no multi-stage measure can use it;
 such requests go to the fact (``on_miss="fact"``) or raise.
@@ -16,6 +18,7 @@ so the write adds no shuffle.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -46,35 +49,45 @@ LAYOUT_COLUMNS: tuple[str, ...] = ROLLUP_DIMENSIONS[:4]
 MAX_AGE = dt.timedelta(days=1)
 
 
-def _data(path: str) -> str:
-    return f"{path.rstrip('/')}/data"
-
-
 def _meta(path: str) -> str:
     return f"{path.rstrip('/')}/meta"
 
 
-def build_rollup(lives: DataFrame, path: str, built_at: dt.datetime | None = None) -> str:
-    """Aggregate the whole fact to the rollup grain and write it (overwrites)."""
-    spark = lives.sparkSession
-    built_at = built_at or dt.datetime.now(dt.timezone.utc)
-    agg = lives.groupBy(*[dimension(d) for d in ROLLUP_DIMENSIONS]).agg(*[measure(m) for m in ROLLUP_MEASURES])
-    agg.sortWithinPartitions(*LAYOUT_COLUMNS).write.mode("overwrite").parquet(_data(path))
-    stamp = spark.createDataFrame([(built_at.astimezone(dt.timezone.utc).isoformat(),)], "built_at string")
+def publish(rollup: DataFrame, path: str, built_at: dt.datetime | None = None) -> str:
+    """Write rollup rows as a new version under ``path``, then make it the current one."""
+    spark = rollup.sparkSession
+    built_at = (built_at or dt.datetime.now(dt.timezone.utc)).astimezone(dt.timezone.utc)
+    version = f"{path.rstrip('/')}/data/v_{built_at.strftime('%Y%m%dT%H%M%S')}_{uuid.uuid4().hex[:8]}"
+    rollup.sortWithinPartitions(*LAYOUT_COLUMNS).write.mode("errorifexists").parquet(version)
+    stamp = spark.createDataFrame([(built_at.isoformat(), version)], "built_at string, data string")
     stamp.coalesce(1).write.mode("overwrite").parquet(_meta(path))
     return path
 
 
-def read_rollup(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(_data(path))
+def build_rollup(lives: DataFrame, path: str, built_at: dt.datetime | None = None) -> str:
+    """Aggregate the whole fact to the rollup grain and publish it as a new version."""
+    agg = lives.groupBy(*[dimension(d) for d in ROLLUP_DIMENSIONS]).agg(*[measure(m) for m in ROLLUP_MEASURES])
+    return publish(agg, path, built_at)
 
 
-def built_at(spark: SparkSession, path: str) -> dt.datetime | None:
-    """Build time of a stored rollup; None when there is none."""
+def _current(spark: SparkSession, path: str):
     try:
-        row = spark.read.parquet(_meta(path)).first()
+        return spark.read.parquet(_meta(path)).first()
     except AnalysisException:
         return None
+
+
+def read_rollup(spark: SparkSession, path: str) -> DataFrame:
+    """The published version of a stored rollup."""
+    row = _current(spark, path)
+    if row is None:
+        raise FileNotFoundError(f"no rollup published at {path}")
+    return spark.read.parquet(row["data"])
+
+
+def built_at(spark: SparkSession, path: str) -> dt.datetime | None:
+    """Build time of the published rollup; None when there is none."""
+    row = _current(spark, path)
     return dt.datetime.fromisoformat(row["built_at"]) if row else None
 
 
@@ -104,7 +117,7 @@ def covers(
             return False
         try:
             read_rollup(spark, path).select(*ROLLUP_DIMENSIONS).filter(where)
-        except AnalysisException:
+        except (AnalysisException, FileNotFoundError):
             return False
     return True
 

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from covlens.operators.rollup import build_rollup, covers, lives_from_rollup, refresh_rollup, built_at
+from covlens.operators.rollup import build_rollup, built_at, covers, lives_from_rollup, read_rollup, refresh_rollup
 from covlens.operators.shares import lives_shares
 from covlens.operators.summary import lives_summary
 from covlens.session import fresh_path
@@ -66,3 +66,17 @@ def test_rollup_refresh_only_when_stale(spark, lives_small):
     assert not refresh_rollup(lives_small, path, now=now + dt.timedelta(hours=23))
     assert refresh_rollup(lives_small, path, now=now + dt.timedelta(days=2))
     assert built_at(spark, path) == now + dt.timedelta(days=2)
+
+
+def test_failed_rebuild_keeps_published_version(spark, lives_small):
+    path = fresh_path(spark, "test-publish")
+    build_rollup(lives_small, path)
+    before = read_rollup(spark, path).count()
+    broken = lives_small.withColumn("rx_lives", F.raise_error(F.lit("executor lost")).cast("bigint"))
+    try:
+        build_rollup(broken, path)
+    except Exception:
+        pass
+    else:
+        raise AssertionError("the broken build should fail")
+    assert read_rollup(spark, path).count() == before

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from covlens.operators.rollup import serve
+from covlens.operators.rollup import read_rollup, serve
 from covlens.operators.summary import lives_summary
 from covlens.session import fresh_path
 from covlens.sources.fixtures import lives_table_path
@@ -23,7 +23,7 @@ def test_stream_in_batches_equals_direct(spark):
     direct = lives_summary(spark.read.parquet(source), ["lives", "pbm_rx_lives"], dims)
     assert served.exceptAll(direct).count() == 0 and direct.exceptAll(served).count() == 0
     target = compact(spark, path, fresh_path(spark, "test-compact"))
-    compacted = serve(spark.read.parquet(f"{target}/data"), ["lives"], dims)
+    compacted = serve(read_rollup(spark, target), ["lives"], dims)
     assert compacted.exceptAll(direct.drop("pbm_rx_lives")).count() == 0
 
 

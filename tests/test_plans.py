@@ -72,3 +72,15 @@ def test_no_cross_join_nested_loop_or_python_anywhere(spark):
         if any(j in ("BroadcastNestedLoopJoin", "CartesianProduct") for j in joins) or uses_python(df):
             bad[name] = joins
     assert not bad, bad
+
+
+def test_scale_settings():
+    from covlens.plans.settings import scale_settings
+
+    big = scale_settings(100 * (1 << 40), 4000)
+    assert big["spark.sql.shuffle.partitions"] == "50000"
+    mid = scale_settings(2 * (1 << 40), 4000)
+    assert mid["spark.sql.shuffle.partitions"] == "8000"
+    small = scale_settings(1 << 30, 8)
+    assert small["spark.sql.shuffle.partitions"] == "16"
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"

@@ -99,22 +99,27 @@ def detect_changes(previous: DataFrame, current: DataFrame, key: str = "row_hash
                    content: Sequence[str] | None = None, newest_by: Sequence[str] | None = None) -> DataFrame:
     """Insert, update, delete or same per key between two loads.
 
-    A key must be unique within a load; with ``newest_by`` each load is first
-    reduced to its newest row per key (``dedup``). Both loads are reduced to
-    (key, content hash, side), stacked, and grouped by key: one shuffle of
-    8-byte hashes, combined map-side, instead of a full outer join, whose
-    skewed keys AQE cannot split.
+    Both loads are reduced to (key, content hash, side, order), stacked, and
+    grouped by key: one shuffle of small rows, combined map-side, instead of a
+    full outer join, whose skewed keys AQE cannot split. A key repeated within
+    a load is compared by its newest row by ``newest_by`` (``max_by``), or by
+    its largest hash when no order is given.
     """
     cols = list(content) if content is not None else [c for c in previous.columns if c != key]
-    if newest_by:
-        previous = dedup(previous, key, newest_by)
-        current = dedup(current, key, newest_by)
-    stacked = previous.select(F.col(key), content_hash(cols).alias("__h"), F.lit(1).alias("__side")).unionByName(
-        current.select(F.col(key), content_hash(cols).alias("__h"), F.lit(2).alias("__side"))
-    )
-    per_key = stacked.groupBy(key).agg(
-        F.max(F.when(F.col("__side") == 1, F.col("__h"))).alias("__old"),
-        F.max(F.when(F.col("__side") == 2, F.col("__h"))).alias("__new"),
+    order = F.struct(*newest_by) if newest_by else F.lit(None).cast("int")
+
+    def side(df: DataFrame, n: int) -> DataFrame:
+        return df.select(F.col(key), content_hash(cols).alias("__h"), F.lit(n).alias("__side"), order.alias("__o"))
+
+    def version(n: int) -> Column:
+        h = F.when(F.col("__side") == n, F.col("__h"))
+        if newest_by:
+            return F.max_by(h, F.when(F.col("__side") == n, F.col("__o")))
+        return F.max(h)
+
+    per_key = side(previous, 1).unionByName(side(current, 2)).groupBy(key).agg(
+        version(1).alias("__old"),
+        version(2).alias("__new"),
         F.bool_or(F.col("__side") == 1).alias("__in_old"),
         F.bool_or(F.col("__side") == 2).alias("__in_new"),
     )

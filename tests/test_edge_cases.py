@@ -177,3 +177,27 @@ def test_unknown_members_raise(spark):
         lives_summary(df, ["lives"], ["nope"])
     with pytest.raises(KeyError):
         lives_summary(df, ["lives"], [], segments=["nope"])
+
+
+def test_change_kinds_and_repeated_key(spark):
+    from covlens.operators.prepare import detect_changes
+
+    schema = "k string, v string, t string"
+    prev = spark.createDataFrame([("a", "1", "t1"), ("b", "1", "t1"), ("c", "1", "t1"), ("d", None, "t1")], schema)
+    cur = spark.createDataFrame(
+        [("a", "1", "t2"), ("b", "2", "t2"), ("e", "1", "t2"), ("d", None, "t2"),
+         ("c", "1", "t1"), ("c", "9", "t3")],  # c repeats: the newest row (t3) counts
+        schema,
+    )
+    got = {r["k"]: r["change"] for r in detect_changes(prev, cur, "k", ["v"], newest_by=["t"]).collect()}
+    assert got == {"a": "same", "b": "update", "c": "update", "d": "same", "e": "insert"}
+    gone = {r["k"]: r["change"] for r in detect_changes(cur, prev, "k", ["v"], newest_by=["t"]).collect()}
+    assert gone["e"] == "delete"
+
+
+def test_content_hash_tells_null_positions_apart(spark):
+    from covlens.operators.prepare import content_hash
+
+    df = spark.createDataFrame([("x", None), (None, "x")], "a string, b string")
+    hashes = [r[0] for r in df.select(content_hash(["a", "b"])).collect()]
+    assert hashes[0] != hashes[1]

@@ -1,0 +1,78 @@
+"""API paths not covered by the registered queries."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import lives_rows
+from covlens.operators.rollup import build_rollup, covers, lives_from_rollup
+from covlens.operators.summary import config_count, lives_summary
+from covlens.operators.trends import trend
+from covlens.session import fresh_path
+
+
+def test_rollup_miss_raises_or_falls_back(spark, lives_small):
+    path = fresh_path(spark, "test-miss")
+    build_rollup(lives_small, path)
+    with pytest.raises(ValueError):
+        lives_from_rollup(spark, path, lives_small, ["record_count"], ["benefit_type"], on_miss="error")
+    out = lives_from_rollup(spark, path, lives_small, ["record_count"], ["benefit_type"])
+    assert out.agg(F.sum("record_count")).first()[0] == lives_small.count()
+    assert covers(["lives"], ["benefit_type"], where=F.col("payer_role") == "TPA", spark=spark, path=path)
+    assert not covers(["lives"], ["benefit_type"], where=F.col("zip") == "00001", spark=spark, path=path)
+    assert not covers(["lives"], ["benefit_type"], where=F.col("payer_role") == "TPA")
+
+
+def test_trend_boundaries_and_gaps(spark):
+    rows = [
+        {"date_year_month": "2025-12", "date_year_quarter": "2025-Q4", "date_year": "2025", "rx_lives": 10},
+        {"date_year_month": "2026-01", "date_year_quarter": "2026-Q1", "date_year": "2026", "rx_lives": 15},
+        {"date_year_month": "2026-03", "date_year_quarter": "2026-Q1", "date_year": "2026", "rx_lives": 5},
+    ]
+    df = lives_rows(spark, rows)
+    month = {r["date_year_month"]: r for r in trend(df, "month").collect()}
+    assert month["2026-01"]["previous_lives"] == 10 and month["2026-01"]["change"] == 5
+    assert float(month["2026-01"]["change_ratio"]) == 0.5
+    assert month["2026-03"]["previous_lives"] is None  # February is missing: no neighbour is taken
+    quarter = {r["date_year_quarter"]: r for r in trend(df, "quarter").collect()}
+    assert quarter["2026-Q1"]["previous_lives"] == 10 and quarter["2026-Q1"]["lives"] == 20
+    year = {r["date_year"]: r for r in trend(df, "year").collect()}
+    assert year["2026"]["change"] == 10 and year["2025"]["previous_lives"] is None
+
+
+def test_trend_zero_previous_gives_null_ratio(spark):
+    rows = [{"date_year_month": "2026-01", "rx_lives": 0}, {"date_year_month": "2026-02", "rx_lives": 4}]
+    got = {r["date_year_month"]: r for r in trend(lives_rows(spark, rows), "month").collect()}
+    assert got["2026-02"]["change"] == 4 and got["2026-02"]["change_ratio"] is None
+
+
+def test_hierarchy_dimension_without_measures(spark):
+    hierarchy = spark.createDataFrame([("P1", "one")], "base_mdm_id string, base_name string")
+    rows = [{"payer_id": "P1", "plan_id": "P1", "benefit_type": "Medical Benefit"},
+            {"payer_id": "P2", "plan_id": "P2", "benefit_type": "Medical Benefit"}]
+    out = lives_summary(lives_rows(spark, rows), [], ["benefit_type", "base_name"], hierarchy=hierarchy)
+    assert {(r["benefit_type"], r["base_name"]) for r in out.collect()} == {
+        ("Medical Benefit", None), ("Medical Benefit", "one")}
+
+
+def test_hierarchy_pre_aggregation_equals_row_join(spark, lives_small):
+    from covlens.operators.hierarchy import with_hierarchy
+    from covlens.sources.fixtures import derive_hierarchy
+    from conftest import SMALL
+
+    h = derive_hierarchy(spark, SMALL)
+    fast = lives_summary(lives_small, ["lives", "record_count", "pbm_rx_lives"], ["benefit_type", "base_name"],
+                         hierarchy=h, hierarchy_match="plan")
+    rows = with_hierarchy(lives_small, h, match="plan")
+    slow = rows.groupBy("benefit_type", "base_name").agg(
+        F.sum(F.coalesce("rx_lives", "mx_lives")).alias("lives"), F.count(F.lit(1)).alias("record_count"),
+        F.sum("pbm_rx_lives").alias("pbm_rx_lives"))
+    assert fast.exceptAll(slow).count() == 0 and slow.exceptAll(fast).count() == 0
+
+
+def test_config_count_rejects_unknown_dimension(spark):
+    cfg = spark.createDataFrame([("Medical Benefit", "G")], "benefit_type string, gpo_name string")
+    with pytest.raises(KeyError):
+        config_count(cfg, ["zip"])
+    assert config_count(cfg).first()["record_count"] == 1

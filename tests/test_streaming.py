@@ -36,3 +36,23 @@ def test_restart_processes_nothing_twice(spark):
     total = serve(read_refreshed_rollup(spark, path), ["lives"], []).first()["lives"]
     direct = lives_summary(spark.read.parquet(source), ["lives"], []).first()["lives"]
     assert total == direct
+
+
+def test_files_arriving_while_running(spark, lives_small):
+    source = fresh_path(spark, "test-arrivals")
+    early = lives_small.filter("date_year <= '1996'")
+    late = lives_small.filter("date_year > '1996'")
+    early.write.parquet(source)
+    path = fresh_path(spark, "test-arrivals-rollup")
+    q = start_rollup_refresh(spark, source, path, f"{path}/_checkpoint", every="1 second")
+    try:
+        q.processAllAvailable()
+        first = serve(read_refreshed_rollup(spark, path), ["lives"], []).first()["lives"]
+        assert first == lives_summary(early, ["lives"], []).first()["lives"]
+        late.write.mode("append").parquet(source)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    total = serve(read_refreshed_rollup(spark, path), ["lives"], ["benefit_type"])
+    direct = lives_summary(lives_small, ["lives"], ["benefit_type"])
+    assert total.exceptAll(direct).count() == 0 and direct.exceptAll(total).count() == 0

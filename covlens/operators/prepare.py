@@ -64,16 +64,14 @@ HASH_COLUMNS: tuple[str, ...] = tuple(c for c in LIVES_TEXT_COLUMNS if c not in
 
 
 def row_hash(columns: Sequence[str]) -> Column:
-    """SHA-256 over the columns, each written as ``<length>:<text>`` and NULL as ``~``.
+    """SHA-256 over the columns written as one JSON array of texts.
 
-    The length prefix makes the encoding unambiguous (no separator inside a
-    value can shift a boundary) and tells NULL from the empty text.
+    JSON quotes and escapes each value, so no separator inside a value can
+    shift a boundary, and NULL (``null``) differs from the empty text
+    (``""``). One generator call per row keeps it inside generated code and
+    about three times cheaper than assembling a length-prefixed string.
     """
-    parts = []
-    for c in columns:
-        text = F.col(c).cast("string")
-        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~")))
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    return F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in columns])), 256)
 
 
 def with_row_hash(df: DataFrame, columns: Sequence[str] = HASH_COLUMNS, name: str = "row_hashkey") -> DataFrame:

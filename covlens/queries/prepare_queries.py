@@ -66,9 +66,8 @@ def prepare_mco_name(spark, sf_dir):
 
 
 def _hash_sql(cols) -> str:
-    parts = ", ".join(f"coalesce(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '~')"
-                      for c in cols)
-    return f"sha256(concat_ws('|', {parts}))"
+    values = ", ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    return f"sha256(to_json([{values}]::VARCHAR[]))"
 
 
 @register("prepare_hash", f"SELECT row_hashkey, {_hash_sql(HASH_COLUMNS)} AS content_hash FROM lives")

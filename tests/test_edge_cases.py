@@ -201,3 +201,14 @@ def test_content_hash_tells_null_positions_apart(spark):
     df = spark.createDataFrame([("x", None), (None, "x")], "a string, b string")
     hashes = [r[0] for r in df.select(content_hash(["a", "b"])).collect()]
     assert hashes[0] != hashes[1]
+
+
+def test_row_hash_is_unambiguous(spark):
+    from covlens.operators.prepare import row_hash
+
+    df = spark.createDataFrame(
+        [("a|b", "c"), ("a", "b|c"), (None, "x"), ("", "x"), ('a","b', "c"), ("a", '","b", "c')],
+        "p string, q string",
+    )
+    hashes = [r[0] for r in df.select(row_hash(["p", "q"])).collect()]
+    assert len(set(hashes)) == len(hashes)

@@ -82,7 +82,8 @@ def lives_summary(
             # Every measure is a sum or a count, so the fact is summed first
             # (map-side) to the request's own keys plus the join keys; only
             # that frame meets the hierarchy, and sums of sums finish it.
-            pre_keys = [dimension(d) for d in own] + [F.col("plan_id"), F.col("payer_id")]
+            join_keys = [c for c in ("plan_id", "payer_id") if c not in own]
+            pre_keys = [dimension(d) for d in own] + [F.col(c) for c in join_keys]
             pre = base.groupBy(*pre_keys).agg(*[measure(m) for m in measures])
             pre = with_hierarchy(pre, hierarchy, match=hierarchy_match)
             return pre.groupBy(*own, *joined).agg(*[F.sum(F.col(m)).alias(m) for m in measures])

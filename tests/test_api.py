@@ -76,3 +76,13 @@ def test_config_count_rejects_unknown_dimension(spark):
     with pytest.raises(KeyError):
         config_count(cfg, ["zip"])
     assert config_count(cfg).first()["record_count"] == 1
+
+
+def test_hierarchy_with_join_key_requested(spark, lives_small):
+    from covlens.sources.fixtures import derive_hierarchy
+    from conftest import SMALL
+
+    h = derive_hierarchy(spark, SMALL)
+    out = lives_summary(lives_small, ["record_count"], ["plan_id", "base_name"], hierarchy=h, hierarchy_match="plan")
+    assert out.columns == ["plan_id", "base_name", "record_count"]
+    assert out.agg(F.sum("record_count")).first()[0] == lives_small.count()

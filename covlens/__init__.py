@@ -9,6 +9,8 @@ from .functions.members import (
     measure,
     segment,
 )
+from .operators.request import lives_request
+from .operators.shares import lives_shares
 from .operators.summary import config_count, lives_summary
 from .sources.readers import read_benefit_config, read_hierarchy, read_lives
 
@@ -19,6 +21,8 @@ __all__ = [
     "config_count",
     "dimension",
     "filter_group",
+    "lives_request",
+    "lives_shares",
     "lives_summary",
     "measure",
     "read_benefit_config",

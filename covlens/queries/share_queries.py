@@ -93,3 +93,27 @@ share_query("denominators_hidden", [ECO, BEN, BOOK, MONTH], ALL_SHARES, hidden=T
 share_query("share_window_method", [ECO, BEN, MONTH, "payer_id"], ["pct_ecosystem_lives", "pct_national_lives"],
             method="window")
 share_query("share_wide_request", [ECO, BEN, MONTH, "zip", "plan_id"], ["pct_ecosystem_lives", "pct_national_lives"])
+
+
+@register(
+    "request_mixed_members",
+    f"""WITH a AS (SELECT ecosystem_code, benefit_type, date_year_month, payer_role,
+              {LIVES_SUM} AS lives, count(*) AS record_count FROM lives
+              WHERE flag_current_record = 'Y' GROUP BY 1, 2, 3, 4),
+         d AS (SELECT *, sum(lives) OVER (PARTITION BY ecosystem_code, benefit_type, date_year_month) AS e,
+                        sum(lives) OVER (PARTITION BY benefit_type, date_year_month) AS n FROM a)
+       SELECT ecosystem_code, benefit_type, date_year_month, payer_role, record_count, lives,
+              CAST(n AS BIGINT) AS national_total_lives, {share_sql('lives', 'e')} AS pct_ecosystem_lives
+       FROM d""",
+)
+def request_mixed_members(spark, sf_dir):
+    """Additive measures, a share and another share's denominator in one request."""
+    from ..operators.request import lives_request
+
+    df = lives_request(
+        lives_table(spark, sf_dir),
+        ["record_count", "lives", "national_total_lives", "pct_ecosystem_lives"],
+        [ECO, BEN, MONTH, "payer_role"],
+        where=F.col("flag_current_record") == "Y",
+    )
+    return shown(df, ["pct_ecosystem_lives"])

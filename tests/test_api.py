@@ -86,3 +86,18 @@ def test_hierarchy_with_join_key_requested(spark, lives_small):
     out = lives_summary(lives_small, ["record_count"], ["plan_id", "base_name"], hierarchy=h, hierarchy_match="plan")
     assert out.columns == ["plan_id", "base_name", "record_count"]
     assert out.agg(F.sum("record_count")).first()[0] == lives_small.count()
+
+
+def test_request_routing(spark, lives_small):
+    from covlens import lives_request
+
+    path = fresh_path(spark, "test-route")
+    build_rollup(lives_small, path)
+    routed = lives_request(lives_small, ["lives"], ["payer_category"], rollup_path=path)
+    assert all("/data/v_" in f for f in routed.inputFiles())
+    direct = lives_request(lives_small, ["lives", "record_count"], ["payer_category"], rollup_path=path)
+    assert not any("/data/v_" in f for f in direct.inputFiles())
+    mixed = lives_request(lives_small, ["ecosystem_total_lives"], ["ecosystem_code", "benefit_type"])
+    assert mixed.columns == ["ecosystem_code", "benefit_type", "ecosystem_total_lives"]
+    with pytest.raises(KeyError):
+        lives_request(lives_small, ["nope"], [])

@@ -48,6 +48,12 @@ def trend(
     where: Column | None = None,
     segments: Iterable[str] = (),
 ) -> DataFrame:
+    """A measure per period (and ``by`` dimensions) beside the previous calendar period's value.
+
+    Columns: ``by``, the period, the measure, ``previous_<measure>``, ``change``
+    and ``change_ratio`` (change / previous, DECIMAL(38,20), NULL when the
+    previous value is 0 or missing).
+    """
     col = PERIODS[period]
     by = list(by)
     keys = [dimension(d) for d in by] + [F.col(col)]

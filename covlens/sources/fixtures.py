@@ -22,7 +22,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import app_id, default_parallelism, fresh_path, shared_dir
+from ..session import app_id, fresh_path, shared_dir
 from .schemas import LIVES_SCHEMA
 
 _MATERIALIZED: dict[tuple[str, str, str], str] = {}
@@ -177,15 +177,15 @@ MAX_ROWS_PER_FILE = 5_000_000
 def write_table(df: DataFrame, path: str) -> None:
     """Write a fact table laid out for parallel, selective reads.
 
-    Rows are spread round-robin over twice the default parallelism (balanced
-    even when one key holds a third of the rows; Spark sorts before the
-    round-robin so a retried task writes the same rows), each file is sorted
-    by the common filter columns so Parquet statistics can skip row groups,
-    and no file exceeds ``MAX_ROWS_PER_FILE`` rows.
+    The rebalance hint lets AQE size the write partitions from the measured
+    shuffle bytes (``advisoryPartitionSizeInBytes``) and split skewed ones, so
+    files stay balanced when one key holds a third of the rows and their
+    number follows the data, not the cluster. Each file is sorted by the
+    common filter columns so Parquet statistics can skip row groups, and no
+    file exceeds ``MAX_ROWS_PER_FILE`` rows.
     """
-    parts = 2 * default_parallelism(df.sparkSession)
     (
-        df.repartition(parts)
+        df.hint("rebalance")
         .sortWithinPartitions(*SELECTIVE_COLUMNS)
         .write.mode("overwrite")
         .option("maxRecordsPerFile", MAX_ROWS_PER_FILE)

@@ -10,12 +10,13 @@ dimension raises instead.
 
 Plan, ``method="join"`` (default): the request is aggregated once (partial and
 final hash aggregation, one shuffle on the request's keys). All denominators
-come from one aggregation of that frame at the union of their grains; coarser
-grains are window sums over this small frame, whose size is bounded by the
-number of grain values, not by the request. One NULL-safe equi-join (D4: a
-NULL ecosystem is a key value) brings them to the request rows; AQE
-broadcasts the denominator frame when its measured size is under the
-threshold, else it shuffles and splits skewed partitions. ``method="window"``
+come from one aggregation of the filtered fact at the union of their grains:
+a scan of only the grain and lives columns, combined map-side, so its shuffle
+is tiny whatever the request's width. Coarser grains are window sums over this
+small frame, whose size is bounded by the number of grain values. One
+NULL-safe equi-join (D4: a NULL ecosystem is a key value) brings them to the
+request rows; AQE broadcasts the denominator frame when its measured size is
+under the threshold, else it shuffles and splits skewed partitions. ``method="window"``
 gives the same values with window sums over the aggregated request; all
 windows then share one shuffle on the coarsest grain, which puts a whole month
 into one task when the request is wide (plan by zip). A request holding none
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.members import ADDITIVE_SUMS, DIMENSION_NAMES, dimension, measure
+from ..functions.members import ADDITIVE_SUMS, DIMENSION_NAMES, dimension, lives_value, measure
 from .summary import filtered
 
 # Denominators and their grains, shares and their denominators,
@@ -78,19 +79,21 @@ def effective_grain(denominator: str, dimensions: Sequence[str], strict: bool =
     return [c for c in listed if c in dimensions]
 
 
-def _grand_total(agg: DataFrame) -> Column:
-    return agg.select(F.sum("lives")).scalar()
+def _grand_total(base: DataFrame) -> Column:
+    return base.select(F.sum(lives_value())).scalar()
 
 
-def _join_denominators(agg: DataFrame, grains: dict[str, list[str]]) -> DataFrame:
+def _join_denominators(base: DataFrame, agg: DataFrame, grains: dict[str, list[str]]) -> DataFrame:
     keyed = {d: g for d, g in grains.items() if g}
     out = agg
     if keyed:
-        # One small frame at the union of the grains carries every denominator;
-        # coarser grains are window sums over that frame (bounded by the number
-        # of grain values, not by the request), then one join meets the request.
+        # One small frame at the union of the grains carries every denominator:
+        # an aggregate of the filtered fact that reads only the grain and lives
+        # columns and combines map-side. Coarser grains are window sums over
+        # that frame (bounded by the number of grain values, not by the
+        # request); one join meets the request.
         union = list(dict.fromkeys(c for g in keyed.values() for c in g))
-        den = agg.groupBy(*union).agg(F.sum("lives").alias("__lives"))
+        den = base.groupBy(*[dimension(c) for c in union]).agg(F.sum(lives_value()).alias("__lives"))
         for d, g in keyed.items():
             total = F.col("__lives") if set(g) == set(union) else F.sum("__lives").over(Window.partitionBy(*g))
             den = den.withColumn(d, total)
@@ -99,14 +102,14 @@ def _join_denominators(agg: DataFrame, grains: dict[str, list[str]]) -> DataFram
         out = out.join(den, cond, "left").drop(*[f"__g_{c}" for c in union])
     for d, g in grains.items():
         if not g:
-            out = out.withColumn(d, _grand_total(agg))
+            out = out.withColumn(d, _grand_total(base))
     return out
 
 
-def _window_denominators(agg: DataFrame, grains: dict[str, list[str]]) -> DataFrame:
+def _window_denominators(base: DataFrame, agg: DataFrame, grains: dict[str, list[str]]) -> DataFrame:
     out = agg
     for d, g in grains.items():
-        total = F.sum("lives").over(Window.partitionBy(*g)) if g else _grand_total(agg)
+        total = F.sum("lives").over(Window.partitionBy(*g)) if g else _grand_total(base)
         out = out.withColumn(d, total)
     return out
 
@@ -150,7 +153,8 @@ def lives_shares(
     keys = [dimension(d) for d in dims]
     agg = base.groupBy(*keys).agg(*aggs) if keys else base.agg(*aggs)
 
-    out = _join_denominators(agg, grains) if method == "join" else _window_denominators(agg, grains)
+    combine = _join_denominators if method == "join" else _window_denominators
+    out = combine(base, agg, grains)
     for s in shares:
         out = out.withColumn(s, share_ratio(F.col("lives"), F.col(SHARES[s])))
     if targets:

@@ -3,18 +3,20 @@
 Each period's total is set beside the total of the calendar period before it
 (NULL when that period has no rows), with the change and the change as a
 fraction of the earlier total (DECIMAL(38,20), NULL when the earlier total is
-0 or missing). The earlier period is found by an equi-join on a computed
-"previous period" key of the aggregated frame, not by a window over an
-ordering: a gap in the months gives NULL instead of a wrong neighbour, and no
-window needs all periods in one task. Lives are a monthly snapshot: quarter
-and year totals add the months up (see ``operators.summary``).
+0 or missing). The fact is aggregated once; ``lag`` over the aggregated frame,
+partitioned by the ``by`` dimensions and ordered by period, brings the row
+before, which counts only when its period is the computed calendar
+predecessor, so a gap in the months gives NULL instead of a wrong neighbour.
+A window partition holds at most one row per period (a few hundred), so no
+task grows with the data. Lives are a monthly snapshot: quarter and year
+totals add the months up (see ``operators.summary``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.members import dimension, measure
@@ -58,16 +60,12 @@ def trend(
     by = list(by)
     keys = [dimension(d) for d in by] + [F.col(col)]
     agg = filtered(df, where, segments).groupBy(*keys).agg(measure(measure_name))
-    prev = agg.select(
-        *[F.col(d).alias(f"__p_{d}") for d in by],
-        F.col(col).alias("__p_period"),
-        F.col(measure_name).alias(f"previous_{measure_name}"),
-    )
-    cur = agg.withColumn("__want", previous_period(period, F.col(col)))
-    cond = [cur[d].eqNullSafe(prev[f"__p_{d}"]) for d in by] + [cur["__want"] == prev["__p_period"]]
-    joined = cur.join(prev, cond, "left")
+    w = Window.partitionBy(*by).orderBy(col)
+    earlier = F.lag(F.col(col)).over(w) == previous_period(period, F.col(col))
+    previous = F.when(earlier, F.lag(F.col(measure_name)).over(w))
+    out = agg.withColumn(f"previous_{measure_name}", previous)
     change = F.col(measure_name) - F.col(f"previous_{measure_name}")
-    return joined.select(
+    return out.select(
         *by,
         F.col(col),
         F.col(measure_name),

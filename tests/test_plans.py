@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from covlens.functions.members import filter_group
@@ -43,10 +45,15 @@ def test_no_join_without_hierarchy_column(spark, lives_small):
     assert join_strategies(df2)
 
 
-def test_share_request_scans_fact_once(lives_small):
+def test_denominators_read_only_grain_and_lives(lives_small):
     df = lives_shares(lives_small, ["pct_ecosystem_lives", "pct_national_lives"],
-                      ["ecosystem_code", "benefit_type", "date_year_month", "payer_id"])
-    assert scan_count(df, executed=True) == 1
+                      ["ecosystem_code", "benefit_type", "date_year_month", "payer_id"],
+                      measures=["lives", "record_count", "pbm_rx_lives"])
+    assert scan_count(df, executed=True) == 2
+    schemas = sorted(read_schemas(df), key=len)
+    grain = {"ecosystem_code", "benefit_type", "date_year_month", "rx_lives", "mx_lives"}
+    assert set(re.findall(r"(\w+):", schemas[0])) == grain
+    assert "payer_id" in schemas[1] and "pbm_rx_lives" in schemas[1]
 
 
 def test_no_python_worker(spark, lives_small):

@@ -53,13 +53,19 @@ def _meta(path: str) -> str:
     return f"{path.rstrip('/')}/meta"
 
 
-def publish(rollup: DataFrame, path: str, built_at: dt.datetime | None = None) -> str:
-    """Write rollup rows as a new version under ``path``, then make it the current one."""
+def publish(rollup: DataFrame, path: str, built_at: dt.datetime | None = None,
+            through_batch: int | None = None) -> str:
+    """Write rollup rows as a new version under ``path``, then make it the current one.
+
+    ``through_batch`` records the last refresh-stream batch folded in (see
+    ``streaming.refresh.compact``).
+    """
     spark = rollup.sparkSession
     built_at = (built_at or dt.datetime.now(dt.timezone.utc)).astimezone(dt.timezone.utc)
     version = f"{path.rstrip('/')}/data/v_{built_at.strftime('%Y%m%dT%H%M%S')}_{uuid.uuid4().hex[:8]}"
     rollup.sortWithinPartitions(*LAYOUT_COLUMNS).write.mode("errorifexists").parquet(version)
-    stamp = spark.createDataFrame([(built_at.isoformat(), version)], "built_at string, data string")
+    stamp = spark.createDataFrame([(built_at.isoformat(), version, through_batch)],
+                                  "built_at string, data string, through_batch long")
     stamp.coalesce(1).write.mode("overwrite").parquet(_meta(path))
     return path
 
@@ -70,6 +76,11 @@ def build_rollup(lives: DataFrame, path: str, built_at: dt.datetime | None = Non
     return publish(agg, path, built_at)
 
 
+def current_version(spark: SparkSession, path: str):
+    """The published version's row (built_at, data, through_batch), or None."""
+    return _current(spark, path)
+
+
 def _current(spark: SparkSession, path: str):
     try:
         return spark.read.parquet(_meta(path)).first()

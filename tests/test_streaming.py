@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from covlens.operators.rollup import read_rollup, serve
+from covlens.operators.rollup import serve
 from covlens.operators.summary import lives_summary
 from covlens.session import fresh_path
 from covlens.sources.fixtures import lives_table_path
@@ -22,8 +22,8 @@ def test_stream_in_batches_equals_direct(spark):
     served = serve(parts, ["lives", "pbm_rx_lives"], dims)
     direct = lives_summary(spark.read.parquet(source), ["lives", "pbm_rx_lives"], dims)
     assert served.exceptAll(direct).count() == 0 and direct.exceptAll(served).count() == 0
-    target = compact(spark, path, fresh_path(spark, "test-compact"))
-    compacted = serve(read_rollup(spark, target), ["lives"], dims)
+    compact(spark, path)
+    compacted = serve(read_refreshed_rollup(spark, path), ["lives"], dims)
     assert compacted.exceptAll(direct.drop("pbm_rx_lives")).count() == 0
 
 
@@ -56,3 +56,20 @@ def test_files_arriving_while_running(spark, lives_small):
     total = serve(read_refreshed_rollup(spark, path), ["lives"], ["benefit_type"])
     direct = lives_summary(lives_small, ["lives"], ["benefit_type"])
     assert total.exceptAll(direct).count() == 0 and direct.exceptAll(total).count() == 0
+
+
+def test_compaction_then_more_arrivals(spark, lives_small):
+    source = fresh_path(spark, "test-compaction-src")
+    years = sorted(r[0] for r in lives_small.select("date_year").distinct().collect())
+    path = fresh_path(spark, "test-compaction")
+    dims = ["payer_role", "geography_type"]
+    for i, year in enumerate(years):
+        lives_small.filter(lives_small.date_year == year).write.mode("append").parquet(source)
+        q = start_rollup_refresh(spark, source, path, f"{path}/_checkpoint", available_now=True)
+        q.awaitTermination()
+        if i % 2 == 1:
+            compact(spark, path)
+        arrived = lives_small.filter(lives_small.date_year <= year)
+        served = serve(read_refreshed_rollup(spark, path), ["lives", "pbm_rx_lives"], dims)
+        direct = lives_summary(arrived, ["lives", "pbm_rx_lives"], dims)
+        assert served.exceptAll(direct).count() == 0 and direct.exceptAll(served).count() == 0, year

@@ -19,7 +19,7 @@ from ..operators.prepare import (
     with_load_time,
 )
 from ..registry import register
-from ..sources.fixtures import derive_zip_table, lives_table, table
+from ..sources.fixtures import derive_zip_table, lives_table, table, wall_clock
 from ..sources.schemas import LIVES_NUMBER_COLUMNS
 
 
@@ -32,7 +32,8 @@ from ..sources.schemas import LIVES_NUMBER_COLUMNS
        FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem)""",
 )
 def prepare_calendar(spark, sf_dir):
-    days = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("d")).distinct()
+    lineitem = table(spark, sf_dir, "lineitem")
+    days = lineitem.select(F.to_date(wall_clock(lineitem, "l_shipdate")).alias("d")).distinct()
     out = with_calendar(days, "d")
     return out.select(F.date_format("d", "yyyy-MM-dd").alias("ship_date"), "date_id", "date_year_month",
                       "date_year_quarter", "date_year")

@@ -21,6 +21,7 @@ import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import app_id, fresh_path, shared_dir
 from .schemas import LIVES_SCHEMA
@@ -57,6 +58,19 @@ def _text(col) -> F.Column:
     return col.cast("string")
 
 
+def wall_clock(df: DataFrame, name: str) -> F.Column:
+    """A timestamp column as the wall-clock time written in the file, whatever the session.
+
+    The driver's files hold zone-less timestamps, which Spark reads as
+    TIMESTAMP_NTZ by default. A session that reads them as TIMESTAMP instead
+    would shift calendar parts by its own time zone; this undoes that shift.
+    """
+    col = F.col(name)
+    if isinstance(df.schema[name].dataType, T.TimestampType):
+        return F.to_utc_timestamp(col, F.current_timezone())
+    return col
+
+
 def derive_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lives fact, computed lazily from the driver tables (37 columns)."""
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
@@ -79,8 +93,9 @@ def derive_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(supplier, lineitem.l_suppkey == supplier.s_suppkey)
     )
 
-    year = _text(F.year("l_shipdate"))
-    month2 = F.lpad(_text(F.month("l_shipdate")), 2, "0")
+    shipped = wall_clock(lineitem, "l_shipdate")
+    year = _text(F.year(shipped))
+    month2 = F.lpad(_text(F.month(shipped)), 2, "0")
     priority = F.substring("o_orderpriority", 1, 1)
     has_eco = (F.col("l_orderkey") % 5) != 0
     gpo_bucket = F.col("l_suppkey") % 3
@@ -100,7 +115,7 @@ def derive_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
         "zip": F.lpad(_text(F.col("c_custkey")), 5, "0"),
         "date_id": F.concat(year, month2, F.lit("01")),
         "date_year_month": F.concat(year, F.lit("-"), month2),
-        "date_year_quarter": F.concat(year, F.lit("-Q"), _text(F.quarter("l_shipdate"))),
+        "date_year_quarter": F.concat(year, F.lit("-Q"), _text(F.quarter(shipped))),
         "date_year": year,
         "commercial_region_name": _case(F.col("n_regionkey"), REGION_NAME_BY_KEY, "West"),
         "source_book_of_business": _case(F.col("l_linenumber") % 6, SOURCE_BOOK_BY_LINE),

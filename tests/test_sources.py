@@ -51,3 +51,23 @@ def test_config_and_hierarchy_readers(spark):
     assert h.select("base_mdm_id").distinct().count() == h.count()
     with pytest.raises(ValueError):
         read_hierarchy(spark, h.withColumnRenamed("base_mdm_id", "id"))
+
+
+def test_calendar_parts_do_not_depend_on_session_zone(spark):
+    from covlens.oracle import LIVES_SQL
+    from covlens.sources.fixtures import derive_lives
+    from oracle_compare import duck
+
+    keys = {"spark.sql.session.timeZone": "America/Los_Angeles",
+            "spark.sql.parquet.inferTimestampNTZ.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        cols = ["row_hashkey", "date_id", "date_year_month", "date_year_quarter", "date_year", "load_time"]
+        got = sorted(tuple(r) for r in derive_lives(spark, SMALL).select(*cols).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = sorted(duck(SMALL).execute(f"SELECT {', '.join(cols)} FROM ({LIVES_SQL})").fetchall())
+    assert got == want

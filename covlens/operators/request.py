@@ -15,7 +15,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 
-from ..functions.members import MEASURE_NAMES
+from ..functions.members import MEASURE_NAMES, all_of, default_filter
 from .rollup import lives_from_rollup
 from .shares import DENOMINATORS, SHARES, lives_shares
 from .summary import lives_summary
@@ -43,8 +43,10 @@ def lives_request(
     denominators = [m for m in members if m in DENOMINATORS]
     segments = list(segments)
     if not shares and not denominators:
-        if rollup_path is not None and hierarchy is None and not defaults:
-            return lives_from_rollup(df.sparkSession, rollup_path, df, measures, dimensions, where, segments)
+        if rollup_path is not None and hierarchy is None:
+            # The default filters read stored dimensions only, so they travel as a condition.
+            cond = all_of([where, default_filter() if defaults else None])
+            return lives_from_rollup(df.sparkSession, rollup_path, df, measures, dimensions, cond, segments)
         return lives_summary(df, measures, dimensions, where, segments, defaults, hierarchy)
     if hierarchy is not None:
         raise ValueError("shares are computed on the fact's own dimensions")

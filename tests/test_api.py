@@ -101,3 +101,14 @@ def test_request_routing(spark, lives_small):
     assert mixed.columns == ["ecosystem_code", "benefit_type", "ecosystem_total_lives"]
     with pytest.raises(KeyError):
         lives_request(lives_small, ["nope"], [])
+
+
+def test_request_with_defaults_served_from_rollup(spark, lives_small):
+    from covlens import lives_request
+
+    path = fresh_path(spark, "test-route-defaults")
+    build_rollup(lives_small, path)
+    routed = lives_request(lives_small, ["lives"], ["payer_category"], defaults=True, rollup_path=path)
+    assert all("/data/v_" in f for f in routed.inputFiles())
+    direct = lives_summary(lives_small, ["lives"], ["payer_category"], defaults=True)
+    assert routed.exceptAll(direct).count() == 0 and direct.exceptAll(routed).count() == 0

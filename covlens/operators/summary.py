@@ -62,6 +62,7 @@ def lives_summary(
     defaults: bool = False,
     hierarchy: DataFrame | None = None,
     hierarchy_match: str = "both",
+    check_hierarchy: bool = True,
 ) -> DataFrame:
     """Measures grouped by dimensions over the filtered lives fact.
 
@@ -71,7 +72,10 @@ def lives_summary(
     its key) makes the many-to-one join; without one no join is made. The
     measures are then summed before the join, to the request's own dimensions
     and the join keys, so the join sees one row per such group rather than one
-    per fact row. With no measure the result is the distinct dimension values.
+    per fact row. The hierarchy key is checked for duplicates first (one
+    aggregation of the hierarchy); ``check_hierarchy=False`` skips that for a
+    hierarchy already checked with ``check_many_to_one``. With no measure the
+    result is the distinct dimension values.
     """
     own, joined = _split_dimensions(list(dimensions), hierarchy)
     base = filtered(df, where, segments, defaults)
@@ -85,9 +89,9 @@ def lives_summary(
             join_keys = [c for c in ("plan_id", "payer_id") if c not in own]
             pre_keys = [dimension(d) for d in own] + [F.col(c) for c in join_keys]
             pre = base.groupBy(*pre_keys).agg(*[measure(m) for m in measures])
-            pre = with_hierarchy(pre, hierarchy, match=hierarchy_match)
+            pre = with_hierarchy(pre, hierarchy, match=hierarchy_match, check=check_hierarchy)
             return pre.groupBy(*own, *joined).agg(*[F.sum(F.col(m)).alias(m) for m in measures])
-        base = with_hierarchy(base, hierarchy, match=hierarchy_match)
+        base = with_hierarchy(base, hierarchy, match=hierarchy_match, check=check_hierarchy)
     keys = [dimension(d) for d in own] + [F.col(d) for d in joined]
     if not measures:
         if not keys:

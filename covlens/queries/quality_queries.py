@@ -9,6 +9,7 @@ from ..operators.quality import (
     US_STATES,
     VALID_VALUES,
     check_lives,
+    duplicate_key_rows,
     hash_check,
     key_check,
     lives_range_check,
@@ -94,3 +95,23 @@ def quality_hash(spark, sf_dir):
 )
 def quality_lives_range(spark, sf_dir):
     return lives_range_check(lives_table(spark, sf_dir), ["ecosystem_code", "date_year_month"])
+
+
+@register(
+    "quality_key_repeats",
+    f"""SELECT {', '.join(CURRENT_GRAIN)}, count(*) AS rows FROM lives
+        GROUP BY {', '.join(CURRENT_GRAIN)} HAVING count(*) > 1""",
+)
+def quality_key_repeats(spark, sf_dir):
+    """The repeated key values (key less its month), each with its row count."""
+    return duplicate_key_rows(lives_table(spark, sf_dir), CURRENT_GRAIN)
+
+
+@register(
+    "quality_key_repeats_payer_plan",
+    """SELECT payer_id, plan_id, benefit_type, count(*) AS rows FROM lives
+       GROUP BY payer_id, plan_id, benefit_type HAVING count(*) > 1""",
+)
+def quality_key_repeats_payer_plan(spark, sf_dir):
+    """Repeats of a coarser candidate key (payer, plan, benefit type), which recur across months."""
+    return duplicate_key_rows(lives_table(spark, sf_dir), ["payer_id", "plan_id", "benefit_type"])

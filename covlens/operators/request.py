@@ -48,13 +48,12 @@ def lives_request(
             cond = all_of([where, default_filter() if defaults else None])
             return lives_from_rollup(df.sparkSession, rollup_path, df, measures, dimensions, cond, segments)
         return lives_summary(df, measures, dimensions, where, segments, defaults, hierarchy)
-    if hierarchy is not None:
-        raise ValueError("shares are computed on the fact's own dimensions")
     # A denominator asked alone is computed through the share that uses it.
     users = {den: s for s, den in SHARES.items()}
     wanted = list(dict.fromkeys([*shares, *[users[d] for d in denominators]]))
     out = lives_shares(df, wanted, dimensions, where, segments, defaults, measures or ["lives"],
-                       include_hidden=bool(denominators), strict=strict, method=method, targets=targets)
+                       include_hidden=bool(denominators), strict=strict, method=method, targets=targets,
+                       hierarchy=hierarchy)
     keep = [*dimensions, *(measures or []), *denominators, *shares]
     if targets:
         keep += [f"meets_{s}" for s in shares if s in targets]

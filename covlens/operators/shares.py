@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.members import ADDITIVE_SUMS, DIMENSION_NAMES, dimension, lives_value, measure
-from .summary import filtered
+from .summary import filtered, lives_summary
 
 # Denominators and their grains, shares and their denominators,
 # and the business targets stated for each share (fractions).
@@ -126,16 +126,24 @@ def lives_shares(
     strict: bool = False,
     method: str = "join",
     targets: dict[str, float] | None = None,
+    hierarchy: DataFrame | None = None,
+    hierarchy_match: str = "both",
 ) -> DataFrame:
     """Request rows with the main measure, the asked shares and (optionally) their denominators.
 
     ``targets`` (share name -> fraction) adds a boolean ``meets_<share>`` per
-    share that has one; pass ``TARGETS`` for the model's stated targets.
+    share that has one; pass ``TARGETS`` for the model's stated targets. A
+    dimension of ``hierarchy`` joins it as ``lives_summary`` does (fact summed
+    first, then the many-to-one LEFT join); it is never part of a grain, and
+    the join keeps every fact row, so the denominators are those of the
+    request's own dimensions.
     """
     dims = list(dimensions)
-    for d in dims:
-        if d not in DIMENSION_NAMES:
-            raise KeyError(f"unknown dimension {d!r}")
+    own = [d for d in dims if d in DIMENSION_NAMES]
+    joined = [d for d in dims if d not in DIMENSION_NAMES and hierarchy is not None and d in hierarchy.columns]
+    unknown = [d for d in dims if d not in own and d not in joined]
+    if unknown:
+        raise KeyError(f"unknown dimension {unknown[0]!r}")
     for s in shares:
         if s not in SHARES:
             raise KeyError(f"unknown share {s!r}")
@@ -146,12 +154,16 @@ def lives_shares(
             raise KeyError(f"unknown measure {m!r}")
 
     needed = list(dict.fromkeys(SHARES[s] for s in shares))
-    grains = {d: effective_grain(d, dims, strict) for d in needed}
+    grains = {d: effective_grain(d, own, strict) for d in needed}
 
-    aggs = [measure(m) for m in dict.fromkeys(["lives", *measures])]
+    wanted = list(dict.fromkeys(["lives", *measures]))
     base = filtered(df, where, segments, defaults)
-    keys = [dimension(d) for d in dims]
-    agg = base.groupBy(*keys).agg(*aggs) if keys else base.agg(*aggs)
+    if joined:
+        agg = lives_summary(base, wanted, dims, hierarchy=hierarchy, hierarchy_match=hierarchy_match)
+    else:
+        aggs = [measure(m) for m in wanted]
+        keys = [dimension(d) for d in dims]
+        agg = base.groupBy(*keys).agg(*aggs) if keys else base.agg(*aggs)
 
     combine = _join_denominators if method == "join" else _window_denominators
     out = combine(base, agg, grains)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.hierarchy import HIERARCHIES, PARENTS, drill, duplicate_keys, parent_totals
 from ..operators.summary import lives_summary
-from ..oracle import GEO_TYPE, LIVES_SUM
+from ..oracle import GEO_TYPE, LIVES_SUM, share_sql
 from ..registry import register
 from ..sources.fixtures import derive_hierarchy, lives_table
 from ..sources.readers import read_hierarchy
@@ -114,3 +114,21 @@ def _parent_query(name, parent):
 _parent_query("totals_payer_parent", "payer")
 _parent_query("totals_pbm_parent", "pbm")
 _parent_query("totals_gpo_parent", "gpo")
+
+
+@register(
+    "share_by_hierarchy",
+    f"""WITH j AS (SELECT l.*, h.base_name FROM lives l LEFT JOIN mco_hierarchy h ON l.plan_id = h.base_mdm_id),
+       a AS (SELECT benefit_type, date_year_month, base_name, {LIVES_SUM} AS lives FROM j
+             WHERE flag_current_record = 'Y' GROUP BY 1, 2, 3),
+       d AS (SELECT *, sum(lives) OVER (PARTITION BY benefit_type, date_year_month) AS n FROM a)
+       SELECT benefit_type, date_year_month, base_name, lives, {share_sql('lives', 'n')} AS pct_national_lives FROM d""",
+)
+def share_by_hierarchy(spark, sf_dir):
+    """A national share by a hierarchy column: the join never changes the denominators."""
+    from ..operators.shares import lives_shares
+
+    hierarchy = read_hierarchy(spark, derive_hierarchy(spark, sf_dir))
+    df = lives_shares(lives_table(spark, sf_dir), ["pct_national_lives"], ["benefit_type", "date_year_month", "base_name"],
+                      where=F.col("flag_current_record") == "Y", hierarchy=hierarchy, hierarchy_match="plan")
+    return df.withColumn("pct_national_lives", F.round("pct_national_lives", 6).cast("double"))

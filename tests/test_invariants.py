@@ -80,3 +80,19 @@ def test_failed_rebuild_keeps_published_version(spark, lives_small):
     else:
         raise AssertionError("the broken build should fail")
     assert read_rollup(spark, path).count() == before
+
+
+def test_shares_by_hierarchy_column_agree_across_methods(spark, lives_medium):
+    from covlens.sources.fixtures import derive_hierarchy
+
+    h = derive_hierarchy(spark, "/root/testdata/sf0.01")
+    dims = ["benefit_type", "date_year_month", "base_name"]
+    a = lives_shares(lives_medium, ["pct_national_lives"], dims, hierarchy=h, hierarchy_match="payer",
+                     include_hidden=True)
+    b = lives_shares(lives_medium, ["pct_national_lives"], dims, hierarchy=h, hierarchy_match="payer",
+                     include_hidden=True, method="window")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    plain = lives_shares(lives_medium, ["pct_national_lives"], ["benefit_type", "date_year_month"],
+                         include_hidden=True).select("benefit_type", "date_year_month", "national_total_lives")
+    dens = a.select("benefit_type", "date_year_month", "national_total_lives").distinct()
+    assert dens.exceptAll(plain).count() == 0 and plain.exceptAll(dens).count() == 0

@@ -226,6 +226,8 @@ def lives_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     Derived and written once per session and input folder, then read back, so
     that later queries scan a columnar table with pushdown instead of
     re-running the seven-way join. The written table also cuts lineage: a lost
-    executor costs a re-read, not a re-join.
+    executor costs a re-read, not a re-join. The driver tables are read-only
+    inputs, so the stored fact stays valid for the session; a live fact table
+    is read with ``read_lives``, which lists its files afresh on every call.
     """
     return spark.read.schema(LIVES_SCHEMA).parquet(lives_table_path(spark, sf_dir))

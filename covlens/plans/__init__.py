@@ -1 +1 @@
-"""covlens.plans."""
+"""Reading physical plans, and session settings sized for a large cluster."""

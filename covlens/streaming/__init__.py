@@ -1 +1 @@
-"""covlens.streaming."""
+"""Structured Streaming refresh of the stored rollup."""

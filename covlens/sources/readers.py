@@ -9,8 +9,10 @@ become "re-read per call").
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .schemas import CONFIG_SCHEMA, HIERARCHY_KEY, LIVES_SCHEMA, check_schema
+from .schemas import CONFIG_SCHEMA, HIERARCHY_KEY, LIVES_NUMBER_COLUMNS, LIVES_SCHEMA, check_schema
 
 
 def _table_name(name: str) -> str:
@@ -28,13 +30,27 @@ def read_source(spark: SparkSession, source: str | DataFrame) -> DataFrame:
     return spark.table(_table_name(source))
 
 
+def _integral(dtype: T.DataType) -> bool:
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return True
+    return isinstance(dtype, T.DecimalType) and dtype.scale == 0 and dtype.precision <= 18
+
+
 def read_lives(spark: SparkSession, source: str | DataFrame, where: Column | None = None) -> DataFrame:
     """The lives fact (S1): every column, checked against the declared schema.
 
-    ``where`` is the filter group of the base scan (F1): one boolean Column that
-    Catalyst pushes into the Parquet scan as a whole; ``None`` means no filter.
+    Lives stored as any whole-number type are widened to LongType (D3); text
+    or fractional lives are refused, since Spark would sum them as doubles.
+    ``where`` is the filter group of the base scan (F1): one boolean Column
+    that Catalyst pushes into the Parquet scan as a whole; ``None`` means no
+    filter.
     """
     df = read_source(spark, source)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    widen = [c for c in LIVES_NUMBER_COLUMNS
+             if c in types and types[c] != T.LongType() and _integral(types[c])]
+    if widen:
+        df = df.withColumns({c: F.col(c).cast(T.LongType()) for c in widen})
     check_schema(df, LIVES_SCHEMA, "lives fact")
     return df if where is None else df.filter(where)
 

@@ -71,3 +71,13 @@ def test_calendar_parts_do_not_depend_on_session_zone(spark):
             spark.conf.set(k, v)
     want = sorted(duck(SMALL).execute(f"SELECT {', '.join(cols)} FROM ({LIVES_SQL})").fetchall())
     assert got == want
+
+
+def test_integral_lives_are_widened(spark, lives_small):
+    narrow = lives_small.withColumn("rx_lives", F.col("rx_lives").cast("int")).withColumn(
+        "mx_lives", F.col("mx_lives").cast("decimal(12,0)"))
+    got = read_lives(spark, narrow)
+    assert got.schema["rx_lives"].dataType.simpleString() == "bigint"
+    assert got.schema["mx_lives"].dataType.simpleString() == "bigint"
+    with pytest.raises(ValueError, match="pbm_rx_lives"):
+        read_lives(spark, lives_small.withColumn("pbm_rx_lives", F.col("pbm_rx_lives").cast("double")))

@@ -115,3 +115,18 @@ def quality_key_repeats(spark, sf_dir):
 def quality_key_repeats_payer_plan(spark, sf_dir):
     """Repeats of a coarser candidate key (payer, plan, benefit type), which recur across months."""
     return duplicate_key_rows(lives_table(spark, sf_dir), ["payer_id", "plan_id", "benefit_type"])
+
+
+@register(
+    "quality_config_key",
+    """SELECT 'config_benefit_type' AS rule, count(*) AS keys, count(*) FILTER (WHERE n > 1) AS repeated_keys,
+       CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS rows_in_repeats
+       FROM (SELECT count(*) AS n FROM benefit_config GROUP BY benefit_type)""",
+)
+def quality_config_key(spark, sf_dir):
+    """The configuration's declared key (benefit type, JS form) checked for uniqueness: it repeats."""
+    from ..sources.fixtures import derive_benefit_config
+    from ..sources.readers import read_benefit_config
+
+    config = read_benefit_config(spark, derive_benefit_config(spark, sf_dir))
+    return key_check(config, ["benefit_type"], what="config_benefit_type")

@@ -117,3 +117,15 @@ def request_mixed_members(spark, sf_dir):
         where=F.col("flag_current_record") == "Y",
     )
     return shown(df, ["pct_ecosystem_lives"])
+
+
+@register(
+    "share_default_filters",
+    share_oracle([ECO, BEN, MONTH, "payer_category"], ["pct_ecosystem_lives", "pct_national_lives"],
+                 "flag_current_record = 'Y' AND book_of_business = 'Commercial' AND lives_source = 'DRG Plan'"),
+)
+def share_default_filters(spark, sf_dir):
+    """Shares under the model's default filter values (current, commercial, plan source)."""
+    df = lives_shares(lives_table(spark, sf_dir), ["pct_ecosystem_lives", "pct_national_lives"],
+                      [ECO, BEN, MONTH, "payer_category"], defaults=True)
+    return shown(df, ["pct_ecosystem_lives", "pct_national_lives"])

@@ -88,6 +88,7 @@ def drill(
     measures: Sequence[str] = ("lives",),
     where: Column | None = None,
     segments: Iterable[str] = (),
+    defaults: bool = False,
 ) -> DataFrame:
     """Subtotals along ordered levels, coarse to fine, plus the grand total.
 
@@ -99,7 +100,7 @@ def drill(
     if isinstance(levels, str):
         levels = HIERARCHIES[levels]
     levels = list(levels)
-    base = filtered(df, where, segments)
+    base = filtered(df, where, segments, defaults)
     return base.rollup(*[dimension(c) for c in levels]).agg(
         *[measure(m) for m in measures],
         F.grouping_id().alias("grouping_id"),
@@ -113,7 +114,8 @@ def parent_totals(
     measures: Sequence[str] = ("lives", "record_count"),
     where: Column | None = None,
     segments: Iterable[str] = (),
+    defaults: bool = False,
 ) -> DataFrame:
     """Measures at the parent organisation level (payer, pbm or gpo parent)."""
     pid, pname = PARENTS[parent]
-    return filtered(df, where, segments).groupBy(pid, pname).agg(*[measure(m) for m in measures])
+    return filtered(df, where, segments, defaults).groupBy(pid, pname).agg(*[measure(m) for m in measures])

@@ -49,6 +49,7 @@ def trend(
     by: Sequence[str] = (),
     where: Column | None = None,
     segments: Iterable[str] = (),
+    defaults: bool = False,
 ) -> DataFrame:
     """A measure per period (and ``by`` dimensions) beside the previous calendar period's value.
 
@@ -59,7 +60,7 @@ def trend(
     col = PERIODS[period]
     by = list(by)
     keys = [dimension(d) for d in by] + [F.col(col)]
-    agg = filtered(df, where, segments).groupBy(*keys).agg(measure(measure_name))
+    agg = filtered(df, where, segments, defaults).groupBy(*keys).agg(measure(measure_name))
     w = Window.partitionBy(*by).orderBy(col)
     earlier = F.lag(F.col(col)).over(w) == previous_period(period, F.col(col))
     previous = F.when(earlier, F.lag(F.col(measure_name)).over(w))

@@ -112,3 +112,13 @@ def test_request_with_defaults_served_from_rollup(spark, lives_small):
     assert all("/data/v_" in f for f in routed.inputFiles())
     direct = lives_summary(lives_small, ["lives"], ["payer_category"], defaults=True)
     assert routed.exceptAll(direct).count() == 0 and direct.exceptAll(routed).count() == 0
+
+
+def test_defaults_everywhere(spark, lives_small):
+    from covlens import drill, parent_totals, trend
+
+    expected = lives_summary(lives_small, ["lives"], [], defaults=True).first()["lives"]
+    total = drill(lives_small, "book", defaults=True).filter("drill_level = 'total'").first()["lives"]
+    parents = parent_totals(lives_small, "payer", ["lives"], defaults=True).agg(F.sum("lives")).first()[0]
+    months = trend(lives_small, "month", defaults=True).agg(F.sum("lives")).first()[0]
+    assert total == parents == months == expected

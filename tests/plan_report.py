@@ -31,6 +31,26 @@ KEY_QUERIES = [
 ]
 
 
+SCALE_NOTES = """## Reading these plans at 100 TB
+
+- Additive requests: one scan with the named filters in `PushedFilters` and only the used columns in
+  `ReadSchema`, partial aggregation before the one shuffle. The shuffle carries at most one row per group
+  per task, so a key holding a third of the rows costs one row per task.
+- Shares: the request's aggregation (one shuffle, as above), plus a second scan that reads only the grain
+  and lives columns. That scan is combined map-side, so its shuffle is bounded by the number of grain
+  values (ecosystems x benefit types x books x months). The coarser denominators are windows over that
+  small frame. The denominator frame meets the request in a broadcast hash join, which AQE picks from its
+  measured size; beyond the threshold it is a shuffled join with skew splitting.
+- Hierarchy: the fact is summed to the request's keys plus the join keys before the join. The hierarchy
+  side is broadcast only when its measured size allows.
+- Drills: one scan and one shuffle; the rollup's Expand runs map-side before partial aggregation.
+- Current-record flag: an aggregation and a join whose sides are both shuffle stages, so AQE can split a
+  hot group (`tests/test_skew.py` shows `skew=true`). A window over the group would sort it in one task.
+- Change detection: one grouping of (key, 8-byte hash, side, order) instead of a full outer join.
+- Trends: one scan; `lag` over the aggregated frame, one row per period per partition.
+"""
+
+
 def final_plan(text: str) -> str:
     body = text.split("+- == Final Plan ==", 1)[-1].split("+- == Initial Plan ==", 1)[0]
     lines = []
@@ -53,6 +73,7 @@ def main(argv):
     print("# Executed plans of key queries\n")
     print(f"Generated by `tests/plan_report.py` at `{sf_dir}` on local[8], AQE on; final plans after execution.")
     print("Expression ids, plan ids and file locations are elided.\n")
+    print(SCALE_NOTES)
     for name in KEY_QUERIES:
         df = registry[name](spark, sf_dir)
         text = plan_text(df, "simple", executed=True)

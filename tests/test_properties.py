@@ -75,3 +75,21 @@ def test_rollup_equals_fact(spark, rows, segments):
     served = lives_from_rollup(spark, path, None, ["lives", "pbm_rx_lives"], dims, segments=segments, on_miss="error")
     direct = lives_summary(df, ["lives", "pbm_rx_lives"], dims, segments=segments)
     assert served.exceptAll(direct).count() == 0 and direct.exceptAll(served).count() == 0
+
+
+@SETTINGS
+@given(st.lists(ROW, min_size=1, max_size=25))
+def test_drill_levels_equal_group_bys(spark, rows):
+    from pyspark.sql import functions as F
+
+    from covlens.operators.hierarchy import drill
+
+    df = lives_rows(spark, rows)
+    levels = ["benefit_type", "ecosystem_code", "payer_id"]
+    out = drill(df, levels, ["lives", "record_count"])
+    n = len(levels)
+    for depth in range(n + 1):
+        gid = (1 << (n - depth)) - 1
+        got = out.filter(F.col("grouping_id") == gid).select(*levels[:depth], "lives", "record_count")
+        want = lives_summary(df, ["lives", "record_count"], levels[:depth])
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0, depth

@@ -139,6 +139,10 @@ def current_flag(df: DataFrame, grain: Sequence[str] = CURRENT_GRAIN,
                  order: Sequence[str] = ("date_id", "load_time"), name: str = "flag_current_record") -> DataFrame:
     """'Y' on the latest record of each group of the lowest grain (by month, then load time), else 'N'.
 
+    Rows tied on the latest (month, load time), possible only when the
+    composite key repeats, are all flagged 'Y', deterministically; a
+    ``row_number`` would pick one of them at random.
+
     The latest (month, load time) per group is an aggregation with map-side
     combine; a NULL-safe join brings it back. Both join sides are shuffle
     stages of their own, so AQE can split a hot group's partition (tested

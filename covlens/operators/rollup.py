@@ -4,7 +4,10 @@ The rollup holds the main measure and the benefit-manager lives, summed by 13
 dimensions and written as Parquet. Each build writes a new version folder;
 a one-row table beside it names the current version and its build time, and
 is written last, so a build that fails half-way (a lost executor that the
-retries cannot cover, a killed job) leaves the previous version in service. Both measures are sums, so a coarser request is answered by
+retries cannot cover, a killed job) leaves the previous version in service.
+Older versions stay in place for readers that still hold them; the storage's
+retention rules (for example, delete version folders older than a week)
+remove them. Both measures are sums, so a coarser request is answered by
 summing the stored sums (with the same NULL-for-nothing result as the fact).
 It holds no month, plan, zip or count, and no multi-stage measure can use it;
 such requests go to the fact (``on_miss="fact"``) or raise.

@@ -41,6 +41,17 @@ def filtered(df: DataFrame, where: Column | None = None, segments: Iterable[str]
     return df if cond is None else df.filter(cond)
 
 
+def _join_key(match: str) -> Column:
+    """The fact's side of the hierarchy join as one column."""
+    if match == "both":
+        return F.when(F.col("plan_id") == F.col("payer_id"), F.col("plan_id"))
+    if match == "plan":
+        return F.col("plan_id")
+    if match == "payer":
+        return F.col("payer_id")
+    raise ValueError("match must be 'both', 'plan' or 'payer'")
+
+
 def _split_dimensions(dimensions: Sequence[str], hierarchy: DataFrame | None):
     own, joined = [], []
     for d in dimensions:
@@ -71,8 +82,8 @@ def lives_summary(
     model's default filter values. A dimension of ``hierarchy`` (other than
     its key) makes the many-to-one join; without one no join is made. The
     measures are then summed before the join, to the request's own dimensions
-    and the join keys, so the join sees one row per such group rather than one
-    per fact row. The hierarchy key is checked for duplicates first (one
+    and one join key (NULL where no match is possible), so the join sees one
+    row per such group rather than one per fact row. The hierarchy key is checked for duplicates first (one
     aggregation of the hierarchy); ``check_hierarchy=False`` skips that for a
     hierarchy already checked with ``check_many_to_one``. With no measure the
     result is the distinct dimension values.
@@ -80,17 +91,25 @@ def lives_summary(
     own, joined = _split_dimensions(list(dimensions), hierarchy)
     base = filtered(df, where, segments, defaults)
     if joined:
-        from .hierarchy import with_hierarchy
+        from ..sources.schemas import HIERARCHY_KEY
+        from .hierarchy import check_many_to_one, with_hierarchy
 
         if measures:
             # Every measure is a sum or a count, so the fact is summed first
-            # (map-side) to the request's own keys plus the join keys; only
-            # that frame meets the hierarchy, and sums of sums finish it.
-            join_keys = [c for c in ("plan_id", "payer_id") if c not in own]
-            pre_keys = [dimension(d) for d in own] + [F.col(c) for c in join_keys]
-            pre = base.groupBy(*pre_keys).agg(*[measure(m) for m in measures])
-            pre = with_hierarchy(pre, hierarchy, match=hierarchy_match, check=check_hierarchy)
-            return pre.groupBy(*own, *joined).agg(*[F.sum(F.col(m)).alias(m) for m in measures])
+            # (map-side) to the request's own keys plus one join key; only that
+            # frame meets the hierarchy, and sums of sums finish it. With the
+            # model's two-key condition a row can match only where plan id =
+            # payer id; other rows get a NULL key (never equal to anything) and
+            # collapse into one group per own-key value.
+            pre = base.groupBy(*[dimension(d) for d in own], _join_key(hierarchy_match).alias("__hkey"))
+            pre = pre.agg(*[measure(m) for m in measures])
+            if check_hierarchy:
+                check_many_to_one(hierarchy)
+            clash = [c for c in hierarchy.columns if c in pre.columns]
+            if clash:
+                raise ValueError(f"hierarchy columns clash with the request: {clash}")
+            joined_df = pre.join(hierarchy, pre["__hkey"] == hierarchy[HIERARCHY_KEY], "left")
+            return joined_df.groupBy(*own, *joined).agg(*[F.sum(F.col(m)).alias(m) for m in measures])
         base = with_hierarchy(base, hierarchy, match=hierarchy_match, check=check_hierarchy)
     keys = [dimension(d) for d in own] + [F.col(d) for d in joined]
     if not measures:

@@ -17,6 +17,7 @@ sys.path.insert(0, ROOT)
 KEY_QUERIES = [
     "lives_by_payer_category_current_commercial",
     "filter_group_or",
+    "caller_filter",
     "segment_national",
     "share_of_ecosystem",
     "shares_all",
@@ -33,8 +34,9 @@ KEY_QUERIES = [
 
 SCALE_NOTES = """## Reading these plans at 100 TB
 
-- Additive requests: one scan with the named filters in `PushedFilters` and only the used columns in
-  `ReadSchema`, partial aggregation before the one shuffle. The shuffle carries at most one row per group
+- Additive requests: one scan with the named filters in `PushedFilters`, year filters in
+  `PartitionFilters` (the stored fact has one folder per year), and only the used columns in
+  `ReadSchema`; partial aggregation before the one shuffle. The shuffle carries at most one row per group
   per task, so a key holding a third of the rows costs one row per task.
 - Shares: the request's aggregation (one shuffle, as above), plus a second scan that reads only the grain
   and lives columns. That scan is combined map-side, so its shuffle is bounded by the number of grain

@@ -31,6 +31,11 @@ def pushed_filters(df: DataFrame) -> list[str]:
     return re.findall(r"PushedFilters: \[(.*)\]", plan_text(df, "formatted"))
 
 
+def partition_filters(df: DataFrame) -> list[str]:
+    """The PartitionFilters lists of every Parquet scan (folder pruning)."""
+    return re.findall(r"PartitionFilters: \[(.*)\]", plan_text(df, "formatted"))
+
+
 def read_schemas(df: DataFrame) -> list[str]:
     return re.findall(r"ReadSchema: (struct<.*?>)", plan_text(df, "formatted"))
 

@@ -65,7 +65,7 @@ def final_plan(text: str) -> str:
 
 
 def main(argv):
-    from covlens.plans.inspect import plan_text, pushed_filters
+    from covlens.plans.inspect import partition_filters, plan_text, pushed_filters
     from covlens.session import local_session
     from __spark_entry__ import queries
 
@@ -85,10 +85,12 @@ def main(argv):
         reused = len(re.findall(r"ReusedExchange", plan))
         joins = re.findall(r"(BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|BroadcastNestedLoopJoin)", plan)
         pushed = [p for p in pushed_filters(df) if p]
+        pruned = [re.sub(r"#\d+", "", p) for p in partition_filters(df) if p]
         print(f"## {name}\n")
         print(f"- parquet scans: {scans}, shuffles: {shuffles}, reused exchanges: {reused}")
         print(f"- joins: {', '.join(joins) if joins else 'none'}")
-        print(f"- pushed filters: {'; '.join(pushed) if pushed else 'none'}\n")
+        print(f"- pushed filters: {'; '.join(pushed) if pushed else 'none'}")
+        print(f"- partition filters: {'; '.join(pruned) if pruned else 'none'}\n")
         print("```")
         print(plan)
         print("```\n")

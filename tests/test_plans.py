@@ -91,3 +91,10 @@ def test_scale_settings():
     small = scale_settings(1 << 30, 8)
     assert small["spark.sql.shuffle.partitions"] == "16"
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_year_filter_prunes_folders(lives_small):
+    from covlens.plans.inspect import partition_filters
+
+    df = lives_summary(lives_small, ["lives"], ["payer_category"], where=F.col("date_year") >= "1997")
+    assert any("date_year" in p for p in partition_filters(df))

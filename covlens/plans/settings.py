@@ -27,6 +27,8 @@ def scale_settings(input_bytes: int, total_cores: int, advisory_bytes: int = 256
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # On a shared cluster, coalesce to the advisory size rather than to the most tasks.
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(advisory_bytes),
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * advisory_bytes),

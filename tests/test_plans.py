@@ -91,6 +91,7 @@ def test_scale_settings():
     small = scale_settings(1 << 30, 8)
     assert small["spark.sql.shuffle.partitions"] == "16"
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert big["spark.sql.adaptive.coalescePartitions.parallelismFirst"] == "false"
 
 
 def test_year_filter_prunes_folders(lives_small):

@@ -202,7 +202,8 @@ def write_table(df: DataFrame, path: str) -> None:
     third of the rows, so files stay balanced and their number follows the
     data. Each file is sorted by the common filter columns so Parquet
     statistics can skip row groups, and no file exceeds ``MAX_ROWS_PER_FILE``
-    rows.
+    rows. The splitting is AQE's: with AQE off (it is on by default, and in
+    ``plans.settings``) the hint is a plain repartition by year.
     """
     (
         df.hint("rebalance", PARTITION_COLUMN)

@@ -92,11 +92,21 @@ def _current(spark: SparkSession, path: str):
 
 
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
-    """The published version of a stored rollup."""
+    """The published version of a stored rollup, or the rows of a refresh-stream store.
+
+    A store kept by ``streaming.refresh`` (a compacted rollup plus the partial
+    sums written after it) reads the same way, so every request path serves
+    from either kind of store.
+    """
     row = _current(spark, path)
-    if row is None:
-        raise FileNotFoundError(f"no rollup published at {path}")
-    return spark.read.parquet(row["data"])
+    if row is not None:
+        return spark.read.parquet(row["data"])
+    from ..streaming.refresh import read_refreshed_rollup
+
+    try:
+        return read_refreshed_rollup(spark, path)
+    except FileNotFoundError:
+        raise FileNotFoundError(f"no rollup at {path}") from None
 
 
 def built_at(spark: SparkSession, path: str) -> dt.datetime | None:

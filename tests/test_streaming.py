@@ -73,3 +73,22 @@ def test_compaction_then_more_arrivals(spark, lives_small):
         served = serve(read_refreshed_rollup(spark, path), ["lives", "pbm_rx_lives"], dims)
         direct = lives_summary(arrived, ["lives", "pbm_rx_lives"], dims)
         assert served.exceptAll(direct).count() == 0 and direct.exceptAll(served).count() == 0, year
+
+
+def test_requests_served_from_a_stream_store(spark, lives_small):
+    from covlens import lives_request
+
+    source = lives_table_path(spark, SMALL)
+    path = fresh_path(spark, "test-stream-serve")
+    q = start_rollup_refresh(spark, source, path, f"{path}/_checkpoint", available_now=True, max_files_per_trigger=2)
+    q.awaitTermination()
+    dims = ["payer_category", "geography_type"]
+    served = lives_request(lives_small, ["lives", "pbm_rx_lives"], dims, segments=["current_commercial"],
+                           rollup_path=path)
+    assert all("/parts/" in f for f in served.inputFiles())
+    direct = lives_summary(lives_small, ["lives", "pbm_rx_lives"], dims, segments=["current_commercial"])
+    assert served.exceptAll(direct).count() == 0 and direct.exceptAll(served).count() == 0
+    compact(spark, path)
+    again = lives_request(lives_small, ["lives", "pbm_rx_lives"], dims, segments=["current_commercial"],
+                          rollup_path=path)
+    assert again.exceptAll(direct).count() == 0 and direct.exceptAll(again).count() == 0

@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, quality
 from .common import read_table
 from .exact_dedup import exact_duplicates
+from .near_dedup import near_duplicates
 from .packing import pack
 from .sharding import shard
 
@@ -27,11 +29,23 @@ def register(name: str, oracle: str | None = None):
     return wrap
 
 
+@register("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
 @register("op2_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@register("op3_near_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @register("op4_sharding")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard(read_table(spark, sf_dir, "documents"), shards=40)
@@ -40,6 +54,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 OP6_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import language_id, quality
 from .common import read_table
 from .exact_dedup import exact_duplicates
+from .decontamination import contaminated
 from .near_dedup import near_duplicates
 from .packing import pack
 from .sharding import shard
@@ -75,3 +76,8 @@ FROM d
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = exact_duplicates(read_table(spark, sf_dir, "documents"))
     return verdicts.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@register("op8_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

@@ -39,7 +39,7 @@ UNITS = [
 ]
 
 #: Placeholders: characters of the private use area, which no pattern below takes for a letter or a mark.
-NAME, NUMBER, UNIT = "", "", ""
+NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
 
 _BLANK = r"[\x20\x09-\x0D]"
 _MARK = r"[^\p{L}\p{N}\x20\x09-\x0D\x{E000}-\x{E002}]"

@@ -15,6 +15,7 @@ from .decontamination import contaminated
 from .near_dedup import near_duplicates
 from .packing import pack
 from .sharding import shard
+from .substring_dedup import repeated_passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,3 +82,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_decontamination")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@register("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read_table(spark, sf_dir, "documents"), window=35)

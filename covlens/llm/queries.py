@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality
+from . import html_extraction, language_id, quality
 from .common import read_table
 from .exact_dedup import exact_duplicates
 from .decontamination import contaminated
@@ -87,3 +87,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_substring_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(read_table(spark, sf_dir, "documents"), window=35)
+
+
+@register("op9_html_extraction")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return html_extraction.extract(pages, html_extraction.train(pages))

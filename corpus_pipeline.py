@@ -5,22 +5,43 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from covlens.llm import quality
 from covlens.llm.common import read_table, stored
+from covlens.llm.decontamination import drop_contaminated
 from covlens.llm.exact_dedup import drop_exact_duplicates
+from covlens.llm.near_dedup import drop_near_duplicates
 from covlens.llm.packing import pack
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality model, learned from the labels, does not reject."""
+    return quality.keep_good(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of texts that are equal but for white space."""
     return drop_exact_duplicates(docs)
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: shingles of five words, similarity 0.8 or more."""
+    return drop_near_duplicates(docs, shingle_words=5, percent=80)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark item, as it is or with other values."""
+    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as pieces of training sequences."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("exact dedup", exact), ("packing", packing)]
+STAGES = [
+    ("quality classifier", good_quality), ("exact dedup", exact), ("near dedup", near),
+    ("benchmark decontamination", decontaminated), ("packing", packed),
+]
 
 #: A learned classifier and a similarity join have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, language_id, quality
+from . import html_extraction, language_id, pii, quality
 from .common import read_table
 from .exact_dedup import exact_duplicates
 from .decontamination import contaminated
@@ -93,3 +93,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     return html_extraction.extract(pages, html_extraction.train(pages))
+
+
+@register("op7_pii")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))

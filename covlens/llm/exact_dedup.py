@@ -208,7 +208,10 @@ def _verdicts(rows: DataFrame) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the repeats, with the columns of docs."""
-    numbered = with_row_id(docs, "dedup-docs", "_rid")
-    rows = numbered.select("_rid", "doc_id", digest_of(F.col("text")).alias("digest"))
-    kept = _verdicts(stored(rows, "digests")).filter("kept").select("_rid")
-    return numbered.join(kept, "_rid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = "_rid"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    numbered = with_row_id(docs, "dedup-docs", name)
+    rows = numbered.select(F.col(name).alias("_rid"), "doc_id", digest_of(F.col("text")).alias("digest"))
+    kept = _verdicts(stored(rows, "digests")).filter("kept").select(F.col("_rid").alias(name))
+    return numbered.join(kept, name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,0 +1,75 @@
+import itertools
+
+import numpy as np
+import pytest
+
+from covlens.llm.html_extraction import _EXAMPLE, Forest, extract, fit, parse, train
+
+PAGE = (
+    '<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>'
+    '<!-- no --><div class="ad">Buy</div><article><h1>Head &amp; tail</h1><p><b>First   line\n here<br><p>Second &copy; &#233;</p>'
+    "<ul><li>One<li>Two</ul><script>var x='</p>';</script><aside>Side</aside></article><footer>Foot</footer></body></html>"
+)
+
+
+@pytest.fixture(scope="module")
+def model():
+    return fit([PAGE, _EXAMPLE])
+
+
+def test_text_of_a_page(model):
+    assert model.texts([PAGE]) == ["Head & tail\nFirst line here\nSecond © é\nOne\nTwo"]
+
+
+def test_other_markup(model):
+    page = (
+        '<body><div class="menu"><a href=x>Home</a></div><div id="content"><h1>Title</h1><p>A paragraph of words, and more. It goes on.</p>'
+        '<p>Short.</p><div class="comments"><p>Nice post, thank you!</p></div></div><div class="sidebar"><p>Other stories, read now.</p></div>'
+    )
+    assert model.texts([page]) == ["Title\nA paragraph of words, and more. It goes on.\nShort."]
+
+
+def test_many_short_blocks_stay(model):
+    many = "".join(f"<p>Line {i}.</p>" for i in range(3_000))
+    page = f"<body><nav><a href=x>n</a></nav><article><h1>H</h1>{many}</article><footer>f</footer></body>"
+    assert model.texts([page])[0].count("\n") == 3_000
+
+
+def test_odd_pages(model):
+    odd = [None, "", "<", "<p", "plain", "<article><p>cut of", "<!-- open", "<script>x", "</p></div>", "<a href='>' x=\">\">t</a>", "<p>" * 2_000]
+    assert len(model.texts(odd)) == len(odd)
+    assert model.texts(["<article><p>cut of"]) == ["cut of"]
+    assert model.texts([]) == []
+
+
+def test_marginals_are_exact():
+    page = parse("<body><div><p>a</p><p>b c</p></div><ul><li>d</li></ul></body>")
+    forest = Forest([page])
+    n, rng = len(page.tag), np.random.default_rng(4)
+    unary, pair = rng.normal(size=n), rng.normal(size=(15, 2, 2))
+    weight = {}
+    for states in itertools.product((0, 1), repeat=n):
+        s = sum(u for u, x in zip(unary, states, strict=True) if x)
+        s += sum(pair[forest.kind[i], states[p], states[i]] for i, p in enumerate(page.parent) if p >= 0)
+        weight[states] = np.exp(s)
+    total = sum(weight.values())
+    want = [sum(w for s, w in weight.items() if s[i]) / total for i in range(n)]
+    assert np.allclose(forest.marginals(unary, pair), want)
+
+
+def test_query_rows(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    rows = [(1, "u", PAGE, "x", "y"), (1, "u", PAGE, "x", "y"), (2, None, None, "x", "y"), (None, "v", "", "x", "y"), (3, "w", "no markup", "x", "y")]
+    pages = spark.createDataFrame(rows, schema)
+    got = extract(pages, train(pages)).collect()
+    assert len(got) == 5 and all(len(r["text"]) == r["n_chars"] for r in got)
+    assert {r["text"] for r in got if r["page_id"] == 1} == {"Head & tail\nFirst line here\nSecond © é\nOne\nTwo"}
+    empty = pages.limit(0)
+    assert extract(empty, train(empty)).count() == 0
+
+
+def test_corpus(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    for r in extract(pages, train(pages)).join(pages.select("page_id", "html"), "page_id").collect():
+        article = parse(r["html"].split("<article>")[1].split("</article>")[0].split("<footer>")[0])
+        assert r["text"] == "\n".join(t for t in article.text if t)

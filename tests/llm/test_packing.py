@@ -1,0 +1,85 @@
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from covlens.llm.packing import pack, pack_block, powers_of_two
+
+from .conftest import ODD
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+def _check(rows, pieces, limits=(4096, 256, 4096)):
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    want = sorted((str(i), [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows)
+    sequences, documents = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        sequences[p["sequence_id"]].append(p)
+        documents[str(p["doc_id"])].append(p)
+    ids_of = defaultdict(list)
+    for i, ids in want:
+        ids_of[i].append(np.array(ids, "<u4"))
+    for i, found in documents.items():
+        assert sum(p["length"] for p in found) == sum(len(x) for x in ids_of[i])
+        for p in found:
+            assert any(
+                len(x) == p["doc_tokens"] and zlib.crc32(x[p["start"]:p["start"] + p["length"]].tobytes()) == p["ids_crc32"] for x in ids_of[i]
+            )
+    assert set(documents) == set(ids_of)
+    for found in sequences.values():
+        found.sort(key=lambda p: p["offset"])
+        end = 0
+        for p in found:
+            assert p["offset"] == end and p["length"] > 0
+            end += p["length"]
+        assert end <= limits[0] and len(found) <= limits[1] and sum(p["loss_tokens"] for p in found) <= limits[2]
+        assert end == limits[0] or end & (end - 1) == 0
+
+
+def test_odd_rows(odd_docs):
+    _check(ODD, pack(odd_docs, PATH).collect())
+
+
+def test_special_strings_are_text(make_docs):
+    rows = [(1, "a <|endoftext|> b<|startoftext|>c  it's don't 3rd—x y z"), (2, "ÀÉ!!! àé, ... é́ Ω ς Σ")]
+    _check(rows, pack(make_docs(rows), PATH).collect())
+
+
+def test_corpus(corpus):
+    rows = [(r["doc_id"], r["text"]) for r in corpus.select("doc_id", "text").collect()]
+    pieces = pack(corpus, PATH).collect()
+    _check(rows, pieces)
+
+
+def test_empty(no_docs):
+    assert pack(no_docs, PATH).count() == 0
+
+
+def test_limits_hold_for_instruction_data(spark):
+    rng = np.random.default_rng(2)
+    tokens, prompt = rng.integers(1, 300, 800), rng.integers(0, 200, 800)
+    limits = (512, 6, 300)
+    done, rest = pack_block(tokens, prompt, limits, last=True)
+    assert not rest
+    taken = np.zeros(800, int)
+    spans = defaultdict(list)
+    for seq in done:
+        assert sum(t for *_, t in seq) <= 512 and len(seq) <= 6
+        assert sum(max(0, f + t - max(prompt[i], f)) for i, f, t in seq) <= 300
+        for i, f, t in seq:
+            taken[i] += t
+            spans[i].append((f, f + t))
+    assert (taken == tokens).all()
+    for s in spans.values():
+        s.sort()
+        assert s[0][0] == 0 and all(a[1] == b[0] for a, b in zip(s, s[1:], strict=False))
+
+
+def test_powers_of_two():
+    parts = powers_of_two([(0, 0, 5), (1, 3, 6)])
+    assert [sum(t for *_, t in p) for p in parts] == [8, 2, 1]
+    assert sorted(x for p in parts for i, f, t in p for x in [(i, f + j) for j in range(t)]) == [(0, j) for j in range(5)] + [(1, 3 + j) for j in range(6)]

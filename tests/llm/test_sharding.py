@@ -1,0 +1,47 @@
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from covlens.llm.sharding import shard
+
+from .conftest import ODD
+
+
+def _check(rows, placed, shards):
+    assert Counter(r["doc_id"] for r in placed) == Counter(i for i, _ in rows)
+    want = Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in placed) == want
+    slots = defaultdict(list)
+    for r in placed:
+        assert 0 <= r["shard"] < shards
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_odd_rows(odd_docs):
+    _check(ODD, shard(odd_docs, 40).collect(), 40)
+
+
+def test_empty(no_docs):
+    assert shard(no_docs, 40).count() == 0
+
+
+@pytest.mark.parametrize("hot", [0, 1])
+def test_sizes_near_equal(make_docs, hot):
+    rows = [(i, "the same text" * 5 if hot and i % 3 else f"{i} " + "ab" * (i % 40)) for i in range(4_000)]
+    placed = shard(make_docs(rows), 10).collect()
+    _check(rows, placed, 10)
+    sizes = Counter()
+    for r in placed:
+        sizes[r["shard"]] += r["size"]
+    mean = sum(sizes.values()) / 10
+    assert len(sizes) == 10 and max(sizes.values()) <= 1.02 * mean and min(sizes.values()) >= 0.98 * mean
+
+
+def test_equal_texts_stay_together_when_small(make_docs):
+    rows = [(i, f"text {i // 4}") for i in range(8_000)]
+    shards = defaultdict(set)
+    for r in shard(make_docs(rows), 8, tolerance=0.01).collect():
+        shards[r["text_crc32"]].add(r["shard"])
+    assert all(len(s) == 1 for s in shards.values())

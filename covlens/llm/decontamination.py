@@ -12,8 +12,9 @@ MIN_SHARE of the item's windows.
 The lookup goes through each window's anchor, the word that fewest windows of
 the benchmark hold: document words are joined with the anchors, and only where
 one stands is the window around it formed, hashed and compared. All steps are
-DataFrame functions; whether the anchors are broadcast is left to Spark's size
-limit, by the size of the table they are written to.
+DataFrame functions. The anchors are met in blocks of at most ANCHOR_BLOCK
+rows, each broadcast: a larger benchmark takes more passes over the documents,
+and never a shuffle of their words.
 
 Defined results: null or empty text matches nothing; items without words are
 ignored; rows that share an item_id are one item, and rows that share a doc_id
@@ -23,6 +24,8 @@ result; only doc_id, text and item_id, text are read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ from .common import stored
 
 WINDOW = 8
 MIN_SHARE = 0.5
+#: Rows of an anchor block: the size bound of what is broadcast.
+ANCHOR_BLOCK = 50_000
 
 #: Unit words after a number.
 UNITS = [
@@ -91,13 +96,18 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def window_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(doc_id, whash, doc_values): item windows found in documents; values only where the template has slots."""
     anchors = stored(windows.select("anchor", "at", "length", "whash", "has_slots").distinct(), "anchors")
+    blocks = max(1, -(-anchors.count() // ANCHOR_BLOCK))
     words = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", template_words(F.col("text")).alias("t"))
     places = words.select("doc_id", "text", "t", F.posexplode_outer("t").alias("place", "anchor"))
-    met = places.join(anchors, "anchor").withColumn("first", F.col("place") - F.col("at"))
-    met = met.filter("first >= 0 and first + length <= size(t)")
-    met = met.filter("xxhash64(array_join(slice(t, first + 1, length), ' ')) = whash")
     values = F.slice(value_words(F.col("text")), F.col("first") + 1, F.col("length"))
-    return met.select("doc_id", "whash", F.when(F.col("has_slots"), values).alias("doc_values"))
+    hits = []
+    for block in range(blocks):
+        some = anchors.filter(F.pmod(F.xxhash64("whash"), F.lit(blocks)) == block)
+        met = places.join(F.broadcast(some), "anchor").withColumn("first", F.col("place") - F.col("at"))
+        met = met.filter("first >= 0 and first + length <= size(t)")
+        met = met.filter("xxhash64(array_join(slice(t, first + 1, length), ' ')) = whash")
+        hits.append(met.select("doc_id", "whash", F.when(F.col("has_slots"), values).alias("doc_values")))
+    return reduce(DataFrame.union, hits)
 
 
 def consistent(template: Column, item_values: Column, doc_values: Column) -> Column:

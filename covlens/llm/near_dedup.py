@@ -6,13 +6,15 @@ either collection, so SUBKEYS^2 tables cost only 2 x SUBKEYS x WIDTH minhashes.
 A pair's key can be shared only if both its sub-keys are, so sub-keys met once
 are dropped before keys are formed. Sets that share a key are candidates.
 
-Within a bucket, members are compared with a few centres (the members that
-share most) and not with each other; a bucket is finished when its members not
-yet used as centres are in one component. What is left goes on with more
-centres per bucket until nothing is left, so no pair across components stays
-unchecked and no bucket emits all its pairs. Candidates are screened by size
-and by their signatures (a screen that a pair at the threshold fails with a
-probability below 1e-6) and then confirmed on the full sets.
+Within a bucket, members are compared with one centre (the member that shares
+most) and not with each other; candidates are screened by size and by their
+signatures (a screen that a pair at the threshold fails with a probability
+below 1e-6) and confirmed on the full sets. That finds nearly all links. What
+a bucket then still holds of different components is settled exactly: sets
+that such buckets connect form a group, a group is dealt into blocks of bounded
+size, and a task that holds two blocks intersects their sets by an inverted
+index and returns only the links that join components. So no pair that shares
+a key stays unchecked, no bucket emits its pairs, and no task holds a group.
 
 At the threshold, a pair of sets shares no key with probability 1.3e-4 (WIDTH
 3, SUBKEYS 10, similarity 0.85); more similar pairs less.
@@ -29,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -41,8 +43,8 @@ SUBKEYS = 10
 HASHES = 2 * SUBKEYS * WIDTH
 #: Bytes of text handled at once.
 CHUNK_BYTES = 8 << 20
-#: Centres of a bucket in the first round; each further round takes four times as many.
-CENTRES = 1
+#: Sets and shingles of a block, on average.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 500_000
 
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 32, (2, HASHES), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
@@ -218,36 +220,82 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
+def _block_links(percent: int):
+    """Of the sets of one or two blocks, the links that join components (a forest of them)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cid, comp, block, n = (table.column(c).to_numpy() for c in ("cid", "comp", "block", "n"))
+        values = np.frombuffer(b"".join(table.column("shingles").to_pylist()), np.uint64)
+        owner = np.repeat(np.arange(len(n)), n)
+        order = np.argsort(values, kind="stable")
+        ranked, holders = values[order], owner[order]
+        starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        sizes = np.diff(np.append(starts, len(ranked)))
+        place = np.empty(len(values), np.int64)
+        place[order] = np.repeat(np.arange(len(starts)), sizes)
+        first, two = runs(n), len(np.unique(block)) > 1
+        parent = {c: c for c in comp.tolist()}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        links = []
+        for i in range(len(n)):
+            at = place[first[i]:first[i] + n[i]]
+            at = at[sizes[at] > 1]
+            length = sizes[at]
+            ends = np.cumsum(length)
+            met = holders[np.repeat(starts[at] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+            common = np.bincount(met, minlength=len(n))
+            linked = (100 * common >= percent * (n + n[i] - common)) & (comp != comp[i]) & (~two | (block != block[i]))
+            for j in np.flatnonzero(linked[:i]).tolist():
+                x, y = root(int(comp[i])), root(int(comp[j]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    links.append((int(cid[i]), int(cid[j])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return run
+
+
+def group_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components among the sets that unfinished buckets (key, cid, comp) connect."""
+    least = stored(rest.groupBy("key").agg(F.min("cid").alias("b")), "bucket-least")
+    groups = components(rest.join(least, "key").select(F.col("cid").alias("a"), "b"))
+    known = rest.select("cid", "comp").distinct().join(groups.withColumnRenamed("id", "cid"), "cid")
+    held = stored(known.withColumnRenamed("component", "group").join(sets, "cid"), "grouped-sets")
+    held = held.withColumn("n", (F.octet_length("shingles") / 8).cast("long"))
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    blocks = stored(held.groupBy("group").agg(size.alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")), "blocks")
+    dealt = held.join(blocks.filter("lo < hi").drop("lo", "hi"), "group")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cid", "comp", "block", "n", "shingles", "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return dealt.groupBy("group", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+
+
 def class_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(id, component) of the classes that have links."""
-    active = tensored_members(classes)
-    involved = stored(active.select("cid").distinct(), "involved")
+    members = tensored_members(classes)
+    involved = stored(members.select("cid").distinct(), "involved")
     known = stored(classes.join(involved, "cid"), "involved-classes")
     sets = stored(full_sets(docs, known, k).dropDuplicates(["cid"]), "sets")
-    active = active.withColumn("comp", F.col("cid"))
-    links, checked, centres = None, None, CENTRES
-    found = docs.sparkSession.createDataFrame([], "id long, component long")
-    while True:
-        first = Window.partitionBy("key").orderBy(F.desc("mass"), "cid")
-        chosen = active.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= centres)
-        chosen = stored(chosen.select("key", F.col("cid").alias("centre"), F.col("comp").alias("centre_comp")), "centres")
-        met = active.join(chosen, "key").filter("cid <> centre and comp <> centre_comp")
-        pairs = met.select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        new = confirmed(stored(screened(pairs, known, percent), "screened"), sets, percent)
-        links = stored(new if links is None else links.union(new), "verified")
-        checked = pairs if checked is None else checked.union(pairs)
-        found = stored(components(links), "components")
-        rest = active.drop("comp").join(chosen.select("key", F.col("centre").alias("cid")), ["key", "cid"], "left_anti")
-        rest = rest.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
-        rest = stored(rest.select("key", "cid", "mass", "comp"), "rest")
-        spans = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        active = stored(rest.join(stored(spans, "unfinished"), "key"), "active")
-        if active.isEmpty():
-            return found
-        centres *= 4
+    most = F.max(F.struct("mass", (-F.col("cid")).alias("c")))
+    centres = stored(members.groupBy("key").agg(most.alias("m")).select("key", (-F.col("m.c")).alias("centre")), "centres")
+    met = members.join(centres, "key").filter("cid <> centre")
+    pairs = stored(met.select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")).distinct(), "pairs")
+    links = stored(confirmed(stored(screened(pairs, known, percent), "screened"), sets, percent), "verified")
+    found = stored(components(links), "components")
+    rest = members.join(centres, "key").filter("cid <> centre").select("key", "cid")
+    rest = rest.join(found.withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
+    rest = stored(rest, "rest")
+    spans = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    rest = stored(rest.join(stored(spans, "unfinished"), "key"), "unfinished-members")
+    more = stored(group_links(rest, sets, percent), "group-links")
+    return found if more.isEmpty() else stored(components(links.union(more)), "components")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:

@@ -16,6 +16,9 @@ DataFrame functions. The anchors are met in blocks of at most ANCHOR_BLOCK
 rows, each broadcast: a larger benchmark takes more passes over the documents,
 and never a shuffle of their words.
 
+A name is told by its capital, so a copy written all in capitals matches only
+in the windows without names.
+
 Defined results: null or empty text matches nothing; items without words are
 ignored; rows that share an item_id are one item, and rows that share a doc_id
 one document (a null doc_id is reported as null); an empty table gives an empty

@@ -30,12 +30,12 @@ def test_copies_and_new_values(make_docs, benchmark):
     other = ITEM.replace("240", "815").replace("Anna", "Marta").replace("9", "11").replace("km", "miles")
     mixed = ITEM.replace("before Anna", "before Marta").replace("km were", "miles were").replace("travels 240", "travels 77")
     rows = [
-        (1, f"Some words before. {ITEM} And some after."), (2, f"intro text {other}"), (3, ITEM.upper().replace(" ", "!! ")),
+        (1, f"Some words before. {ITEM} And some after."), (2, f"intro text {other}"), (3, "SHORT!! ITEM!! OF!! SIX!! WORDS!! ONLY."),
         (4, "A train leaves the old station and nothing else is alike in this text about a walk."), (5, f"start {mixed}"),
         (6, "this is a short item of six words only, is it not"), (7, "short item of six other words"),
     ]
     found = _found(make_docs(rows), benchmark)
-    assert {(1, 0), (2, 0), (3, 0), (6, 1)} <= found
+    assert {(1, 0), (2, 0), (3, 1), (6, 1)} <= found
     assert not {d for d, _ in found} & {4, 7}
     shares = {r["doc_id"]: r["share"] for r in contaminated(make_docs(rows), benchmark, min_share=0.0).collect()}
     assert shares[5] < shares[2]  # windows whose slots are inconsistent do not count

@@ -23,7 +23,7 @@ SELECT
   CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Medicare' WHEN 'BUILDING' THEN 'Medicaid_FFS'
     WHEN 'FURNITURE' THEN 'Medicare_Advantage' WHEN 'MACHINERY' THEN 'Government' ELSE 'Commercial' END
     AS book_of_business,
-  lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS zip,
+  lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') AS zip,
   concat(CAST(year(l_shipdate) AS VARCHAR), lpad(CAST(month(l_shipdate) AS VARCHAR), 2, '0'), '01') AS date_id,
   concat(CAST(year(l_shipdate) AS VARCHAR), '-', lpad(CAST(month(l_shipdate) AS VARCHAR), 2, '0')) AS date_year_month,
   concat(CAST(year(l_shipdate) AS VARCHAR), '-Q', CAST(quarter(l_shipdate) AS VARCHAR)) AS date_year_quarter,

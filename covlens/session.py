@@ -30,8 +30,9 @@ def app_id(spark: SparkSession) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for tables this library writes (fixtures, rollups).
 
-    It is the folder named by ``spark.checkpoint.dir``. Only when the session
-    names none (local runs and tests) is a fresh local folder taken and set.
+    It is the folder named by ``spark.checkpoint.dir``. Only a local session
+    that names none is given a fresh local folder; on a cluster, whose
+    executors would each write to their own disk, that is an error.
     """
     with _LOCK:
         sc = _context(spark)
@@ -39,6 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
         if not current:
             current = spark.conf.get("spark.checkpoint.dir", None)
         if not current:
+            master = sc.master if sc is not None else ""
+            if not (master == "local" or master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             key = app_id(spark)
             current = _LOCAL_DIRS.setdefault(key, tempfile.mkdtemp(prefix="covlens-"))
             if sc is not None:

@@ -58,6 +58,11 @@ def _text(col) -> F.Column:
     return col.cast("string")
 
 
+def zip_of(custkey) -> F.Column:
+    """Five digits of a customer key: its remainder by 100,000, so beyond that many customers share zips."""
+    return F.lpad(_text(custkey % 100_000), 5, "0")
+
+
 def wall_clock(df: DataFrame, name: str) -> F.Column:
     """A timestamp column as the wall-clock time written in the file, whatever the session.
 
@@ -112,7 +117,7 @@ def derive_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pbm_name": F.col("s_name"),
         "flag_current_record": F.when(F.col("l_linestatus") == "O", "Y").otherwise("N"),
         "book_of_business": _case(F.col("c_mktsegment"), BOOK_BY_SEGMENT, "Commercial"),
-        "zip": F.lpad(_text(F.col("c_custkey")), 5, "0"),
+        "zip": zip_of(F.col("c_custkey")),
         "date_id": F.concat(year, month2, F.lit("01")),
         "date_year_month": F.concat(year, F.lit("-"), month2),
         "date_year_quarter": F.concat(year, F.lit("-Q"), _text(F.quarter(shipped))),
@@ -168,12 +173,15 @@ def derive_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derive_zip_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zip to ecosystem code and name and state: one row per customer zip."""
+    """Zip to ecosystem code and name and state: one row per zip, that of its smallest customer key."""
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    joined = customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
+    first = customer.groupBy(zip_of(F.col("c_custkey")).alias("zip")).agg(
+        F.min(F.struct("c_custkey", "c_nationkey")).alias("first")
+    )
+    joined = first.join(F.broadcast(nation), F.col("first.c_nationkey") == nation.n_nationkey)
     return joined.select(
-        F.lpad(_text(F.col("c_custkey")), 5, "0").alias("zip"),
+        "zip",
         F.concat(F.lit("ECO"), F.lpad(_text(F.col("n_nationkey")), 3, "0")).alias("ecosystem_code"),
         F.col("n_name").alias("ecosystem_name"),
         _case(F.col("n_regionkey"), STATE_BY_REGION, "ZZ").alias("state_code"),
@@ -200,14 +208,15 @@ def write_table(df: DataFrame, path: str) -> None:
     that year's folders. The rebalance hint on the year lets AQE size the
     write partitions from the measured bytes and split a year that holds a
     third of the rows, so files stay balanced and their number follows the
-    data. Each file is sorted by the common filter columns so Parquet
-    statistics can skip row groups, and no file exceeds ``MAX_ROWS_PER_FILE``
-    rows. The splitting is AQE's: with AQE off (it is on by default, and in
+    data. Each file is sorted by year (which the partitioned write needs, so it
+    keeps the order), month and the common filter columns, so Parquet
+    statistics can skip row groups of other months, books or sources; no file
+    exceeds ``MAX_ROWS_PER_FILE`` rows. The splitting is AQE's: with AQE off (it is on by default, and in
     ``plans.settings``) the hint is a plain repartition by year.
     """
     (
         df.hint("rebalance", PARTITION_COLUMN)
-        .sortWithinPartitions(*SELECTIVE_COLUMNS)
+        .sortWithinPartitions(PARTITION_COLUMN, "date_id", *SELECTIVE_COLUMNS)
         .write.mode("overwrite")
         .partitionBy(PARTITION_COLUMN)
         .option("maxRecordsPerFile", MAX_ROWS_PER_FILE)

@@ -9,8 +9,10 @@ aggregations with map-side combine. None needs a Python worker.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.schemas import LIVES_KEY, LIVES_TEXT_COLUMNS
@@ -42,10 +44,18 @@ ZIP_COLUMNS = ("ecosystem_code", "ecosystem_name", "state_code")
 def apply_zip_lookup(df: DataFrame, zips: DataFrame, zip_col: str = "zip") -> DataFrame:
     """Ecosystem code and name and state from the zip table (LEFT: NULL where unmatched).
 
-    The zip table has one row per zip; no broadcast hint, the planner
-    broadcasts it when its measured size allows and shuffles otherwise.
+    The zip table must have one row per zip: the plan groups it by zip and
+    raises, as it runs, where a zip has more, so the fact is never multiplied.
+    No broadcast hint, the planner broadcasts the lookup when its measured
+    size allows and shuffles otherwise.
     """
-    lookup = zips.select(F.col("zip").alias("__zip"), *ZIP_COLUMNS)
+    grouped = zips.groupBy(F.col("zip").alias("__zip")).agg(
+        F.count(F.lit(1)).alias("__n"), *[F.max(c).alias(c) for c in ZIP_COLUMNS]
+    )
+    repeated = F.raise_error(F.concat(F.lit("zip table is not unique: "), F.col("__zip")))
+    lookup = grouped.filter(F.col("__zip").isNotNull()).select(
+        "__zip", *[F.when(F.col("__n") > 1, repeated).otherwise(F.col(c)).alias(c) for c in ZIP_COLUMNS]
+    )
     base = df.drop(*[c for c in ZIP_COLUMNS if c in df.columns])
     return base.join(lookup, base[zip_col] == lookup["__zip"], "left").drop("__zip")
 
@@ -100,11 +110,12 @@ def detect_changes(previous: DataFrame, current: DataFrame, key: str = "row_hash
     Both loads are reduced to (key, content hash, side, order), stacked, and
     grouped by key: one shuffle of small rows, combined map-side, instead of a
     full outer join, whose skewed keys AQE cannot split. A key repeated within
-    a load is compared by its newest row by ``newest_by`` (``max_by``), or by
-    its largest hash when no order is given.
+    a load is compared by its newest row by ``newest_by`` (``max_by``; of rows
+    that tie, the one with the largest hash), or by its largest hash when no
+    order is given.
     """
     cols = list(content) if content is not None else [c for c in previous.columns if c != key]
-    order = F.struct(*newest_by) if newest_by else F.lit(None).cast("int")
+    order = F.struct(*newest_by, content_hash(cols).alias("__tie")) if newest_by else F.lit(None).cast("int")
 
     def side(df: DataFrame, n: int) -> DataFrame:
         return df.select(F.col(key), content_hash(cols).alias("__h"), F.lit(n).alias("__side"), order.alias("__o"))
@@ -144,54 +155,60 @@ def current_flag(df: DataFrame, grain: Sequence[str] = CURRENT_GRAIN,
     ``row_number`` would pick one of them at random.
 
     The latest (month, load time) per group is an aggregation with map-side
-    combine; a NULL-safe join brings it back. Both join sides are shuffle
-    stages of their own, so AQE can split a hot group's partition (tested
-    with a third of the rows in one group); a window over the group, or a join
-    reusing the aggregation's partitioning, would sort the whole group in one
-    task.
+    combine; a join brings it back. Group and join use one narrow key, 16 bytes
+    of digest of the grain as a JSON array of texts, instead of nine columns. The
+    key is declared nullable, though it never is NULL, and joined NULL-safe:
+    both join sides are then shuffle stages of their own, so AQE can split a
+    hot group's partition (tested with a third of the rows in one group); a
+    window over the group, or a join reusing the aggregation's partitioning,
+    would sort the whole group in one task.
     """
-    grain = list(grain)
-    latest = df.groupBy(*grain).agg(F.max(F.struct(*order)).alias("__latest"))
-    latest = latest.select(*[F.col(c).alias(f"__g_{c}") for c in grain], "__latest")
-    cond = [df[c].eqNullSafe(latest[f"__g_{c}"]) for c in grain]
-    joined = df.join(latest, cond, "left")
+    digest = F.unhex(F.md5(F.to_json(F.array(*[F.col(c).cast("string") for c in grain]))))
+    keyed = df.withColumn("__key", F.nullif(digest, F.lit(b"")))
+    latest = keyed.groupBy("__key").agg(F.max(F.struct(*order)).alias("__latest"))
+    latest = latest.select(F.col("__key").alias("__group"), "__latest")
+    joined = keyed.join(latest, keyed["__key"].eqNullSafe(latest["__group"]), "left")
     flag = F.when(F.struct(*order) == F.col("__latest"), F.lit("Y")).otherwise(F.lit("N"))
-    return joined.withColumn(name, flag).drop("__latest", *[f"__g_{c}" for c in grain])
+    return joined.withColumn(name, flag).drop("__latest", "__key", "__group")
 
 
 # ------------------------------------------------------ T7 book-of-business rules
 
-MAX_RULES = 10_000
 RULE_CONDITIONS = ("source_book_of_business", "payer_role", "plan_type", "lives_source")
 
 
-def book_rules_column(rules: DataFrame, default: str = "Commercial") -> Column:
-    """A CASE expression from a rule table, lowest priority number first.
-
-    The rule table (priority, book_of_business, and any of the condition
-    columns, NULL meaning "any") is configuration of bounded size: it is
-    counted first and refused above ``MAX_RULES``, then read on the driver and
-    compiled into one expression that runs in generated code, with no join.
-    """
-    n = rules.count()
-    if n > MAX_RULES:
-        raise ValueError(f"{n} book-of-business rules, more than {MAX_RULES}")
-    conds = [c for c in RULE_CONDITIONS if c in rules.columns]
-    expr = None
-    for row in rules.orderBy("priority").collect():
-        parts = [F.col(c) == F.lit(row[c]) for c in conds if row[c] is not None]
-        cond = F.lit(True)
-        for p in parts:
-            cond = cond & p
-        cond = F.coalesce(cond, F.lit(False))
-        expr = F.when(cond, F.lit(row["book_of_business"])) if expr is None else expr.when(
-            cond, F.lit(row["book_of_business"]))
-    return F.lit(default) if expr is None else expr.otherwise(F.lit(default))
-
-
 def apply_book_rules(df: DataFrame, rules: DataFrame, name: str = "book_of_business",
                      default: str = "Commercial") -> DataFrame:
-    return df.withColumn(name, book_rules_column(rules, default))
+    """The book of business of the first rule that holds (lowest priority number, then the lesser book).
+
+    The rule table has a priority, a book_of_business and any of the condition
+    columns, NULL meaning "any". The fact's distinct condition values meet the
+    rules by equality, once for each set of conditions a rule may state (at
+    most 16), each rule set reduced to one row per key first; the best of the
+    matches goes back to the rows by a NULL-safe join. Nothing is counted or
+    read on the driver, and the number of rules is not limited.
+    """
+    conds = [c for c in RULE_CONDITIONS if c in rules.columns]
+    values = [f"__v_{c}" for c in conds]
+    found = df.select(*[F.col(c).alias(v) for c, v in zip(conds, values)]).distinct()
+    best = []
+    for mask in range(1 << len(conds)):
+        stated = [c for i, c in enumerate(conds) if mask >> i & 1]
+        rule_set = rules.filter(reduce(and_, [F.col(c).isNotNull() if c in stated else F.col(c).isNull() for c in conds], F.lit(True)))
+        least = F.min(F.struct("priority", "book_of_business"))
+        if stated:
+            first = rule_set.groupBy(*[F.col(c).alias(f"__r_{c}") for c in stated]).agg(least.alias(f"__rule_{mask}"))
+            on = reduce(and_, [found[f"__v_{c}"] == first[f"__r_{c}"] for c in stated])
+            found = found.join(first, on, "left").drop(*[f"__r_{c}" for c in stated])
+        else:  # rules that hold for every row: one value
+            found = found.withColumn(f"__rule_{mask}", rule_set.select(least).scalar())
+        best.append(F.col(f"__rule_{mask}"))
+    rule = F.least(*best) if len(best) > 1 else best[0]
+    chosen = found.select(*values, F.coalesce(rule["book_of_business"], F.lit(default)).alias("__book"))
+    base = df.drop(name) if name in df.columns and name not in conds else df
+    same = reduce(and_, [base[c].eqNullSafe(chosen[v]) for c, v in zip(conds, values)], F.lit(True))
+    out = base.join(chosen, same, "left").drop(*values)
+    return out.withColumn(name, F.col("__book")).drop("__book")
 
 
 # ------------------------------------------------------------ T8 load time
@@ -227,11 +244,13 @@ def union_feeds(feeds: dict[str, DataFrame], source_col: str = "lives_source") -
 def dedup(df: DataFrame, key: str = "row_hashkey", newest_by: Sequence[str] | None = None) -> DataFrame:
     """One row per key: any one of identical copies, or the newest by ``newest_by``.
 
-    ``max_by`` over a struct of the row keeps the newest copy with partial
-    aggregation, so a key repeated very often is combined map-side.
+    Of rows that tie on the order, the one with the largest hash of its content
+    stays, so a rerun gives the same rows. Spark applies the limit of one row
+    per key before the shuffle too, so a key repeated very often sends one row
+    per task.
     """
     if not newest_by:
         return df.dropDuplicates([key])
-    cols = [c for c in df.columns if c != key]
-    best = F.max_by(F.struct(*cols), F.struct(*newest_by)).alias("__row")
-    return df.groupBy(key).agg(best).select(key, "__row.*").select(*df.columns)
+    last = [F.col(c).desc() for c in newest_by] + [content_hash([c for c in df.columns if c != key]).desc()]
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*last))
+    return df.withColumn("__nth", first).filter(F.col("__nth") == 1).drop("__nth")

@@ -41,11 +41,13 @@ def prepare_calendar(spark, sf_dir):
 
 @register(
     "prepare_zip_lookup",
-    """WITH z AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS zip,
+    """WITH f AS (SELECT lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') AS zip,
+         arg_min(c_nationkey, c_custkey) AS c_nationkey FROM customer GROUP BY 1),
+       z AS (SELECT zip,
          'ECO' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS ecosystem_code, n_name AS ecosystem_name,
          CASE n_regionkey WHEN 0 THEN 'CA' WHEN 1 THEN 'NY' WHEN 2 THEN 'TX' WHEN 3 THEN 'FL' ELSE 'ZZ' END
            AS state_code
-         FROM customer JOIN nation ON c_nationkey = n_nationkey)
+         FROM f JOIN nation ON c_nationkey = n_nationkey)
        SELECT l.row_hashkey, l.zip, z.ecosystem_code, z.ecosystem_name, z.state_code
        FROM lives l LEFT JOIN z ON l.zip = z.zip""",
 )
@@ -77,7 +79,6 @@ def prepare_hash(spark, sf_dir):
 
 
 _CHANGE_COLS = list(HASH_COLUMNS) + list(LIVES_NUMBER_COLUMNS)
-_CHANGE_COLS.remove("row_hashkey") if "row_hashkey" in _CHANGE_COLS else None
 _CUR_SELECT = ", ".join(
     "CASE WHEN plan_type = 'HMO' THEN rx_lives + 1 ELSE rx_lives END AS rx_lives" if c == "rx_lives" else c
     for c in ["row_hashkey", *_CHANGE_COLS]

@@ -2,7 +2,7 @@
 
 The rollup holds the main measure and the benefit-manager lives, summed by 13
 dimensions and written as Parquet. Each build writes a new version folder;
-a one-row table beside it names the current version and its build time, and
+a stamp added beside it names the version and its build time, and
 is written last, so a build that fails half-way (a lost executor that the
 retries cannot cover, a killed job) leaves the previous version in service.
 Older versions stay in place for readers that still hold them; the storage's
@@ -56,20 +56,25 @@ def _meta(path: str) -> str:
     return f"{path.rstrip('/')}/meta"
 
 
+_STAMP = "built_at string, data string, through_batch long, published_at string"
+
+
 def publish(rollup: DataFrame, path: str, built_at: dt.datetime | None = None,
             through_batch: int | None = None) -> str:
     """Write rollup rows as a new version under ``path``, then make it the current one.
 
-    ``through_batch`` records the last refresh-stream batch folded in (see
-    ``streaming.refresh.compact``).
+    The version becomes current by one stamp file added beside the earlier
+    ones: a reader sees either the stamp or the one before it, and a crash in
+    between leaves the earlier version in service. ``through_batch`` records
+    the last refresh-stream batch folded in (see ``streaming.refresh.compact``).
     """
     spark = rollup.sparkSession
-    built_at = (built_at or dt.datetime.now(dt.timezone.utc)).astimezone(dt.timezone.utc)
+    now = dt.datetime.now(dt.timezone.utc)
+    built_at = (built_at or now).astimezone(dt.timezone.utc)
     version = f"{path.rstrip('/')}/data/v_{built_at.strftime('%Y%m%dT%H%M%S')}_{uuid.uuid4().hex[:8]}"
     rollup.sortWithinPartitions(*LAYOUT_COLUMNS).write.mode("errorifexists").parquet(version)
-    stamp = spark.createDataFrame([(built_at.isoformat(), version, through_batch)],
-                                  "built_at string, data string, through_batch long")
-    stamp.coalesce(1).write.mode("overwrite").parquet(_meta(path))
+    stamp = spark.createDataFrame([(built_at.isoformat(), version, through_batch, now.isoformat(timespec="microseconds"))], _STAMP)
+    stamp.coalesce(1).write.mode("append").parquet(_meta(path))
     return path
 
 
@@ -79,16 +84,19 @@ def build_rollup(lives: DataFrame, path: str, built_at: dt.datetime | None = Non
     return publish(agg, path, built_at)
 
 
-def current_version(spark: SparkSession, path: str):
-    """The published version's row (built_at, data, through_batch), or None."""
-    return _current(spark, path)
+def path_missing(error: AnalysisException) -> bool:
+    return error.getCondition() == "PATH_NOT_FOUND"
 
 
-def _current(spark: SparkSession, path: str):
+def current_version(spark: SparkSession, path: str):
+    """The published version's row (built_at, data, through_batch, published_at), or None: the newest stamp."""
     try:
-        return spark.read.parquet(_meta(path)).first()
-    except AnalysisException:
-        return None
+        stamps = spark.read.schema(_STAMP).parquet(_meta(path))
+    except AnalysisException as error:
+        if path_missing(error):
+            return None
+        raise
+    return stamps.orderBy(F.desc("published_at"), F.desc("data")).first()
 
 
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
@@ -98,7 +106,7 @@ def read_rollup(spark: SparkSession, path: str) -> DataFrame:
     sums written after it) reads the same way, so every request path serves
     from either kind of store.
     """
-    row = _current(spark, path)
+    row = current_version(spark, path)
     if row is not None:
         return spark.read.parquet(row["data"])
     from ..streaming.refresh import read_refreshed_rollup
@@ -111,10 +119,20 @@ def read_rollup(spark: SparkSession, path: str) -> DataFrame:
 
 def built_at(spark: SparkSession, path: str) -> dt.datetime | None:
     """Build time of the published rollup; None when there is none."""
-    row = _current(spark, path)
+    row = current_version(spark, path)
     return dt.datetime.fromisoformat(row["built_at"]) if row else None
 
 
+def _on_dimensions(spark: SparkSession, where: Column) -> bool:
+    """Whether a condition reads nothing but the stored dimensions."""
+    empty = spark.createDataFrame([], ", ".join(f"{d} string" for d in ROLLUP_DIMENSIONS))
+    try:
+        empty.filter(where).schema
+    except AnalysisException:
+        return False
+    return True
+
+
 def covers(
     measures: Sequence[str],
     dimensions: Sequence[str],
@@ -126,35 +144,47 @@ def covers(
     """Whether the rollup can answer a request.
 
     Measures within the stored sums, dimensions and named filters within the
-    stored dimensions. A free ``where`` Column is checked by resolving it
-    against the stored dimension columns (needs ``spark`` and ``path``).
+    stored dimensions. A free ``where`` Column is resolved against an empty
+    frame that holds only the stored dimensions (needs ``spark``), so a
+    condition on a measure is never taken for one on its stored sums.
+    ``path``, if given, must hold a rollup.
     """
-    if any(m not in ROLLUP_MEASURES for m in measures):
+    if any(m not in ROLLUP_MEASURES for m in measures) or not (measures or dimensions):
         return False
     if any(d not in ROLLUP_DIMENSIONS for d in dimensions):
         return False
     for s in segments:
         if any(c not in ROLLUP_DIMENSIONS for c in SEGMENT_COLUMNS[s]):
             return False
-    if where is not None:
-        if spark is None or path is None:
-            return False
+    if where is not None and (spark is None or not _on_dimensions(spark, where)):
+        return False
+    if spark is not None and path is not None:
         try:
-            read_rollup(spark, path).select(*ROLLUP_DIMENSIONS).filter(where)
-        except (AnalysisException, FileNotFoundError):
+            read_rollup(spark, path)
+        except FileNotFoundError:
             return False
     return True
 
 
 def serve(rollup: DataFrame, measures: Sequence[str], dimensions: Sequence[str],
           where: Column | None = None, segments: Iterable[str] = ()) -> DataFrame:
-    """Answer an additive request by summing the stored sums."""
+    """Answer an additive request by summing the stored sums (U2); without measures, the distinct dimension values."""
     cond = request_filter(where, segments)
     base = rollup if cond is None else rollup.filter(cond)
+    if not measures:
+        return base.select(*dimensions).distinct()
     sums = [F.sum(F.col(m)).alias(m) for m in measures]
     return base.groupBy(*dimensions).agg(*sums) if dimensions else base.agg(*sums)
 
 
+def is_fresh(spark: SparkSession, path: str, max_age: dt.timedelta, now: dt.datetime | None = None) -> bool:
+    """Whether the rollup at ``path`` was built within ``max_age``; a stream store not yet compacted is fresh."""
+    from ..streaming.refresh import compacted
+
+    stamp = built_at(spark, path) or built_at(spark, compacted(path))
+    return stamp is None or (now or dt.datetime.now(dt.timezone.utc)) - stamp <= max_age
+
+
 def lives_from_rollup(
     spark: SparkSession,
     path: str,
@@ -164,13 +194,20 @@ def lives_from_rollup(
     where: Column | None = None,
     segments: Iterable[str] = (),
     on_miss: str = "fact",
+    max_age: dt.timedelta | None = None,
+    **fact_options,
 ) -> DataFrame:
-    """A request served from the rollup when it covers it, else from the fact."""
-    if covers(measures, dimensions, segments, where, spark, path):
+    """A request served from the rollup when it covers it, else from the fact.
+
+    With ``max_age``, a rollup built longer ago is passed over. Further
+    options go to ``lives_summary`` when the fact answers.
+    """
+    segments = list(segments)
+    if covers(measures, dimensions, segments, where, spark, path) and (max_age is None or is_fresh(spark, path, max_age)):
         return serve(read_rollup(spark, path), measures, dimensions, where, segments)
     if on_miss == "error" or lives is None:
         raise ValueError("the rollup does not cover this request")
-    return lives_summary(lives, measures, dimensions, where=where, segments=segments)
+    return lives_summary(lives, measures, dimensions, where=where, segments=segments, **fact_options)
 
 
 def refresh_rollup(

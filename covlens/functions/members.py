@@ -26,7 +26,7 @@ def geography_type() -> Column:
     return F.when(F.col("ecosystem_code").isNull(), F.lit("NATIONAL")).otherwise(F.lit("ECOSYSTEM"))
 
 
-_DERIVED_DIMENSIONS = {"geography_type": geography_type}
+DERIVED_DIMENSIONS = {"geography_type": geography_type}
 
 DIMENSION_NAMES: tuple[str, ...] = LIVES_TEXT_COLUMNS[:9] + ("geography_type",) + LIVES_TEXT_COLUMNS[9:]
 CONFIG_DIMENSION_NAMES: tuple[str, ...] = ("benefit_type", "gpo_name")
@@ -34,8 +34,8 @@ CONFIG_DIMENSION_NAMES: tuple[str, ...] = ("benefit_type", "gpo_name")
 
 def dimension(name: str) -> Column:
     """The Column of a named dimension, aliased to its name."""
-    if name in _DERIVED_DIMENSIONS:
-        return _DERIVED_DIMENSIONS[name]().alias(name)
+    if name in DERIVED_DIMENSIONS:
+        return DERIVED_DIMENSIONS[name]().alias(name)
     if name in LIVES_TEXT_COLUMNS or name in CONFIG_DIMENSION_NAMES:
         return F.col(name)
     raise KeyError(f"unknown dimension {name!r}")
@@ -43,6 +43,7 @@ def dimension(name: str) -> Column:
 
 # ------------------------------------------------------------------ measures
 
+# The measures of the model.
 MEASURE_NAMES: tuple[str, ...] = ("lives", "record_count", "mx_lives", "rx_lives", "pbm_rx_lives")
 
 # Measures that are sums, so that a sum of stored sums answers them (rollup).
@@ -76,6 +77,7 @@ PLAN_SOURCE = "DRG Plan"
 PHARMACY = "Pharmacy Benefit"
 MEDICAL = "Medical Benefit"
 
+# The named filters of the model.
 SEGMENT_NAMES: tuple[str, ...] = (
     "current_commercial", "ecosystem_level", "national_level", "plan_source", "pharmacy_benefit", "medical_benefit",
 )

@@ -7,8 +7,9 @@ same hierarchy key; ``match="plan"`` and ``match="payer"`` use one of the two.
 
 No broadcast hint: the planner broadcasts the hierarchy when its measured
 size is under the threshold (AQE re-checks at run time), and otherwise plans
-a shuffled join whose skewed partitions AQE splits. Before joining, the key is
-checked for duplicates, because a repeated key would multiply fact rows.
+a shuffled join whose skewed partitions AQE splits. A repeated key would
+multiply fact rows, so the plan groups the hierarchy by its key and raises, as
+it runs, where a key has more than one row; no job runs while a plan is built.
 """
 
 from __future__ import annotations
@@ -51,6 +52,16 @@ def check_many_to_one(hierarchy: DataFrame, key: str = HIERARCHY_KEY) -> None:
         raise ValueError(f"hierarchy key {key} is not unique, e.g. {dup[0][key]!r} occurs {dup[0]['rows']} times")
 
 
+def unique_hierarchy(hierarchy: DataFrame, key: str = HIERARCHY_KEY) -> DataFrame:
+    """The hierarchy, one row per key; a query over it fails where a key repeats."""
+    others = [c for c in hierarchy.columns if c != key]
+    if not others:
+        return hierarchy.distinct()
+    grouped = hierarchy.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in others])
+    repeated = F.raise_error(F.concat(F.lit(f"hierarchy key {key} is not unique: "), F.coalesce(F.col(key), F.lit("NULL"))))
+    return grouped.select(key, *[F.when(F.col("__n") > 1, repeated).otherwise(F.col(c)).alias(c) for c in others]).select(*hierarchy.columns)
+
+
 def _condition(lives: DataFrame, hierarchy: DataFrame, match: str) -> Column:
     base = hierarchy[HIERARCHY_KEY]
     if match == "both":
@@ -65,7 +76,7 @@ def _condition(lives: DataFrame, hierarchy: DataFrame, match: str) -> Column:
 def with_hierarchy(lives: DataFrame, hierarchy: DataFrame, match: str = "both", check: bool = True) -> DataFrame:
     """The lives rows with the hierarchy's columns, LEFT joined many-to-one."""
     if check:
-        check_many_to_one(hierarchy)
+        hierarchy = unique_hierarchy(hierarchy)
     clash = [c for c in hierarchy.columns if c in lives.columns]
     if clash:
         raise ValueError(f"hierarchy columns clash with the fact: {clash}")

@@ -53,6 +53,7 @@ FORMATS: dict[str, str] = {
 LIVES_FILLED_MIN = 0.95
 LIVES_RANGE = (1000, 50_000_000)
 
+# The categories of a composed name.
 MCO_CATEGORIES = ("EMPLOYER", "MAC")
 
 
@@ -82,6 +83,7 @@ def row_rules() -> list[tuple[str, Column, Column, float]]:
     rules.append(("payer_name_filled_current", current, F.col("payer_name").isNotNull(), 0.0))
     rules.append(("plan_name_filled_current", current, F.col("plan_name").isNotNull(), 0.0))
     rules.append(("load_time_filled", everywhere, F.col("load_time").isNotNull(), 0.0))
+    rules.append(("load_time_is_time", everywhere, F.try_to_timestamp(F.col("load_time")).isNotNull(), 0.0))
     rules.append(("lives_filled", everywhere, lives_value().isNotNull(), round(1.0 - LIVES_FILLED_MIN, 10)))
     mco = None
     for c in MCO_CATEGORIES:

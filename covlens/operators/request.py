@@ -11,6 +11,7 @@ plan.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -33,7 +34,16 @@ def lives_request(
     method: str = "join",
     strict: bool = False,
     targets: dict[str, float] | None = None,
+    hierarchy_match: str = "both",
+    check_hierarchy: bool = True,
+    max_age: dt.timedelta | None = None,
 ) -> DataFrame:
+    """The members by the dimensions; see ``lives_summary`` and ``lives_shares`` for the options.
+
+    ``rollup_path`` and ``max_age`` let a stored rollup built within that time
+    answer what it covers; a hierarchy that the request does not use is no
+    obstacle to that.
+    """
     members = list(members)
     unknown = [m for m in members if m not in MEASURE_NAMES and m not in SHARES and m not in DENOMINATORS]
     if unknown:
@@ -43,17 +53,18 @@ def lives_request(
     denominators = [m for m in members if m in DENOMINATORS]
     segments = list(segments)
     if not shares and not denominators:
-        if rollup_path is not None and hierarchy is None:
+        if rollup_path is not None:
             # The default filters read stored dimensions only, so they travel as a condition.
             cond = all_of([where, default_filter() if defaults else None])
-            return lives_from_rollup(df.sparkSession, rollup_path, df, measures, dimensions, cond, segments)
-        return lives_summary(df, measures, dimensions, where, segments, defaults, hierarchy)
+            return lives_from_rollup(df.sparkSession, rollup_path, df, measures, dimensions, cond, segments, max_age=max_age,
+                                     hierarchy=hierarchy, hierarchy_match=hierarchy_match, check_hierarchy=check_hierarchy)
+        return lives_summary(df, measures, dimensions, where, segments, defaults, hierarchy, hierarchy_match, check_hierarchy)
     # A denominator asked alone is computed through the share that uses it.
     users = {den: s for s, den in SHARES.items()}
     wanted = list(dict.fromkeys([*shares, *[users[d] for d in denominators]]))
     out = lives_shares(df, wanted, dimensions, where, segments, defaults, measures or ["lives"],
                        include_hidden=bool(denominators), strict=strict, method=method, targets=targets,
-                       hierarchy=hierarchy)
+                       hierarchy=hierarchy, hierarchy_match=hierarchy_match, check_hierarchy=check_hierarchy)
     keep = [*dimensions, *(measures or []), *denominators, *shares]
     if targets:
         keep += [f"meets_{s}" for s in shares if s in targets]

@@ -17,10 +17,10 @@ small frame, whose size is bounded by the number of grain values. One
 NULL-safe equi-join (D4: a NULL ecosystem is a key value) brings them to the
 request rows; AQE broadcasts the denominator frame when its measured size is
 under the threshold, else it shuffles and splits skewed partitions. ``method="window"``
-gives the same values with window sums over the aggregated request; all
-windows then share one shuffle on the coarsest grain, which puts a whole month
-into one task when the request is wide (plan by zip). A request holding none
-of a grain's dimensions divides by the grand total, a scalar subquery.
+takes the denominators' frame from the aggregated request instead of a second
+scan of the fact: the better choice where the request is far smaller than the
+fact. A request holding none of a grain's dimensions divides by the grand
+total, a scalar subquery.
 
 Ratio (D2, D5): numerator as DECIMAL(18,0), NULLIF(denominator, 0) as
 DECIMAL(19,0): Spark types the quotient DECIMAL(38,20), the same 18 integer
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.members import ADDITIVE_SUMS, DIMENSION_NAMES, dimension, lives_value, measure
-from .summary import filtered, lives_summary
+from .summary import filtered_with_hierarchy, lives_summary
 
 # Denominators and their grains, shares and their denominators,
 # and the business targets stated for each share (fractions).
@@ -83,17 +83,20 @@ def _grand_total(base: DataFrame) -> Column:
     return base.select(F.sum(lives_value())).scalar()
 
 
-def _join_denominators(base: DataFrame, agg: DataFrame, grains: dict[str, list[str]]) -> DataFrame:
+def _with_denominators(base: DataFrame, agg: DataFrame, grains: dict[str, list[str]], method: str) -> DataFrame:
     keyed = {d: g for d, g in grains.items() if g}
     out = agg
     if keyed:
         # One small frame at the union of the grains carries every denominator:
-        # an aggregate of the filtered fact that reads only the grain and lives
-        # columns and combines map-side. Coarser grains are window sums over
-        # that frame (bounded by the number of grain values, not by the
-        # request); one join meets the request.
+        # an aggregate that combines map-side, of the filtered fact (only its
+        # grain and lives columns) or of the aggregated request. Coarser grains
+        # are window sums over that frame (bounded by the number of grain
+        # values, not by the request); one join meets the request.
         union = list(dict.fromkeys(c for g in keyed.values() for c in g))
-        den = base.groupBy(*[dimension(c) for c in union]).agg(F.sum(lives_value()).alias("__lives"))
+        if method == "join":
+            den = base.groupBy(*[dimension(c) for c in union]).agg(F.sum(lives_value()).alias("__lives"))
+        else:
+            den = agg.groupBy(*union).agg(F.sum("lives").alias("__lives"))
         for d, g in keyed.items():
             total = F.col("__lives") if set(g) == set(union) else F.sum("__lives").over(Window.partitionBy(*g))
             den = den.withColumn(d, total)
@@ -106,14 +109,6 @@ def _join_denominators(base: DataFrame, agg: DataFrame, grains: dict[str, list[s
     return out
 
 
-def _window_denominators(base: DataFrame, agg: DataFrame, grains: dict[str, list[str]]) -> DataFrame:
-    out = agg
-    for d, g in grains.items():
-        total = F.sum("lives").over(Window.partitionBy(*g)) if g else _grand_total(base)
-        out = out.withColumn(d, total)
-    return out
-
-
 def lives_shares(
     df: DataFrame,
     shares: Sequence[str] = ("pct_ecosystem_lives",),
@@ -128,6 +123,7 @@ def lives_shares(
     targets: dict[str, float] | None = None,
     hierarchy: DataFrame | None = None,
     hierarchy_match: str = "both",
+    check_hierarchy: bool = True,
 ) -> DataFrame:
     """Request rows with the main measure, the asked shares and (optionally) their denominators.
 
@@ -157,16 +153,16 @@ def lives_shares(
     grains = {d: effective_grain(d, own, strict) for d in needed}
 
     wanted = list(dict.fromkeys(["lives", *measures]))
-    base = filtered(df, where, segments, defaults)
-    if joined:
-        agg = lives_summary(base, wanted, dims, hierarchy=hierarchy, hierarchy_match=hierarchy_match)
+    base, carried = filtered_with_hierarchy(df, where, segments, defaults, hierarchy, hierarchy_match, check_hierarchy)
+    if joined and not carried:
+        agg = lives_summary(base, wanted, dims, hierarchy=hierarchy, hierarchy_match=hierarchy_match,
+                            check_hierarchy=check_hierarchy)
     else:
         aggs = [measure(m) for m in wanted]
-        keys = [dimension(d) for d in dims]
+        keys = [dimension(d) if d in own else F.col(d) for d in dims]
         agg = base.groupBy(*keys).agg(*aggs) if keys else base.agg(*aggs)
 
-    combine = _join_denominators if method == "join" else _window_denominators
-    out = combine(base, agg, grains)
+    out = _with_denominators(base, agg, grains, method)
     for s in shares:
         out = out.withColumn(s, share_ratio(F.col("lives"), F.col(SHARES[s])))
     if targets:

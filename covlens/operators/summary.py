@@ -17,11 +17,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.members import (
     CONFIG_DIMENSION_NAMES,
+    DERIVED_DIMENSIONS,
     DIMENSION_NAMES,
     all_of,
     default_filter,
@@ -37,8 +39,31 @@ def request_filter(where: Column | None = None, segments: Iterable[str] = (), de
 
 
 def filtered(df: DataFrame, where: Column | None = None, segments: Iterable[str] = (), defaults: bool = False) -> DataFrame:
+    """The rows on which every condition holds; ``where`` may name the derived dimensions too."""
     cond = request_filter(where, segments, defaults)
-    return df if cond is None else df.filter(cond)
+    if cond is None:
+        return df
+    named = {d: dimension(d) for d in DERIVED_DIMENSIONS if d not in df.columns} if where is not None else {}
+    return df.withColumns(named).filter(cond).drop(*named) if named else df.filter(cond)
+
+
+def filtered_with_hierarchy(
+    df: DataFrame, where: Column | None, segments: Iterable[str], defaults: bool, hierarchy: DataFrame | None,
+    match: str = "both", check: bool = True,
+) -> tuple[DataFrame, bool]:
+    """(filtered rows, whether they carry the hierarchy's columns).
+
+    The hierarchy is joined to the rows only when ``where`` does not resolve
+    without it.
+    """
+    if where is not None and hierarchy is not None:
+        try:
+            return filtered(df, where, segments, defaults), False
+        except AnalysisException:
+            from .hierarchy import with_hierarchy
+
+            return filtered(with_hierarchy(df, hierarchy, match, check), where, segments, defaults), True
+    return filtered(df, where, segments, defaults), False
 
 
 def _join_key(match: str) -> Column:
@@ -83,34 +108,36 @@ def lives_summary(
     its key) makes the many-to-one join; without one no join is made. The
     measures are then summed before the join, to the request's own dimensions
     and one join key (NULL where no match is possible), so the join sees one
-    row per such group rather than one per fact row. The hierarchy key is checked for duplicates first (one
-    aggregation of the hierarchy); ``check_hierarchy=False`` skips that for a
+    row per such group rather than one per fact row. ``where`` may read any
+    member: fact columns, derived dimensions by name, and the hierarchy's
+    columns, which then are joined before the filter. A repeated hierarchy key
+    fails the query; ``check_hierarchy=False`` leaves that test out for a
     hierarchy already checked with ``check_many_to_one``. With no measure the
     result is the distinct dimension values.
     """
     own, joined = _split_dimensions(list(dimensions), hierarchy)
-    base = filtered(df, where, segments, defaults)
-    if joined:
+    base, carried = filtered_with_hierarchy(df, where, segments, defaults, hierarchy, hierarchy_match, check_hierarchy)
+    if joined and not carried:
+        # The fact is reduced first (map-side) to the request's own keys plus
+        # one join key: sums and counts of the measures, or the distinct keys;
+        # only that frame meets the hierarchy, and sums of sums finish it. With
+        # the model's two-key condition a row can match only where plan id =
+        # payer id; other rows get a NULL key (never equal to anything) and
+        # collapse into one group per own-key value.
         from ..sources.schemas import HIERARCHY_KEY
-        from .hierarchy import check_many_to_one, with_hierarchy
-
-        if measures:
-            # Every measure is a sum or a count, so the fact is summed first
-            # (map-side) to the request's own keys plus one join key; only that
-            # frame meets the hierarchy, and sums of sums finish it. With the
-            # model's two-key condition a row can match only where plan id =
-            # payer id; other rows get a NULL key (never equal to anything) and
-            # collapse into one group per own-key value.
-            pre = base.groupBy(*[dimension(d) for d in own], _join_key(hierarchy_match).alias("__hkey"))
-            pre = pre.agg(*[measure(m) for m in measures])
-            if check_hierarchy:
-                check_many_to_one(hierarchy)
-            clash = [c for c in hierarchy.columns if c in pre.columns]
-            if clash:
-                raise ValueError(f"hierarchy columns clash with the request: {clash}")
-            joined_df = pre.join(hierarchy, pre["__hkey"] == hierarchy[HIERARCHY_KEY], "left")
-            return joined_df.groupBy(*own, *joined).agg(*[F.sum(F.col(m)).alias(m) for m in measures])
-        base = with_hierarchy(base, hierarchy, match=hierarchy_match, check=check_hierarchy)
+        from .hierarchy import unique_hierarchy
+
+        pre = base.groupBy(*[dimension(d) for d in own], _join_key(hierarchy_match).alias("__hkey"))
+        pre = pre.agg(*[measure(m) for m in measures]) if measures else pre.agg(F.lit(1).alias("__any")).drop("__any")
+        clash = [c for c in hierarchy.columns if c in pre.columns]
+        if clash:
+            raise ValueError(f"hierarchy columns clash with the request: {clash}")
+        if check_hierarchy:
+            hierarchy = unique_hierarchy(hierarchy)
+        met = pre.join(hierarchy, pre["__hkey"] == hierarchy[HIERARCHY_KEY], "left")
+        if not measures:
+            return met.select(*own, *joined).distinct()
+        return met.groupBy(*own, *joined).agg(*[F.sum(F.col(m)).alias(m) for m in measures])
     keys = [dimension(d) for d in own] + [F.col(d) for d in joined]
     if not measures:
         if not keys:

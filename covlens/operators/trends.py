@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.members import dimension, measure
-from .shares import share_ratio
+from .shares import SHARES, lives_shares, share_ratio
 from .summary import filtered
 
 PERIODS = {"month": "date_year_month", "quarter": "date_year_quarter", "year": "date_year"}
@@ -74,3 +74,33 @@ def trend(
         change.alias("change"),
         share_ratio(change, F.col(f"previous_{measure_name}")).alias("change_ratio"),
     )
+
+
+def share_trend(
+    df: DataFrame,
+    share: str = "pct_national_lives",
+    period: str = "month",
+    by: Sequence[str] = (),
+    where: Column | None = None,
+    segments: Iterable[str] = (),
+    defaults: bool = False,
+) -> DataFrame:
+    """A share per period (and ``by`` dimensions) beside the previous calendar period's share.
+
+    The period takes the month's place in the denominator's grain, so a
+    quarter's share is that of the quarter's totals. Columns: ``by``, the
+    period, lives, the share, ``previous_<share>`` and ``change``.
+    """
+    col, by = PERIODS[period], list(by)
+    month = PERIODS["month"]
+    if share not in SHARES:
+        raise KeyError(f"unknown share {share!r}")
+    rows = filtered(df, where, segments, defaults)
+    if col != month:
+        rows = rows.withColumn(month, F.col(col))
+    out = lives_shares(rows, [share], [*by, month])
+    w = Window.partitionBy(*by).orderBy(month)
+    earlier = F.lag(F.col(month)).over(w) == previous_period(period, F.col(month))
+    out = out.withColumn(f"previous_{share}", F.when(earlier, F.lag(F.col(share)).over(w)))
+    change = F.col(share) - F.col(f"previous_{share}")
+    return out.select(*by, F.col(month).alias(col), "lives", share, f"previous_{share}", change.alias("change"))

@@ -39,6 +39,7 @@ def _rules_sql() -> list[tuple[str, str, str, float]]:
     rules.append(("payer_name_filled_current", "flag_current_record = 'Y'", "payer_name IS NOT NULL", 0.0))
     rules.append(("plan_name_filled_current", "flag_current_record = 'Y'", "plan_name IS NOT NULL", 0.0))
     rules.append(("load_time_filled", "TRUE", "load_time IS NOT NULL", 0.0))
+    rules.append(("load_time_is_time", "TRUE", "TRY_CAST(load_time AS TIMESTAMPTZ) IS NOT NULL", 0.0))
     rules.append(("lives_filled", "TRUE", "coalesce(rx_lives, mx_lives) IS NOT NULL", round(1 - LIVES_FILLED_MIN, 10)))
     rules.append(("mco_name_composed", "TRUE", "mco_name IN (payer_name || ' (EMPLOYER)', payer_name || ' (MAC)')", 0.0))
     return rules

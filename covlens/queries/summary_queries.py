@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.members import DIMENSION_NAMES, filter_group
+from ..operators.shares import lives_shares
 from ..operators.summary import config_count, lives_summary
-from ..oracle import GEO_TYPE, LIVES_SUM
+from ..oracle import GEO_TYPE, LIVES_SUM, share_sql
 from ..registry import register
-from ..sources.fixtures import derive_benefit_config, lives_table
-from ..sources.readers import read_benefit_config, read_lives
+from ..session import fresh_path
+from ..sources.fixtures import derive_benefit_config, derive_hierarchy, lives_table, lives_table_path
+from ..sources.readers import read_benefit_config, read_hierarchy, read_lives
+from ..sources.schemas import LIVES_SCHEMA
 
 ALL_SUMS_SQL = f"""{LIVES_SUM} AS lives, count(*) AS record_count,
     CAST(sum(mx_lives) AS BIGINT) AS mx_lives, CAST(sum(rx_lives) AS BIGINT) AS rx_lives,
@@ -32,8 +35,68 @@ def lives_by_payer_category_current_commercial(spark, sf_dir):
 
 @register("scan_lives", "SELECT * FROM lives")
 def scan_lives(spark, sf_dir):
-    """The whole fact through the declared-schema reader (all 37 columns)."""
-    return read_lives(spark, lives_table(spark, sf_dir))
+    """The whole stored fact by its path, through the declared-schema reader (all 37 columns)."""
+    return read_lives(spark, lives_table_path(spark, sf_dir)).select(*LIVES_SCHEMA.fieldNames())
+
+
+@register("scan_catalog_table", f"SELECT benefit_type, {LIVES_SUM} AS lives, count(*) AS record_count FROM lives GROUP BY 1")
+def scan_catalog_table(spark, sf_dir):
+    """The fact by a name in the catalog."""
+    lives_table(spark, sf_dir).createOrReplaceTempView("covlens_lives")
+    return lives_summary(read_lives(spark, "covlens_lives"), ["lives", "record_count"], ["benefit_type"])
+
+
+@register("scan_after_reload", f"SELECT date_year, {LIVES_SUM} AS lives, count(*) AS record_count FROM lives GROUP BY 1")
+def scan_after_reload(spark, sf_dir):
+    """A reader called after a load sees the new files: history first, then the rest."""
+    path = fresh_path(spark, "reload")
+    lives = lives_table(spark, sf_dir)
+    lives.filter("date_year <= '1995'").write.parquet(path)
+    before = read_lives(spark, path)
+    lives.filter("date_year > '1995'").write.mode("append").parquet(path)
+    if before.select("date_year").filter("date_year > '1995'").count():
+        raise RuntimeError("a reader opened before the load saw its files")
+    return lives_summary(read_lives(spark, path), ["lives", "record_count"], ["date_year"])
+
+
+# ------------------------------------------------------ filters on any member, F2
+
+
+@register(
+    "filter_geography_by_name",
+    f"SELECT payer_role, {LIVES_SUM} AS lives FROM lives WHERE {GEO_TYPE} = 'NATIONAL' AND plan_type <> 'HMO' GROUP BY 1",
+)
+def filter_geography_by_name(spark, sf_dir):
+    where = (F.col("geography_type") == "NATIONAL") & (F.col("plan_type") != "HMO")
+    return lives_summary(lives_table(spark, sf_dir), ["lives"], ["payer_role"], where=where)
+
+
+_BY_NAME = "l.plan_id = h.base_mdm_id WHERE h.base_name >= 'Customer#000000050'"
+
+
+@register(
+    "filter_by_hierarchy_column",
+    f"SELECT benefit_type, base_name, {LIVES_SUM} AS lives FROM lives l LEFT JOIN mco_hierarchy h ON {_BY_NAME} GROUP BY 1, 2",
+)
+def filter_by_hierarchy_column(spark, sf_dir):
+    hierarchy = read_hierarchy(spark, derive_hierarchy(spark, sf_dir))
+    return lives_summary(lives_table(spark, sf_dir), ["lives"], ["benefit_type", "base_name"],
+                         where=F.col("base_name") >= "Customer#000000050", hierarchy=hierarchy, hierarchy_match="plan")
+
+
+@register(
+    "share_filtered_by_hierarchy",
+    f"""WITH a AS (SELECT benefit_type, date_year_month, payer_category, {LIVES_SUM} AS lives
+          FROM lives l LEFT JOIN mco_hierarchy h ON {_BY_NAME} GROUP BY 1, 2, 3),
+        d AS (SELECT *, sum(lives) OVER (PARTITION BY benefit_type, date_year_month) AS n FROM a)
+        SELECT benefit_type, date_year_month, payer_category, lives, {share_sql('lives', 'n')} AS pct_national_lives FROM d""",
+)
+def share_filtered_by_hierarchy(spark, sf_dir):
+    """A filter on a hierarchy column reaches the numerator and the denominator."""
+    hierarchy = read_hierarchy(spark, derive_hierarchy(spark, sf_dir))
+    df = lives_shares(lives_table(spark, sf_dir), ["pct_national_lives"], ["benefit_type", "date_year_month", "payer_category"],
+                      where=F.col("base_name") >= "Customer#000000050", hierarchy=hierarchy, hierarchy_match="plan")
+    return df.withColumn("pct_national_lives", F.round("pct_national_lives", 6).cast("double"))
 
 
 # ------------------------------------------------------- measures A1-A5, P10

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.trends import trend
-from ..oracle import LIVES_SUM
+from ..operators.trends import share_trend, trend
+from ..oracle import LIVES_SUM, share_sql
 from ..registry import register
 from ..sources.fixtures import lives_table
 
@@ -62,3 +62,35 @@ def trend_quarter(spark, sf_dir):
 @register("trend_year", _trend_sql("date_year", ["benefit_type", "ecosystem_code"]))
 def trend_year(spark, sf_dir):
     return _shown(trend(lives_table(spark, sf_dir), "year", by=["benefit_type", "ecosystem_code"]))
+
+
+def _share_trend_sql(col, by, grain):
+    keys = [*by, col]
+    on = " AND ".join([f"p.{b} IS NOT DISTINCT FROM a.{b}" for b in by] + [f"p.{col} = {_PREV_SQL[col]}"])
+    return f"""WITH g AS (SELECT {', '.join(keys)}, {LIVES_SUM} AS lives FROM lives GROUP BY {', '.join(keys)}),
+        a AS (SELECT *, {share_sql('lives', 'n')} AS share FROM
+              (SELECT *, sum(lives) OVER (PARTITION BY {', '.join(grain)}) AS n FROM g))
+        SELECT {', '.join('a.' + k for k in keys)}, a.lives, a.share AS share, p.share AS previous_share
+        FROM a LEFT JOIN a p ON {on}"""
+
+
+def _share_shown(df, share):
+    keys = df.columns[:df.columns.index("lives") + 1]
+    six = lambda c, name: F.round(F.col(c), 6).cast("double").alias(name)
+    return df.select(*keys, six(share, "share"), six(f"previous_{share}", "previous_share"))
+
+
+@register("trend_share_month", _share_trend_sql("date_year_month", ["benefit_type", "payer_category"], ["benefit_type", "date_year_month"]))
+def trend_share_month(spark, sf_dir):
+    out = share_trend(lives_table(spark, sf_dir), "pct_national_lives", "month", ["benefit_type", "payer_category"])
+    return _share_shown(out, "pct_national_lives")
+
+
+@register(
+    "trend_share_quarter",
+    _share_trend_sql("date_year_quarter", ["ecosystem_code", "benefit_type", "payer_role"],
+                     ["ecosystem_code", "benefit_type", "date_year_quarter"]),
+)
+def trend_share_quarter(spark, sf_dir):
+    out = share_trend(lives_table(spark, sf_dir), "pct_ecosystem_lives", "quarter", ["ecosystem_code", "benefit_type", "payer_role"])
+    return _share_shown(out, "pct_ecosystem_lives")

@@ -8,6 +8,7 @@ become "re-read per call").
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,25 @@ def _integral(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.DecimalType) and dtype.scale == 0 and dtype.precision <= 18
 
 
+def _declared_partition_types(df: DataFrame) -> DataFrame:
+    """Folder columns back in their declared text type.
+
+    Spark infers the type of a partition column from its folder names, so a
+    year folder reads as a number. Only columns that stand in the path of a
+    file are given back as text; a number stored in the files stays refused.
+    """
+    texts = [f.name for f in LIVES_SCHEMA.fields if f.dataType == T.StringType()]
+    guessed = [f.name for f in df.schema.fields if f.name in texts and f.dataType in (T.IntegerType(), T.LongType())]
+    if not guessed:
+        return df
+    try:
+        row = df.select(F.col("_metadata.file_path").alias("path")).first()
+    except AnalysisException:  # not read from files
+        return df
+    folders = [c for c in guessed if row is not None and f"/{c}=" in row["path"]]
+    return df.withColumns({c: F.col(c).cast("string") for c in folders}) if folders else df
+
+
 def read_lives(spark: SparkSession, source: str | DataFrame, where: Column | None = None) -> DataFrame:
     """The lives fact (S1): every column, checked against the declared schema.
 
@@ -46,6 +66,7 @@ def read_lives(spark: SparkSession, source: str | DataFrame, where: Column | Non
     filter.
     """
     df = read_source(spark, source)
+    df = _declared_partition_types(df)
     types = {f.name: f.dataType for f in df.schema.fields}
     widen = [c for c in LIVES_NUMBER_COLUMNS
              if c in types and types[c] != T.LongType() and _integral(types[c])]

@@ -122,3 +122,37 @@ def test_defaults_everywhere(spark, lives_small):
     parents = parent_totals(lives_small, "payer", ["lives"], defaults=True).agg(F.sum("lives")).first()[0]
     months = trend(lives_small, "month", defaults=True).agg(F.sum("lives")).first()[0]
     assert total == parents == months == expected
+
+
+def test_rollup_coverage_reads_dimensions_only(spark, lives_small):
+    import datetime as dt
+
+    from covlens import lives_request
+    from covlens.sources.fixtures import derive_hierarchy
+    from conftest import SMALL
+
+    path = fresh_path(spark, "test-cover")
+    build_rollup(lives_small, path, built_at=dt.datetime(2020, 1, 1, tzinfo=dt.timezone.utc))
+    on_measure = F.col("pbm_rx_lives") > 30
+    assert not covers(["lives"], ["benefit_type"], where=on_measure, spark=spark, path=path)
+    out = lives_request(lives_small, ["lives"], ["benefit_type"], where=on_measure, rollup_path=path)
+    direct = lives_summary(lives_small.filter(on_measure), ["lives"], ["benefit_type"])
+    assert out.exceptAll(direct).count() == 0 and direct.exceptAll(out).count() == 0
+    values = lives_request(lives_small, [], ["payer_role"], rollup_path=path)
+    assert values.count() == lives_small.select("payer_role").distinct().count()
+    assert all("/data/v_" in f for f in values.inputFiles())
+    unused = lives_request(lives_small, ["lives"], ["payer_role"], rollup_path=path, hierarchy=derive_hierarchy(spark, SMALL))
+    assert all("/data/v_" in f for f in unused.inputFiles())
+    stale = lives_request(lives_small, ["lives"], ["payer_role"], rollup_path=path, max_age=dt.timedelta(days=1))
+    assert not any("/data/v_" in f for f in stale.inputFiles())
+
+
+def test_request_passes_the_hierarchy_options(spark, lives_small):
+    from covlens import lives_request
+    from covlens.sources.fixtures import derive_hierarchy
+    from conftest import SMALL
+
+    h = derive_hierarchy(spark, SMALL)
+    by_plan = lives_request(lives_small, ["record_count"], ["base_name"], hierarchy=h, hierarchy_match="plan")
+    direct = lives_summary(lives_small, ["record_count"], ["base_name"], hierarchy=h, hierarchy_match="plan")
+    assert by_plan.exceptAll(direct).count() == 0 and direct.exceptAll(by_plan).count() == 0

@@ -138,8 +138,11 @@ def test_duplicate_hierarchy_key_fails_before_join(spark):
     hierarchy = spark.createDataFrame([("X", "a"), ("X", "b")], "base_mdm_id string, base_name string")
     with pytest.raises(ValueError):
         check_many_to_one(hierarchy)
-    with pytest.raises(ValueError):
-        with_hierarchy(lives_rows(spark, [row()]), hierarchy)
+    joined = with_hierarchy(lives_rows(spark, [row(payer_id="X", plan_id="X")]), hierarchy)
+    with pytest.raises(Exception, match="hierarchy key base_mdm_id is not unique: X"):
+        joined.collect()
+    with pytest.raises(Exception, match="is not unique"):
+        lives_summary(lives_rows(spark, [row(payer_id="X", plan_id="X")]), ["lives"], ["base_name"], hierarchy=hierarchy).collect()
 
 
 def test_hierarchy_join_keeps_every_fact_row(spark):
@@ -212,3 +215,78 @@ def test_row_hash_is_unambiguous(spark):
     )
     hashes = [r[0] for r in df.select(row_hash(["p", "q"])).collect()]
     assert len(set(hashes)) == len(hashes)
+
+
+def test_zips_beyond_100000_customers_do_not_multiply_rows(spark, tmp_path):
+    """Customer keys of six digits share zips; the zip table still has one row per zip."""
+    from covlens.operators.prepare import apply_zip_lookup
+    from covlens.sources.fixtures import derive_zip_table, zip_of
+
+    n = 150_000
+    spark.range(1, n + 1).selectExpr("id as c_custkey", "id % 25 as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(25).selectExpr("id as n_nationkey", "concat('N', id) as n_name", "id % 5 as n_regionkey").write.parquet(
+        f"{tmp_path}/nation.parquet")
+    zips = derive_zip_table(spark, str(tmp_path))
+    assert zips.count() == 100_000 and zips.select("zip").distinct().count() == 100_000
+    lives = spark.range(1, n + 1).select(zip_of(F.col("id")).alias("zip"))
+    out = apply_zip_lookup(lives, zips)
+    assert out.count() == n and out.filter("state_code is null").count() == 0
+
+
+def test_zip_lookup_refuses_a_repeated_zip(spark):
+    from covlens.operators.prepare import apply_zip_lookup
+
+    zips = spark.createDataFrame([("1", "E", "N", "CA"), ("1", "F", "M", "NY"), ("2", "G", "O", "TX")],
+                                 "zip string, ecosystem_code string, ecosystem_name string, state_code string")
+    lives = spark.createDataFrame([("1",), ("2",), (None,)], "zip string")
+    with pytest.raises(Exception, match="zip table is not unique: 1"):
+        apply_zip_lookup(lives, zips).collect()
+    assert apply_zip_lookup(lives, zips.filter("zip = '2'")).filter("state_code = 'TX'").count() == 1
+
+
+def test_many_book_rules_and_no_job_while_planning(spark):
+    from covlens.operators.prepare import apply_book_rules
+
+    schema = "priority int, source_book_of_business string, payer_role string, plan_type string, book_of_business string"
+    rules = [(i, f"S{i}", None, None, f"B{i}") for i in range(20_000)] + [(20_001, None, "R", None, "by role"), (5, "S7", "R", None, "both")]
+    rows = [("S7", "R", None), ("S7", None, "HMO"), ("S19999", "R", None), ("none", "R", "HMO"), ("none", "X", None), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "source_book_of_business string, payer_role string, plan_type string")
+    spark.sparkContext.setJobGroup("book-rules", "planning")
+    out = apply_book_rules(df, spark.createDataFrame(rules, schema))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("book-rules")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = sorted(((r[0], r[1], r[2], r["book_of_business"]) for r in out.collect()), key=str)
+    assert got == sorted([("S7", "R", None, "both"), ("S7", None, "HMO", "B7"), ("S19999", "R", None, "B19999"), ("none", "R", "HMO", "by role"),
+                          ("none", "X", None, "Commercial"), (None, None, None, "Commercial"), (None, None, None, "Commercial")], key=str)
+    assert apply_book_rules(df, spark.createDataFrame([], schema)).filter("book_of_business = 'Commercial'").count() == 7
+
+
+def test_ties_give_the_same_row_again(spark):
+    from covlens.operators.prepare import dedup, detect_changes
+
+    rows = [("k", str(i), "t") for i in range(50)]
+    schema = "k string, v string, t string"
+    first = dedup(spark.createDataFrame(rows, schema).repartition(7), "k", ["t"]).collect()
+    again = dedup(spark.createDataFrame(rows[::-1], schema).repartition(3), "k", ["t"]).collect()
+    assert len(first) == 1 and first == again
+    one, two = spark.createDataFrame(rows, schema), spark.createDataFrame(rows[::-1], schema).repartition(5)
+    assert detect_changes(one, two, "k", ["v"], newest_by=["t"]).collect()[0]["change"] == "same"
+
+
+def test_impossible_load_time_fails(spark):
+    from covlens.operators.quality import check_lives
+
+    rows = [row(load_time="2026-02-31T00:00:00Z"), row(load_time="2026-02-28T00:00:00Z")]
+    report = {r["rule"]: r for r in check_lives(lives_rows(spark, rows)).collect()}
+    assert report["load_time_format"]["failed"] == 0 and report["load_time_is_time"]["failed"] == 1
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace
+
+    from covlens.session import shared_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session)

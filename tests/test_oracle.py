@@ -6,9 +6,11 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from conftest import SMALL
+from covlens.registry import ORACLE, QUERIES, load_all
 from oracle_compare import compare, duck
 
-NAMES = sorted(queries())
+load_all()
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +19,8 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql())
 
 
 def test_entry(spark):

@@ -70,10 +70,11 @@ def test_filter_before_window_stage(lives_small):
 
 
 def test_no_cross_join_nested_loop_or_python_anywhere(spark):
-    from __spark_entry__ import queries
+    from covlens.registry import QUERIES, load_all
 
+    load_all()
     bad = {}
-    for name, fn in sorted(queries().items()):
+    for name, fn in sorted(QUERIES.items()):
         df = fn(spark, SMALL)
         joins = join_strategies(df)
         if any(j in ("BroadcastNestedLoopJoin", "CartesianProduct") for j in joins) or uses_python(df):

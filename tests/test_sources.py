@@ -81,3 +81,29 @@ def test_integral_lives_are_widened(spark, lives_small):
     assert got.schema["mx_lives"].dataType.simpleString() == "bigint"
     with pytest.raises(ValueError, match="pbm_rx_lives"):
         read_lives(spark, lives_small.withColumn("pbm_rx_lives", F.col("pbm_rx_lives").cast("double")))
+
+
+def test_read_lives_by_path_of_its_own_layout(spark):
+    from covlens.sources.fixtures import lives_table, lives_table_path
+    from covlens.sources.schemas import LIVES_SCHEMA
+    from conftest import SMALL
+
+    df = read_lives(spark, lives_table_path(spark, SMALL))
+    assert dict(df.dtypes)["date_year"] == "string"
+    assert df.select(*LIVES_SCHEMA.fieldNames()).exceptAll(lives_table(spark, SMALL)).count() == 0
+
+
+def test_stored_files_are_sorted(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from covlens.sources.fixtures import SELECTIVE_COLUMNS, lives_table_path
+    from conftest import SMALL
+
+    files = glob.glob(lives_table_path(spark, SMALL).removeprefix("file:") + "/*/*.parquet")
+    assert files
+    for f in files:
+        rows = pq.read_table(f, columns=["date_id", *SELECTIVE_COLUMNS]).to_pylist()
+        keys = [tuple(r.values()) for r in rows]
+        assert keys == sorted(keys)

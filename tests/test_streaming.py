@@ -92,3 +92,52 @@ def test_requests_served_from_a_stream_store(spark, lives_small):
     again = lives_request(lives_small, ["lives", "pbm_rx_lives"], dims, segments=["current_commercial"],
                           rollup_path=path)
     assert again.exceptAll(direct).count() == 0 and direct.exceptAll(again).count() == 0
+
+
+def test_unfinished_batch_is_not_seen_and_not_lost(spark, lives_small):
+    """Compaction while a batch is half done: it is served, once, after its commit."""
+    from covlens.streaming.refresh import commit_part, committed, write_part
+
+    path = fresh_path(spark, "test-unfinished")
+    years = sorted(r[0] for r in lives_small.select("date_year").distinct().collect())[:4]
+    slices = [lives_small.filter(lives_small.date_year == y) for y in years]
+
+    def total():
+        return serve(read_refreshed_rollup(spark, path), ["lives"], []).first()["lives"]
+
+    def direct(n):
+        return lives_summary(lives_small.filter(lives_small.date_year.isin(years[:n])), ["lives"], []).first()["lives"]
+
+    commit_part(spark, path, 0, write_part(slices[0], path, 0))
+    open_part = write_part(slices[1], path, 1)  # written, not committed
+    commit_part(spark, path, 2, write_part(slices[2], path, 2))
+    compact(spark, path)
+    assert set(committed(spark, path)) == {0, 2}
+    commit_part(spark, path, 1, open_part)
+    assert total() == direct(3)
+    compact(spark, path)
+    assert total() == direct(3)
+    commit_part(spark, path, 3, write_part(slices[3], path, 3))
+    compact(spark, path)  # retires what the compaction before it folded
+    assert total() == direct(4) and set(committed(spark, path)) == {3}
+
+
+def test_crash_between_data_and_stamp_keeps_the_version(spark, lives_small, monkeypatch):
+    import pytest
+    from covlens.operators import rollup
+
+    path = fresh_path(spark, "test-stamp")
+    rollup.build_rollup(lives_small.filter("date_year = '1995'"), path)
+    before = rollup.current_version(spark, path)
+    original = rollup._meta
+
+    def broken(p):
+        raise OSError("lost")
+
+    monkeypatch.setattr(rollup, "_meta", broken)
+    with pytest.raises(OSError):
+        rollup.build_rollup(lives_small, path)
+    monkeypatch.setattr(rollup, "_meta", original)
+    assert rollup.current_version(spark, path) == before
+    rollup.build_rollup(lives_small, path)
+    assert rollup.current_version(spark, path)["data"] != before["data"]

@@ -19,7 +19,10 @@ request rows; AQE broadcasts the denominator frame when its measured size is
 under the threshold, else it shuffles and splits skewed partitions. ``method="window"``
 takes the denominators' frame from the aggregated request instead of a second
 scan of the fact: the better choice where the request is far smaller than the
-fact. A request holding none of a grain's dimensions divides by the grand
+fact. ``method="stored"`` writes that frame to the shared folder when the plan
+is built, so its size is known and a small one is broadcast without shuffling
+the request a second time: the better choice for requests nearly as wide as
+the fact, at the price of a small job before the query. A request holding none of a grain's dimensions divides by the grand
 total, a scalar subquery.
 
 Ratio (D2, D5): numerator as DECIMAL(18,0), NULLIF(denominator, 0) as
@@ -38,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.members import ADDITIVE_SUMS, DIMENSION_NAMES, dimension, lives_value, measure
+from ..session import fresh_path
 from .summary import filtered_with_hierarchy, lives_summary
 
 # Denominators and their grains, shares and their denominators,
@@ -93,7 +97,7 @@ def _with_denominators(base: DataFrame, agg: DataFrame, grains: dict[str, list[s
         # are window sums over that frame (bounded by the number of grain
         # values, not by the request); one join meets the request.
         union = list(dict.fromkeys(c for g in keyed.values() for c in g))
-        if method == "join":
+        if method != "window":
             den = base.groupBy(*[dimension(c) for c in union]).agg(F.sum(lives_value()).alias("__lives"))
         else:
             den = agg.groupBy(*union).agg(F.sum("lives").alias("__lives"))
@@ -101,6 +105,10 @@ def _with_denominators(base: DataFrame, agg: DataFrame, grains: dict[str, list[s
             total = F.col("__lives") if set(g) == set(union) else F.sum("__lives").over(Window.partitionBy(*g))
             den = den.withColumn(d, total)
         den = den.select(*[F.col(c).alias(f"__g_{c}") for c in union], *keyed)
+        if method == "stored":
+            path = fresh_path(den.sparkSession, "denominators")
+            den.write.parquet(path)
+            den = den.sparkSession.read.schema(den.schema).parquet(path)
         cond = [out[c].eqNullSafe(den[f"__g_{c}"]) for c in union]
         out = out.join(den, cond, "left").drop(*[f"__g_{c}" for c in union])
     for d, g in grains.items():
@@ -143,8 +151,8 @@ def lives_shares(
     for s in shares:
         if s not in SHARES:
             raise KeyError(f"unknown share {s!r}")
-    if method not in ("join", "window"):
-        raise ValueError("method must be 'join' or 'window'")
+    if method not in ("join", "window", "stored"):
+        raise ValueError("method must be 'join', 'window' or 'stored'")
     for m in measures:
         if m not in ADDITIVE_SUMS and m != "record_count":
             raise KeyError(f"unknown measure {m!r}")

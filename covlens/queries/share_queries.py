@@ -92,6 +92,8 @@ share_query("share_targets", [ECO, BEN, MONTH, "payer_category"], ["pct_ecosyste
 share_query("denominators_hidden", [ECO, BEN, BOOK, MONTH], ALL_SHARES, hidden=True)
 share_query("share_window_method", [ECO, BEN, MONTH, "payer_id"], ["pct_ecosystem_lives", "pct_national_lives"],
             method="window")
+share_query("share_wide_request_stored", [ECO, BEN, MONTH, "zip", "plan_id"], ["pct_ecosystem_lives", "pct_national_lives"],
+            method="stored")
 share_query("share_wide_request", [ECO, BEN, MONTH, "zip", "plan_id"], ["pct_ecosystem_lives", "pct_national_lives"])
 
 

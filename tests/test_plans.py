@@ -82,6 +82,16 @@ def test_no_cross_join_nested_loop_or_python_anywhere(spark):
     assert not bad, bad
 
 
+def test_stored_denominators_need_no_second_shuffle(spark, lives_small):
+    dims = ["ecosystem_code", "benefit_type", "date_year_month", "zip", "plan_id"]
+    shares = ["pct_ecosystem_lives", "pct_national_lives"]
+    df = lives_shares(lives_small, shares, dims, method="stored")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    plain = lives_shares(lives_small, shares, dims)
+    assert df.exceptAll(plain).count() == 0 and plain.exceptAll(df).count() == 0
+
+
 def test_scale_settings():
     from covlens.plans.settings import scale_settings
 

@@ -207,11 +207,22 @@ def _verdicts(rows: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the repeats, with the columns of docs."""
-    name = "_rid"
+    """docs without the repeats, with the columns of docs.
+
+    Rows are told apart by doc_id and digest, so the documents are read twice
+    and not copied; of rows equal in both, any one stays.
+    """
+    name = "_digest"
     while name.lower() in (c.lower() for c in docs.columns):
         name += "_"
-    numbered = with_row_id(docs, "dedup-docs", name)
-    rows = numbered.select(F.col(name).alias("_rid"), "doc_id", digest_of(F.col("text")).alias("digest"))
-    kept = _verdicts(stored(rows, "digests")).filter("kept").select(F.col("_rid").alias(name))
-    return numbered.join(kept, name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = with_row_id(docs.select("doc_id", digest_of(F.col("text")).alias("digest")), "digests")
+    same_id = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone = stored(_verdicts(rows).filter(~F.col("kept")).select("doc_id", "digest", same_id.alias("again")).distinct(), "repeats")
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_gone"), "again")
+    marked = docs.withColumn(name, digest_of(F.col("text")))
+    same = marked["doc_id"].eqNullSafe(gone["_id"]) & (marked[name] == gone["_gone"])
+    out = marked.join(gone.filter(~F.col("again")), same, "left_anti")
+    again = gone.filter("again")
+    if not again.isEmpty():
+        out = out.join(again, same, "left_anti").union(out.join(again, same, "left_semi").dropDuplicates(["doc_id", name]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from .language_id import _unit
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Bounds of the fit: documents and windows learned from.
+#: Bounds of the fit: documents and windows learned from, and gradient steps.
 SAMPLE = 600
 TRAIN_WINDOWS = 1_600
-EPOCHS = 10
+STEPS = 250
 BATCH = 64
 #: Characters of a window, its step, and how far a stretch reaches around a digit or ``@``.
 WINDOW, STRIDE, MARGIN = 64, 32, 24
@@ -310,7 +310,7 @@ def _examples(text: str, rng: np.random.Generator) -> list[tuple[np.ndarray, np.
     return out
 
 
-def fit(texts: list[str], epochs: int = EPOCHS) -> Tagger | None:
+def fit(texts: list[str], steps: int = STEPS) -> Tagger | None:
     """A tagger of the base spans of texts, in the given order; None without examples."""
     rng = np.random.default_rng(3)
     examples = [e for t in texts for e in _examples(t, rng)]
@@ -320,17 +320,16 @@ def fit(texts: list[str], epochs: int = EPOCHS) -> Tagger | None:
     x, y = (np.stack([examples[i][j] for i in chosen]) for j in (0, 1))
     tagger = Tagger.fresh(rng)
     mean, square = ({k: np.zeros_like(v) for k, v in tagger.p.items()} for _ in range(2))
-    step = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(x))
-        for first in range(0, len(x), BATCH):
-            step += 1
-            part = order[first:first + BATCH]
-            for k, g in tagger.gradient(x[part], y[part]).items():
-                g = np.clip(g, -1, 1)
-                mean[k] += 0.1 * (g - mean[k])
-                square[k] += 0.01 * (g * g - square[k])
-                tagger.p[k] = (tagger.p[k] + 0.01 * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    order = np.zeros(0, int)
+    for step in range(1, steps + 1):
+        if len(order) < BATCH:
+            order = np.concatenate([order, rng.permutation(len(x))])
+        part, order = order[:BATCH], order[BATCH:]
+        for k, g in tagger.gradient(x[part], y[part]).items():
+            g = np.clip(g, -1, 1)
+            mean[k] += 0.1 * (g - mean[k])
+            square[k] += 0.01 * (g * g - square[k])
+            tagger.p[k] = (tagger.p[k] + 0.01 * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return tagger
 
 

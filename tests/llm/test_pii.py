@@ -101,13 +101,18 @@ def test_corpus(spark):
         assert set(filter(None, pii.written(want).split(","))) <= set(r["spans"].split(","))
         if not re.search("[0-9@]", texts[r["doc_id"]]):
             assert r["spans"] == ""
-    # The tagger alone, on the documents it was not shown the patterns of, finds most of them.
+
+
+def test_tagger_alone_finds_most_spans_of_other_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text rlike '[0-9@]'").orderBy("doc_id")
+    texts = [r["text"] for r in docs.select("text").collect()]
+    tagger = pii.fit(texts[:500])
     found = total = 0
-    for text in list(texts.values()):
+    for text in texts[500:]:
         chars = pii.codes(text)
         parts = pii.stretches(chars)
         for (a, b), tags in zip(parts, tagger.decode(tagger.stretch_scores([chars[a:b] for a, b in parts])), strict=True):
             mine = {(k, a + s, a + e) for k, s, e in pii._runs(tags)}
             base = {s for s in pii.base_spans(text) if a <= s[1] and s[2] <= b}
             found, total = found + len(mine & base), total + len(base)
-    assert found >= 0.8 * total
+    assert total > 50 and found >= 0.85 * total

@@ -10,7 +10,8 @@ runs whose marginal is at least one half are the page's text.
 The weights are fitted by maximum likelihood on labelled pages: a bounded
 sample of pages that mark their article by an element of its own, labelled by
 that markup, each also in variants whose element names are replaced by plain
-ones with telling class names and to which boilerplate blocks are added, so
+ones with telling class names and to which boilerplate blocks and content
+of other kinds (lists, quotes, tables) are added, so
 the model does not hang on one way of writing pages.
 
 Defined results: null or empty html, or a page without content, gives the empty
@@ -59,12 +60,12 @@ TEXT = NAMES.index("text")
 CUES = {
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs toc pager pagination tabs",
     "ad": "ad ads advert advertisement adverts sponsor sponsored promo promotion banner",
-    "side": "sidebar side aside widget rail related recommended trending popular more",
+    "side": "sidebar side aside widget rail related recommended trending popular more complementary",
     "comment": "comment comments reply replies respond discussion disqus feedback reviews",
-    "foot": "footer foot copyright legal colophon",
+    "foot": "footer foot copyright legal colophon contentinfo",
     "head": "header masthead topbar logo branding site",
     "notice": "cookie cookies notice consent gdpr alert popup modal overlay newsletter subscribe subscription signup login paywall",
-    "share": "share sharing social follow buttons toolbar print",
+    "share": "share sharing social follow buttons toolbar print search",
     "content": "content article post entry story text body main prose page",
 }
 _CUE = {word: i for i, words in enumerate(CUES.values()) for word in words.split()}
@@ -281,6 +282,12 @@ _EXTRA = [
     "<header><h2>{0}</h2><p>{1}</p></header>", '<div class="related"><h4>{0}</h4><a href="/b">{1}</a></div>',
     '<div class="newsletter subscribe"><p>{2}</p></div>', '<div class="share"><a href="/c">{0}</a></div>',
 ]
+#: Content of other kinds than paragraphs, added inside the article.
+_CONTENT = [
+    "<ul><li>{0}</li><li>{1}</li></ul>", "<ol><li>{0}</li><li>{1}</li><li>{2}</li></ol>", "<blockquote><p>{1}</p></blockquote>",
+    "<table><tr><th>{0}</th><td>{1}</td></tr></table>", "<dl><dt>{0}</dt><dd>{2}</dd></dl>", "<h2>{0}</h2><pre>{1}</pre>",
+    "<figure><figcaption>{2}</figcaption></figure>", "<section><h3>{0}</h3><p>{1}</p></section>", "<div><p>{2}</p></div>",
+]
 
 
 def variants(source: str, rng: np.random.Generator) -> list[tuple[Page, np.ndarray]]:
@@ -294,6 +301,8 @@ def variants(source: str, rng: np.random.Generator) -> list[tuple[Page, np.ndarr
     for nth in range(1, 5):
         extra = [x.format(*(html.escape(texts[i]) for i in rng.integers(0, len(texts), 3))) for x in rng.choice(_EXTRA, 3, replace=False)]
         inner, outer, after = extra
+        more = "".join(x.format(*(html.escape(texts[i]) for i in rng.integers(0, len(texts), 3))) for x in rng.choice(_CONTENT, 2, replace=False))
+        inner = more + inner if rng.random() < 0.5 else inner + more
 
         def rewrite(m, nth=nth, inner=inner, outer=outer, after=after):
             new = _AS[m[2].lower()][nth]

@@ -16,14 +16,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch while a table is written: whole texts and sets are long rows.
+BATCH_ROWS = 1_000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """The frame written once to the shared folder and read back: lineage ends there.
 
-    Files of lost executors stay readable, and every later use reads the same rows.
+    Files of lost executors stay readable, and every later use reads the same
+    rows. During the write Python workers get at most BATCH_ROWS rows at once.
     """
     spark = df.sparkSession
     path = fresh_path(spark, f"llm/{kind}")
-    df.write.parquet(path)
+    before = spark.conf.get(_ARROW_ROWS)
+    spark.conf.set(_ARROW_ROWS, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -42,7 +42,7 @@ WIDTH = 3
 SUBKEYS = 10
 HASHES = 2 * SUBKEYS * WIDTH
 #: Bytes of text handled at once.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 20
 #: Sets and shingles of a block, on average.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 500_000
 

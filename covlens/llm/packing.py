@@ -37,9 +37,9 @@ MAX_LOSS = 4096
 #: Waiting examples at which a block is packed.
 BLOCK = 1024
 #: Bytes of text cut into words at once.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 #: Words whose ids a Python worker remembers; beyond them it starts anew.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 300_000
 END_ID = 2
 
 PIECES = (

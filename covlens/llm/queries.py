@@ -42,7 +42,23 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@register("op3_near_dedup")
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 2], ' ') AS s FROM
+  (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, both_ways.y FROM reach JOIN both_ways ON reach.r = both_ways.x),
+least AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN least ON d.doc_id = least.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
+
+@register("op3_near_dedup", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -84,7 +100,22 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-@register("op10_substring_dedup")
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+win AS (SELECT doc_id, p, array_to_string(w[p:p + 34], ' ') AS s FROM places WHERE p + 34 <= len(w)),
+rep AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+starts AS (SELECT doc_id, p FROM win JOIN rep ON win.s = rep.s),
+gone AS (SELECT DISTINCT doc_id, p + k AS p FROM starts CROSS JOIN range(0, 35) AS r(k)),
+kept AS (SELECT a.doc_id, count(*) AS n_words, count(g.p) AS n_removed,
+  coalesce(string_agg(CASE WHEN g.p IS NULL THEN a.w[a.p] END, ' ' ORDER BY a.p), '') AS text
+  FROM places a LEFT JOIN gone g ON a.doc_id = g.doc_id AND a.p = g.p GROUP BY a.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
+@register("op10_substring_dedup", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(read_table(spark, sf_dir, "documents"), window=35)
 

@@ -55,7 +55,7 @@ KINDS = {
 }
 NAMES = list(KINDS)
 KIND_OF = {tag: i for i, tags in enumerate(KINDS.values()) for tag in tags}
-TEXT = NAMES.index("text")
+TEXT, _PARAGRAPH = NAMES.index("text"), NAMES.index("paragraph")
 #: Class and id words that tell what an element is for.
 CUES = {
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs toc pager pagination tabs",
@@ -156,7 +156,7 @@ def parse(source: str) -> Page:
             close_run()
             in_link = 0
             closes, limits = _CLOSES.get(tag, ()), _SHUT_IN.get(tag, ())
-            if tag in KINDS["heading"] or KIND_OF[tag] not in (_PARAGRAPH,):
+            if KIND_OF[tag] != _PARAGRAPH:
                 closes = (*closes, "p")  # a block element ends an open paragraph
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][1] in closes:
@@ -175,7 +175,6 @@ def parse(source: str) -> Page:
     return page
 
 
-_PARAGRAPH = NAMES.index("paragraph")
 FEATURES = len(NAMES) + len(CUES) + 8
 #: Kinds that are judged by what they are marked as and by their links alone.
 INNER = [NAMES.index(k) for k in ("paragraph", "heading", "list", "item", "table", "figure", "text")]

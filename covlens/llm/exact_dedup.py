@@ -219,7 +219,8 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     same_id = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     gone = stored(_verdicts(rows).filter(~F.col("kept")).select("doc_id", "digest", same_id.alias("again")).distinct(), "repeats")
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_gone"), "again")
-    marked = docs.withColumn(name, digest_of(F.col("text")))
+    # The repeats grow with the documents, so the join is a shuffled one at every size.
+    marked = docs.withColumn(name, digest_of(F.col("text"))).hint("merge")
     same = marked["doc_id"].eqNullSafe(gone["_id"]) & (marked[name] == gone["_gone"])
     out = marked.join(gone.filter(~F.col("again")), same, "left_anti")
     again = gone.filter("again")

@@ -16,8 +16,10 @@ DataFrame functions. The anchors are met in blocks of at most ANCHOR_BLOCK
 rows, each broadcast: a larger benchmark takes more passes over the documents,
 and never a shuffle of their words.
 
-A name is told by its capital, so a copy written all in capitals matches only
-in the windows without names.
+Item and document are compared in several readings (READINGS), each with its
+own windows, and a window found in any of them is found: literal words with
+numbers alone replaced, which letter case and white space do not change, and
+templates with names, which are told by their capitals.
 
 Defined results: null or empty text matches nothing; items without words are
 ignored; rows that share an item_id are one item, and rows that share a doc_id
@@ -48,9 +50,11 @@ UNITS = [
 
 #: Placeholders: characters of the private use area, which no pattern below takes for a letter or a mark.
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
+#: Marks before and after a name while a text is read.
+_OPEN, _CLOSE = "\ue003", "\ue004"
 
 _BLANK = r"[\x20\x09-\x0D]"
-_MARK = r"[^\p{L}\p{N}\x20\x09-\x0D\x{E000}-\x{E002}]"
+_MARK = r"[^\p{L}\p{N}\x20\x09-\x0D\x{E000}-\x{E005}]"
 _AROUND = rf"(?<![^\x20\x09-\x0D]){_MARK}++|(?<!{_MARK}){_MARK}++(?={_BLANK}|$)"
 #: A capitalised word after a word or a comma, so not the first of its sentence.
 _NAME = r"\p{Lu}(?<=[\p{L}\p{N},;][\x20]\p{Lu})\p{Ll}++(?!\p{L})"
@@ -58,58 +62,89 @@ _NUMBER = r"(?<![^\x20\x09-\x0D])[^\p{N}\x20\x09-\x0D]*+\p{N}[^\x20\x09-\x0D]*+"
 _UNIT = rf"{NUMBER}[\x20](?:{'|'.join(UNITS)})(?={_BLANK}|$)"
 
 
+#: What is taken for a name in each reading; the reading without names leaves units as they are.
+READINGS = [None, _NAME]
+
+
+def _spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, rf"{_BLANK}+", " "))
+
+
+def _bare(text: Column, names: str | None) -> Column:
+    spaced = _spaced(text)
+    marked = F.regexp_replace(spaced, names, f"{_OPEN}$0{_CLOSE}") if names else spaced
+    return F.lower(F.regexp_replace(marked, _AROUND, ""))
+
+
 def _split(text: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(text, rf"{_BLANK}+", " ")), " ")
+    return F.split(_spaced(text), " ")
 
 
-def value_words(text: Column) -> Column:
+def value_words(text: Column, names: str | None = None) -> Column:
     """The words of a text without the marks around them, in lower case."""
-    return _split(F.lower(F.regexp_replace(text, _AROUND, "")))
+    bare = _bare(text, names)
+    return _split(F.translate(bare, _OPEN + _CLOSE, "") if names else bare)
 
 
-def template_words(text: Column) -> Column:
-    """As many words as ``value_words``, with placeholders for names, numbers and units."""
-    bare = F.lower(F.regexp_replace(F.regexp_replace(text, _NAME, NAME), _AROUND, ""))
+def template_words(text: Column, names: str | None = _NAME) -> Column:
+    """As many words as ``value_words``, with placeholders for numbers and, if ``names`` is given, for names and units."""
+    bare = _bare(text, names)
+    if not names:
+        return _split(F.regexp_replace(bare, _NUMBER, NUMBER))
+    bare = F.regexp_replace(bare, f"{_OPEN}[^{_CLOSE}]*+{_CLOSE}", NAME)
     return _split(F.regexp_replace(F.regexp_replace(bare, _NUMBER, NUMBER), _UNIT, f"{NUMBER} {UNIT}"))
 
 
+def _readings(text: Column, values: bool) -> Column:
+    """(reading, t) or (reading, t, v) rows: the text's template words, and its value words if asked, in each reading."""
+    rows = []
+    for reading, names in enumerate(READINGS):
+        words = [template_words(text, names).alias("t")] + ([value_words(text, names).alias("v")] if values else [])
+        rows.append(F.struct(F.lit(reading).alias("reading"), *words))
+    return F.inline(F.array(*rows))
+
+
 def _slots(template: Column) -> Column:
     return F.exists(template, lambda w: w.isin(NAME, NUMBER, UNIT))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, nth, length, whash, anchor, at, has_slots, template, item_values): the windows of all items."""
-    words = benchmark.filter(F.col("text").isNotNull()).select("item_id", template_words(F.col("text")).alias("t"), value_words(F.col("text")).alias("v"))
+    """(item_id, part, reading, nth, length, whash, anchor, at, has_slots, template, item_values): the windows of all
+    items in all readings; ``part`` tells different texts of one item apart."""
+    texts = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text").distinct()
+    words = texts.select("item_id", F.xxhash64("text").alias("part"), _readings(F.col("text"), values=True))
     words = words.filter(F.array_join("t", "") != "")
     last = F.greatest(F.size("t") - window, F.lit(0))
-    cut = words.select("item_id", "t", "v", F.explode(F.sequence(F.lit(0), last)).alias("nth"))
+    cut = words.select("item_id", "part", "reading", "t", "v", F.explode(F.sequence(F.lit(0), last)).alias("nth"))
     cut = cut.select(
-        "item_id", "nth", F.expr(f"slice(t, nth + 1, {window})").alias("template"), F.expr(f"slice(v, nth + 1, {window})").alias("item_values")
+        "item_id", "part", "reading", "nth",
+        F.expr(f"slice(t, nth + 1, {window})").alias("template"), F.expr(f"slice(v, nth + 1, {window})").alias("item_values"),
     )
     cut = cut.withColumn("whash", F.xxhash64(F.array_join("template", " "))).withColumn("length", F.size("template"))
     cut = stored(cut.withColumn("has_slots", _slots(F.col("template"))), "item-windows")
     # The anchor: the window's word that fewest windows hold, the longest of those, the first of those.
-    held = cut.select("item_id", "nth", "whash", F.posexplode("template").alias("at", "anchor"))
-    common = stored(held.groupBy("anchor").agg(F.count(F.lit(1)).alias("windows")), "item-words")
-    best = Window.partitionBy("whash").orderBy("windows", F.desc(F.length("anchor")), "at", "anchor")
-    anchors = held.join(common, "anchor").withColumn("rank", F.row_number().over(best)).filter("rank = 1")
-    return stored(cut.join(stored(anchors.select("whash", "anchor", "at"), "item-anchors"), "whash"), "anchored-windows")
+    held = cut.select("item_id", "reading", "nth", "whash", F.posexplode("template").alias("at", "anchor"))
+    common = stored(held.groupBy("reading", "anchor").agg(F.count(F.lit(1)).alias("windows")), "item-words")
+    best = Window.partitionBy("reading", "whash").orderBy("windows", F.desc(F.length("anchor")), "at", "anchor")
+    anchors = held.join(common, ["reading", "anchor"]).withColumn("rank", F.row_number().over(best)).filter("rank = 1")
+    return stored(cut.join(stored(anchors.select("reading", "whash", "anchor", "at"), "item-anchors"), ["reading", "whash"]), "anchored-windows")
 
 
 def window_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, whash, doc_values): item windows found in documents; values only where the template has slots."""
-    anchors = stored(windows.select("anchor", "at", "length", "whash", "has_slots").distinct(), "anchors")
+    """(doc_id, reading, whash, doc_values): item windows found in documents; values only where the template has slots."""
+    anchors = stored(windows.select("reading", "anchor", "at", "length", "whash", "has_slots").distinct(), "anchors")
     blocks = max(1, -(-anchors.count() // ANCHOR_BLOCK))
-    words = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", template_words(F.col("text")).alias("t"))
-    places = words.select("doc_id", "text", "t", F.posexplode_outer("t").alias("place", "anchor"))
-    values = F.slice(value_words(F.col("text")), F.col("first") + 1, F.col("length"))
+    words = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", _readings(F.col("text"), values=False))
+    places = words.select("doc_id", "text", "reading", "t", F.posexplode_outer("t").alias("place", "anchor"))
+    values = F.coalesce(*[F.when(F.col("reading") == r, value_words(F.col("text"), names)) for r, names in enumerate(READINGS)])
+    values = F.slice(values, F.col("first") + 1, F.col("length"))
     hits = []
     for block in range(blocks):
         some = anchors.filter(F.pmod(F.xxhash64("whash"), F.lit(blocks)) == block)
-        met = places.join(F.broadcast(some), "anchor").withColumn("first", F.col("place") - F.col("at"))
+        met = places.join(F.broadcast(some), ["reading", "anchor"]).withColumn("first", F.col("place") - F.col("at"))
         met = met.filter("first >= 0 and first + length <= size(t)")
         met = met.filter("xxhash64(array_join(slice(t, first + 1, length), ' ')) = whash")
-        hits.append(met.select("doc_id", "whash", F.when(F.col("has_slots"), values).alias("doc_values")))
+        hits.append(met.select("doc_id", "reading", "whash", F.when(F.col("has_slots"), values).alias("doc_values")))
     return reduce(DataFrame.union, hits)
 
 
@@ -124,12 +159,13 @@ def consistent(template: Column, item_values: Column, doc_values: Column) -> Col
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
     """(doc_id, item_id, windows_found, windows_total, share) of each contaminated document and item."""
     windows = item_windows(benchmark, window)
-    totals = stored(windows.groupBy("item_id").agg(F.count_distinct("whash").alias("windows_total")), "item-totals")
+    totals = windows.select("item_id", "part", "nth").distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("windows_total"))
+    totals = stored(totals, "item-totals")
     hits = window_hits(docs, windows)
-    lookup = stored(windows.select("whash", "item_id", "has_slots", "template", "item_values").distinct(), "window-lookup")
+    lookup = windows.select("reading", "whash", "item_id", "part", "nth", "has_slots", "template", "item_values").distinct()
     same = ~F.col("has_slots") | consistent(F.col("template"), F.col("item_values"), F.col("doc_values"))
-    matched = hits.join(lookup, "whash").filter(same)
-    found = matched.select("doc_id", "item_id", "whash").distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("windows_found"))
+    matched = hits.join(stored(lookup, "window-lookup"), ["reading", "whash"]).filter(same)
+    found = matched.select("doc_id", "item_id", "part", "nth").distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("windows_found"))
     share = F.col("windows_found") / F.col("windows_total")
     return found.join(totals, "item_id").select("doc_id", "item_id", "windows_found", "windows_total", share.alias("share")).filter(share >= min_share)
 

@@ -41,6 +41,14 @@ def test_copies_and_new_values(make_docs, benchmark):
     assert shares[5] < shares[2]  # windows whose slots are inconsistent do not count
 
 
+def test_copies_in_other_case_and_lines(make_docs, benchmark):
+    short = "Short item of six words only."
+    lines = ITEM.replace("before Anna", "before\n Anna").replace("did Anna", "did\tAnna").replace("240 km", "240\r\nkm")
+    rows = [(1, f"x {ITEM.upper()} y"), (2, f"x {ITEM.lower()} y"), (3, f"x {lines} y"), (4, f"x {ITEM.title()} y"), (5, f"he wrote {short.lower()} then left")]
+    found = {(r["doc_id"], r["item_id"]): r["share"] for r in contaminated(make_docs(rows), benchmark).collect()}
+    assert found == {(1, 0): 1.0, (2, 0): 1.0, (3, 0): 1.0, (4, 0): 1.0, (5, 1): 1.0}
+
+
 def test_odd_rows(odd_docs, benchmark):
     assert _found(odd_docs, benchmark) == set()
     kept = drop_contaminated(odd_docs, benchmark)

@@ -19,7 +19,11 @@ and never a shuffle of their words.
 Item and document are compared in several readings (READINGS), each with its
 own windows, and a window found in any of them is found: literal words with
 numbers alone replaced, which letter case and white space do not change, and
-templates with names, which are told by their capitals.
+templates with names, which are told by their capitals. A capital at the start
+of a sentence or after a mark may or may not be a name's, so one reading takes
+it for a name and one does not. Names side by side are one name, so names of
+several words match names of one. Windows are counted by the words of the item
+that they cover, which are the same in all readings.
 
 Defined results: null or empty text matches nothing; items without words are
 ignored; rows that share an item_id are one item, and rows that share a doc_id
@@ -50,20 +54,22 @@ UNITS = [
 
 #: Placeholders: characters of the private use area, which no pattern below takes for a letter or a mark.
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
-#: Marks before and after a name while a text is read.
-_OPEN, _CLOSE = "\ue003", "\ue004"
+#: Marks before and after a name while a text is read, and between the words of one name.
+_OPEN, _CLOSE, _JOIN = "\ue003", "\ue004", "\ue005"
 
 _BLANK = r"[\x20\x09-\x0D]"
 _MARK = r"[^\p{L}\p{N}\x20\x09-\x0D\x{E000}-\x{E005}]"
 _AROUND = rf"(?<![^\x20\x09-\x0D]){_MARK}++|(?<!{_MARK}){_MARK}++(?={_BLANK}|$)"
 #: A capitalised word after a word or a comma, so not the first of its sentence.
 _NAME = r"\p{Lu}(?<=[\p{L}\p{N},;][\x20]\p{Lu})\p{Ll}++(?!\p{L})"
+#: Any capitalised word.
+_CAPITALISED = r"(?<!\p{L})\p{Lu}\p{Ll}++(?!\p{L})"
 _NUMBER = r"(?<![^\x20\x09-\x0D])[^\p{N}\x20\x09-\x0D]*+\p{N}[^\x20\x09-\x0D]*+"
 _UNIT = rf"{NUMBER}[\x20](?:{'|'.join(UNITS)})(?={_BLANK}|$)"
 
 
 #: What is taken for a name in each reading; the reading without names leaves units as they are.
-READINGS = [None, _NAME]
+READINGS = [None, _NAME, _CAPITALISED]
 
 
 def _spaced(text: Column) -> Column:
@@ -72,8 +78,9 @@ def _spaced(text: Column) -> Column:
 
 def _bare(text: Column, names: str | None) -> Column:
     spaced = _spaced(text)
-    marked = F.regexp_replace(spaced, names, f"{_OPEN}$0{_CLOSE}") if names else spaced
-    return F.lower(F.regexp_replace(marked, _AROUND, ""))
+    if names:
+        spaced = F.replace(F.regexp_replace(spaced, names, f"{_OPEN}$0{_CLOSE}"), F.lit(f"{_CLOSE} {_OPEN}"), F.lit(_JOIN))
+    return F.lower(F.regexp_replace(spaced, _AROUND, ""))
 
 
 def _split(text: Column) -> Column:
@@ -81,7 +88,7 @@ def _split(text: Column) -> Column:
 
 
 def value_words(text: Column, names: str | None = None) -> Column:
-    """The words of a text without the marks around them, in lower case."""
+    """The words of a text without the marks around them, in lower case; the words of a name are one."""
     bare = _bare(text, names)
     return _split(F.translate(bare, _OPEN + _CLOSE, "") if names else bare)
 
@@ -108,9 +115,16 @@ def _slots(template: Column) -> Column:
     return F.exists(template, lambda w: w.isin(NAME, NUMBER, UNIT))
 
 
+def _literal_words(values: Column) -> Column:
+    """The number of words, each word of a name counted."""
+    joined = F.array_join(values, "")
+    return F.size(values) + F.length(joined) - F.length(F.replace(joined, F.lit(_JOIN), F.lit("")))
+
+
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, part, reading, nth, length, whash, anchor, at, has_slots, template, item_values): the windows of all
-    items in all readings; ``part`` tells different texts of one item apart."""
+    """(item_id, part, reading, nth, start, stop, length, whash, anchor, at, has_slots, template, item_values): the
+    windows of all items in all readings, from literal word ``start`` to before ``stop``; ``part`` tells different
+    texts of one item apart."""
     texts = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text").distinct()
     words = texts.select("item_id", F.xxhash64("text").alias("part"), _readings(F.col("text"), values=True))
     words = words.filter(F.array_join("t", "") != "")
@@ -119,7 +133,9 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     cut = cut.select(
         "item_id", "part", "reading", "nth",
         F.expr(f"slice(t, nth + 1, {window})").alias("template"), F.expr(f"slice(v, nth + 1, {window})").alias("item_values"),
+        _literal_words(F.slice("v", F.lit(1), F.col("nth"))).alias("start"),
     )
+    cut = cut.withColumn("stop", F.col("start") + _literal_words(F.col("item_values")))
     cut = cut.withColumn("whash", F.xxhash64(F.array_join("template", " "))).withColumn("length", F.size("template"))
     cut = stored(cut.withColumn("has_slots", _slots(F.col("template"))), "item-windows")
     # The anchor: the window's word that fewest windows hold, the longest of those, the first of those.
@@ -159,13 +175,15 @@ def consistent(template: Column, item_values: Column, doc_values: Column) -> Col
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
     """(doc_id, item_id, windows_found, windows_total, share) of each contaminated document and item."""
     windows = item_windows(benchmark, window)
-    totals = windows.select("item_id", "part", "nth").distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("windows_total"))
+    totals = windows.filter("reading = 0").select("item_id", "part", "nth").distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("windows_total"))
     totals = stored(totals, "item-totals")
     hits = window_hits(docs, windows)
-    lookup = windows.select("reading", "whash", "item_id", "part", "nth", "has_slots", "template", "item_values").distinct()
+    lookup = windows.select("reading", "whash", "item_id", "part", "start", "stop", "has_slots", "template", "item_values").distinct()
     same = ~F.col("has_slots") | consistent(F.col("template"), F.col("item_values"), F.col("doc_values"))
     matched = hits.join(stored(lookup, "window-lookup"), ["reading", "whash"]).filter(same)
-    found = matched.select("doc_id", "item_id", "part", "nth").distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("windows_found"))
+    covered = F.sequence("start", F.greatest("start", F.col("stop") - window))  # the literal windows in a window
+    matched = matched.select("doc_id", "item_id", "part", F.explode(covered).alias("nth"))
+    found = matched.distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("windows_found"))
     share = F.col("windows_found") / F.col("windows_total")
     return found.join(totals, "item_id").select("doc_id", "item_id", "windows_found", "windows_total", share.alias("share")).filter(share >= min_share)
 

@@ -49,6 +49,22 @@ def test_copies_in_other_case_and_lines(make_docs, benchmark):
     assert found == {(1, 0): 1.0, (2, 0): 1.0, (3, 0): 1.0, (4, 0): 1.0, (5, 1): 1.0}
 
 
+def test_names_at_sentence_starts_and_of_several_words(spark, make_docs):
+    short = "Tom has 5 apples. Tom buys 3 more apples, then Tom eats 2 apples. How many are left for Tom?"
+    place = "On a cold day in March the last train from Paris took nine hours to reach the sea near Berlin and came back."
+    quoted = 'Asked who wrote it, she said: "Anna and (Peter) wrote it together over one long summer by the lake."'
+    items = spark.createDataFrame([(0, short), (1, place), (2, quoted), (3, "Anna has 5 red pens.")], "item_id long, text string")
+    rows = [
+        (1, short.replace("Tom", "Marta").replace("5", "6")), (2, short.replace("Tom", "Mary Jane")), (3, "And so: " + short.replace("Tom", "Jim")),
+        (4, place.replace("Paris", "New York City").replace("Berlin", "Los Angeles")), (5, "we know that on" + place[2:].replace("Paris", "Rome")),
+        (6, quoted.replace("Anna", "Marta").replace("Peter", "John")), (7, 'he asked "Marta has 7 red pens" and left'), (8, "Tom Lee has 7 red pens."),
+        (9, "Tom has 5 apples. How many oranges are left for Anna?"),
+    ]
+    found = {(r["doc_id"], r["item_id"]): r["share"] for r in contaminated(make_docs(rows), items).collect()}
+    assert set(found) == {(1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 2), (7, 3), (8, 3)}
+    assert all(share == 1.0 for share in found.values())
+
+
 def test_odd_rows(odd_docs, benchmark):
     assert _found(odd_docs, benchmark) == set()
     kept = drop_contaminated(odd_docs, benchmark)

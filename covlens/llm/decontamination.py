@@ -6,8 +6,13 @@ again with other values has the same template. Every WINDOW consecutive
 template words of an item (all of a shorter item) are looked up in the
 documents by hash joins. A matching window counts if its slots are consistent:
 equal slot values in the item stand for equal values in the document. A
-document is contaminated by an item if consistent windows cover at least
-MIN_SHARE of the item's windows.
+document is contaminated by an item if at least MIN_SHARE of the item's windows
+are found, or a run of RUN consecutive words, or an edited copy: items between
+WINDOW and 2 RUN words long are also looked up by seeds, windows of at most half
+the item, and around each seed that is found the item's words are compared one
+by one, moved by up to one word, of which at least MIN_WORDS must be there. So
+one word changed, added or dropped anywhere in an item of more than WINDOW
+words leaves it found. Items of up to WINDOW words must be there as a whole.
 
 The lookup goes through each window's anchor, the word that fewest windows of
 the benchmark hold: document words are joined with the anchors, and only where
@@ -42,6 +47,10 @@ from .common import stored
 
 WINDOW = 8
 MIN_SHARE = 0.5
+#: Consecutive words of an item that are enough.
+RUN = 13
+#: Share of a short item's words that an edited copy keeps.
+MIN_WORDS = 0.85
 #: Rows of an anchor block: the size bound of what is broadcast.
 ANCHOR_BLOCK = 50_000
 
@@ -122,21 +131,24 @@ def _literal_words(values: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, part, reading, nth, start, stop, length, whash, anchor, at, has_slots, template, item_values): the
-    windows of all items in all readings, from literal word ``start`` to before ``stop``; ``part`` tells different
-    texts of one item apart."""
+    """(item_id, part, reading, seed, nth, start, stop, length, whash, anchor, at, has_slots, template, item_values, t,
+    v): the windows of all items in all readings, from literal word ``start`` to before ``stop``; ``part`` tells
+    different texts of one item apart. Seeds have the item's words ``t`` and ``v`` with them."""
     texts = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text").distinct()
     words = texts.select("item_id", F.xxhash64("text").alias("part"), _readings(F.col("text"), values=True))
     words = words.filter(F.array_join("t", "") != "")
-    last = F.greatest(F.size("t") - window, F.lit(0))
-    cut = words.select("item_id", "part", "reading", "t", "v", F.explode(F.sequence(F.lit(0), last)).alias("nth"))
+    whole = F.struct(F.lit(False).alias("seed"), F.least(F.size("t"), F.lit(window)).alias("length"))
+    half = F.struct(F.lit(True).alias("seed"), F.least(F.expr("size(t) div 2"), F.lit(window)).alias("length"))
+    kinds = F.when(F.size("t").between(window + 1, 2 * RUN), F.array(whole, half)).otherwise(F.array(whole))
+    cut = words.select("item_id", "part", "reading", "t", "v", F.inline(kinds))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("length"))).alias("nth"))
     cut = cut.select(
-        "item_id", "part", "reading", "nth",
-        F.expr(f"slice(t, nth + 1, {window})").alias("template"), F.expr(f"slice(v, nth + 1, {window})").alias("item_values"),
-        _literal_words(F.slice("v", F.lit(1), F.col("nth"))).alias("start"),
+        "item_id", "part", "reading", "seed", "length", "nth",
+        F.slice("t", F.col("nth") + 1, F.col("length")).alias("template"), F.slice("v", F.col("nth") + 1, F.col("length")).alias("item_values"),
+        _literal_words(F.slice("v", F.lit(1), F.col("nth"))).alias("start"), F.when(F.col("seed"), F.col("t")).alias("t"), F.when(F.col("seed"), F.col("v")).alias("v"),
     )
     cut = cut.withColumn("stop", F.col("start") + _literal_words(F.col("item_values")))
-    cut = cut.withColumn("whash", F.xxhash64(F.array_join("template", " "))).withColumn("length", F.size("template"))
+    cut = cut.withColumn("whash", F.xxhash64(F.array_join("template", " ")))
     cut = stored(cut.withColumn("has_slots", _slots(F.col("template"))), "item-windows")
     # The anchor: the window's word that fewest windows hold, the longest of those, the first of those.
     held = cut.select("item_id", "reading", "nth", "whash", F.posexplode("template").alias("at", "anchor"))
@@ -147,20 +159,27 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def window_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, reading, whash, doc_values): item windows found in documents; values only where the template has slots."""
-    anchors = stored(windows.select("reading", "anchor", "at", "length", "whash", "has_slots").distinct(), "anchors")
+    """(doc_id, reading, whash, first, doc_values, seed_nth, seed_size, near, near_t, near_v): item windows found in
+    documents, at word ``first``; values only where the template has slots. Seeds come with the document's words in
+    which their item would be, from word ``near`` on."""
+    seed = [F.when(F.col("seed"), F.col("nth")).alias("seed_nth"), F.when(F.col("seed"), F.size("t")).alias("seed_size")]
+    anchors = stored(windows.select("reading", "anchor", "at", "length", "whash", "has_slots", *seed).distinct(), "anchors")
     blocks = max(1, -(-anchors.count() // ANCHOR_BLOCK))
     words = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", _readings(F.col("text"), values=False))
     places = words.select("doc_id", "text", "reading", "t", F.posexplode_outer("t").alias("place", "anchor"))
     values = F.coalesce(*[F.when(F.col("reading") == r, value_words(F.col("text"), names)) for r, names in enumerate(READINGS)])
-    values = F.slice(values, F.col("first") + 1, F.col("length"))
+    near = F.greatest(F.col("first") - F.col("seed_nth") - 1, F.lit(0))
+    around = [F.when(F.col("seed_nth").isNotNull(), F.slice(words, F.col("near") + 1, F.col("seed_size") + 2)) for words in (F.col("t"), values)]
+    values = F.when(F.col("has_slots"), F.slice(values, F.col("first") + 1, F.col("length")))
     hits = []
     for block in range(blocks):
         some = anchors.filter(F.pmod(F.xxhash64("whash"), F.lit(blocks)) == block)
         met = places.join(F.broadcast(some), ["reading", "anchor"]).withColumn("first", F.col("place") - F.col("at"))
         met = met.filter("first >= 0 and first + length <= size(t)")
         met = met.filter("xxhash64(array_join(slice(t, first + 1, length), ' ')) = whash")
-        hits.append(met.select("doc_id", "reading", "whash", F.when(F.col("has_slots"), values).alias("doc_values")))
+        met = met.withColumn("near", F.when(F.col("seed_nth").isNotNull(), near))
+        found = ["doc_id", "reading", "whash", "first", values.alias("doc_values"), "seed_nth", "seed_size", "near"]
+        hits.append(met.select(*found, around[0].alias("near_t"), around[1].alias("near_v")))
     return reduce(DataFrame.union, hits)
 
 
@@ -172,20 +191,54 @@ def consistent(template: Column, item_values: Column, doc_values: Column) -> Col
     return F.size(F.array_distinct(pairs)) == F.size(F.array_distinct(sources))
 
 
+def words_kept() -> Column:
+    """How many of the words ``t`` of a seed's item are in the document, at their places or one beside; slots with a
+    value that contradicts another's do not count."""
+    place = F.col("first") - F.col("near") - F.col("nth")  # of the item's first word in near_t
+
+    def beside(word: Column, i: Column) -> Column:
+        return F.coalesce(*[F.when(F.get("near_t", place + i + by) == word, place + i + by) for by in (0, 1, -1)])
+
+    pairs = F.transform("t", lambda w, i: F.struct(w.alias("t"), F.get("v", i).alias("i"), beside(w, i).alias("at")))
+    pairs = F.filter(pairs, lambda p: p["at"].isNotNull())
+    slots = F.filter(pairs, lambda p: p["t"].isin(NAME, NUMBER, UNIT))
+    sources = F.transform(slots, lambda p: F.struct(p["t"].alias("t"), p["i"].alias("i")))
+    both = F.transform(slots, lambda p: F.struct(p["t"].alias("t"), p["i"].alias("i"), F.get("near_v", p["at"]).alias("d")))
+    return F.size(pairs) - (F.size(F.array_distinct(both)) - F.size(F.array_distinct(sources)))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
-    """(doc_id, item_id, windows_found, windows_total, share) of each contaminated document and item."""
+    """(doc_id, item_id, windows_found, windows_total, share) of each contaminated document and item; an edited copy of
+    a short item may have few windows or none."""
     windows = item_windows(benchmark, window)
-    totals = windows.filter("reading = 0").select("item_id", "part", "nth").distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("windows_total"))
+    totals = windows.filter("reading = 0 and not seed").select("item_id", "part", "nth").distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("windows_total"))
     totals = stored(totals, "item-totals")
-    hits = window_hits(docs, windows)
-    lookup = windows.select("reading", "whash", "item_id", "part", "start", "stop", "has_slots", "template", "item_values").distinct()
+    hits = stored(window_hits(docs, windows), "window-hits")
+    keys = ["reading", "whash", "item_id", "part", "nth"]
     same = ~F.col("has_slots") | consistent(F.col("template"), F.col("item_values"), F.col("doc_values"))
-    matched = hits.join(stored(lookup, "window-lookup"), ["reading", "whash"]).filter(same)
+    lookup = windows.filter("not seed").select(*keys, "start", "stop", "has_slots", "template", "item_values").distinct()
+    matched = hits.filter("seed_nth is null").join(stored(lookup, "window-lookup"), ["reading", "whash"]).filter(same)
+    # Windows that stand side by side in item and document lie on one diagonal.
     covered = F.sequence("start", F.greatest("start", F.col("stop") - window))  # the literal windows in a window
-    matched = matched.select("doc_id", "item_id", "part", F.explode(covered).alias("nth"))
-    found = matched.distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("windows_found"))
+    places = F.struct("nth", covered.alias("covered"))
+    diagonal = matched.groupBy("doc_id", "item_id", "part", "reading", (F.col("first") - F.col("nth")).alias("diagonal"))
+    diagonal = diagonal.agg(F.collect_set(places).alias("places"))
+    side_by_side = max(1, RUN - window + 1)
+    nths = F.transform("places", lambda p: p["nth"])
+    run = F.exists(nths, lambda n: F.size(F.array_intersect(nths, F.sequence(n, n + side_by_side - 1))) == side_by_side)
+    covered_here = F.flatten(F.transform("places", lambda p: p["covered"]))
+    matched = diagonal.select("doc_id", "item_id", "part", run.alias("enough"), F.explode(covered_here).alias("nth"))
+    # Around seeds.
+    lookup = windows.filter("seed").select(*keys, "has_slots", "template", "item_values", "t", "v", F.size("t").alias("seed_size")).distinct()
+    seeds = hits.filter("seed_nth is not null").withColumnRenamed("seed_nth", "nth")
+    seeds = seeds.join(stored(lookup, "seed-lookup"), ["reading", "whash", "nth", "seed_size"]).filter(same)
+    edited = seeds.filter(words_kept() >= MIN_WORDS * F.col("seed_size"))
+    edited = edited.select("doc_id", "item_id", F.lit(None).cast("long").alias("part"), F.lit(True).alias("enough"), F.lit(None).cast("int").alias("nth"))
+    found = matched.union(edited).groupBy("doc_id", "item_id", "part", "nth").agg(F.max("enough").alias("enough"))
+    found = found.groupBy("doc_id", "item_id").agg(F.count("nth").alias("windows_found"), F.max("enough").alias("enough"))
     share = F.col("windows_found") / F.col("windows_total")
-    return found.join(totals, "item_id").select("doc_id", "item_id", "windows_found", "windows_total", share.alias("share")).filter(share >= min_share)
+    out = found.join(totals, "item_id").filter((share >= min_share) | F.col("enough"))
+    return out.select("doc_id", "item_id", "windows_found", "windows_total", share.alias("share"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

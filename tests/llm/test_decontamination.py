@@ -65,6 +65,32 @@ def test_names_at_sentence_starts_and_of_several_words(spark, make_docs):
     assert all(share == 1.0 for share in found.values())
 
 
+def test_one_word_edits(spark, make_docs):
+    import random
+
+    rng, words = random.Random(3), [a + b for a in "ba ke li mo nu".split() for b in "rat sel tig von pum dak".split()]
+    items, docs = [], []
+    for n in range(9, 41):
+        item = [rng.choice(words) for _ in range(n)]
+        item[n // 3] = "Anna"
+        item[n // 2] = "17"
+        items.append((n, " ".join(item)))
+        for at in range(n):
+            for kind, new in enumerate([["changed"], [], [item[at], "added"]]):
+                text = " ".join(["so", "it", "begins:", *item[:at], *new, *item[at + 1:], "and", "ends"])
+                docs.append((n * 1_000 + at * 10 + kind, text))
+    items = spark.createDataFrame(items, "item_id long, text string")
+    found = _found(make_docs(docs).repartition(4), items)
+    assert {(d, d // 1_000) for d, _ in docs} - found == set()
+
+
+def test_part_of_a_long_item(spark, make_docs):
+    words = [f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    items = spark.createDataFrame([(0, " ".join(words))], "item_id long, text string")
+    rows = [(1, "x " + " ".join(words[40:53]) + " y"), (2, "x " + " ".join(words[40:52]) + " y"), (3, " ".join(words[:9] + ["x"] + words[50:60]))]
+    assert _found(make_docs(rows), items) == {(1, 0)}
+
+
 def test_odd_rows(odd_docs, benchmark):
     assert _found(odd_docs, benchmark) == set()
     kept = drop_contaminated(odd_docs, benchmark)

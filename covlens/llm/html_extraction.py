@@ -15,7 +15,8 @@ of other kinds (lists, quotes, tables) are added, so
 the model does not hang on one way of writing pages.
 
 Defined results: null or empty html, or a page without content, gives the empty
-string; a page that stops anywhere is read to its end; repeated rows give equal
+string; a page that stops anywhere is read to its end; a skipped element that is
+never closed hides nothing after it; repeated rows give equal
 results; without any labelled page in the table the weights come from a fixed
 example page; an empty table gives an empty result; only page_id, url and html
 are read.
@@ -43,8 +44,13 @@ _ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _HIDDEN_ATTRIBUTE = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none""", re.I)
 
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "button", "head", "title", "object", "math", "video", "audio", "canvas")
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)|<body\b" if t == "head" else rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
+#: Elements whose content is not markup: without an end tag they go on to the end of the page.
+RAW = ("script", "style", "textarea", "title", "iframe")
+#: Elements whose content is not text of the page: without an end tag of their own they are read on like inline ones.
+SKIPPED = ("noscript", "template", "svg", "select", "button", "object", "video", "audio", "canvas")
+_RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)|<body\b" if t == "head" else rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in (*RAW, "head")}
+_NO_MARKUP = rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})\b[^>]*>.*?(?:</\1\b|\Z)"
+_PAIR = {t: re.compile(rf"{_NO_MARKUP}|<(/?){t}(?![^\s/>])((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>", re.I | re.S) for t in SKIPPED}
 VOID = frozenset(["br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"])
 #: Kinds of block elements; every other element is inline.
 KINDS = {
@@ -106,11 +112,26 @@ def _cues(attributes: str) -> int:
     return out
 
 
+def _pairs(source: str, tag: str) -> dict[int, int]:
+    """Where each element of a kind starts, and the place after its own end tag; elements without one are left out."""
+    out, opened = {}, []
+    for m in _PAIR[tag].finditer(source):
+        if m[2] == "/" and opened:
+            out[opened.pop()] = m.end()
+        elif m[2] == "":
+            if tag == "svg" and m[3].endswith("/"):
+                out[m.start()] = m.end()
+            else:
+                opened.append(m.start())
+    return out
+
+
 def parse(source: str) -> Page:
     """The block tree of a page with its inline text runs as leaves."""
     page, stack = Page(), [(0, "body")]
     run: list[str] = []
     linked, in_link = 0, 0
+    pairs: dict[str, dict[int, int]] = {}
 
     def close_run() -> None:
         nonlocal linked
@@ -145,9 +166,14 @@ def parse(source: str) -> Page:
                         pass
         elif tag in _RAW_END:
             end = _RAW_END[tag].search(source, at)
-            if end is None:
+            if end is not None:
+                at = end.start() if end[0][1] != "/" else end.end()
+            elif tag in RAW:
                 break
-            at = end.start() if end[0][1] != "/" else end.end()
+        elif tag in SKIPPED:
+            if tag not in pairs:
+                pairs[tag] = _pairs(source, tag)
+            at = pairs[tag].get(m.start(), at)
         elif tag == "a":
             in_link += 1
         elif tag in BLOCK:

@@ -42,6 +42,25 @@ def test_odd_pages(model):
     assert model.texts([]) == []
 
 
+def _texts(source):
+    return [t for t in parse(source).text if t]
+
+
+def test_skipped_elements_hide_nothing_else(model):
+    assert _texts('<article><p>a</p><svg width="1"/><p>b</p><svg><text>no</text></svg><p>c</p></article>') == ["a", "b", "c"]
+    for tag in ("button", "select", "object", "video", "audio", "canvas", "svg", "noscript", "template"):
+        assert _texts(f"<{tag} x><article><p>a</p><p>b</p></article>")[-2:] == ["a", "b"]
+        assert _texts(f"<{tag}><p>a</p><{tag}>no</{tag}><p>b</p>") == ["a", "b"]
+        assert _texts(f"<p>a</p><{tag}>no<{tag}>no</{tag}>no</{tag}><p>b</p>") == ["a", "b"]
+        assert _texts(f"<{tag}><p>a</p><script>'</{tag}>'</script><!-- </{tag}> --><p>b</p>") == ["a", "b"]
+    for tag in ("script", "style", "textarea", "title", "iframe"):
+        assert _texts(f"<p>a</p><{tag}>no<p>no</p>") == ["a"]
+    assert _texts("<head><title>no</title><p>a</p>") == ["a"]
+    assert _texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><math/><p>b</p>") == ["so x=2 holds", "b"]
+    assert model.texts(['<button>Menu<article><h1>H</h1><p>Words, and more of them.</p></article>'])[0].endswith("H\nWords, and more of them.")
+    assert len(_texts("<button>x<p>y</p>" * 3_000)) == 6_000
+
+
 def test_marginals_are_exact():
     page = parse("<body><div><p>a</p><p>b c</p></div><ul><li>d</li></ul></body>")
     forest = Forest([page])

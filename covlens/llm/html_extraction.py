@@ -381,7 +381,7 @@ _EXAMPLE = (
 def train(pages: DataFrame, sample: int = SAMPLE) -> TreeModel:
     """A model of about ``sample`` pages that mark their article, drawn by a hash of page_id."""
     marked = pages.filter(F.col("html").rlike("(?i)<(article|main)\\b"))
-    rate = sample / max(sample, pages.count())
+    rate = sample / max(sample, marked.count())
     unit = F.xxhash64(F.lit(13), "page_id") / F.lit(float(1 << 64)) + F.lit(0.5)
     rows = marked.filter(unit < rate).select("page_id", "html").collect() if rate < 1 else marked.select("page_id", "html").collect()
     return fit([r["html"] for r in sorted(rows, key=lambda r: (r["page_id"] is None, r["page_id"] or 0, r["html"]))])

@@ -87,6 +87,16 @@ def test_query_rows(spark):
     assert extract(empty, train(empty)).count() == 0
 
 
+def test_sample_of_the_marked_pages(spark, monkeypatch):
+    from covlens.llm import html_extraction
+
+    drawn = []
+    monkeypatch.setattr(html_extraction, "fit", lambda sources: drawn.append(len(sources)))
+    rows = [(i, None, PAGE if i % 100 == 0 else "<p>plain</p>") for i in range(20_000)]
+    train(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4))
+    assert 30 <= drawn[0] <= 90  # of 200 marked pages in 20,000
+
+
 def test_corpus(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in extract(pages, train(pages)).join(pages.select("page_id", "html"), "page_id").collect():

@@ -1,8 +1,10 @@
 """Near-duplicate documents by MinHash with tensored banding.
 
-Two small collections of SUBKEYS sub-keys, each of WIDTH minhashes, are
-computed per distinct shingle set; table keys are all pairs of one sub-key from
-either collection, so SUBKEYS^2 tables cost only 2 x SUBKEYS x WIDTH minhashes.
+Two small collections of sub-keys, each of WIDTH minhashes, are computed per
+distinct shingle set; table keys are all pairs of one sub-key from either
+collection, so the tables are the square of the sub-keys of a collection, at
+2 x WIDTH minhashes for each of those. SUBKEYS is their least number; a lower
+threshold takes more.
 A pair's key can be shared only if both its sub-keys are, so sub-keys met once
 are dropped before keys are formed. Sets that share a key are candidates.
 
@@ -16,8 +18,9 @@ size, and a task that holds two blocks intersects their sets by an inverted
 index and returns only the links that join components. So no pair that shares
 a key stays unchecked, no bucket emits its pairs, and no task holds a group.
 
-At the threshold, a pair of sets shares no key with probability 1.3e-4 (WIDTH
-3, SUBKEYS 10, similarity 0.85); more similar pairs less.
+At the threshold, a pair of sets shares no key with a probability of at most
+about MISSED (similarity 0.85: 10 sub-keys, 1.5e-4; 0.8: 14 sub-keys, 0.9e-4);
+more similar pairs less.
 
 Defined results: null or empty text, or text without words, has an empty set
 and no links; a document without doc_id takes no part in linking (component
@@ -41,12 +44,37 @@ from .words import mix, runs, word_hashes
 WIDTH = 3
 SUBKEYS = 10
 HASHES = 2 * SUBKEYS * WIDTH
+#: Probability with which a pair at the threshold may share no key.
+MISSED = 1.5e-4
 #: Bytes of text handled at once.
 CHUNK_BYTES = 1 << 20
 #: Sets and shingles of a block, on average.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 500_000
 
-_SEEDS = np.random.default_rng(7).integers(1, 1 << 32, (2, HASHES), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_SEEDS_BY_SIZE: dict[int, np.ndarray] = {}
+
+
+def _seeds(hashes: int) -> np.ndarray:
+    """Multipliers and masks of the minhashes; more of them begin with the first HASHES."""
+    if hashes not in _SEEDS_BY_SIZE:
+        rng = np.random.default_rng(7)
+        drawn = [rng.integers(1, 1 << 32, (2, n), dtype=np.uint64) for n in (HASHES, hashes - HASHES)]
+        _SEEDS_BY_SIZE[hashes] = np.hstack(drawn).astype(np.uint32) | np.uint32(1)
+    return _SEEDS_BY_SIZE[hashes]
+
+
+def missed(percent: int, subkeys: int) -> float:
+    """The probability with which a pair at the threshold shares no table key."""
+    none = (1 - (percent / 100) ** WIDTH) ** subkeys  # no sub-key of one collection
+    return 1 - (1 - none) ** 2
+
+
+def subkeys_for(percent: int) -> int:
+    """Sub-keys of a collection, so that at most MISSED of the pairs at the threshold share no key."""
+    subkeys = SUBKEYS
+    while percent > 0 and missed(percent, subkeys) > MISSED:
+        subkeys += 1
+    return subkeys
 
 
 def chunks(batch: pa.RecordBatch, size: int = CHUNK_BYTES):
@@ -91,22 +119,22 @@ def set_hash(shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
-def minhashes(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Set x HASHES minhashes of 32 bits; empty sets get zeros."""
-    out = np.zeros((len(counts), HASHES), np.uint32)
+def minhashes(shingles: np.ndarray, counts: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """Set x hashes minhashes of 32 bits; empty sets get zeros."""
+    out, seeds = np.zeros((len(counts), hashes), np.uint32), _seeds(hashes)
     full = np.flatnonzero(counts)
     if len(full):
         low = (shingles >> np.uint64(32)).astype(np.uint32)
         at = runs(counts)[full]
         with np.errstate(over="ignore"):
-            for h in range(HASHES):
-                x = (low ^ _SEEDS[1, h]) * _SEEDS[0, h]
+            for h in range(hashes):
+                x = (low ^ seeds[1, h]) * seeds[0, h]
                 x ^= x >> np.uint32(15)
                 out[full, h] = np.minimum.reduceat(x * np.uint32(0x2C1B3C6D), at)
     return out
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
+def signatures(docs: DataFrame, k: int, hashes: int) -> DataFrame:
     """Per document: doc_id, n (set size), ha and hb (128 bits of the set), sig (its minhashes)."""
 
     def run(batches):
@@ -114,7 +142,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             for part, texts in chunks(batch):
                 shingles, counts = shingle_sets(texts, k)
                 ha, hb = set_hash(shingles, counts)
-                sig = [row.tobytes() for row in minhashes(shingles, counts)]
+                sig = [row.tobytes() for row in minhashes(shingles, counts, hashes)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(counts), pa.array(ha), pa.array(hb), pa.array(sig, pa.binary())],
                     ["doc_id", "n", "ha", "hb", "sig"],
@@ -124,29 +152,33 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, ha long, hb long, sig binary")
 
 
-def _sig_matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+def _sig_matrix(column: pa.Array, hashes: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, hashes)
 
 
-def _subkeys(batches):
-    """Rows (sub, side, cid): the 2 x SUBKEYS sub-keys of each class."""
-    for batch in batches:
-        sig = _sig_matrix(batch.column("sig")).astype(np.uint64).reshape(-1, 2 * SUBKEYS, WIDTH)
-        with np.errstate(over="ignore"):
-            key = np.broadcast_to(np.arange(2 * SUBKEYS, dtype=np.uint64), sig.shape[:2])
-            for w in range(WIDTH):
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, w])
-        cid = np.repeat(batch.column("cid").to_numpy(), 2 * SUBKEYS)
-        side = np.tile(np.arange(2 * SUBKEYS) // SUBKEYS, len(sig)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(side), pa.array(cid)], ["sub", "side", "cid"])
+def _subkeys(subkeys: int):
+    """Rows (sub, side, cid): the 2 x subkeys sub-keys of each class."""
+
+    def run(batches):
+        for batch in batches:
+            sig = _sig_matrix(batch.column("sig"), 2 * subkeys * WIDTH).astype(np.uint64).reshape(-1, 2 * subkeys, WIDTH)
+            with np.errstate(over="ignore"):
+                key = np.broadcast_to(np.arange(2 * subkeys, dtype=np.uint64), sig.shape[:2])
+                for w in range(WIDTH):
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, w])
+            cid = np.repeat(batch.column("cid").to_numpy(), 2 * subkeys)
+            side = np.tile(np.arange(2 * subkeys) // subkeys, len(sig)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(side), pa.array(cid)], ["sub", "side", "cid"])
+
+    return run
 
 
-def tensored_members(classes: DataFrame) -> DataFrame:
+def tensored_members(classes: DataFrame, subkeys: int) -> DataFrame:
     """(key, cid, mass): the members of every table bucket with at least two.
 
     ``mass`` adds up the sizes of a member's buckets: how much it shares.
     """
-    subs = stored(classes.select("cid", "sig").mapInArrow(_subkeys, "sub long, side int, cid long"), "subkeys")
+    subs = stored(classes.select("cid", "sig").mapInArrow(_subkeys(subkeys), "sub long, side int, cid long"), "subkeys")
     shared = stored(subs.groupBy("sub").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("sub"), "shared-subkeys")
     lists = subs.join(shared, "sub").groupBy("cid").agg(
         F.collect_list(F.when(F.col("side") == 0, F.col("sub"))).alias("left"),
@@ -181,17 +213,17 @@ def full_sets(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
 
 def _least_matches(percent: int) -> int:
     """Equal minhashes that a pair at the threshold has but for a chance below 1e-6 (five deviations)."""
-    s = percent / 100
-    return int(HASHES * s - 5 * (HASHES * s * (1 - s)) ** 0.5)
+    s, hashes = percent / 100, 2 * subkeys_for(percent) * WIDTH
+    return int(hashes * s - 5 * (hashes * s * (1 - s)) ** 0.5)
 
 
 def screened(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and signatures allow the similarity."""
-    least = _least_matches(percent)
+    least, hashes = _least_matches(percent), 2 * subkeys_for(percent) * WIDTH
 
     def run(batches):
         for batch in batches:
-            same = (_sig_matrix(batch.column("sa")) == _sig_matrix(batch.column("sb"))).sum(1)
+            same = (_sig_matrix(batch.column("sa"), hashes) == _sig_matrix(batch.column("sb"), hashes)).sum(1)
             yield batch.select(["a", "b"]).filter(pa.array(same >= least))
 
     left = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
@@ -279,7 +311,7 @@ def group_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def class_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(id, component) of the classes that have links."""
-    members = tensored_members(classes)
+    members = tensored_members(classes, subkeys_for(percent))
     involved = stored(members.select("cid").distinct(), "involved")
     known = stored(classes.join(involved, "cid"), "involved-classes")
     sets = stored(full_sets(docs, known, k).dropDuplicates(["cid"]), "sets")
@@ -300,7 +332,7 @@ def class_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept, ha, hb."""
-    rows = stored(signatures(docs, shingle_words), "signatures")
+    rows = stored(signatures(docs, shingle_words, 2 * subkeys_for(percent) * WIDTH), "signatures")
     named = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = stored(named.groupBy("ha", "hb", "n").agg(F.min("doc_id").alias("cid"), F.first("sig").alias("sig")), "classes")
     found = class_links(docs, classes, shingle_words, percent)

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from covlens.llm.components import components
-from covlens.llm.near_dedup import HASHES, drop_near_duplicates, minhashes, near_duplicates, shingle_sets
+from covlens.llm.near_dedup import HASHES, MISSED, drop_near_duplicates, minhashes, missed, near_duplicates, shingle_sets, subkeys_for
 from covlens.llm.words import word_hashes
 
 from .brute import near, words
@@ -31,6 +31,14 @@ def test_minhashes_estimate_similarity():
     assert abs((a == b).mean() - 0.92) < 4 * (0.92 * 0.08 / HASHES) ** 0.5
 
 
+def test_pairs_at_any_threshold_share_keys():
+    assert subkeys_for(85) == 10 and subkeys_for(80) == 14
+    for percent in (50, 70, 80, 85, 95):
+        assert missed(percent, subkeys_for(percent)) <= MISSED
+    shingles, counts = shingle_sets(pa.array([" ".join(map(str, range(1000)))]), 3)
+    assert (minhashes(shingles, counts, 84)[:, :HASHES] == minhashes(shingles, counts)).all()
+
+
 def test_components_of_path_star_and_single(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(300, 300), (7, 6), (7, 6)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, language_id, pii, quality
+from . import centroid_clustering, html_extraction, language_id, pii, quality
 from .common import read_table
 from .exact_dedup import exact_duplicates
 from .decontamination import contaminated
@@ -130,3 +130,27 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return pii.find(docs, pii.train(docs))
+
+
+def _op12_sql() -> str:
+    nearest = """(SELECT r, any_value(vec_id) AS vec_id, any_value(v.v) AS v, min(struct_pack(d := list_sum(list_transform(list_zip(v.v, c.v),
+      lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, c := c)) AS m FROM v CROSS JOIN c{i} AS c GROUP BY r)"""
+    parts = ["""v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+      FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+      """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v
+      FROM (SELECT sha256('3:' || vec_id) AS h, v FROM v ORDER BY h, v LIMIT 8))"""]
+    for i in range(centroid_clustering.ROUNDS):
+        parts.append(f"""u{i} AS MATERIALIZED (SELECT c, list(f ORDER BY i) AS v FROM (SELECT c, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS f FROM
+      (SELECT m.c AS c, i, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT m, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM {nearest.format(i=i)})
+       GROUP BY 1, 2)) GROUP BY c)""")
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(u.v, o.v) AS v FROM c{i} AS o LEFT JOIN u{i} AS u ON o.c = u.c)")
+    last = centroid_clustering.ROUNDS
+    return f"""WITH {", ".join(parts)}
+    SELECT vec_id, m.c::INTEGER AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia,
+      (sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{last}.v, ',')) AS centroid_sha256
+    FROM {nearest.format(i=last)} AS a JOIN c{last} ON a.m.c = c{last}.c"""
+
+
+@register("op12_centroid_clustering", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster(read_table(spark, sf_dir, "embeddings"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroid_clustering, html_extraction, language_id, pii, quality
+from . import centroid_clustering, conversation_repair, html_extraction, language_id, pii, quality
 from .common import read_table
 from .exact_dedup import exact_duplicates
 from .decontamination import contaminated
@@ -132,6 +132,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.train(docs))
 
 
+@register("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(read_table(spark, sf_dir, "conversations"))
+
+
 def _op12_sql() -> str:
     nearest = """(SELECT r, any_value(vec_id) AS vec_id, any_value(v.v) AS v, min(struct_pack(d := list_sum(list_transform(list_zip(v.v, c.v),
       lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, c := c)) AS m FROM v CROSS JOIN c{i} AS c GROUP BY r)"""

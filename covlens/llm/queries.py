@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroid_clustering, conversation_repair, html_extraction, language_id, pii, quality
+from . import centroid_clustering, conversation_repair, html_extraction, language_id, language_model, pii, quality
 from .common import read_table
 from .exact_dedup import exact_duplicates
 from .decontamination import contaminated
@@ -159,3 +159,8 @@ def _op12_sql() -> str:
 @register("op12_centroid_clustering", _op12_sql())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clustering.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+@register("op13_lm_scoring")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(read_table(spark, sf_dir, "documents"))

@@ -12,30 +12,43 @@ BLANKS = r"[\x20\x09-\x0D]+"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-#: Rows of an Arrow batch while a table is written: whole texts and sets are long rows.
+#: Rows that a Python worker gets at once: whole texts and sets are long rows.
 BATCH_ROWS = 1_000
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends its Python workers at most BATCH_ROWS rows at once (never set back, so queries
+    side by side do not change it under each other)."""
+    if not 0 < int(spark.conf.get(_ARROW_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ARROW_ROWS, str(BATCH_ROWS))
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """The frame written once to the shared folder and read back: lineage ends there.
 
     Files of lost executors stay readable, and every later use reads the same
-    rows. During the write Python workers get at most BATCH_ROWS rows at once.
+    rows. The folder is the shared folder's ``covlens/llm``; who names the shared
+    folder empties it when no result is read from it any more.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, f"llm/{kind}")
-    before = spark.conf.get(_ARROW_ROWS)
-    spark.conf.set(_ARROW_ROWS, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_ARROW_ROWS, before)
-    return spark.read.schema(df.schema).parquet(path)
+    small_batches(df.sparkSession)
+    path = fresh_path(df.sparkSession, f"llm/{kind}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sliced(run, rows: int = BATCH_ROWS):
+    """``run`` over batches of at most ``rows`` rows, whatever the session sends (64 MB at most by Spark's default)."""
+
+    def each(batches):
+        return run(batch.slice(first, rows) for batch in batches for first in range(0, max(1, batch.num_rows), rows))
+
+    return each
 
 
 def with_row_id(docs: DataFrame, kind: str, name: str = "_rid") -> DataFrame:

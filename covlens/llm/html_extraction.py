@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 #: Bound of the fit: pages of the labelled sample, and its gradient steps.
 SAMPLE = 60
 STEPS = 120
@@ -404,4 +406,4 @@ def extract(pages: DataFrame, model: TreeModel) -> DataFrame:
             )
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(sliced(run), "page_id long, url string, text string, n_chars long")

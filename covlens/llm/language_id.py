@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, sliced
 
 #: Bounds of the fit: texts learned from and landmarks, for each language, and n-grams in the dictionary.
 SAMPLE_PER_LANG = 300
@@ -164,4 +164,4 @@ def predict(docs: DataFrame, model: KernelModel | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, held, pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, PREDICTION)
+    return rows.mapInArrow(sliced(run), PREDICTION)

@@ -12,11 +12,15 @@ Within a bucket, members are compared with one centre (the member that shares
 most) and not with each other; candidates are screened by size and by their
 signatures (a screen that a pair at the threshold fails with a probability
 below 1e-6) and confirmed on the full sets. That finds nearly all links. What
-a bucket then still holds of different components is settled exactly: sets
-that such buckets connect form a group, a group is dealt into blocks of bounded
-size, and a task that holds two blocks intersects their sets by an inverted
-index and returns only the links that join components. So no pair that shares
-a key stays unchecked, no bucket emits its pairs, and no task holds a group.
+a bucket then still holds of different components is settled exactly by its
+rarest shingles: two sets at the threshold share one of the first shingles of
+either, as many as may be missing and one more, in any common order. Ordered by
+how few of the open sets hold a shingle, most sets' first shingles are their
+own alone, and such sets are done. Sets that share one and are of different
+components form a group, a group is dealt into blocks of bounded size, and a
+task that holds two blocks intersects their sets by an inverted index and
+returns only the links that join components. So no pair that shares a key stays
+unchecked, no bucket emits its pairs, and no task holds a group.
 
 At the threshold, a pair of sets shares no key with a probability of at most
 about MISSED (similarity 0.85: 10 sub-keys, 1.5e-4; 0.8: 14 sub-keys, 0.9e-4);
@@ -24,9 +28,10 @@ more similar pairs less.
 
 Defined results: null or empty text, or text without words, has an empty set
 and no links; a document without doc_id takes no part in linking (component
-null, kept); repeated rows are in one component; equal sets are one class, so
-copies are never expanded into pairs; an empty table gives an empty result;
-only doc_id and text are read.
+null, kept); repeated rows are in one component; rows that share a doc_id but
+not their text are linked one by one, each by its own set; equal sets are one
+class, so copies are never expanded into pairs; an empty table gives an empty
+result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sliced, stored
 from .components import components
 from .words import mix, runs, word_hashes
 
@@ -135,7 +140,7 @@ def minhashes(shingles: np.ndarray, counts: np.ndarray, hashes: int = HASHES) ->
 
 
 def signatures(docs: DataFrame, k: int, hashes: int) -> DataFrame:
-    """Per document: doc_id, n (set size), ha and hb (128 bits of the set), sig (its minhashes)."""
+    """Per document: doc_id, th (hash of its text), n (set size), ha and hb (128 bits of the set), sig (its minhashes)."""
 
     def run(batches):
         for batch in batches:
@@ -144,12 +149,12 @@ def signatures(docs: DataFrame, k: int, hashes: int) -> DataFrame:
                 ha, hb = set_hash(shingles, counts)
                 sig = [row.tobytes() for row in minhashes(shingles, counts, hashes)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts), pa.array(ha), pa.array(hb), pa.array(sig, pa.binary())],
-                    ["doc_id", "n", "ha", "hb", "sig"],
+                    [part.column("doc_id"), part.column("th"), pa.array(counts), pa.array(ha), pa.array(hb), pa.array(sig, pa.binary())],
+                    ["doc_id", "th", "n", "ha", "hb", "sig"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, ha long, hb long, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(sliced(run), "doc_id long, th long, n long, ha long, hb long, sig binary")
 
 
 def _sig_matrix(column: pa.Array, hashes: int) -> np.ndarray:
@@ -178,7 +183,7 @@ def tensored_members(classes: DataFrame, subkeys: int) -> DataFrame:
 
     ``mass`` adds up the sizes of a member's buckets: how much it shares.
     """
-    subs = stored(classes.select("cid", "sig").mapInArrow(_subkeys(subkeys), "sub long, side int, cid long"), "subkeys")
+    subs = stored(classes.select("cid", "sig").mapInArrow(sliced(_subkeys(subkeys)), "sub long, side int, cid long"), "subkeys")
     shared = stored(subs.groupBy("sub").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("sub"), "shared-subkeys")
     lists = subs.join(shared, "sub").groupBy("cid").agg(
         F.collect_list(F.when(F.col("side") == 0, F.col("sub"))).alias("left"),
@@ -193,7 +198,7 @@ def tensored_members(classes: DataFrame, subkeys: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(cid, shingles): the full set of each class, from the text of the document that names it."""
+    """(cid, shingles): the full set of each class, from the texts under the doc_id that names it."""
 
     def run(batches):
         for batch in batches:
@@ -207,8 +212,8 @@ def full_sets(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
                     [part.column("cid").take(pa.array(at)), pa.array([sets[i].tobytes() for i in at], pa.binary())], ["cid", "shingles"]
                 )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), F.col("text").cast("string").alias("text"))
-    return texts.join(classes.select("cid", "ha", "hb"), "cid").mapInArrow(run, "cid long, shingles binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    return texts.join(classes.select("rep", "cid", "ha", "hb"), "rep").mapInArrow(sliced(run), "cid long, shingles binary")
 
 
 def _least_matches(percent: int) -> int:
@@ -230,7 +235,7 @@ def screened(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     right = classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     joined = pairs.join(left, "a").join(right, "b")
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    return joined.filter(fits).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return joined.filter(fits).select("a", "b", "sa", "sb").mapInArrow(sliced(run), "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -249,7 +254,35 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(sliced(run), "a long, b long")
+
+
+def _shingle_rows(batches):
+    """(s, cid): every shingle of every set."""
+    for batch in batches:
+        values = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.int64)
+        n = pc.divide(pc.binary_length(batch.column("shingles")), 8).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.repeat(batch.column("cid").to_numpy(), n))], ["s", "cid"])
+
+
+def rare_lists(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, cid, comp): rare shingles with the sets of different components that have them among their first ones.
+
+    ``rest`` holds members (key, cid, comp) of unfinished buckets. Shingles of one open set alone come first and
+    are in no list; of the others, those that fewest open sets hold.
+    """
+    members = rest.select("cid", "comp").distinct()
+    held = stored(members.join(sets, "cid"), "open-sets")
+    rows = held.select("cid", "shingles").mapInArrow(sliced(_shingle_rows), "s long, cid long")
+    met = stored(rows.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "met-shingles")
+    shared = rows.join(met, "s").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("shared"))
+    n = (F.octet_length("shingles") / 8).cast("long")
+    alone = n - F.size("shared")
+    first = n - F.ceil(n * percent / 100).cast("long") + 1 - alone  # of the shared ones
+    lists = held.join(shared, "cid").filter(first > 0).select("cid", "comp", F.explode(F.slice("shared", F.lit(1), first.cast("int"))).alias("f"))
+    lists = stored(lists.select(F.col("f.s").alias("key"), "cid", "comp"), "rare-lists")
+    spans = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    return stored(lists.join(spans, "key"), "open-lists")
 
 
 def _block_links(percent: int):
@@ -294,7 +327,7 @@ def _block_links(percent: int):
 
 
 def group_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components among the sets that unfinished buckets (key, cid, comp) connect."""
+    """Links (a, b) between components among the sets that lists (key, cid, comp) connect."""
     least = stored(rest.groupBy("key").agg(F.min("cid").alias("b")), "bucket-least")
     groups = components(rest.join(least, "key").select(F.col("cid").alias("a"), "b"))
     known = rest.select("cid", "comp").distinct().join(groups.withColumnRenamed("id", "cid"), "cid")
@@ -325,31 +358,40 @@ def class_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
     rest = rest.join(found.withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
     rest = stored(rest, "rest")
     spans = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    rest = stored(rest.join(stored(spans, "unfinished"), "key"), "unfinished-members")
+    rest = stored(rest.join(spans, "key"), "unfinished-members")
+    if rest.isEmpty():
+        return found
+    rest = rare_lists(rest, sets, percent)
+    if rest.isEmpty():
+        return found
     more = stored(group_links(rest, sets, percent), "group-links")
     return found if more.isEmpty() else stored(components(links.union(more)), "components")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept, ha, hb."""
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept, th (hash of the text)."""
     rows = stored(signatures(docs, shingle_words, 2 * subkeys_for(percent) * WIDTH), "signatures")
     named = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = stored(named.groupBy("ha", "hb", "n").agg(F.min("doc_id").alias("cid"), F.first("sig").alias("sig")), "classes")
+    classes = named.groupBy("ha", "hb", "n").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     found = class_links(docs, classes, shingle_words, percent)
-    reached = classes.select("ha", "hb", "n", "cid").join(found.withColumnRenamed("id", "cid"), "cid", "left")
-    reached = reached.select("ha", "hb", "n", F.coalesce("component", "cid").alias("component_id"))
-    out = rows.drop("sig").join(stored(reached, "reached"), ["ha", "hb", "n"], "left")
+    reached = classes.select("ha", "hb", "n", "rep", "cid").join(found.withColumnRenamed("id", "cid"), "cid", "left")
+    reached = stored(reached.select("ha", "hb", "n", "rep", "component"), "reached")
+    least = reached.filter("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
+    reached = reached.join(least, "component", "left").select("ha", "hb", "n", F.coalesce("least", "rep").alias("component_id"))
+    out = rows.drop("sig").join(reached, ["ha", "hb", "n"], "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     out = out.withColumn("component_id", own)
     kept = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "ha", "hb")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "th")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group of near-duplicates (the smallest doc_id), with the columns of docs.
 
-    Rows that share a doc_id are all kept or all dropped.
+    A row is told by its doc_id and its text's hash, so of rows that share a doc_id each goes by its own text.
     """
     verdicts = near_duplicates(docs, shingle_words, percent)
-    dropped = stored(verdicts.filter(~F.col("kept")).select("doc_id").distinct(), "near-dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    dropped = stored(verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).distinct(), "near-dropped")
+    same = (docs["doc_id"].cast("long") == dropped["_doc"]) & (F.xxhash64(docs["text"]) == dropped["_th"])
+    return docs.join(dropped, same, "left_anti")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, sliced
 from .language_id import _unit
 
 #: Bound of the fit: labelled documents.
@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveM
                 [batch.column("doc_id"), batch.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"]
             )
 
-    rows = texts.join(known.filter(pick), "doc_id").mapInArrow(run, "doc_id long, quality int, x array<double>")
+    rows = texts.join(known.filter(pick), "doc_id").mapInArrow(sliced(run), "doc_id long, quality int, x array<double>")
     rows = sorted((r["doc_id"], r["quality"], r["x"]) for r in rows.collect())
     return fit(np.array([r[2] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r[1] for r in rows], float))
 
@@ -223,7 +223,7 @@ def score(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, PREDICTION)
+    return rows.mapInArrow(sliced(run), PREDICTION)
 
 
 def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -236,4 +236,4 @@ def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOL
             yield batch.filter(pa.array(s >= threshold))
 
     position = columns.index("text")
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(sliced(run), docs.schema)

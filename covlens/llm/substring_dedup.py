@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sliced, stored
 from .near_dedup import chunks
 from .words import _powers, mix, runs, word_hashes
 
@@ -252,7 +252,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = K) -> Data
     text = F.col("text").cast("string")
     marks = repeated_nodes(docs, window, k)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_key(text), text.alias("text")).join(marks, ["id", "th"], "left")
-    state = stored(rows.select("doc_id", "id", "th", "text", "marks").mapInArrow(_resolve(window, k), _STATE), "passages")
+    state = stored(rows.select("doc_id", "id", "th", "text", "marks").mapInArrow(sliced(_resolve(window, k)), _STATE), "passages")
     zipped = F.explode(F.arrays_zip("starts", "h1", "h2"))
     open_ = state.filter("text is not null").select("id", "th", zipped.alias("w")).select("id", "th", "w.starts", "w.h1", "w.h2")
     twice = stored(open_.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2"), "repeated-windows")

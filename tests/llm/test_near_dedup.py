@@ -89,6 +89,41 @@ def test_stage_keeps_columns(odd_docs):
     )
 
 
+@pytest.mark.parametrize("first", [0, 1])
+def test_one_id_with_two_texts_loses_no_link(make_docs, first):
+    """Ten ids with two unlike texts each, and a near copy of either."""
+    rng = random.Random(7)
+    pairs = [[[f"p{i}t{j}w{rng.randrange(10**6)}" for _ in range(80)] for j in (0, 1)] for i in range(10)]
+    rows = [(i, " ".join(texts[j])) for j in (first, 1 - first) for i, texts in enumerate(pairs)]
+    rows += [(100 + 10 * i + j, " ".join([*texts[j][:-1], "end"])) for i, texts in enumerate(pairs) for j in (0, 1)]
+    _same(rows, near_duplicates(make_docs(rows), 3, 85).collect())
+    kept = drop_near_duplicates(make_docs(rows)).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted([*range(10)] * 2)
+
+
+def test_one_id_among_copies_of_other_texts(make_docs):
+    """A row goes by its own text: the unlike text under the id of a duplicate stays."""
+    base = [" ".join(f"{c}{i}" for i in range(60)) for c in "ab"]
+    rows = [(1, base[0]), (5, base[0] + " more"), (5, base[1]), (9, base[1] + " more")]
+    _same(rows, near_duplicates(make_docs(rows), 3, 85).collect())
+    assert sorted((r["doc_id"], r["text"]) for r in drop_near_duplicates(make_docs(rows)).collect()) == [rows[0], rows[2]]
+
+
+def test_common_line_and_chains(make_docs):
+    """Most texts share a long line, so buckets hold unlike sets; chains run through them."""
+    rng = random.Random(9)
+    line = [f"common{i}" for i in range(60)]
+    rows, text = [], []
+    for i in range(160):
+        if i % 8 == 0 or rng.random() < 0.3:
+            text = [f"o{rng.randrange(10**6)}" for _ in range(rng.randrange(2, 40))]
+        else:
+            text = [*text[:-1], f"o{rng.randrange(10**6)}"]
+        rows.append((i, " ".join(line + text)))
+    rng.shuffle(rows)
+    _same(rows, near_duplicates(make_docs(rows), 3, 85).collect())
+
+
 def test_full_sets_decide():
     a, _ = shingle_sets(pa.array(["x y z x y z"]), 3)
     assert len(np.unique(a)) == 3

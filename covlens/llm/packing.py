@@ -23,6 +23,7 @@ import re
 import sys
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 from types import ModuleType
 
 import numpy as np
@@ -38,8 +39,11 @@ MAX_LOSS = 4096
 BLOCK = 1024
 #: Bytes of text cut into words at once.
 CHUNK_BYTES = 2 << 20
-#: Words whose ids a Python worker remembers; beyond them it starts anew.
-KNOWN_WORDS = 300_000
+#: Words whose ids a Python worker remembers, their bytes with their ids, and characters of the longest.
+KNOWN_WORDS, KNOWN_BYTES, LONG_WORD = 400_000, 16 << 20, 64
+#: Words that are one part for the tokenizer, and a mark right after a letter.
+SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKED = "([a-zß-öø-ÿ])([.,;:!?])"
 END_ID = 2
 
 PIECES = (
@@ -50,77 +54,114 @@ PIECES = (
 class WordIds(dict):
     """Ids of space-separated words, encoded once each: the tokenizer drops white space and never joins words.
 
-    A word's value is its first place in ``flat`` times 2^24 plus its number of ids.
+    A word's value is its number; the ids of all words stand one after another in ``flat``. The table holds at most
+    KNOWN_WORDS words and KNOWN_BYTES bytes of words and ids; beyond either, the half met in fewer chunks is forgotten.
+    Words of more than LONG_WORD characters are encoded whenever they occur.
     """
 
-    #: Words that the tokenizer cuts into their letters and the marks after them.
-    SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([!-&(-/:;=?@*]*)")
-
-    def __init__(self, tokenizer_path: str) -> None:
+    def __init__(self, tokenizer_path: str, plain_specials: bool = False) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends_part = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_part = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends_part[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._reset()
-
-    def _reset(self) -> None:
-        self.clear()
-        self.flat, self.used = np.empty(1 << 18, np.int32), 0
+        self.flat, self.used, self.size = np.empty(1 << 18, np.int32), 0, 0
+        self.first, self.length, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
 
     def _store(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while len(self) + len(words) > len(self.first):
+            self.first, self.length, self.met = (np.concatenate([a, np.zeros_like(a)]) for a in (self.first, self.length, self.met))
         self.flat[self.used:self.used + len(ids)] = ids
-        self.update(zip(words, ((self.used + np.cumsum(lengths) - lengths << 24) + lengths).tolist(), strict=True))
+        n = len(self)
+        self.first[n:n + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.length[n:n + len(words)] = lengths
+        self.met[n:n + len(words)] = 0
+        self.update(zip(words, range(n, n + len(words)), strict=True))
         self.used += len(ids)
+        self.size += sum(map(len, words)) + 4 * len(ids)
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new words: simple ones many at once, their ends told by the ids that end a part."""
-        simple, parts, rest = [], [], []
-        for w in words:
-            m = self.SIMPLE.fullmatch(w)
-            if m:
-                simple.append(w)
-                parts.append(2 if m[1] else 1)
-            else:
-                rest.append(w)
+        """Encode new words: those of letters many at once, their ends told by the ids that end a part."""
+        simple = [w for w in words if SIMPLE.fullmatch(w)]
+        rest = [w for w in words if not SIMPLE.fullmatch(w)]
         if simple:
             groups = [" ".join(simple[i:i + 256]) for i in range(0, len(simple), 256)]
             coded = self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)
             ids = np.concatenate([np.array(e.ids, np.int32) for e in coded])
-            ends = np.flatnonzero(self.ends_part[ids])[np.cumsum(parts) - 1]
-            self._store(simple, ids, np.diff(ends, prepend=-1))
+            self._store(simple, ids, np.diff(np.flatnonzero(self.ends_part[ids]), prepend=-1))
         if rest:
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-            self._store(rest, np.array([x for e in coded for x in e], np.int32), np.array([len(e) for e in coded], np.int64))
+            self._store(rest, *self._coded(rest))
+
+    def _coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each word)."""
+        coded = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate(coded) if coded else np.zeros(0, np.int32), np.array([len(c) for c in coded], np.int64)
+
+    def _forget(self) -> None:
+        """Keep the half met in most chunks, in the order learned."""
+        n = len(self)
+        keep = np.sort(np.argsort(-self.met[:n], kind="stable")[:n // 2])
+        words = list(self)
+        words, lengths, met = [words[i] for i in keep.tolist()], self.length[keep], self.met[keep]
+        ids = self.flat[_places(self.first[keep], lengths)]
+        self.clear()
+        self.flat, self.used, self.size = np.empty(1 << 18, np.int32), 0, 0
+        self._store(words, ids, lengths)
+        self.met[:len(words)] = met // 2
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of whole texts (none null)."""
-        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        # The tokenizer reads small letters, and a mark after a letter as a word of its own.
+        texts = pc.ascii_lower(pc.replace_substring(texts, "\n", " ")) if not self._special(texts) else pc.replace_substring(texts, "\n", " ")
+        words = pc.split_pattern(pc.replace_substring_regex(texts, MARKED, "\\1 \\2"), " ")
         counts = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         coded = pc.dictionary_encode(words.flatten())
-        if len(self) > KNOWN_WORDS:
-            self._reset()
         distinct = coded.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self]
+        if len(self) > KNOWN_WORDS or self.size > KNOWN_BYTES:
+            self._forget()
+        number = np.fromiter(map(self.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = [i for i in np.flatnonzero(number < 0).tolist() if len(distinct[i]) <= LONG_WORD]
         if new:
-            self._learn(new)
-        value = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-        n = value & 0xFFFFFF
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat((value >> 24) - (ends - n), n) + np.arange(ends[-1])]
+            self._learn([distinct[i] for i in new])
+            number[new] = [self[distinct[i]] for i in new]
+        known = np.flatnonzero(number >= 0)
+        self.met[number[known]] += 1
+        length = np.zeros(len(distinct), np.int64)
+        length[known] = self.length[number[known]]
+        here = self.flat[_places(self.first[number[known]], length[known])]  # the distinct words' ids, one after another
+        first = np.zeros(len(distinct), np.int64)
+        first[known] = np.cumsum(length[known]) - length[known]
+        if len(known) < len(distinct):
+            others = np.flatnonzero(number < 0)
+            ids, length[others] = self._coded([distinct[i] for i in others.tolist()])
+            first[others] = len(here) + np.cumsum(length[others]) - length[others]
+            here = np.concatenate([here, ids])
+        occurs = coded.indices.to_numpy()
+        ids = here[_places(first[occurs], length[occurs])]
+        ends = np.cumsum(length[occurs])
         return np.split(ids, ends[np.cumsum(counts)[:-1] - 1])
 
+    def _special(self, texts: pa.Array) -> bool:
+        """A text may spell a special token, in which capitals count."""
+        return not self.tokenizer.encode_special_tokens and pc.any(pc.match_substring(texts, "<|")).as_py()
+
+
+def _places(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``first``, one run after another."""
+    ends = np.cumsum(length)
+    return np.repeat(first - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+
 
-def _word_ids(tokenizer_path: str) -> WordIds:
+def _word_ids(tokenizer_path: str, plain_specials: bool) -> WordIds:
     """The word table of this Python worker, kept from task to task."""
     home = sys.modules.setdefault("_covlens_word_ids", ModuleType("_covlens_word_ids"))
-    if getattr(home, "path", None) != tokenizer_path:
-        home.path, home.words = tokenizer_path, WordIds(tokenizer_path)
+    if getattr(home, "path", None) != (tokenizer_path, plain_specials):
+        home.path, home.words = (tokenizer_path, plain_specials), WordIds(tokenizer_path, plain_specials)
     return home.words
 
 
@@ -239,11 +280,11 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         first = end
 
 
-def _pack_partition(tokenizer_path: str, limits: tuple[int, int, int], prompt_column: bool):
+def _pack_partition(tokenizer_path: str, limits: tuple[int, int, int], prompt_column: bool, plain_specials: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = _word_ids(tokenizer_path)
+        words = _word_ids(tokenizer_path, plain_specials)
         packer = _Packer(limits, TaskContext.get().partitionId() << 40)
         for part in (part for batch in batches for part in _chunks(batch)):
             prompts = part.column("prompt").to_pylist() if prompt_column else [1] * part.num_rows
@@ -260,15 +301,17 @@ def _pack_partition(tokenizer_path: str, limits: tuple[int, int, int], prompt_co
 
 def pack(
     docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS,
-    max_loss: int = MAX_LOSS, prompt: str | None = None,
+    max_loss: int = MAX_LOSS, prompt: str | None = None, plain_specials: bool = False,
 ) -> DataFrame:
     """Pieces of all documents with their places in sequences.
 
     ``prompt`` names a column with the number of leading tokens that bear no
     loss; without it only the first token, which nothing precedes, bears none.
+    ``plain_specials`` cuts a special token's name in a text into ordinary
+    pieces; else it becomes the special token's id, as by the tokenizer's default.
     """
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     if prompt:
         columns.append(F.col(prompt).cast("long").alias("prompt"))
-    run = _pack_partition(tokenizer_path, (max_tokens, max_segments, max_loss), prompt is not None)
+    run = _pack_partition(tokenizer_path, (max_tokens, max_segments, max_loss), prompt is not None, plain_specials)
     return docs.select(*columns).mapInArrow(run, PIECES)

@@ -3,6 +3,8 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+from covlens.llm import packing
 from tokenizers import Tokenizer
 
 from covlens.llm.packing import pack, pack_block, powers_of_two
@@ -12,9 +14,10 @@ from .conftest import ODD
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-def _check(rows, pieces, limits=(4096, 256, 4096)):
+def _check(rows, pieces, limits=(4096, 256, 4096), plain_specials=False):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
+    if plain_specials:
+        tokenizer.encode_special_tokens = True
     want = sorted((str(i), [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows)
     sequences, documents = defaultdict(list), defaultdict(list)
     for p in pieces:
@@ -44,9 +47,40 @@ def test_odd_rows(odd_docs):
     _check(ODD, pack(odd_docs, PATH).collect())
 
 
-def test_special_strings_are_text(make_docs):
-    rows = [(1, "a <|endoftext|> b<|startoftext|>c  it's don't 3rd—x y z"), (2, "ÀÉ!!! àé, ... é́ Ω ς Σ")]
-    _check(rows, pack(make_docs(rows), PATH).collect())
+SPECIAL = [
+    (1, "a <|endoftext|> b<|startoftext|>c  it's don't 3rd—x y z"), (2, "ÀÉ!!! àé, ... é́ Ω ς Σ A.b.C,; İ.x ß. K. ſ, a.'s B.'T x.<|EndOfText|>"),
+    (3, "Plain Text, No. Marks!?;: (A.) 'S 's. e.g., U.S.A. x1. 1.x"),
+]
+
+
+def test_special_strings_by_the_default(make_docs):
+    _check(SPECIAL, pack(make_docs(SPECIAL), PATH).collect())
+    ids = Tokenizer.from_file(PATH).encode(SPECIAL[0][1], add_special_tokens=False).ids
+    assert 49406 in ids and 49407 in ids
+
+
+def test_special_strings_as_text(make_docs):
+    _check(SPECIAL, pack(make_docs(SPECIAL), PATH, plain_specials=True).collect(), plain_specials=True)
+
+
+def test_forgetting_words_changes_no_ids(monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 40)
+    rng = np.random.default_rng(4)
+    table, tokenizer = packing.WordIds(PATH), Tokenizer.from_file(PATH)
+    for _ in range(12):
+        texts = [" ".join(f"W{rng.integers(60)}.{'x' * int(rng.integers(90))} the" for _ in range(20)) for _ in range(3)] + [""]
+        got = table.encode(pa.array(texts))
+        assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(table) < 40 + 4 * 61
+
+
+def test_unspaced_texts_are_not_remembered():
+    """Long words stay out of the table, whose bytes are bounded."""
+    table, rng = packing.WordIds(PATH), np.random.default_rng(5)
+    for _ in range(4):
+        texts = ["".join(map(chr, rng.integers(97, 123, 50_000))) for _ in range(4)] + [" ".join(str(x) for x in rng.integers(0, 10**9, 20_000))]
+        table.encode(pa.array(texts))
+    assert table.size <= packing.KNOWN_BYTES + (2 << 20) and max(map(len, table)) <= packing.LONG_WORD
 
 
 def test_corpus(corpus):

@@ -7,7 +7,10 @@ variants of them that the patterns miss (a phone number without its plus sign,
 a card number parted by dots). Every span of these kinds holds a digit or an
 ``@``; the tagger reads the stretches of text around such characters, in
 overlapping windows whose emissions are blended by position, and each whole
-stretch is decoded at once over the CRF's transitions. A decoded span is added
+stretch is decoded at once over the CRF's transitions. Stretches of more than
+LONG characters (tables of numbers) are decoded in overlapping parts, each
+position by the part in which it stands further inside, so memory does not
+follow the longest one. A decoded span is added
 if it overlaps no base span and the tagger is sure of it; base spans always stay.
 
 Fitting takes about SAMPLE documents that hold a digit or an ``@``, drawn by a
@@ -27,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
 from .language_id import _unit
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -37,6 +41,8 @@ STEPS = 250
 BATCH = 64
 #: Characters of a window, its step, and how far a stretch reaches around a digit or ``@``.
 WINDOW, STRIDE, MARGIN = 64, 32, 24
+#: Characters of a stretch decoded at once, shared by two parts of a longer one, and (with padding) handled at once.
+LONG, SHARED, AT_ONCE = 8_192, 256, 1 << 18
 EMBED, HIDDEN = 12, 24
 #: An added span: characters at least, and mean probability of its tags.
 LEAST_CHARS, SURE = 7, 0.85
@@ -93,7 +99,8 @@ def base_spans(text: str) -> list[Span]:
 def codes(text: str) -> np.ndarray:
     """Character classes of a text: ASCII by value, letters and others beyond it."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-    out = np.where(points < 128, points, 129).astype(np.int64)
+    out = np.minimum(points, 129).astype(np.uint8)
+    out[points == 128] = 129
     beyond = np.flatnonzero(points >= 128)
     if len(beyond):
         out[beyond[[text[i].isalpha() for i in beyond]]] = 128
@@ -201,9 +208,9 @@ class Tagger:
     def stretch_scores(self, parts: list[np.ndarray]) -> list[np.ndarray]:
         """Emissions of each stretch: overlapping windows blended by their distance from the window's ends."""
         cuts = [(k, a) for k, x in enumerate(parts) for a in range(0, max(1, len(x) - STRIDE), STRIDE)]
-        sums = [np.zeros((len(x), TAGS)) for x in parts]
-        weights = [np.zeros(len(x)) for x in parts]
-        near = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1.0
+        sums = [np.zeros((len(x), TAGS), np.float32) for x in parts]
+        weights = [np.zeros(len(x), np.float32) for x in parts]
+        near = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1).astype(np.float32)
         for first in range(0, len(cuts), 512):
             group = cuts[first:first + 512]
             windows = np.full((len(group), WINDOW), _CHARS - 1)
@@ -219,11 +226,13 @@ class Tagger:
     def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
         """The best tag sequence of each whole stretch; stretches of like length are decoded together."""
         out: list[np.ndarray] = [np.zeros(0, int)] * len(scores)
-        order = sorted(range(len(scores)), key=lambda k: len(scores[k]))
-        for first in range(0, len(order), 256):
-            group = order[first:first + 256]
-            length = len(scores[group[-1]])
-            e = np.zeros((length, len(group), TAGS))
+        order = sorted(range(len(scores)), key=lambda k: -len(scores[k]))
+        first = 0
+        while first < len(order):
+            group = order[first:first + max(1, AT_ONCE // max(1, len(scores[order[first]])))]  # padded to the longest
+            first += len(group)
+            length = len(scores[group[0]])
+            e = np.zeros((length, len(group), TAGS), np.float32)
             sizes = np.array([len(scores[k]) for k in group])
             for j, k in enumerate(group):
                 e[:sizes[j], j] = scores[k]
@@ -236,7 +245,7 @@ class Tagger:
                 back[t] = np.where(live, came, np.arange(TAGS))
                 best = np.where(live, new, best)
             tag = best.argmax(1)
-            path = np.zeros((length, len(group)), int)
+            path = np.zeros((length, len(group)), np.int8)
             for t in range(length - 1, -1, -1):
                 path[t] = tag
                 tag = back[t][np.arange(len(group)), tag]
@@ -258,26 +267,56 @@ def _runs(tags: np.ndarray) -> list[Span]:
     return out
 
 
+def _parts(length: int) -> list[tuple[int, int, int, int]]:
+    """(first, end, first and end of what is taken from it) of the parts in which a stretch is decoded."""
+    if length <= LONG:
+        return [(0, length, 0, length)]
+    step, half = LONG - SHARED, SHARED // 2
+    firsts = range(0, length - SHARED, step)
+    return [(a, min(length, a + LONG), a + half if a else 0, a + step + half if a + LONG < length else length) for a in firsts]
+
+
+def _tagged(stretches_of: list[np.ndarray], tagger: Tagger) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(tags, their log-probabilities by the emissions) of each stretch, AT_ONCE characters at a time."""
+    out = [(np.zeros(len(x), np.int8), np.zeros(len(x), np.float32)) for x in stretches_of]
+    queue = [(k, *part) for k, x in enumerate(stretches_of) for part in _parts(len(x))]
+    first = 0
+    while first < len(queue):
+        end, size = first, 0
+        while end < len(queue) and (end == first or size + queue[end][2] - queue[end][1] <= AT_ONCE):
+            size += queue[end][2] - queue[end][1]
+            end += 1
+        group = queue[first:end]
+        scores = tagger.stretch_scores([stretches_of[k][a:b] for k, a, b, _, _ in group])
+        for (k, a, _, low, high), tags, e in zip(group, tagger.decode(scores), scores, strict=True):
+            mine = slice(low - a, high - a)
+            out[k][0][low:high] = tags[mine]
+            out[k][1][low:high] = e[mine][np.arange(high - low), tags[mine]] - _logsumexp(e[mine], 1)
+        first = end
+    return out
+
+
 def all_spans(texts: list[str], tagger: Tagger | None) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each whole text."""
     base = [base_spans(t) for t in texts]
     found = [list(b) for b in base]
     if tagger is not None:
-        where, parts = [], []
+        where, parts, taken = [], [], {}
         for i, t in enumerate(texts):
             if _TRIGGER.search(t):
                 chars = codes(t)
+                taken[i] = np.zeros(len(chars), bool)  # by base spans
+                for _, a, b in base[i]:
+                    taken[i][a:b] = True
                 for a, b in stretches(chars):
                     where.append((i, a))
                     parts.append(chars[a:b])
-        scores = tagger.stretch_scores(parts)
-        for (i, a), tags, e in zip(where, tagger.decode(scores), scores, strict=True):
+        for (i, a), (tags, logs) in zip(where, _tagged(parts, tagger), strict=True):
             for kind, first, end in _runs(tags):
                 start, stop = a + first, a + end
-                if end - first < LEAST_CHARS or any(s < stop and start < f for _, s, f in base[i]):
+                if end - first < LEAST_CHARS or taken[i][start:stop].any():
                     continue
-                share = np.exp(e[first:end] - _logsumexp(e[first:end], 1)[:, None])[np.arange(end - first), tags[first:end]]
-                if share.mean() >= SURE:
+                if np.exp(logs[first:end]).mean() >= SURE:
                     found[i].append((kind, start, stop))
     return [(b, sorted(f)) for b, f in zip(base, found, strict=True)]
 
@@ -362,4 +401,4 @@ def find(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(sliced(run), schema)

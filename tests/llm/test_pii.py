@@ -116,3 +116,28 @@ def test_tagger_alone_finds_most_spans_of_other_documents(spark):
             base = {s for s in pii.base_spans(text) if a <= s[1] and s[2] <= b}
             found, total = found + len(mine & base), total + len(base)
     assert total > 50 and found >= 0.85 * total
+
+
+def test_long_stretches_in_bounded_parts(monkeypatch):
+    """Parts cover a stretch once; a text cut into parts has the spans of its pieces; memory follows no text's length."""
+    import tracemalloc
+
+    from covlens.llm import pii
+
+    for n in (1, pii.LONG, pii.LONG + 1, 3 * pii.LONG + 77):
+        taken = [x for _, _, low, high in pii._parts(n) for x in range(low, high)]
+        assert taken == list(range(n)) and all(a <= low and high <= b and b - a <= pii.LONG for a, b, low, high in pii._parts(n))
+    tagger = pii.Tagger.fresh(np.random.default_rng(0))
+    line = "call 49 170 5550199 or mail me, "
+    whole = pii.all_spans([line * 2_000], tagger)
+    monkeypatch.setattr(pii, "LONG", 1 << 30)
+    once = pii.all_spans([line * 2_000], tagger)
+    assert whole[0][0] == once[0][0]
+    same = set(whole[0][1]) & set(once[0][1])
+    assert len(same) >= 0.99 * max(len(whole[0][1]), len(once[0][1]))
+    monkeypatch.undo()
+    tracemalloc.start()
+    pii.all_spans(["7 " * 150_000, *["x 1"] * 255], tagger)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20

@@ -159,30 +159,39 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def window_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, reading, whash, first, doc_values, seed_nth, seed_size, near, near_t, near_v): item windows found in
-    documents, at word ``first``; values only where the template has slots. Seeds come with the document's words in
-    which their item would be, from word ``near`` on."""
-    seed = [F.when(F.col("seed"), F.col("nth")).alias("seed_nth"), F.when(F.col("seed"), F.size("t")).alias("seed_size")]
-    anchors = stored(windows.select("reading", "anchor", "at", "length", "whash", "has_slots", *seed).distinct(), "anchors")
+    """(doc_id, th, reading, whash, first, has_slots, whole, seed): item windows found in documents, at word ``first``;
+    ``th`` is the hash of the text, the flags tell what the window is in the items that have it."""
+    kinds = [F.max("has_slots").alias("has_slots"), F.max(~F.col("seed")).alias("whole"), F.max("seed").alias("seed")]
+    anchors = stored(windows.groupBy("reading", "anchor", "at", "length", "whash").agg(*kinds), "anchors")
     blocks = max(1, -(-anchors.count() // ANCHOR_BLOCK))
-    words = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", _readings(F.col("text"), values=False))
-    places = words.select("doc_id", "text", "reading", "t", F.posexplode_outer("t").alias("place", "anchor"))
-    values = F.coalesce(*[F.when(F.col("reading") == r, value_words(F.col("text"), names)) for r, names in enumerate(READINGS)])
-    near = F.greatest(F.col("first") - F.col("seed_nth") - 1, F.lit(0))
-    around = [F.when(F.col("seed_nth").isNotNull(), F.slice(words, F.col("near") + 1, F.col("seed_size") + 2)) for words in (F.col("t"), values)]
-    values = F.when(F.col("has_slots"), F.slice(values, F.col("first") + 1, F.col("length")))
+    words = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), _readings(F.col("text"), values=False))
+    places = words.select("doc_id", "th", "reading", "t", F.posexplode_outer("t").alias("place", "anchor"))
     hits = []
     for block in range(blocks):
         some = anchors.filter(F.pmod(F.xxhash64("whash"), F.lit(blocks)) == block)
         met = places.join(F.broadcast(some), ["reading", "anchor"]).withColumn("first", F.col("place") - F.col("at"))
         met = met.filter("first >= 0 and first + length <= size(t)")
         met = met.filter("xxhash64(array_join(slice(t, first + 1, length), ' ')) = whash")
-        met = met.withColumn("near", F.when(F.col("seed_nth").isNotNull(), near))
-        found = ["doc_id", "reading", "whash", "first", values.alias("doc_values"), "seed_nth", "seed_size", "near"]
-        hits.append(met.select(*found, around[0].alias("near_t"), around[1].alias("near_v")))
+        hits.append(met.select("doc_id", "th", "reading", "whash", "first", "has_slots", "whole", "seed"))
     return reduce(DataFrame.union, hits)
 
 
+def hit_texts(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc_id, th, reading, doc_t, doc_v): the template and value words of the texts whose hits are to be compared."""
+    wanted = stored(hits.filter("has_slots or seed").select("doc_id", "th", "reading").distinct(), "compared")
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("th")).alias("d")
+    few = wanted.select("doc_id", "th").distinct().alias("w")
+    texts = texts.join(few, F.expr("d.doc_id <=> w.doc_id and d.th = w.th"), "left_semi").dropDuplicates(["doc_id", "th"])
+    words = texts.select("doc_id", "th", _readings(F.col("text"), values=True)).alias("t")
+    words = words.join(wanted.alias("w"), F.expr("t.doc_id <=> w.doc_id and t.th = w.th and t.reading = w.reading"), "left_semi")
+    return stored(words.select("doc_id", "th", "reading", F.col("t").alias("doc_t"), F.col("v").alias("doc_v")), "hit-texts")
+
+
+def _with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    same = F.expr("r.doc_id <=> x.doc_id and r.th = x.th and r.reading = x.reading")
+    return rows.alias("r").join(texts.alias("x"), same).select("r.*", "x.doc_t", "x.doc_v")
+
+
 def consistent(template: Column, item_values: Column, doc_values: Column) -> Column:
     """Equal slot values of the item stand for equal values of the document."""
     slots = F.filter(F.arrays_zip(template.alias("t"), item_values.alias("i"), doc_values.alias("d")), lambda s: s["t"].isin(NAME, NUMBER, UNIT))
@@ -214,10 +223,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     totals = windows.filter("reading = 0 and not seed").select("item_id", "part", "nth").distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("windows_total"))
     totals = stored(totals, "item-totals")
     hits = stored(window_hits(docs, windows), "window-hits")
+    texts = hit_texts(docs, hits)
     keys = ["reading", "whash", "item_id", "part", "nth"]
-    same = ~F.col("has_slots") | consistent(F.col("template"), F.col("item_values"), F.col("doc_values"))
-    lookup = windows.filter("not seed").select(*keys, "start", "stop", "has_slots", "template", "item_values").distinct()
-    matched = hits.filter("seed_nth is null").join(stored(lookup, "window-lookup"), ["reading", "whash"]).filter(same)
+    lookup = stored(windows.filter("not seed").select(*keys, "length", "start", "stop", "has_slots", "template", "item_values").distinct(), "window-lookup")
+    found = hits.filter("whole").drop("has_slots").join(lookup, ["reading", "whash"])
+    told = ["doc_id", "reading", "item_id", "part", "nth", "first", "start", "stop"]
+    slots = _with_texts(found.filter("has_slots"), texts).withColumn("doc_values", F.slice("doc_v", F.col("first") + 1, F.col("length")))
+    slots = slots.filter(consistent(F.col("template"), F.col("item_values"), F.col("doc_values")))
+    matched = found.filter("not has_slots").select(*told).union(slots.select(*told))
     # Windows that stand side by side in item and document lie on one diagonal.
     covered = F.sequence("start", F.greatest("start", F.col("stop") - window))  # the literal windows in a window
     places = F.struct("nth", covered.alias("covered"))
@@ -229,9 +242,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     covered_here = F.flatten(F.transform("places", lambda p: p["covered"]))
     matched = diagonal.select("doc_id", "item_id", "part", run.alias("enough"), F.explode(covered_here).alias("nth"))
     # Around seeds.
-    lookup = windows.filter("seed").select(*keys, "has_slots", "template", "item_values", "t", "v", F.size("t").alias("seed_size")).distinct()
-    seeds = hits.filter("seed_nth is not null").withColumnRenamed("seed_nth", "nth")
-    seeds = seeds.join(stored(lookup, "seed-lookup"), ["reading", "whash", "nth", "seed_size"]).filter(same)
+    lookup = windows.filter("seed").select(*keys, "length", "has_slots", "template", "item_values", "t", "v", F.size("t").alias("seed_size")).distinct()
+    seeds = hits.filter("seed").drop("has_slots").join(stored(lookup, "seed-lookup"), ["reading", "whash"])
+    seeds = _with_texts(seeds, texts).withColumn("doc_values", F.slice("doc_v", F.col("first") + 1, F.col("length")))
+    seeds = seeds.filter(~F.col("has_slots") | consistent(F.col("template"), F.col("item_values"), F.col("doc_values")))
+    seeds = seeds.withColumn("near", F.greatest(F.col("first") - F.col("nth") - 1, F.lit(0)))
+    around = [F.slice(c, F.col("near") + 1, F.col("seed_size") + 2) for c in ("doc_t", "doc_v")]
+    seeds = seeds.withColumns({"near_t": around[0], "near_v": around[1]}).drop("doc_t", "doc_v")
     edited = seeds.filter(words_kept() >= MIN_WORDS * F.col("seed_size"))
     edited = edited.select("doc_id", "item_id", F.lit(None).cast("long").alias("part"), F.lit(True).alias("enough"), F.lit(None).cast("int").alias("nth"))
     found = matched.union(edited).groupBy("doc_id", "item_id", "part", "nth").agg(F.max("enough").alias("enough"))
@@ -242,6 +259,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated documents, with the columns of docs; documents without doc_id stay."""
-    found = stored(contaminated(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without the contaminated documents, with the columns of docs; a document without doc_id is told by its text."""
+    key = F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.concat(F.lit("text "), F.sha2("text", 256)))
+    found = contaminated(docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark)
+    found = stored(found.select(F.col("doc_id").alias("_found")).distinct(), "contaminated")
+    return docs.join(found, key == found["_found"], "left_anti")

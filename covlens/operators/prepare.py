@@ -182,33 +182,32 @@ def apply_book_rules(df: DataFrame, rules: DataFrame, name: str = "book_of_busin
     """The book of business of the first rule that holds (lowest priority number, then the lesser book).
 
     The rule table has a priority, a book_of_business and any of the condition
-    columns, NULL meaning "any". The fact's distinct condition values meet the
-    rules by equality, once for each set of conditions a rule may state (at
-    most 16), each rule set reduced to one row per key first; the best of the
-    matches goes back to the rows by a NULL-safe join. Nothing is counted or
-    read on the driver, and the number of rules is not limited.
+    columns, NULL meaning "any". Each rule states a set of conditions (a bit
+    mask). Each of the fact's distinct condition values is looked up once for
+    every set, with the columns outside the set empty: one join with the rules,
+    whose best match goes back to the rows by a NULL-safe join. A NULL value
+    meets only rules that do not state its column. Nothing is counted or read
+    on the driver, and the number of rules is not limited.
     """
     conds = [c for c in RULE_CONDITIONS if c in rules.columns]
     values = [f"__v_{c}" for c in conds]
+    least = F.min(F.struct("priority", "book_of_business")).alias("__rule")
+    stated = [F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(conds)]
+    mask = reduce(lambda a, b: a + b, stated, F.lit(0)).alias("__mask")
+    first = rules.groupBy(mask, *[F.col(c).alias(f"__r_{c}") for c in conds]).agg(least).alias("r")
     found = df.select(*[F.col(c).alias(v) for c, v in zip(conds, values)]).distinct()
-    best = []
-    for mask in range(1 << len(conds)):
-        stated = [c for i, c in enumerate(conds) if mask >> i & 1]
-        rule_set = rules.filter(reduce(and_, [F.col(c).isNotNull() if c in stated else F.col(c).isNull() for c in conds], F.lit(True)))
-        least = F.min(F.struct("priority", "book_of_business"))
-        if stated:
-            first = rule_set.groupBy(*[F.col(c).alias(f"__r_{c}") for c in stated]).agg(least.alias(f"__rule_{mask}"))
-            on = reduce(and_, [found[f"__v_{c}"] == first[f"__r_{c}"] for c in stated])
-            found = found.join(first, on, "left").drop(*[f"__r_{c}" for c in stated])
-        else:  # rules that hold for every row: one value
-            found = found.withColumn(f"__rule_{mask}", rule_set.select(least).scalar())
-        best.append(F.col(f"__rule_{mask}"))
-    rule = F.least(*best) if len(best) > 1 else best[0]
-    chosen = found.select(*values, F.coalesce(rule["book_of_business"], F.lit(default)).alias("__book"))
+    found = found.select(*values, F.explode(F.sequence(F.lit(0), F.lit((1 << len(conds)) - 1))).alias("__mask")).alias("f")
+    same = F.col("f.__mask") == F.col("r.__mask")
+    for i, (c, v) in enumerate(zip(conds, values)):
+        in_set = F.col("f.__mask").bitwiseAND(F.lit(1 << i)) != 0
+        found = found.filter(~in_set | F.col(f"f.{v}").isNotNull())
+        same = same & F.when(in_set, F.col(f"f.{v}")).eqNullSafe(F.col(f"r.__r_{c}"))
+    best = found.join(first, same).groupBy(*[F.col(f"f.{v}").alias(v) for v in values]).agg(F.min("r.__rule").alias("__rule"))
+    chosen = best.select(*values, F.col("__rule.book_of_business").alias("__book"))
     base = df.drop(name) if name in df.columns and name not in conds else df
     same = reduce(and_, [base[c].eqNullSafe(chosen[v]) for c, v in zip(conds, values)], F.lit(True))
     out = base.join(chosen, same, "left").drop(*values)
-    return out.withColumn(name, F.col("__book")).drop("__book")
+    return out.withColumn(name, F.coalesce("__book", F.lit(default))).drop("__book")
 
 
 # ------------------------------------------------------------ T8 load time

@@ -56,24 +56,27 @@ def _meta(path: str) -> str:
     return f"{path.rstrip('/')}/meta"
 
 
-_STAMP = "built_at string, data string, through_batch long, published_at string"
+_STAMP = "built_at string, data string, through_batch long, published_at string, fingerprint string"
 
 
 def publish(rollup: DataFrame, path: str, built_at: dt.datetime | None = None,
-            through_batch: int | None = None) -> str:
+            through_batch: int | None = None, fingerprint: str | None = None, layout: Sequence[str] = LAYOUT_COLUMNS) -> str:
     """Write rollup rows as a new version under ``path``, then make it the current one.
 
     The version becomes current by one stamp file added beside the earlier
     ones: a reader sees either the stamp or the one before it, and a crash in
     between leaves the earlier version in service. ``through_batch`` records
-    the last refresh-stream batch folded in (see ``streaming.refresh.compact``).
+    the last refresh-stream batch folded in (see ``streaming.refresh.compact``),
+    ``fingerprint`` the state of the source that the rows were made from
+    (see ``operators.incremental``).
     """
     spark = rollup.sparkSession
     now = dt.datetime.now(dt.timezone.utc)
     built_at = (built_at or now).astimezone(dt.timezone.utc)
     version = f"{path.rstrip('/')}/data/v_{built_at.strftime('%Y%m%dT%H%M%S')}_{uuid.uuid4().hex[:8]}"
-    rollup.sortWithinPartitions(*LAYOUT_COLUMNS).write.mode("errorifexists").parquet(version)
-    stamp = spark.createDataFrame([(built_at.isoformat(), version, through_batch, now.isoformat(timespec="microseconds"))], _STAMP)
+    (rollup.sortWithinPartitions(*layout) if layout else rollup).write.mode("errorifexists").parquet(version)
+    stamp = [(built_at.isoformat(), version, through_batch, now.isoformat(timespec="microseconds"), fingerprint)]
+    stamp = spark.createDataFrame(stamp, _STAMP)
     stamp.coalesce(1).write.mode("append").parquet(_meta(path))
     return path
 

@@ -311,6 +311,17 @@ def lives_by_organisation(spark, sf_dir):
     return lives_summary(lives_table(spark, sf_dir), ["lives"], dims)
 
 
+@register(
+    "scan_by_zip_folders",
+    f"SELECT zip, {LIVES_SUM} AS lives, count(*) AS record_count FROM lives GROUP BY zip",
+)
+def scan_by_zip_folders(spark, sf_dir):
+    """The fact stored by a text column: every character of a folder's name is kept."""
+    path = fresh_path(spark, "lives_by_zip")
+    lives_table(spark, sf_dir).hint("rebalance", "zip").write.partitionBy("zip").parquet(path)
+    return lives_summary(read_lives(spark, path), ["lives", "record_count"], ["zip"])
+
+
 # ------------------------------------------------------ configuration S2, S3, A6, A7
 
 

@@ -22,11 +22,15 @@ def _table_name(name: str) -> str:
     return ".".join(f"`{p}`" for p in parts)
 
 
+def _is_path(source: str) -> bool:
+    return "/" in source or source.startswith("file:")
+
+
 def read_source(spark: SparkSession, source: str | DataFrame) -> DataFrame:
     """A DataFrame over a path (Parquet), a catalog table, or a DataFrame given as is."""
     if isinstance(source, DataFrame):
         return source
-    if "/" in source or source.startswith("file:"):
+    if _is_path(source):
         return spark.read.parquet(source)
     return spark.table(_table_name(source))
 
@@ -37,23 +41,37 @@ def _integral(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.DecimalType) and dtype.scale == 0 and dtype.precision <= 18
 
 
-def _declared_partition_types(df: DataFrame) -> DataFrame:
-    """Folder columns back in their declared text type.
+#: Declared texts whose folder names lose nothing when Spark has read them as whole numbers.
+_PLAIN_NUMBERS = ("date_year", "date_id")
+
+
+def _folder_texts(spark: SparkSession, source: str | DataFrame, df: DataFrame) -> DataFrame:
+    """Folder columns as the texts that the folder names spell.
 
-    Spark infers the type of a partition column from its folder names, so a
-    year folder reads as a number. Only columns that stand in the path of a
-    file are given back as text; a number stored in the files stays refused.
+    Spark infers the type of a partition column from its folder names: a year
+    reads as a number, ``zip=01234`` as 1234, a load day as a date. A path is
+    read again with those columns declared as text, so every character of the
+    name is kept; no job runs, only the listing that Spark has anyway. Only
+    columns that stand in the path of the files are declared so; a number
+    stored in the files stays refused. A DataFrame given as is has lost the
+    names: its year and month folders are given back as text, others are refused.
     """
     texts = [f.name for f in LIVES_SCHEMA.fields if f.dataType == T.StringType()]
-    guessed = [f.name for f in df.schema.fields if f.name in texts and f.dataType in (T.IntegerType(), T.LongType())]
+    guessed = [f.name for f in df.schema.fields if f.name in texts and f.dataType != T.StringType()]
     if not guessed:
         return df
     try:
-        row = df.select(F.col("_metadata.file_path").alias("path")).first()
+        first = df.inputFiles()[:1]
     except AnalysisException:  # not read from files
+        first = []
+    folders = [c for c in guessed if first and f"/{c}=" in first[0]]
+    if not folders:
         return df
-    folders = [c for c in guessed if row is not None and f"/{c}=" in row["path"]]
-    return df.withColumns({c: F.col(c).cast("string") for c in folders}) if folders else df
+    if isinstance(source, DataFrame) or not _is_path(source):
+        whole = [c for c in folders if c in _PLAIN_NUMBERS and _integral(df.schema[c].dataType)]
+        return df.withColumns({c: F.col(c).cast("string") for c in whole}) if whole else df
+    kinds = [T.StructField(f.name, T.StringType() if f.name in folders else f.dataType) for f in df.schema.fields]
+    return spark.read.schema(T.StructType(kinds)).parquet(source)
 
 
 def read_lives(spark: SparkSession, source: str | DataFrame, where: Column | None = None) -> DataFrame:
@@ -66,7 +84,7 @@ def read_lives(spark: SparkSession, source: str | DataFrame, where: Column | Non
     filter.
     """
     df = read_source(spark, source)
-    df = _declared_partition_types(df)
+    df = _folder_texts(spark, source, df)
     types = {f.name: f.dataType for f in df.schema.fields}
     widen = [c for c in LIVES_NUMBER_COLUMNS
              if c in types and types[c] != T.LongType() and _integral(types[c])]

@@ -99,3 +99,19 @@ def test_load_time_and_feed_union(spark):
     got = {r["k"]: r for r in out.collect()}
     assert got["a"]["lives_source"] == "DRG Plan" and got["a"]["pbm_rx_lives"] is None
     assert got["b"]["lives_source"] == "Payer-PBM" and got["b"]["rx_lives"] is None
+
+
+def test_book_rules_join_once(spark, lives_small):
+    from covlens.operators.prepare import apply_book_rules
+    from covlens.plans.inspect import join_strategies
+
+    rules = spark.createDataFrame(
+        [(2, "Medicare", None, None, "A"), (1, None, "GOVERNMENT", None, "B"), (3, None, None, None, "C"), (1, None, "GOVERNMENT", None, "AA"), (0, "Medicare", "x", "y", "D")],
+        "priority int, source_book_of_business string, payer_role string, plan_type string, book_of_business string",
+    )
+    rows = [("Medicare", "GOVERNMENT", "y"), ("Medicare", None, None), (None, "GOVERNMENT", None), (None, None, None), ("Medicare", "x", "y"), ("Medicare", "x", None)]
+    df = spark.createDataFrame(rows, "source_book_of_business string, payer_role string, plan_type string")
+    got = {tuple(r)[:3]: r["book_of_business"] for r in apply_book_rules(df, rules).collect()}
+    assert got == dict(zip(rows, ["AA", "A", "AA", "C", "D", "A"]))
+    assert {r["book_of_business"] for r in apply_book_rules(df, rules.filter("priority = 0")).collect()} == {"D", "Commercial"}
+    assert len(join_strategies(apply_book_rules(df, rules))) == 2  # with the rules, and back to the rows

@@ -9,7 +9,7 @@ from covlens.functions.members import filter_group
 from covlens.sources.fixtures import derive_benefit_config, derive_hierarchy
 from covlens.sources.readers import read_benefit_config, read_hierarchy, read_lives
 from covlens.sources.schemas import LIVES_SCHEMA
-from conftest import SMALL
+from conftest import SMALL, lives_rows
 
 
 def test_lives_schema_is_declared(lives_small):
@@ -107,3 +107,21 @@ def test_stored_files_are_sorted(spark):
         rows = pq.read_table(f, columns=["date_id", *SELECTIVE_COLUMNS]).to_pylist()
         keys = [tuple(r.values()) for r in rows]
         assert keys == sorted(keys)
+
+
+@pytest.mark.parametrize("column, value", [("zip", "01234"), ("payer_id", "007"), ("load_time", "1997-01-15"), ("date_year", "1995"), ("zip", "00001")])
+def test_folder_columns_keep_their_text(spark, column, value):
+    """A folder's name is text: no leading zero is lost, no date is guessed, and no job runs to find out."""
+    from covlens.session import fresh_path
+
+    path = fresh_path(spark, "folders")
+    row = {f.name: "x" for f in LIVES_SCHEMA.fields if f.dataType.simpleString() == "string"} | {column: value, "rx_lives": 5}
+    lives_rows(spark, [row, row | {column: None}]).write.partitionBy(column).parquet(path)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(path, "read")
+    got = read_lives(spark, path)
+    reads = len(tracker.getJobIdsForGroup(path))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r[column] for r in got.select(column).collect()} == {value, None}
+    assert reads <= 1  # Spark's own: the schema from a footer
+    assert got.filter(got[column] == value).count() == 1

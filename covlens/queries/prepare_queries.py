@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.history import merge_load, read_history
 from ..operators.prepare import (
     CURRENT_GRAIN,
     HASH_COLUMNS,
@@ -19,6 +20,7 @@ from ..operators.prepare import (
     with_load_time,
 )
 from ..registry import register
+from ..session import fresh_path
 from ..sources.fixtures import derive_zip_table, lives_table, table, wall_clock
 from ..sources.schemas import LIVES_NUMBER_COLUMNS
 
@@ -202,3 +204,25 @@ def prepare_dedup(spark, sf_dir):
 def prepare_dedup_any(spark, sf_dir):
     """Any one copy per key; only columns equal across copies are shown, so the result is stable."""
     return dedup(_doubled(spark, sf_dir), "row_hashkey").select("row_hashkey", "plan_type")
+
+
+@register(
+    "prepare_merge_load",
+    """WITH later AS (SELECT * FROM lives WHERE date_year > '1995' AND payer_role = 'GOVERNMENT'),
+       v AS (SELECT date_year, payer_role, rx_lives, '2026-01' AS valid_from,
+               CASE WHEN date_year > '1995' AND payer_role = 'GOVERNMENT' THEN '2026-02' END AS valid_to FROM lives
+             UNION ALL SELECT date_year, payer_role, coalesce(rx_lives, 0) + 1, '2026-02', NULL FROM later)
+       SELECT date_year, payer_role, valid_from, valid_to, count(*) AS record_count, CAST(sum(rx_lives) AS BIGINT) AS rx_lives
+       FROM v GROUP BY ALL""",
+)
+def prepare_merge_load(spark, sf_dir):
+    """The whole fact is loaded, then a load that restates some rows of its later years; the earlier years keep their files."""
+    lives, path = lives_table(spark, sf_dir), fresh_path(spark, "history")
+    first = merge_load(spark, path, lives, "2026-01", part="date_year")
+    later = lives.filter("date_year > '1995'")
+    restated = F.when(F.col("payer_role") == "GOVERNMENT", F.coalesce("rx_lives", F.lit(0)) + 1).otherwise(F.col("rx_lives"))
+    second = merge_load(spark, path, later.withColumn("rx_lives", restated), "2026-02", part="date_year")
+    if not set(second) < set(first):
+        raise RuntimeError("periods without changes were rewritten")
+    versions = read_history(spark, path, lives.schema).groupBy("date_year", "payer_role", "valid_from", "valid_to")
+    return versions.agg(F.count(F.lit(1)).alias("record_count"), F.sum("rx_lives").alias("rx_lives"))

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -131,6 +132,7 @@ def _pairs(source: str, tag: str) -> dict[int, int]:
 def parse(source: str) -> Page:
     """The block tree of a page with its inline text runs as leaves."""
     page, stack = Page(), [(0, "body")]
+    open_tags: Counter[str] = Counter()  # of the stack above the body
     run: list[str] = []
     linked, in_link = 0, 0
     pairs: dict[str, dict[int, int]] = {}
@@ -161,11 +163,12 @@ def parse(source: str) -> Page:
             if tag == "a":
                 in_link = max(0, in_link - 1)
             elif tag in BLOCK:
-                if any(t == tag for _, t in stack[1:]):
+                if open_tags[tag]:
                     close_run()
                     in_link = 0
-                    while stack.pop()[1] != tag:
-                        pass
+                    while (left := stack.pop()[1]) != tag:
+                        open_tags[left] -= 1
+                    open_tags[tag] -= 1
         elif tag in _RAW_END:
             end = _RAW_END[tag].search(source, at)
             if end is not None:
@@ -188,6 +191,7 @@ def parse(source: str) -> Page:
                 closes = (*closes, "p")  # a block element ends an open paragraph
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][1] in closes:
+                    open_tags.subtract(t for _, t in stack[i:])
                     del stack[i:]
                     break
                 if stack[i][1] in limits or stack[i][1] not in ("p", *closes) and not limits:
@@ -197,6 +201,7 @@ def parse(source: str) -> Page:
                 if _HIDDEN_ATTRIBUTE.search(m[3]):
                     cues |= 1 << _CUE["notice"]
                 stack.append((page.add(tag, stack[-1][0], cues), tag))
+                open_tags[tag] += 1
         elif tag == "br" or tag == "hr" or tag == "img":
             run.append(" ")
     close_run()
@@ -224,7 +229,9 @@ class Forest:
         own = np.array([len(t) for p in pages for t in p.text], float)
         linked = np.array([x for p in pages for x in p.linked], float)
         stops = np.array([sum(map(t.count, ".!?,")) if t else 0 for p in pages for t in p.text], float)
-        self.levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max(initial=0)) + 1)]
+        by_depth = np.argsort(depth, kind="stable")
+        cuts = np.searchsorted(depth[by_depth], np.arange(1, int(depth.max(initial=0)) + 2))
+        self.levels = np.split(by_depth, cuts)[1:-1]
         size = own.copy()
         for level in reversed(self.levels):
             for x in (size, linked, stops):

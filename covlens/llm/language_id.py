@@ -86,7 +86,8 @@ class KernelModel:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a text holds a letter by its Unicode category: number signs such as a half or a Roman numeral are none."""
+    return bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
 def fit(rows: list[tuple[str, str]]) -> KernelModel | None:

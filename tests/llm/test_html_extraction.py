@@ -102,3 +102,19 @@ def test_corpus(spark):
     for r in extract(pages, train(pages)).join(pages.select("page_id", "html"), "page_id").collect():
         article = parse(r["html"].split("<article>")[1].split("</article>")[0].split("<footer>")[0])
         assert r["text"] == "\n".join(t for t in article.text if t)
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    from covlens.llm.html_extraction import Forest, parse
+
+    def seconds(depth):
+        began = time.process_time()
+        page = parse("<div>" * depth + "<p>x</p>" + "</div>" * depth)
+        forest = Forest([page])
+        assert len(forest.levels) == max(page.depth) and sum(map(len, forest.levels)) == len(page.tag) - 1
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(40_000) < 12 * max(seconds(8_000), 0.05)

@@ -58,3 +58,10 @@ def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     assert kept.schema == odd_docs.schema and kept.count() == sum(r["predicted"] for r in got)
     assert quality.score(no_docs, quality.train(no_docs, labels.limit(0))).count() == 0
     assert {r["score"] for r in quality.score(odd_docs, quality.train(odd_docs, labels.limit(0))).collect()} == {0.5}
+
+
+def test_signs_of_numbers_are_no_letters():
+    from covlens.llm.language_id import has_letter
+
+    assert not any(map(has_letter, [None, "", "½ ² Ⅷ ①", "12 _ 3.", "½" * 10_000]))
+    assert all(map(has_letter, ["½ a", "é", "我", "1 Ω"]))

@@ -19,7 +19,9 @@ the benchmark hold: document words are joined with the anchors, and only where
 one stands is the window around it formed, hashed and compared. All steps are
 DataFrame functions. The anchors are met in blocks of at most ANCHOR_BLOCK
 rows, each broadcast: a larger benchmark takes more passes over the documents,
-and never a shuffle of their words.
+and never a shuffle of their words. Names are told only in texts that can hold a
+window with names: those whose literal words hold the window's core, its longest
+run of words without placeholders (``core_words``).
 
 Item and document are compared in several readings (READINGS), each with its
 own windows, and a window found in any of them is found: literal words with
@@ -65,10 +67,15 @@ UNITS = [
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
 #: Marks before and after a name while a text is read, and between the words of one name.
 _OPEN, _CLOSE, _JOIN = "\ue003", "\ue004", "\ue005"
+#: A word that holds one of them.
+_SLOT = "[\ue000-\ue005]"
 
 _BLANK = r"[\x20\x09-\x0D]"
 _MARK = r"[^\p{L}\p{N}\x20\x09-\x0D\x{E000}-\x{E005}]"
-_AROUND = rf"(?<![^\x20\x09-\x0D]){_MARK}++|(?<!{_MARK}){_MARK}++(?={_BLANK}|$)"
+#: The marks around a word; the lookahead lets all other characters fail at once.
+_AROUND = rf"(?={_MARK})(?:(?<![^\x20\x09-\x0D]){_MARK}++|(?<!{_MARK}){_MARK}++(?={_BLANK}|$))"
+#: White space that is not one single space.
+_RAGGED = rf"[\x09-\x0D]{_BLANK}*+|\x20{_BLANK}++"
 #: A capitalised word after a word or a comma, so not the first of its sentence.
 _NAME = r"\p{Lu}(?<=[\p{L}\p{N},;][\x20]\p{Lu})\p{Ll}++(?!\p{L})"
 #: Any capitalised word.
@@ -82,7 +89,7 @@ READINGS = [None, _NAME, _CAPITALISED]
 
 
 def _spaced(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, rf"{_BLANK}+", " "))
+    return F.trim(F.regexp_replace(text, _RAGGED, " "))
 
 
 def _bare(text: Column, names: str | None) -> Column:
@@ -111,12 +118,11 @@ def template_words(text: Column, names: str | None = _NAME) -> Column:
     return _split(F.regexp_replace(F.regexp_replace(bare, _NUMBER, NUMBER), _UNIT, f"{NUMBER} {UNIT}"))
 
 
-def _readings(text: Column, values: bool) -> Column:
-    """(reading, t) or (reading, t, v) rows: the text's template words, and its value words if asked, in each reading."""
+def _readings(text: Column) -> Column:
+    """(reading, t, v) rows: the text's template words and its value words in each reading."""
     rows = []
     for reading, names in enumerate(READINGS):
-        words = [template_words(text, names).alias("t")] + ([value_words(text, names).alias("v")] if values else [])
-        rows.append(F.struct(F.lit(reading).alias("reading"), *words))
+        rows.append(F.struct(F.lit(reading).alias("reading"), template_words(text, names).alias("t"), value_words(text, names).alias("v")))
     return F.inline(F.array(*rows))
 
 
@@ -130,12 +136,24 @@ def _literal_words(values: Column) -> Column:
     return F.size(values) + F.length(joined) - F.length(F.replace(joined, F.lit(_JOIN), F.lit("")))
 
 
+def core_words(template: Column) -> Column:
+    """The longest run of consecutive words of a template that hold no placeholder; empty if there is none.
+
+    A word without a placeholder is read alike in all readings, and two of them that stand side by side in one reading
+    do so in all. So a text that holds a window in any reading holds the window's core in its literal words.
+    """
+    words = F.transform(template, lambda w: F.when(w.rlike(_SLOT), F.lit("\n")).otherwise(w))
+    runs = F.transform(F.split(F.array_join(words, " "), "\n"), lambda r: F.filter(F.split(r, " "), lambda w: w != ""))
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.size(r).alias("n"), F.length(F.array_join(r, "")).alias("chars"), r.alias("run"))))
+    return longest["run"]
+
+
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, part, reading, seed, nth, start, stop, length, whash, anchor, at, has_slots, template, item_values, t,
-    v): the windows of all items in all readings, from literal word ``start`` to before ``stop``; ``part`` tells
-    different texts of one item apart. Seeds have the item's words ``t`` and ``v`` with them."""
+    """(item_id, part, reading, seed, nth, start, stop, length, whash, has_slots, template, item_values, t, v): the
+    windows of all items in all readings, from literal word ``start`` to before ``stop``; ``part`` tells different
+    texts of one item apart. Seeds have the item's words ``t`` and ``v`` with them."""
     texts = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text").distinct()
-    words = texts.select("item_id", F.xxhash64("text").alias("part"), _readings(F.col("text"), values=True))
+    words = texts.select("item_id", F.xxhash64("text").alias("part"), _readings(F.col("text")))
     words = words.filter(F.array_join("t", "") != "")
     whole = F.struct(F.lit(False).alias("seed"), F.least(F.size("t"), F.lit(window)).alias("length"))
     half = F.struct(F.lit(True).alias("seed"), F.least(F.expr("size(t) div 2"), F.lit(window)).alias("length"))
@@ -149,40 +167,71 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     cut = cut.withColumn("stop", F.col("start") + _literal_words(F.col("item_values")))
     cut = cut.withColumn("whash", F.xxhash64(F.array_join("template", " ")))
-    cut = stored(cut.withColumn("has_slots", _slots(F.col("template"))), "item-windows")
+    return stored(cut.withColumn("has_slots", _slots(F.col("template"))), "item-windows")
+
+
+def anchored(windows: DataFrame) -> DataFrame:
+    """(reading, whash, length, has_slots, whole, seed, core, anchor, at): the different windows of each reading with the
+    word by which they are looked up, and among those of the literal reading the cores of all windows with names; the
+    flags tell what a window is in the items that have it."""
+    kinds = [F.col("has_slots"), (~F.col("seed")).alias("whole"), F.col("seed"), F.lit(False).alias("core")]
+    pieces = windows.select("reading", "whash", "template", *kinds)
+    cores = windows.filter("reading > 0").select(core_words(F.col("template")).alias("template")).filter("size(template) > 0")
+    no = F.lit(False)
+    cores = cores.select(F.lit(0).alias("reading"), F.xxhash64(F.array_join("template", " ")).alias("whash"), "template", no, no, no, ~no)
+    pieces = pieces.union(cores).groupBy("reading", "whash", "template").agg(*[F.max(c).alias(c) for c in ("has_slots", "whole", "seed", "core")])
+    pieces = stored(pieces.withColumn("length", F.size("template")), "window-pieces")
     # The anchor: the window's word that fewest windows hold, the longest of those, the first of those.
-    held = cut.select("item_id", "reading", "nth", "whash", F.posexplode("template").alias("at", "anchor"))
+    held = pieces.select("*", F.posexplode("template").alias("at", "anchor")).drop("template")
     common = stored(held.groupBy("reading", "anchor").agg(F.count(F.lit(1)).alias("windows")), "item-words")
     best = Window.partitionBy("reading", "whash").orderBy("windows", F.desc(F.length("anchor")), "at", "anchor")
-    anchors = held.join(common, ["reading", "anchor"]).withColumn("rank", F.row_number().over(best)).filter("rank = 1")
-    return stored(cut.join(stored(anchors.select("reading", "whash", "anchor", "at"), "item-anchors"), ["reading", "whash"]), "anchored-windows")
+    held = held.join(common, ["reading", "anchor"]).withColumn("rank", F.row_number().over(best)).filter("rank = 1")
+    return stored(held.drop("rank", "windows"), "anchors")
 
 
-def window_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, th, reading, whash, first, has_slots, whole, seed): item windows found in documents, at word ``first``;
-    ``th`` is the hash of the text, the flags tell what the window is in the items that have it."""
-    kinds = [F.max("has_slots").alias("has_slots"), F.max(~F.col("seed")).alias("whole"), F.max("seed").alias("seed")]
-    anchors = stored(windows.groupBy("reading", "anchor", "at", "length", "whash").agg(*kinds), "anchors")
-    blocks = max(1, -(-anchors.count() // ANCHOR_BLOCK))
-    words = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), _readings(F.col("text"), values=False))
+def _found_windows(words: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(doc_id, th, reading, whash, first, has_slots, whole, seed, core): the windows in rows of (doc_id, th, reading, t)."""
     places = words.select("doc_id", "th", "reading", "t", F.posexplode_outer("t").alias("place", "anchor"))
+    blocks = max(1, -(-anchors.count() // ANCHOR_BLOCK))
     hits = []
     for block in range(blocks):
         some = anchors.filter(F.pmod(F.xxhash64("whash"), F.lit(blocks)) == block)
         met = places.join(F.broadcast(some), ["reading", "anchor"]).withColumn("first", F.col("place") - F.col("at"))
         met = met.filter("first >= 0 and first + length <= size(t)")
         met = met.filter("xxhash64(array_join(slice(t, first + 1, length), ' ')) = whash")
-        hits.append(met.select("doc_id", "th", "reading", "whash", "first", "has_slots", "whole", "seed"))
+        hits.append(met.select("doc_id", "th", "reading", "whash", "first", "has_slots", "whole", "seed", "core"))
     return reduce(DataFrame.union, hits)
 
 
-def hit_texts(docs: DataFrame, hits: DataFrame) -> DataFrame:
+def window_hits(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hits (doc_id, th, reading, whash, first, has_slots, whole, seed): item windows found in documents, at word
+    ``first``, ``th`` the hash of the text; and (doc_id, th, text), the texts that may hold windows with names or whose
+    hits are to be compared.
+
+    All texts are read literally; with names only those that hold the core of a window with names. A window without
+    any literal word has no core: if there is one, all texts are read with names.
+    """
+    anchors = anchored(windows)
+    docs = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    literal = docs.select("doc_id", "th", F.lit(0).alias("reading"), template_words(F.col("text"), None).alias("t"))
+    hits = stored(_found_windows(literal, anchors.filter("reading = 0")), "literal-hits")
+    texts = docs
+    if windows.filter("reading > 0").filter(F.size(core_words(F.col("template"))) == 0).isEmpty():
+        wanted = stored(hits.filter("core or has_slots or seed").select("doc_id", "th").distinct(), "texts-wanted")
+        texts = docs.alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.doc_id and d.th = w.th"), "left_semi")
+    texts = stored(texts.dropDuplicates(["doc_id", "th"]), "candidate-texts")
+    named = [F.struct(F.lit(i).alias("reading"), template_words(F.col("text"), names).alias("t")) for i, names in enumerate(READINGS) if names]
+    named = texts.select("doc_id", "th", F.inline(F.array(*named)))
+    hits = hits.filter("whole or seed").union(_found_windows(named, anchors.filter("reading > 0")))
+    return stored(hits.drop("core"), "window-hits"), texts
+
+
+def hit_texts(texts: DataFrame, hits: DataFrame) -> DataFrame:
     """(doc_id, th, reading, doc_t, doc_v): the template and value words of the texts whose hits are to be compared."""
     wanted = stored(hits.filter("has_slots or seed").select("doc_id", "th", "reading").distinct(), "compared")
-    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("th")).alias("d")
     few = wanted.select("doc_id", "th").distinct().alias("w")
-    texts = texts.join(few, F.expr("d.doc_id <=> w.doc_id and d.th = w.th"), "left_semi").dropDuplicates(["doc_id", "th"])
-    words = texts.select("doc_id", "th", _readings(F.col("text"), values=True)).alias("t")
+    texts = texts.alias("d").join(few, F.expr("d.doc_id <=> w.doc_id and d.th = w.th"), "left_semi")
+    words = texts.select("doc_id", "th", _readings(F.col("text"))).alias("t")
     words = words.join(wanted.alias("w"), F.expr("t.doc_id <=> w.doc_id and t.th = w.th and t.reading = w.reading"), "left_semi")
     return stored(words.select("doc_id", "th", "reading", F.col("t").alias("doc_t"), F.col("v").alias("doc_v")), "hit-texts")
 
@@ -222,8 +271,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     windows = item_windows(benchmark, window)
     totals = windows.filter("reading = 0 and not seed").select("item_id", "part", "nth").distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("windows_total"))
     totals = stored(totals, "item-totals")
-    hits = stored(window_hits(docs, windows), "window-hits")
-    texts = hit_texts(docs, hits)
+    hits, texts = window_hits(docs, windows)
+    texts = hit_texts(texts, hits)
     keys = ["reading", "whash", "item_id", "part", "nth"]
     lookup = stored(windows.filter("not seed").select(*keys, "length", "start", "stop", "has_slots", "template", "item_values").distinct(), "window-lookup")
     found = hits.filter("whole").drop("has_slots").join(lookup, ["reading", "whash"])

@@ -1,6 +1,6 @@
 import pytest
 
-from covlens.llm.decontamination import contaminated, drop_contaminated, template_words, value_words
+from covlens.llm.decontamination import READINGS, contaminated, core_words, drop_contaminated, template_words, value_words
 
 from .conftest import ODD
 
@@ -91,6 +91,25 @@ def test_part_of_a_long_item(spark, make_docs):
     assert _found(make_docs(rows), items) == {(1, 0)}
 
 
+def test_core_is_read_alike_in_all_readings(spark, corpus):
+    from pyspark.sql import functions as F
+
+    odd = ["(Paris) Rome, a-Paris b \"Anna\" went 3 km -- then\t\n Jim's 19Paris Rome left.\U0001f600 So!", "a\U0001d400! b", "\ue003b c Anna d e", ""]
+    texts = corpus.select("text").filter("text is not null").union(spark.createDataFrame([(t,) for t in odd], "text string"))
+    for names in READINGS[1:]:
+        t = template_words(F.col("text"), names)
+        rows = texts.select(core_words(t).alias("core"), template_words(F.col("text"), None).alias("literal")).collect()
+        assert all(f" {' '.join(r['core'])} " in f" {' '.join(r['literal'])} " for r in rows if r["core"])
+    df = spark.createDataFrame([(["a", "\ue000", "b", "c", "\ue001"],), (["\ue000's", "\ue001"],), (["a", "b"],)], "t array<string>")
+    assert [r[0] for r in df.select(core_words(F.col("t"))).collect()] == [["b", "c"], [], ["a", "b"]]
+
+
+def test_windows_without_literal_words(spark, make_docs):
+    items = spark.createDataFrame([(0, "Anna 5 km."), (1, ITEM)], "item_id long, text string")
+    rows = [(1, "then Marta 7 miles"), (2, "nothing 7 here"), (3, ITEM.replace("Anna", "Marta")), (4, "anna 9 km")]
+    assert _found(make_docs(rows), items) == {(1, 0), (3, 1), (4, 0)}
+
+
 def test_odd_rows(odd_docs, benchmark):
     assert _found(odd_docs, benchmark) == set()
     kept = drop_contaminated(odd_docs, benchmark)

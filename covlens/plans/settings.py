@@ -37,6 +37,9 @@ def scale_settings(input_bytes: int, total_cores: int, advisory_bytes: int = 256
         "spark.sql.autoBroadcastJoinThreshold": str(broadcast_bytes),
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(broadcast_bytes),
         "spark.sql.parquet.filterPushdown": "true",
+        # Keyed stream state on the executors' disks instead of in their memory.
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.session.timeZone": "UTC",
     }
 

@@ -93,14 +93,22 @@ def row_rules() -> list[tuple[str, Column, Column, float]]:
     return rules
 
 
-def check_lives(df: DataFrame) -> DataFrame:
-    """One row per rule: rows checked, rows failed, allowed fraction, passed."""
-    rules = row_rules()
+def rule_counts() -> list[Column]:
+    """Two aggregates a rule: rows it applies to and rows that fail it."""
     aggs = []
-    for name, applies, holds, _ in rules:
+    for name, applies, holds, _ in row_rules():
         aggs.append(F.count_if(_holds(applies)).alias(f"{name}__checked"))
         aggs.append(F.count_if(_holds(applies) & ~_holds(holds)).alias(f"{name}__failed"))
-    wide = df.agg(*aggs)
+    return aggs
+
+
+def with_verdict(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("passed", F.col("failed") <= F.col("checked") * F.col("allowed_fraction"))
+
+
+def check_lives(df: DataFrame) -> DataFrame:
+    """One row per rule: rows checked, rows failed, allowed fraction, passed."""
+    wide = df.agg(*rule_counts())
     per_rule = [
         F.struct(
             F.lit(name).alias("rule"),
@@ -108,10 +116,9 @@ def check_lives(df: DataFrame) -> DataFrame:
             F.col(f"{name}__failed").alias("failed"),
             F.lit(allowed).alias("allowed_fraction"),
         )
-        for name, _, _, allowed in rules
+        for name, _, _, allowed in row_rules()
     ]
-    out = wide.select(F.explode(F.array(*per_rule)).alias("r")).select("r.*")
-    return out.withColumn("passed", F.col("failed") <= F.col("checked") * F.col("allowed_fraction"))
+    return with_verdict(wide.select(F.explode(F.array(*per_rule)).alias("r")).select("r.*"))
 
 
 def key_check(df: DataFrame, key: Sequence[str] = LIVES_KEY, what: str = "composite_key") -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators.known_keys import add_keys, repeats_of_load
+from ..operators.observed import load_observed, observed_report
 from ..operators.prepare import CURRENT_GRAIN
 from ..operators.quality import (
     FORMATS,
@@ -16,6 +20,7 @@ from ..operators.quality import (
 )
 from ..oracle import GEO_TYPE
 from ..registry import register
+from ..session import fresh_path
 from ..sources.fixtures import lives_table
 from ..sources.schemas import LIVES_KEY
 
@@ -131,3 +136,48 @@ def quality_config_key(spark, sf_dir):
 
     config = read_benefit_config(spark, derive_benefit_config(spark, sf_dir))
     return key_check(config, ["benefit_type"], what="config_benefit_type")
+
+
+@register("quality_report_observed", _report_sql())
+def quality_report_observed(spark, sf_dir):
+    """The fact arrives in two loads, one of them delivered twice; the report comes from the counts taken as they were written."""
+    lives, path = lives_table(spark, sf_dir), fresh_path(spark, "observed")
+    early = F.coalesce(F.col("date_year") <= "1995", F.lit(True))
+    did = [load_observed(lives.filter(early), path, "early")]
+    did += [load_observed(lives.filter(~early), path, "late") for _ in range(2)]
+    if did != [True, True, False]:
+        raise RuntimeError("a load was written twice or left out")
+    return observed_report(spark, path)
+
+
+def _new_load_sql(key):
+    names = ", ".join(key)
+    same = " AND ".join(f"n.{c} IS NOT DISTINCT FROM h.{c}" for c in key)
+    return f"""WITH l AS (SELECT * FROM lives WHERE date_year > '1996'
+              UNION ALL SELECT * FROM lives WHERE date_year IN ('1993', '1995') AND plan_type = 'HMO'),
+           n AS (SELECT {names}, count(*) AS in_load FROM l GROUP BY {names}),
+           h AS (SELECT {names}, count(*) AS loaded FROM lives WHERE date_year <= '1996' GROUP BY {names})
+       SELECT {", ".join(f"n.{c}" for c in key)}, in_load, coalesce(loaded, 0) AS in_history
+       FROM n LEFT JOIN h ON {same} WHERE in_load > 1 OR loaded > 0"""
+
+
+def _new_load(spark, sf_dir, key):
+    lives, path = lives_table(spark, sf_dir), fresh_path(spark, "known_keys")
+    history = lives.filter("date_year <= '1996'")
+    for name, years in (("first", "date_year <= '1994'"), ("second", "date_year > '1994'")):
+        add_keys(history.filter(years), path, name, key, "date_year", expected=1 << 20)
+    again = lives.filter("date_year IN ('1993', '1995') AND plan_type = 'HMO'")
+    load = lives.filter("date_year > '1996'").unionByName(again)
+    return repeats_of_load(spark, path, history, load, key, "date_year", scratch=fresh_path(spark, "candidates"))
+
+
+@register("quality_hash_new_load", _new_load_sql(["row_hashkey"]))
+def quality_hash_new_load(spark, sf_dir):
+    """Hash keys of the fact's later years, some rows of earlier ones among them, held against all earlier years."""
+    return _new_load(spark, sf_dir, ["row_hashkey"])
+
+
+@register("quality_key_new_load", _new_load_sql(LIVES_KEY))
+def quality_key_new_load(spark, sf_dir):
+    """The same by the composite key, whose columns may be NULL."""
+    return _new_load(spark, sf_dir, list(LIVES_KEY))

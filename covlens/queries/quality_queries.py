@@ -153,21 +153,21 @@ def quality_report_observed(spark, sf_dir):
 def _new_load_sql(key):
     names = ", ".join(key)
     same = " AND ".join(f"n.{c} IS NOT DISTINCT FROM h.{c}" for c in key)
-    return f"""WITH l AS (SELECT * FROM lives WHERE date_year > '1996'
-              UNION ALL SELECT * FROM lives WHERE date_year IN ('1993', '1995') AND plan_type = 'HMO'),
+    return f"""WITH l AS (SELECT * FROM lives WHERE date_year > '1998'
+              UNION ALL SELECT * FROM lives WHERE date_year IN ('1995', '1997') AND plan_type = 'HMO'),
            n AS (SELECT {names}, count(*) AS in_load FROM l GROUP BY {names}),
-           h AS (SELECT {names}, count(*) AS loaded FROM lives WHERE date_year <= '1996' GROUP BY {names})
+           h AS (SELECT {names}, count(*) AS loaded FROM lives WHERE date_year <= '1998' GROUP BY {names})
        SELECT {", ".join(f"n.{c}" for c in key)}, in_load, coalesce(loaded, 0) AS in_history
        FROM n LEFT JOIN h ON {same} WHERE in_load > 1 OR loaded > 0"""
 
 
 def _new_load(spark, sf_dir, key):
     lives, path = lives_table(spark, sf_dir), fresh_path(spark, "known_keys")
-    history = lives.filter("date_year <= '1996'")
-    for name, years in (("first", "date_year <= '1994'"), ("second", "date_year > '1994'")):
+    history = lives.filter("date_year <= '1998'")
+    for name, years in (("first", "date_year <= '1996'"), ("second", "date_year > '1996'")):
         add_keys(history.filter(years), path, name, key, "date_year", expected=1 << 20)
-    again = lives.filter("date_year IN ('1993', '1995') AND plan_type = 'HMO'")
-    load = lives.filter("date_year > '1996'").unionByName(again)
+    again = lives.filter("date_year IN ('1995', '1997') AND plan_type = 'HMO'")
+    load = lives.filter("date_year > '1998'").unionByName(again)
     return repeats_of_load(spark, path, history, load, key, "date_year", scratch=fresh_path(spark, "candidates"))
 
 

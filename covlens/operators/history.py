@@ -7,10 +7,12 @@ A load rewrites only the periods it has rows of (copy on write) and publishes
 the new manifest by one stamp: other periods keep their files, readers see the
 fact before or after a load, and a load that dies changes nothing.
 
-In a touched period, current rows and the load meet by the key (NULL a value
-like any other) and a hash of the content. Only the key and that hash cross to
-the other side of either join, and both joins are shuffled, split by AQE where
-a key is hot. A row whose content is the same stays as it is, so a load given
+In a touched period, current rows and the load meet by a digest of the key
+(NULL a value like any other) and a hash of the content. That meeting is of
+these alone; its outcome is written, and whole rows are joined with it, by
+broadcast where few rows repeat or change and shuffled, once, where many do. A
+first load meets nothing: its whole rows cross only the shuffle that deals out
+the files. A row whose content is the same stays as it is, so a load given
 twice changes nothing. ``replaces=True`` takes the load for all there is of its
 periods: current rows it lacks are closed. Rows that repeat a key within a load
 are reduced to the newest by ``newest_by``, ties by the larger hash. The period
@@ -22,10 +24,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import fresh_path
 from ..sources.schemas import LIVES_KEY
 from .incremental import _MANIFEST, _NO_VALUE, _manifest
 from .prepare import content_hash
@@ -34,20 +37,27 @@ from .rollup import current_version, publish
 VALIDITY = [T.StructField("valid_from", T.StringType()), T.StructField("valid_to", T.StringType())]
 
 
-def _same_key(key: Sequence[str], left: str, right: str) -> Column:
-    same = F.lit(True)
-    for c in key:
-        same = same & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
-    return same
+def _key_digest(key: Sequence[str]) -> Column:
+    """16 bytes that tell a key: its values as a JSON array of texts, NULL a value like any other."""
+    return F.unhex(F.md5(F.to_json(F.array(*[F.col(c).cast("string") for c in key]))))
 
 
-def _newest(load: DataFrame, key: Sequence[str], newest_by: Sequence[str]) -> DataFrame:
-    """One row for each key: an aggregation, so repeated keys are combined before the shuffle."""
-    columns = load.columns
-    packed = F.struct(*newest_by, content_hash(columns).alias("__tie"), F.struct(*columns).alias("__row"))
-    order = F.struct(*newest_by, content_hash(columns).alias("__tie"))
-    best = load.groupBy(*[F.col(c).alias(f"__k_{c}") for c in key]).agg(F.max_by(packed["__row"], order).alias("__row"))
-    return best.select("__row.*")
+def _told(df: DataFrame, kind: str) -> DataFrame:
+    """Narrow rows written once: joins with them are planned by their measured size."""
+    path = fresh_path(df.sparkSession, f"history-{kind}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _newest(load: DataFrame, newest_by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """One row for each key ``__k``. Only rows whose key repeats are put in order; all others stay where they are."""
+    repeated = _told(load.groupBy("__k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__k"), "repeated")
+    if repeated.isEmpty():
+        return load
+    last = [F.col(c).desc() for c in newest_by] + [content_hash(columns).desc()]
+    nth = F.row_number().over(Window.partitionBy("__k").orderBy(*last))
+    many = load.join(repeated, "__k", "left_semi").withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
+    return load.join(repeated, "__k", "left_anti").unionByName(many)
 
 
 def read_history(spark: SparkSession, path: str, schema: T.StructType, parts: Sequence[str] | None = None) -> DataFrame:
@@ -83,19 +93,22 @@ def merge_load(
     touched = sorted(r[0] for r in load.select(named.alias("p")).distinct().collect())  # a row for each period
     if not touched:
         return []
-    schema, content = load.schema, [c for c in load.columns if c not in key]
+    schema, names, content = load.schema, load.columns, [c for c in load.columns if c not in key]
+    told = {"__k": _key_digest(key), "__h": content_hash(content)}
     history = read_history(spark, path, schema, touched)
-    current = history.filter("valid_to is null").withColumn("__h", content_hash(content))
-    new = _newest(load, key, newest_by).withColumn("__h", content_hash(content))
-    told = new.select(*key, F.col("__h").alias("__new"), F.lit(True).alias("__there"))
-    met = current.alias("c").join(told.alias("n"), _same_key(key, "c", "n"), "left")
-    gone = F.col("n.__there").isNull() & F.lit(replaces)
-    closed = F.when(gone | (F.col("n.__there") & (F.col("c.__h") != F.col("n.__new"))), F.lit(at))
-    kept = met.select(*[F.col(f"c.{c}") for c in schema.fieldNames()], "c.valid_from", closed.alias("valid_to"))
-    same = current.select(*key, F.col("__h").alias("__old"), F.lit(True).alias("__there"))
-    came = new.alias("n").join(same.alias("c"), _same_key(key, "n", "c"), "left")
-    came = came.filter(F.col("c.__there").isNull() | (F.col("n.__h") != F.col("c.__old")))
-    came = came.select(*[F.col(f"n.{c}") for c in schema.fieldNames()], F.lit(at).alias("valid_from"), F.lit(None).cast("string").alias("valid_to"))
+    current = history.filter("valid_to is null").withColumns(told)
+    new = _newest(load.withColumns(told), newest_by, names)
+    kept, came = current.withColumn("valid_to", F.lit(None).cast("string")), new
+    if any(p in held for p in touched):
+        met = current.select("__k", "__h").join(new.select("__k", F.col("__h").alias("__new")), "__k", "left")
+        same = F.coalesce(F.col("__h") == F.col("__new"), F.lit(False) if replaces else F.lit(None))  # NULL: not in the load
+        fates = _told(met.select("__k", same.alias("same")).filter("same is not null"), "fates")
+        closed = fates.filter("not same").select(F.col("__k").alias("__c"))
+        kept = current.join(closed, F.col("__k") == F.col("__c"), "left")
+        kept = kept.withColumn("valid_to", F.when(F.col("__c").isNotNull(), F.lit(at)))
+        came = new.join(fates.filter("same").select("__k"), "__k", "left_anti")
+    kept = kept.select(*names, "valid_from", "valid_to")
+    came = came.select(*names, F.lit(at).alias("valid_from"), F.lit(None).cast("string").alias("valid_to"))
     rows = history.filter("valid_to is not null").unionByName(kept).unionByName(came)
     run = f"{path.rstrip('/')}/parts/{uuid.uuid4().hex}"
     rows.withColumn("__part", named).hint("rebalance", "__part").write.partitionBy("__part").parquet(run)

@@ -87,3 +87,34 @@ def test_a_load_that_dies_changes_nothing(spark, monkeypatch):
         with pytest.raises(RuntimeError):
             _load(spark, path, [("a", "2024-01", 2, "t")], "2")
     assert _all(spark, path) == before
+
+
+def test_whole_rows_cross_few_shuffles(spark, lives_small):
+    """A first load without repeated keys deals its rows out once; a second one that changes few rows moves little more."""
+    rows = lives_small.dropDuplicates(["row_hashkey", "date_id"])
+    path, key = fresh_path(spark, "t"), ["row_hashkey", "date_id"]
+    plans = []
+
+    def newest(load, newest_by, columns, plain=h._newest):
+        plans.append(plain(load, newest_by, columns))
+        return plans[-1]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(h, "_newest", newest)
+        h.merge_load(spark, path, rows, "1", key=key, part="date_year")
+    assert "Window" not in plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert h.read_history(spark, path, rows.schema).count() == rows.count()
+
+
+def test_narrow_rows_of_the_fact(spark):
+    """What crosses the shuffles before the fact is written is narrower than the fact, and spells out to the same rows."""
+    from covlens.sources import fixtures
+
+    from conftest import SMALL
+
+    narrow = fixtures._lives_rows(spark, SMALL)
+    assert len(narrow.columns) < 25 and not {"row_hashkey", "mco_name", "payer_parent_name"} & set(narrow.columns)
+    path = fresh_path(spark, "t")
+    fixtures.write_lives(narrow, path)
+    written = fixtures.lives_table(spark, SMALL)
+    assert spark.read.schema(written.schema).parquet(path).select(*written.columns).exceptAll(fixtures.derive_lives(spark, SMALL)).isEmpty()

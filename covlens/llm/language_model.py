@@ -50,8 +50,8 @@ WORDS, CLASSES, HEAD = 4_096, 64, 65_536
 EMBED, HIDDEN = 16, 16
 #: Tokens of a window, documents side by side in training and in scoring.
 STEPS, TRAIN_LANES, LANES = 32, 64, 512
-#: Training: rounds, the part of the training documents they learn from, step size, parameters averaged at once.
-ROUNDS, SHARE, RATE, FAN_IN = 2, 0.0625, 0.2, 16
+#: Training: rounds, the part of the training documents they learn from (all), step size, parameters averaged at once.
+ROUNDS, SHARE, RATE, FAN_IN = 2, 1.0, 0.2, 16
 #: Bytes of text hashed at once; distinct words that a task holds before it writes their counts.
 CHUNK_BYTES, HELD_WORDS = 1 << 20, 500_000
 #: Bytes of text whose documents are scored side by side.
@@ -161,13 +161,13 @@ def fresh(vocabulary: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
 
 
 def _chosen(x: np.ndarray, rows: np.ndarray, at: np.ndarray, whole: bool) -> tuple[np.ndarray | None, np.ndarray]:
-    """(log softmax of the rows of x if asked, that of one place of each row)."""
+    """(softmax of the rows of x if asked, its logarithm at one place of each row); x is overwritten."""
     x -= x.max(1, keepdims=True)
-    mine = x[rows, at]
+    mine = x[rows, at].astype(np.float64)
+    total = np.exp(x, out=x).sum(1)
     if whole:
-        x -= np.log(np.exp(x).sum(1, keepdims=True))
-        return x, x[rows, at].astype(np.float64)
-    return None, mine - np.log(np.exp(x, out=x).sum(1)).astype(np.float64)
+        x /= total[:, None]
+    return x if whole else None, mine - np.log(total)
 
 
 def _sigmoid(x):
@@ -181,10 +181,10 @@ def word_scores(p: dict, cuts: np.ndarray, states: np.ndarray, words: np.ndarray
     """
     group = np.searchsorted(cuts, words, "right") - 1  # the class after the last one: rare
     every = np.arange(len(words))
-    logs, score = _chosen(states @ p["cls"] + p["cls_b"], every, group, grad is not None)
+    shares, score = _chosen(states @ p["cls"] + p["cls_b"], every, group, grad is not None)
     back = None
     if grad is not None:
-        d = -np.exp(logs)
+        d = np.negative(shares, out=shares)
         d[every, group] += 1
         grad["cls"] += states.T @ d
         grad["cls_b"] += d.sum(0)
@@ -197,10 +197,10 @@ def word_scores(p: dict, cuts: np.ndarray, states: np.ndarray, words: np.ndarray
             continue
         own = states[rows]
         at = words[rows] - first
-        logs, chosen = _chosen(own @ p["out"][first:last].T + p["out_b"][first:last], every[:len(rows)], at, grad is not None)
+        shares, chosen = _chosen(own @ p["out"][first:last].T + p["out_b"][first:last], every[:len(rows)], at, grad is not None)
         score[rows] += chosen
         if grad is not None:
-            d = -np.exp(logs)
+            d = np.negative(shares, out=shares)
             d[every[:len(rows)], at] += 1
             grad["out"][first:last] += d.T @ own
             grad["out_b"][first:last] += d.sum(0)
@@ -237,18 +237,23 @@ def gradient(p: dict, cuts: np.ndarray, words: np.ndarray, starts: np.ndarray, l
     dstates = np.zeros_like(flat)
     dstates[at] = back
     dstates = dstates.reshape(states.shape)
-    dx, dh = np.zeros((*words.shape, 3 * HIDDEN), np.float32), np.zeros_like(h)
+    z, r, new, a = (np.stack(k) for k in zip(*keep))
+    by_new, by_z, by_r = (1 - z) * (1 - new * new), (states - new) * z * (1 - z), a * r * (1 - r)
+    dx, dh = np.empty((*words.shape, 3 * HIDDEN), np.float32), np.zeros_like(h)
+    da, back_h, some = np.empty_like(dx), np.ascontiguousarray(p["h"].T), starts.any(1).tolist()
     for t in range(len(words) - 1, -1, -1):
-        z, r, new, a = keep[t]
-        before = states[t]
-        dnew = dh * (1 - z) * (1 - new * new)
-        dz = dh * (before - new) * z * (1 - z)
-        dr = dnew * a * r * (1 - r)
-        dx[t] = np.concatenate([dz, dr, dnew], 1)
-        da = np.concatenate([dz, dr, dnew * r], 1)
-        grad["h"] += before.T @ da
-        dh = dh * z + da @ p["h"].T + dstates[t]
-        dh[starts[t]] = 0
+        d = dx[t]
+        np.multiply(dh, by_new[t], out=d[:, n:])
+        np.multiply(dh, by_z[t], out=d[:, :HIDDEN])
+        np.multiply(d[:, n:], by_r[t], out=d[:, HIDDEN:n])
+        da[t, :, :n] = d[:, :n]
+        np.multiply(d[:, n:], r[t], out=da[t, :, n:])
+        dh = dh * z[t]
+        dh += da[t] @ back_h
+        dh += dstates[t]
+        if some[t]:
+            dh[starts[t]] = 0
+    grad["h"] += states.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
     flat = dx.reshape(-1, 3 * HIDDEN)
     grad["b"] += flat.sum(0)
     grad["x"] += x.reshape(-1, EMBED).T @ flat

@@ -149,3 +149,20 @@ def test_average_over_many_parts(spark, monkeypatch):
     mean = np.frombuffer(lm.averaged(spark.createDataFrame(parts, "part long, weight double, p binary")), np.float32)
     assert mean == pytest.approx(sum(i * (i + 1) for i in range(7)) / 28)
     assert lm.averaged(spark.createDataFrame([], "part long, weight double, p binary")) is None
+
+
+def test_every_training_document_is_learned_from(make_docs, monkeypatch):
+    """The rounds' tasks see the tokens of all training documents, each once."""
+    rows = [(i, f"w{i % 50} " * (1 + i % 7)) for i in range(400)]
+    docs = stored(make_docs(rows), "lm-test")
+    vocabulary = lm.Vocabulary.of(stored(lm.word_counts(docs), "lm-test"))
+    seen = []
+
+    def averaged(parts, plain=lm.averaged):
+        parts = stored(parts, "lm-test")
+        seen.extend(r["weight"] for r in parts.collect())
+        return plain(parts)
+
+    monkeypatch.setattr(lm, "averaged", averaged)
+    lm.train(docs, vocabulary)
+    assert sum(seen) == vocabulary.tokens

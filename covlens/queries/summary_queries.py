@@ -10,7 +10,7 @@ from ..operators.summary import config_count, lives_summary
 from ..oracle import GEO_TYPE, LIVES_SUM, share_sql
 from ..registry import register
 from ..session import fresh_path
-from ..sources.fixtures import derive_benefit_config, derive_hierarchy, lives_table, lives_table_path
+from ..sources.fixtures import derive_benefit_config, derive_hierarchy, lives_table, lives_table_path, write_lives_by
 from ..sources.readers import read_benefit_config, read_hierarchy, read_lives
 from ..sources.schemas import LIVES_SCHEMA
 
@@ -318,7 +318,7 @@ def lives_by_organisation(spark, sf_dir):
 def scan_by_zip_folders(spark, sf_dir):
     """The fact stored by a text column: every character of a folder's name is kept."""
     path = fresh_path(spark, "lives_by_zip")
-    lives_table(spark, sf_dir).hint("rebalance", "zip").write.partitionBy("zip").parquet(path)
+    write_lives_by(spark, sf_dir, path, "zip")
     return lives_summary(read_lives(spark, path), ["lives", "record_count"], ["zip"])
 
 

@@ -118,3 +118,6 @@ def test_narrow_rows_of_the_fact(spark):
     fixtures.write_lives(narrow, path)
     written = fixtures.lives_table(spark, SMALL)
     assert spark.read.schema(written.schema).parquet(path).select(*written.columns).exceptAll(fixtures.derive_lives(spark, SMALL)).isEmpty()
+    fixtures.write_lives_by(spark, SMALL, f"{path}-zip", "zip")
+    by_zip = spark.read.schema(written.schema).parquet(f"{path}-zip").select(*written.columns)
+    assert by_zip.count() == written.count() and by_zip.exceptAll(written).isEmpty()

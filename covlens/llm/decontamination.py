@@ -55,6 +55,8 @@ RUN = 13
 MIN_WORDS = 0.85
 #: Rows of an anchor block: the size bound of what is broadcast.
 ANCHOR_BLOCK = 50_000
+#: Bits of the bitmap that goes ahead of a join, for each key in it.
+KEY_BITS = 16
 
 #: Unit words after a number.
 UNITS = [
@@ -203,6 +205,18 @@ def _found_windows(words: DataFrame, anchors: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, hits)
 
 
+def maybe_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of docs whose (doc_id, th) is among ``wanted``, and a few others: so a join of the texts with all of
+    ``wanted`` moves few texts. Only a bitmap with KEY_BITS bits or more for each wanted key is broadcast."""
+    bits = 1 << max(15, (KEY_BITS * wanted.count() - 1).bit_length())
+    place = F.pmod(F.xxhash64("doc_id", "th"), F.lit(bits))
+    marks = wanted.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_marks"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_marks", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = docs.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(stored(marks, "wanted-marks")), "_bucket")
+    return met.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns)
+
+
 def window_hits(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Hits (doc_id, th, reading, whash, first, has_slots, whole, seed): item windows found in documents, at word
     ``first``, ``th`` the hash of the text; and (doc_id, th, text), the texts that may hold windows with names or whose
@@ -218,7 +232,7 @@ def window_hits(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFra
     texts = docs
     if windows.filter("reading > 0").filter(F.size(core_words(F.col("template"))) == 0).isEmpty():
         wanted = stored(hits.filter("core or has_slots or seed").select("doc_id", "th").distinct(), "texts-wanted")
-        texts = docs.alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.doc_id and d.th = w.th"), "left_semi")
+        texts = maybe_wanted(docs, wanted).alias("d").hint("merge").join(wanted.alias("w"), F.expr("d.doc_id <=> w.doc_id and d.th = w.th"), "left_semi")
     texts = stored(texts.dropDuplicates(["doc_id", "th"]), "candidate-texts")
     named = [F.struct(F.lit(i).alias("reading"), template_words(F.col("text"), names).alias("t")) for i, names in enumerate(READINGS) if names]
     named = texts.select("doc_id", "th", F.inline(F.array(*named)))
@@ -238,7 +252,8 @@ def hit_texts(texts: DataFrame, hits: DataFrame) -> DataFrame:
 
 def _with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
     same = F.expr("r.doc_id <=> x.doc_id and r.th = x.th and r.reading = x.reading")
-    return rows.alias("r").join(texts.alias("x"), same).select("r.*", "x.doc_t", "x.doc_v")
+    # The texts grow with the documents, so the join is a shuffled one at every size.
+    return rows.alias("r").join(texts.alias("x").hint("merge"), same).select("r.*", "x.doc_t", "x.doc_v")
 
 
 def consistent(template: Column, item_values: Column, doc_values: Column) -> Column:

@@ -133,3 +133,15 @@ def test_corpus_against_plain_search(spark, corpus):
 def test_tables_are_not_python(no_docs, benchmark):
     plan = contaminated(no_docs, benchmark)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_few_texts_meet_the_wanted_keys(spark):
+    """A join with the wanted texts moves them and few others, null ids included."""
+    from covlens.llm.decontamination import maybe_wanted
+
+    docs = spark.range(20_000).selectExpr("nullif(id, 7) AS doc_id", "xxhash64(cast(id AS string)) AS th", "'text' AS text")
+    wanted = docs.filter("doc_id % 400 = 0 or doc_id is null").select("doc_id", "th").localCheckpoint()
+    got = {(r["doc_id"], r["th"]) for r in maybe_wanted(docs, wanted).collect()}
+    assert {(r["doc_id"], r["th"]) for r in wanted.collect()} <= got
+    assert len(got) < 2_000
+    assert maybe_wanted(docs, wanted.limit(0)).isEmpty()

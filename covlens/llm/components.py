@@ -13,12 +13,10 @@ def _both_ways(links: DataFrame) -> DataFrame:
 
 
 def _least_neighbour(near: DataFrame) -> DataFrame:
-    """(a, m): the least of a and its neighbours."""
-    return near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-
-
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    """(a, m, star): the least of a and its neighbours, and whether a is a star's centre or hangs on one other id alone."""
+    below, above = F.count_if(F.col("b") < F.col("a")), F.count_if(F.col("b") > F.col("a"))
+    star = (below == 0) | ((below == 1) & (above == 0))
+    return near.groupBy("a").agg(F.min("b").alias("m"), star.alias("star")).select("a", F.least("a", "m").alias("m"), "star")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,24 +24,22 @@ def components(links: DataFrame) -> DataFrame:
 
     Every step joins the links with one row per id, so an id with very many
     links is split like any skewed join; a path of n links takes about log n
-    rounds. Each round's links are written to the shared folder.
+    rounds. Each round's links are written to the shared folder; links that are
+    stars, every id linked with its component alone, need no further round.
     """
     links = stored(
         links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
     )
-    before = _state(links)
-    while before[0]:
+    while True:
         near = _both_ways(links)
         least = stored(_least_neighbour(near), "least")
+        if least.filter(~F.col("star")).isEmpty():
+            break
         large = near.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large.filter("a <> b").distinct(), "large-star")
-        least = stored(_least_neighbour(large), "least")  # all b < a: the small side
+        large = stored(large, "large-star")  # no more rows than links, some repeated; all b < a
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = stored(small.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "small-star")
-        now = _state(links)
-        if now == before:
-            break
-        before = now
     return links.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )

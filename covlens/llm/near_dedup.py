@@ -365,7 +365,7 @@ def class_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
     if rest.isEmpty():
         return found
     more = stored(group_links(rest, sets, percent), "group-links")
-    return found if more.isEmpty() else stored(components(links.union(more)), "components")
+    return found if more.isEmpty() else stored(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:

@@ -39,6 +39,16 @@ def test_pairs_at_any_threshold_share_keys():
     assert (minhashes(shingles, counts, 84)[:, :HASHES] == minhashes(shingles, counts)).all()
 
 
+def test_components_of_stars_need_no_round(spark, monkeypatch):
+    from covlens.llm import components as module
+
+    kinds, stored = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda df, kind: kinds.append(kind) or stored(df, kind))
+    links = spark.createDataFrame([(2, 1), (1, 3), (9, 5), (9, 5), (4, 4)], "a long, b long")
+    assert {(r["id"], r["component"]) for r in components(links).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (9, 5)}
+    assert kinds == ["links", "least"]
+
+
 def test_components_of_path_star_and_single(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(300, 300), (7, 6), (7, 6)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

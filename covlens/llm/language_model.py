@@ -56,6 +56,8 @@ ROUNDS, SHARE, RATE, FAN_IN = 2, 1.0, 0.2, 16
 CHUNK_BYTES, HELD_WORDS = 1 << 20, 500_000
 #: Bytes of text whose documents are scored side by side.
 BATCH_BYTES = 16 << 20
+#: Exponents up to this in either direction are far from what 32-bit floats cannot hold.
+CALM = 60
 END = np.int64(-1)  # the end token's place among word hashes
 
 
@@ -160,18 +162,24 @@ def fresh(vocabulary: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
     }
 
 
-def _chosen(x: np.ndarray, rows: np.ndarray, at: np.ndarray, whole: bool) -> tuple[np.ndarray | None, np.ndarray]:
-    """(softmax of the rows of x if asked, its logarithm at one place of each row); x is overwritten."""
-    x -= x.max(1, keepdims=True)
+def _chosen(x: np.ndarray, rows: np.ndarray, at: np.ndarray, whole: bool, calm: bool) -> tuple[np.ndarray | None, np.ndarray]:
+    """(the negative softmax of the rows of x if asked, its logarithm at one place of each row); x is overwritten.
+
+    Rows that are not ``calm`` are moved to a greatest value of 0 first."""
+    if not calm:
+        x -= x.max(1, keepdims=True)
     mine = x[rows, at].astype(np.float64)
-    total = np.exp(x, out=x).sum(1)
+    total = np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype)
     if whole:
-        x /= total[:, None]
-    return x if whole else None, mine - np.log(total)
+        x *= (-1 / total)[:, None]
+    return x if whole else None, mine - np.log(total.astype(np.float64))
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+    out = np.negative(x)
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 def word_scores(p: dict, cuts: np.ndarray, states: np.ndarray, words: np.ndarray, grad: dict | None = None):
@@ -180,14 +188,19 @@ def word_scores(p: dict, cuts: np.ndarray, states: np.ndarray, words: np.ndarray
     With ``grad``, the gradient of their sum is added there, and that by the states returned as well.
     """
     group = np.searchsorted(cuts, words, "right") - 1  # the class after the last one: rare
-    every = np.arange(len(words))
-    shares, score = _chosen(states @ p["cls"] + p["cls_b"], every, group, grad is not None)
+    every, n = np.arange(len(words)), states.shape[1]
+    # One more column, of ones, meets the biases.
+    wide = np.concatenate([states, np.ones((len(states), 1), states.dtype)], 1)
+    by_class, by_word = np.vstack([p["cls"], p["cls_b"]]), np.column_stack([p["out"], p["out_b"]])
+    most = max(1, np.abs(states).max(initial=0)) * max(np.abs(by_class).sum(0).max(), np.abs(by_word).sum(1).max())
+    calm = bool(most < CALM)
+    d, score = _chosen(wide @ by_class, every, group, grad is not None, calm)
     back = None
     if grad is not None:
-        d = np.negative(shares, out=shares)
         d[every, group] += 1
-        grad["cls"] += states.T @ d
-        grad["cls_b"] += d.sum(0)
+        step = wide.T @ d
+        grad["cls"] += step[:n]
+        grad["cls_b"] += step[n]
         back = d @ p["cls"].T
     order = np.argsort(group, kind="stable")
     ends = np.searchsorted(group[order], np.arange(len(cuts)))
@@ -195,15 +208,15 @@ def word_scores(p: dict, cuts: np.ndarray, states: np.ndarray, words: np.ndarray
         rows, first, last = order[ends[c]:ends[c + 1]], cuts[c], cuts[c + 1]
         if last - first == 1:
             continue
-        own = states[rows]
+        own = wide[rows]
         at = words[rows] - first
-        shares, chosen = _chosen(own @ p["out"][first:last].T + p["out_b"][first:last], every[:len(rows)], at, grad is not None)
+        d, chosen = _chosen(own @ by_word[first:last].T, every[:len(rows)], at, grad is not None, calm)
         score[rows] += chosen
         if grad is not None:
-            d = np.negative(shares, out=shares)
             d[every[:len(rows)], at] += 1
-            grad["out"][first:last] += d.T @ own
-            grad["out_b"][first:last] += d.sum(0)
+            step = d.T @ own
+            grad["out"][first:last] += step[:, :n]
+            grad["out_b"][first:last] += step[:, n]
             back[rows] += d @ p["out"][first:last]
     return score, back
 
@@ -261,7 +274,9 @@ def gradient(p: dict, cuts: np.ndarray, words: np.ndarray, starts: np.ndarray, l
     held = words.ravel()[order]
     first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
     grad["embed"][held[first]] = np.add.reduceat((flat @ p["x"].T)[order], first)
-    return {k: g / np.float32(STEPS * TRAIN_LANES) for k, g in grad.items()}, after, score.sum()
+    for g in grad.values():
+        g /= np.float32(STEPS * TRAIN_LANES)
+    return grad, after, score.sum()
 
 
 class Lanes:
@@ -333,7 +348,11 @@ def learn(p: dict, squares: dict, cuts: np.ndarray, ids: np.ndarray, counts: np.
         total += score
         for k, v in g.items():
             squares[k] += v * v
-            p[k] += np.float32(RATE) * v / (np.sqrt(squares[k]) + np.float32(1e-6))
+            step = np.sqrt(squares[k])
+            step += np.float32(1e-6)
+            np.divide(v, step, out=step)
+            step *= np.float32(RATE)
+            p[k] += step
     return total
 
 

@@ -166,3 +166,35 @@ def test_every_training_document_is_learned_from(make_docs, monkeypatch):
     monkeypatch.setattr(lm, "averaged", averaged)
     lm.train(docs, vocabulary)
     assert sum(seen) == vocabulary.tokens
+
+
+def test_word_scores_and_gradient_at_any_size_of_the_weights():
+    """Weights that 32-bit exponentials cannot hold score like small ones; each word's gradient is that of its softmax."""
+    rng, cuts = np.random.default_rng(3), np.array([0, 1, 4, 9])
+    states, words = np.tanh(rng.standard_normal((40, lm.HIDDEN))).astype(np.float32), rng.integers(0, 10, 40)
+    group = np.searchsorted(cuts, words, "right") - 1
+    for size in (0.5, 200):
+        p = {"cls": (lm.HIDDEN, 4), "cls_b": (4,), "out": (9, lm.HIDDEN), "out_b": (9,)}
+        p = {k: (size * rng.standard_normal(shape)).astype(np.float32) for k, shape in p.items()}
+        grad = {k: np.zeros_like(v) for k, v in p.items()}
+        score, back = lm.word_scores(p, cuts, states, words, grad)
+        wide = {k: v.astype(np.float64) for k, v in p.items()}
+        x = states @ wide["cls"] + wide["cls_b"]
+        x -= x.max(1, keepdims=True)
+        soft = np.exp(x) / np.exp(x).sum(1, keepdims=True)
+        expected = x[np.arange(40), group] - np.log(np.exp(x).sum(1))
+        for i, (g, w) in enumerate(zip(group, words, strict=True)):
+            if g < 3:
+                y = wide["out"][cuts[g]:cuts[g + 1]] @ states[i] + wide["out_b"][cuts[g]:cuts[g + 1]]
+                expected[i] += y[w - cuts[g]] - y.max() - np.log(np.exp(y - y.max()).sum())
+        assert np.allclose(score, expected, rtol=1e-4, atol=1e-3)
+        assert np.allclose(grad["cls_b"], (np.eye(4)[group] - soft).sum(0), atol=1e-2)
+        assert np.isfinite(back).all() and all(np.isfinite(g).all() for g in grad.values())
+
+
+def test_calm_rows_are_not_moved():
+    """Rows that no exponential can overflow are left where they are: one pass over the scores less."""
+    x = np.array([[1.0, 2.0, 4.0]], np.float32)
+    soft, logs = lm._chosen(x.copy(), np.array([0]), np.array([1]), True, True)
+    moved, same = lm._chosen(x.copy(), np.array([0]), np.array([1]), True, False)
+    assert np.allclose(soft, moved) and np.allclose(soft.sum(), -1) and np.allclose(logs, same)

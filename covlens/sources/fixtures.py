@@ -4,12 +4,15 @@ The model reads a ready-made lives fact; here Spark derives it from
 ``lineitem`` and its dimension tables, so that every query's work grows with
 the data. The mapping is the one of FIXTURES.md section 2.
 
-Join order for scale: the order side (orders + customer + nation + region) is
-joined first, at order grain; the line side then meets it once on the order
-key in a sort-merge join, hinted so: these are the two largest tables, and a
-file-size estimate of the pruned line columns would otherwise broadcast the
-line side at small scale and run the whole join as one serial stream. Nation
-and region are fixed-size (25 and 5 rows), so they are broadcast by hint;
+Join order for scale: lines meet part and supplier while they are narrow, and
+the order side (orders + customer + nation + region), joined at order grain,
+last, on the order key in a sort-merge join. It is hinted so: these are the two
+largest tables, and a file-size estimate of the pruned line columns would
+otherwise broadcast the line side at small scale and run the whole join as one
+serial stream. So no line carries its order's columns through a join's shuffle,
+and rows come out in the order of their keys: the lines of an order lie side by
+side, where the shuffle that deals out the files compresses what they share.
+Nation and region are fixed-size (25 and 5 rows), so they are broadcast by hint;
 customer, part and supplier are left to the planner, which broadcasts them
 only when their measured size is under the threshold (AQE re-checks at run
 time) and otherwise uses a shuffled join.
@@ -79,17 +82,38 @@ def wall_clock(df: DataFrame, name: str) -> F.Column:
     return col
 
 
-def _lives_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name, region and region name of each nation (25 rows)."""
+    region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return nation.join(region, nation.n_regionkey == region.r_regionkey).drop("r_regionkey")
+
+
+def _with_geo(rows: DataFrame, geo: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(geo), rows.c_nationkey == geo.n_nationkey).drop("c_nationkey")
+
+
+def _code(col, mapping: dict) -> F.Column:
+    """The place (from 1) of a text in a mapping, 0 for any other and for NULL."""
+    return _case(col, {key: i for i, key in enumerate(mapping, 1)}, 0).cast("tinyint")
+
+
+def _by_code(code: str, mapping: dict, default: str) -> F.Column:
+    return _case(F.col(code), dict(enumerate(mapping.values(), 1)), default)
+
+
+def _lives_rows(spark: SparkSession, sf_dir: str, named: bool = True) -> DataFrame:
     """A narrow row for each row of the lives fact: the source columns that ``_lives_columns`` spells out.
 
-    The fact's 37 columns repeat the same few values several times over, so rows cross every shuffle in this form.
+    The fact's 37 columns repeat the same few values several times over, so rows cross every shuffle in this form;
+    with ``named=False`` the nation is its key alone, to be named by ``_with_geo`` after the last shuffle.
     """
-    region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    geo = nation.join(region, nation.n_regionkey == region.r_regionkey).drop("r_regionkey")
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    customer = table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_name", "c_nationkey", _code(F.col("c_mktsegment"), BOOK_BY_SEGMENT).alias("segment")
+    )
     orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", F.substring("o_orderpriority", 1, 1).alias("priority")
+        "o_orderkey", "o_custkey", (F.col("o_orderstatus") == "P").alias("pending"),
+        _code(F.substring("o_orderpriority", 1, 1), ROLE_BY_PRIORITY).alias("priority"),
     )
     order_side = orders.join(customer, orders.o_custkey == customer.c_custkey).drop("o_custkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
@@ -101,18 +125,17 @@ def _lives_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_returnflag") != "R").alias("kept"), (F.col("l_linestatus") == "O").alias("open"),
         F.trunc(shipped, "month").alias("shipped"),
     )
-    joined = (
-        lineitem.hint("merge").join(order_side, lineitem.l_orderkey == order_side.o_orderkey)
-        .join(part, lineitem.l_partkey == part.p_partkey)
-        .join(supplier, lineitem.l_suppkey == supplier.s_suppkey)
-        .join(F.broadcast(geo), customer.c_nationkey == geo.n_nationkey)
+    lines = (
+        lineitem.join(part, lineitem.l_partkey == part.p_partkey).drop("p_partkey")
+        .join(supplier, lineitem.l_suppkey == supplier.s_suppkey).drop("s_suppkey")
     )
-    return joined.drop("o_orderkey", "p_partkey", "s_suppkey", "c_nationkey").withColumn(PARTITION_COLUMN, _text(F.year("shipped")))
+    rows = lines.hint("merge").join(order_side, lineitem.l_orderkey == order_side.o_orderkey).drop("o_orderkey")
+    return _with_geo(rows, _geo(spark, sf_dir)) if named else rows
 
 
 def _lives_columns() -> dict[str, F.Column]:
     """The fact's columns over the rows of ``_lives_rows``, by name in declared order."""
-    year = F.col(PARTITION_COLUMN)
+    year = _text(F.year("shipped"))
     month2 = F.lpad(_text(F.month("shipped")), 2, "0")
     priority = F.col("priority")
     has_eco = (F.col("l_orderkey") % 5) != 0
@@ -129,7 +152,7 @@ def _lives_columns() -> dict[str, F.Column]:
         "pbm_id": _text(F.col("l_suppkey")),
         "pbm_name": F.col("s_name"),
         "flag_current_record": F.when(F.col("open"), "Y").otherwise("N"),
-        "book_of_business": _case(F.col("c_mktsegment"), BOOK_BY_SEGMENT, "Commercial"),
+        "book_of_business": _by_code("segment", BOOK_BY_SEGMENT, "Commercial"),
         "zip": zip_of(F.col("c_custkey")),
         "date_id": F.concat(year, month2, F.lit("01")),
         "date_year_month": F.concat(year, F.lit("-"), month2),
@@ -137,14 +160,14 @@ def _lives_columns() -> dict[str, F.Column]:
         "date_year": year,
         "commercial_region_name": _case(F.col("n_regionkey"), REGION_NAME_BY_KEY, "West"),
         "source_book_of_business": _case(F.col("l_linenumber") % 6, SOURCE_BOOK_BY_LINE),
-        "payer_role": _case(priority, ROLE_BY_PRIORITY, "PLAN ADMINISTRATOR"),
-        "lives_source": F.when(priority.isin("1", "2"), "Payer-PBM").otherwise("DRG Plan"),
+        "payer_role": _by_code("priority", ROLE_BY_PRIORITY, "PLAN ADMINISTRATOR"),
+        "lives_source": F.when(priority.isin(1, 2), "Payer-PBM").otherwise("DRG Plan"),
         "plan_id": _text(F.col("l_partkey")),
         "plan_name": F.col("p_name"),
         "plan_type": _case(F.col("l_partkey") % 7, PLAN_TYPE_BY_PART, "UNKNOWN"),
         "payer_category": F.col("r_name"),
         "mco_name": F.concat(
-            F.col("c_name"), F.lit(" ("), F.when(priority == "1", "EMPLOYER").otherwise("MAC"), F.lit(")")
+            F.col("c_name"), F.lit(" ("), F.when(priority == 1, "EMPLOYER").otherwise("MAC"), F.lit(")")
         ),
         "payer_parent_id": F.concat(F.lit("PP"), _text(F.col("n_nationkey"))),
         "payer_parent_name": F.col("n_name"),
@@ -162,7 +185,7 @@ def _lives_columns() -> dict[str, F.Column]:
         "load_time": F.concat(year, F.lit("-"), month2, F.lit("-15T00:00:00Z")),
         "rx_lives": F.when(F.col("kept"), qty),
         "mx_lives": F.when(F.col("l_linenumber") != 7, qty + F.col("l_linenumber")),
-        "pbm_rx_lives": F.when(F.col("o_orderstatus") == "P", qty),
+        "pbm_rx_lives": F.when(F.col("pending"), qty),
     }
     return {f.name: cols[f.name].cast(f.dataType) for f in LIVES_SCHEMA.fields}
 
@@ -218,8 +241,19 @@ SELECTIVE_COLUMNS = ("book_of_business", "flag_current_record", "lives_source",
 # Rows per file: files of a few hundred MB at scale; every file is a read split.
 MAX_ROWS_PER_FILE = 5_000_000
 
+# The fact's texts of digits and hexadecimal digits take about half the bytes of the default's files.
+COMPRESSION = "zstd"
+
+
+def _dealt(rows: DataFrame, column: str, order: list[F.Column], geo: DataFrame | None) -> DataFrame:
+    """Narrow rows dealt out by a column of the fact; where they arrive, they get their nation's names and are sorted."""
+    value = _lives_columns()[column]
+    dealt = rows.withColumn("dealt", F.hash(value)).hint("rebalance", "dealt").drop("dealt")
+    named = dealt if geo is None else _with_geo(dealt, geo)
+    return named.withColumn(column, value).sortWithinPartitions(column, *order)
+
 
-def write_lives(rows: DataFrame, path: str) -> None:
+def write_lives(rows: DataFrame, path: str, geo: DataFrame | None = None) -> None:
     """Write the rows of ``_lives_rows`` as the fact, laid out for parallel, selective reads.
 
     One folder per year, so a filter on the year is answered by listing only
@@ -230,26 +264,24 @@ def write_lives(rows: DataFrame, path: str) -> None:
     keeps the order), month and the common filter columns, so Parquet
     statistics can skip row groups of other months, books or sources; no file
     exceeds ``MAX_ROWS_PER_FILE`` rows. Rows are dealt out and sorted as they
-    come, narrow, and spelled out as the fact's columns only where they are
+    come, narrow, named by ``geo`` if they are not yet, and spelled out as the fact's columns only where they are
     written. The splitting is AQE's: with AQE off (it is on by default, and in
     ``plans.settings``) the hint is a plain repartition by year.
     """
-    columns = _lives_columns()
-    laid = rows.hint("rebalance", PARTITION_COLUMN)
-    laid = laid.sortWithinPartitions(PARTITION_COLUMN, *[columns[c] for c in ("date_id", *SELECTIVE_COLUMNS)])
+    order = [_lives_columns()[c] for c in ("date_id", *SELECTIVE_COLUMNS)]
     (
-        _spelled(laid)
+        _spelled(_dealt(rows, PARTITION_COLUMN, order, geo))
         .write.mode("overwrite")
         .partitionBy(PARTITION_COLUMN)
-        .option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
+        .options(maxRecordsPerFile=MAX_ROWS_PER_FILE, compression=COMPRESSION)
         .parquet(path)
     )
 
 
 def write_lives_by(spark: SparkSession, sf_dir: str, path: str, column: str) -> None:
     """The fact in one folder for each value of a column, its rows dealt out and sorted narrow as in ``write_lives``."""
-    rows = _lives_rows(spark, sf_dir).withColumn(column, _lives_columns()[column])
-    _spelled(rows.hint("rebalance", column).sortWithinPartitions(column)).write.partitionBy(column).parquet(path)
+    rows = _dealt(_lives_rows(spark, sf_dir, named=False), column, [], _geo(spark, sf_dir))
+    _spelled(rows).write.partitionBy(column).parquet(path, compression=COMPRESSION)
 
 
 def lives_table_path(spark: SparkSession, sf_dir: str) -> str:
@@ -259,7 +291,7 @@ def lives_table_path(spark: SparkSession, sf_dir: str) -> str:
         path = _MATERIALIZED.get(key)
         if path is None:
             path = fresh_path(spark, "lives")
-            write_lives(_lives_rows(spark, sf_dir), path)
+            write_lives(_lives_rows(spark, sf_dir, named=False), path, _geo(spark, sf_dir))
             _MATERIALIZED[key] = path
     return path
 

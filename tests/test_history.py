@@ -121,3 +121,21 @@ def test_narrow_rows_of_the_fact(spark):
     fixtures.write_lives_by(spark, SMALL, f"{path}-zip", "zip")
     by_zip = spark.read.schema(written.schema).parquet(f"{path}-zip").select(*written.columns)
     assert by_zip.count() == written.count() and by_zip.exceptAll(written).isEmpty()
+
+
+def test_lines_meet_orders_last_and_nations_are_named_after_the_last_shuffle(spark):
+    """No line carries its order's columns or a nation's names through the shuffles, and the files are packed tight."""
+    from covlens.sources import fixtures
+
+    from conftest import SMALL
+
+    narrow = fixtures._lives_rows(spark, SMALL, named=False)
+    assert not {"n_name", "r_name", "c_mktsegment", "o_orderstatus", "date_year"} & set(narrow.columns)
+    joins = [line for line in narrow._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert "l_orderkey" in joins[0]
+    path = fresh_path(spark, "t")
+    fixtures.write_lives(narrow, path, fixtures._geo(spark, SMALL))
+    written = fixtures.lives_table(spark, SMALL)
+    again = spark.read.schema(written.schema).parquet(path)
+    assert again.select(*written.columns).exceptAll(written).isEmpty() and again.count() == written.count()
+    assert all(".zstd." in f for f in again.inputFiles())

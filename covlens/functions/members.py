@@ -68,6 +68,13 @@ def measure(name: str) -> Column:
     return agg.alias(name)
 
 
+def row_measure(name: str) -> Column:
+    """The named measure of a single row."""
+    if name == "lives":
+        return lives_value()
+    return F.lit(1) if name == "record_count" else F.col(name)
+
+
 # ------------------------------------------------------------ named filters
 
 # The literals of the named filters and default filter values.

@@ -29,8 +29,13 @@ from ..functions.members import (
     default_filter,
     dimension,
     measure,
+    row_measure,
     segment_filter,
 )
+from ..session import fresh_path
+
+#: Keys that repeat, up to which their rows are told apart by a broadcast of the keys' 64-bit hashes (8 MB).
+REPEATED_KEYS = 1 << 20
 
 
 def request_filter(where: Column | None = None, segments: Iterable[str] = (), defaults: bool = False) -> Column | None:
@@ -89,6 +94,40 @@ def _split_dimensions(dimensions: Sequence[str], hierarchy: DataFrame | None):
     return own, joined
 
 
+def split_groups(base: DataFrame, measures: Sequence[str], dimensions: Sequence[str]) -> tuple[DataFrame | None, DataFrame]:
+    """Measures by dimensions in two frames: groups of a single row, and all other groups.
+
+    For requests nearly as wide as the fact. A first pass counts the 64-bit
+    hashes of the keys and stores those that repeat. A row whose hash does not
+    repeat is a group of its own and stays where it is; only the others are
+    shuffled and grouped, by the dimensions themselves, so two keys of one hash
+    stay two groups. Where more than ``REPEATED_KEYS`` repeat, all rows are
+    grouped (no first frame).
+    """
+    from .prepare import content_hash
+
+    spark, dims = base.sparkSession, list(dimensions)
+    rows = base.withColumns({d: dimension(d) for d in dims if d in DERIVED_DIMENSIONS})
+    every = rows.groupBy(*dims).agg(*[measure(m) for m in measures])
+    hashed, path = rows.withColumn("__h", content_hash(dims)), fresh_path(spark, "repeated")
+    hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__h").write.parquet(path)
+    repeated = spark.read.schema("__h long").parquet(path)
+    known = repeated.count()
+    if known > REPEATED_KEYS:
+        return None, every
+    single, many = hashed, every.limit(0)
+    if known:
+        single = hashed.join(F.broadcast(repeated), "__h", "left_anti")
+        many = hashed.join(F.broadcast(repeated), "__h", "left_semi").groupBy(*dims).agg(*[measure(m) for m in measures])
+    return single.select(*dims, *[row_measure(m).cast(every.schema[m].dataType).alias(m) for m in measures]), many
+
+
+def wide_summary(base: DataFrame, measures: Sequence[str], dimensions: Sequence[str]) -> DataFrame:
+    """The rows of ``split_groups`` in one frame."""
+    single, many = split_groups(base, measures, dimensions)
+    return many if single is None else single.unionByName(many)
+
+
 def lives_summary(
     df: DataFrame,
     measures: Sequence[str] = ("lives",),
@@ -99,6 +138,7 @@ def lives_summary(
     hierarchy: DataFrame | None = None,
     hierarchy_match: str = "both",
     check_hierarchy: bool = True,
+    wide: bool = False,
 ) -> DataFrame:
     """Measures grouped by dimensions over the filtered lives fact.
 
@@ -113,7 +153,9 @@ def lives_summary(
     columns, which then are joined before the filter. A repeated hierarchy key
     fails the query; ``check_hierarchy=False`` leaves that test out for a
     hierarchy already checked with ``check_many_to_one``. With no measure the
-    result is the distinct dimension values.
+    result is the distinct dimension values. ``wide=True`` tells that most groups
+    hold one row: these are not shuffled (see ``split_groups``), at the price of
+    a job over the keys' hashes when the plan is built.
     """
     own, joined = _split_dimensions(list(dimensions), hierarchy)
     base, carried = filtered_with_hierarchy(df, where, segments, defaults, hierarchy, hierarchy_match, check_hierarchy)
@@ -143,6 +185,8 @@ def lives_summary(
         if not keys:
             raise ValueError("a request needs a measure or a dimension")
         return base.select(*keys).distinct()
+    if wide and own and not joined:
+        return wide_summary(base, measures, own)
     aggs = [measure(m) for m in measures]
     return base.groupBy(*keys).agg(*aggs) if keys else base.agg(*aggs)
 

@@ -286,7 +286,7 @@ _EVERY_DIM_GROUP = ", ".join(str(i + 1) for i in range(len(DIMENSION_NAMES)))
     f"SELECT {_EVERY_DIM_SQL}, {ALL_SUMS_SQL} FROM lives GROUP BY {_EVERY_DIM_GROUP}",
 )
 def group_by_every_dimension(spark, sf_dir):
-    return lives_summary(lives_table(spark, sf_dir), ALL_MEASURES, list(DIMENSION_NAMES))
+    return lives_summary(lives_table(spark, sf_dir), ALL_MEASURES, list(DIMENSION_NAMES), wide=True)
 
 
 @register(

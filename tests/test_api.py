@@ -156,3 +156,27 @@ def test_request_passes_the_hierarchy_options(spark, lives_small):
     by_plan = lives_request(lives_small, ["record_count"], ["base_name"], hierarchy=h, hierarchy_match="plan")
     direct = lives_summary(lives_small, ["record_count"], ["base_name"], hierarchy=h, hierarchy_match="plan")
     assert by_plan.exceptAll(direct).count() == 0 and direct.exceptAll(by_plan).count() == 0
+
+
+def test_wide_groups_of_one_row_are_not_shuffled(spark, monkeypatch):
+    """A wide request gives the rows of the plain one, moving only groups of more rows, and all if too many repeat."""
+    from covlens.functions.members import DIMENSION_NAMES, MEASURE_NAMES
+    from covlens.operators import summary
+    from covlens.sources.schemas import LIVES_NUMBER_COLUMNS, LIVES_SCHEMA
+
+    def row(i, **own):
+        texts = {f.name: f"{f.name}{i}" for f in LIVES_SCHEMA.fields}
+        return [{**texts, **{c: i for c in LIVES_NUMBER_COLUMNS}, **own}[f.name] for f in LIVES_SCHEMA.fields]
+
+    rows = [row(1), row(2), row(2), row(3, ecosystem_code=None, rx_lives=None), row(4, payer_name=None, pbm_rx_lives=None),
+            row(4, payer_name=None, pbm_rx_lives=None, rx_lives=None, mx_lives=None), row(5, rx_lives=None, mx_lives=None)]
+    df, dims = spark.createDataFrame(rows, LIVES_SCHEMA), list(DIMENSION_NAMES)
+    plain = summary.lives_summary(df, MEASURE_NAMES, dims)
+    for most in (1 << 20, 1):
+        monkeypatch.setattr(summary, "REPEATED_KEYS", most)
+        wide = summary.lives_summary(df, MEASURE_NAMES, dims, wide=True)
+        assert wide.dtypes == plain.dtypes
+        assert sorted(map(repr, wide.collect())) == sorted(map(repr, plain.collect()))
+    monkeypatch.setattr(summary, "REPEATED_KEYS", 1 << 20)
+    single, _ = summary.split_groups(df, MEASURE_NAMES, dims)
+    assert single.count() == 3 and "Aggregate" not in single._jdf.queryExecution().optimizedPlan().toString()

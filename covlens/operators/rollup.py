@@ -14,8 +14,8 @@ such requests go to the fact (``on_miss="fact"``) or raise.
 
 Layout: rows are sorted within files by book, current flag, source and
 benefit type, the filters most requests carry, so Parquet row-group
-statistics skip groups for them; the aggregation's hash partitioning is kept,
-so the write adds no shuffle.
+statistics skip groups for them; rows stay in the tasks that read or group
+them, so the write adds no shuffle, and groups of one row cross none at all.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.members import SEGMENT_COLUMNS, dimension, measure
-from .summary import lives_summary, request_filter
+from ..functions.members import SEGMENT_COLUMNS
+from .summary import lives_summary, request_filter, wide_summary
 
 # The rollup's dimensions (selective first) and measures.
 ROLLUP_DIMENSIONS: tuple[str, ...] = (
@@ -83,8 +83,7 @@ def publish(rollup: DataFrame, path: str, built_at: dt.datetime | None = None,
 
 def build_rollup(lives: DataFrame, path: str, built_at: dt.datetime | None = None) -> str:
     """Aggregate the whole fact to the rollup grain and publish it as a new version."""
-    agg = lives.groupBy(*[dimension(d) for d in ROLLUP_DIMENSIONS]).agg(*[measure(m) for m in ROLLUP_MEASURES])
-    return publish(agg, path, built_at)
+    return publish(wide_summary(lives, ROLLUP_MEASURES, ROLLUP_DIMENSIONS), path, built_at)
 
 
 def path_missing(error: AnalysisException) -> bool:

@@ -10,7 +10,7 @@ from ..operators.summary import config_count, lives_summary
 from ..oracle import GEO_TYPE, LIVES_SUM, share_sql
 from ..registry import register
 from ..session import fresh_path
-from ..sources.fixtures import derive_benefit_config, derive_hierarchy, lives_table, lives_table_path, write_lives_by
+from ..sources.fixtures import COMPRESSION, derive_benefit_config, derive_hierarchy, lives_table, lives_table_path, write_lives_by
 from ..sources.readers import read_benefit_config, read_hierarchy, read_lives
 from ..sources.schemas import LIVES_SCHEMA
 
@@ -51,9 +51,9 @@ def scan_after_reload(spark, sf_dir):
     """A reader called after a load sees the new files: history first, then the rest."""
     path = fresh_path(spark, "reload")
     lives = lives_table(spark, sf_dir)
-    lives.filter("date_year <= '1995'").write.parquet(path)
+    lives.filter("date_year <= '1995'").write.parquet(path, compression=COMPRESSION)
     before = read_lives(spark, path)
-    lives.filter("date_year > '1995'").write.mode("append").parquet(path)
+    lives.filter("date_year > '1995'").write.mode("append").parquet(path, compression=COMPRESSION)
     if before.select("date_year").filter("date_year > '1995'").count():
         raise RuntimeError("a reader opened before the load saw its files")
     return lives_summary(read_lives(spark, path), ["lives", "record_count"], ["date_year"])

@@ -27,9 +27,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.members import dimension, measure
 from ..sources.readers import read_lives
 from .rollup import ROLLUP_DIMENSIONS, ROLLUP_MEASURES, current_version, path_missing, publish
+from .summary import split_groups
 
 #: The folder of rows without a period.
 _NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
@@ -121,9 +121,10 @@ def refresh_changed_parts(spark: SparkSession, source: str, path: str, part: str
     if changed:
         wanted = F.col(part).isin(changed)
         lives = read_lives(spark, source, wanted | F.col(part).isNull() if _NO_VALUE in changed else wanted)
-        sums = [measure(m) for m in ROLLUP_MEASURES]
-        rows = lives.groupBy(part, *[dimension(d) for d in ROLLUP_DIMENSIONS]).agg(*sums)
-        rows.hint("rebalance", part).sortWithinPartitions(part, *ROLLUP_DIMENSIONS[:4]).write.partitionBy(part).parquet(run)
+        single, rows = split_groups(lives, ROLLUP_MEASURES, [part, *ROLLUP_DIMENSIONS])
+        rows = rows.hint("rebalance", part)  # groups of one row lie by period already, as the source does
+        rows = rows if single is None else single.unionByName(rows)
+        rows.sortWithinPartitions(part, *ROLLUP_DIMENSIONS[:4]).write.partitionBy(part).parquet(run)
     filled = _filled(spark, run, part) if changed else set()
     kept = [(p, *before[p]) for p in states if p not in changed]
     manifest = [*kept, *((p, f"{run}/{part}={p}" if p in filled else None, states[p]) for p in changed)]

@@ -8,10 +8,10 @@ Bloom filters of the keys are kept beside the fact. A key sets four bits of one
   (``expected`` keys, about two bytes each);
 * one for each period of the load, sized by that load's rows of the period.
 
-A load's distinct keys are looked up in the first by a join on the word's
+The hashes of a load's keys are looked up in the first by a join on the word's
 number, which sends on repeats and a few per cent of the rest; only those are
 looked up in the periods' filters. The periods that answer yes are then read,
-key columns alone, and the candidates counted there exactly. So a key reported is
+key columns alone, and the candidates counted there, and in the load, by the key itself. So a key reported is
 a key that repeats, and no repeat is missed, since a filter never denies a key
 it holds. Where more keys than expected were loaded, the first filter sends on
 more candidates (``fill`` tells); the result stays the same.
@@ -116,24 +116,26 @@ def fill(spark: SparkSession, path: str) -> float:
 
 def maybe_known(spark: SparkSession, path: str, keys: DataFrame, key: Sequence[str]) -> DataFrame:
     """The rows of ``keys`` (distinct) that some period's filter holds, one for each such period, with ``period``."""
+    return _held_hashes(spark, path, keys.withColumn("__h", content_hash(key))).drop("__h")
+
+
+def _held_hashes(spark: SparkSession, path: str, hashed: DataFrame) -> DataFrame:
+    """The rows (distinct, with a key's hash ``__h``) that some period's filter holds, as ``maybe_known`` gives them."""
     held = _marks(spark, path)
-    if not held:
-        return keys.withColumn("period", F.lit(None).cast("string")).filter(F.lit(False))
-    hashed = keys.withColumn("__h", content_hash(key))
-    looked = hashed.withColumns({"__word": _word(F.col("__h"), F.lit(held[0]["blocks"])), "__mask": _mask(F.col("__h"))})
-    bits = _filters(spark, held, "all").groupBy("word").agg(F.bit_or("bits").alias("__bits"))
-    passed = looked.join(bits, F.col("__word") == F.col("word")).filter(_holds("__bits", "__mask"))
     entries = [F.struct(F.lit(m["load"]).alias("load"), F.lit(p["period"]).cast("string").alias("period"), F.lit(p["blocks"]).alias("blocks"))
                for m in held for p in m["periods"]]
     if not entries:
-        return keys.withColumn("period", F.lit(None).cast("string")).filter(F.lit(False))
-    asked = passed.select(*keys.columns, "__h", "__mask", F.explode(F.array(*entries)).alias("__e"))
+        return hashed.withColumn("period", F.lit(None).cast("string")).filter(F.lit(False))
+    looked = hashed.withColumns({"__word": _word(F.col("__h"), F.lit(held[0]["blocks"])), "__mask": _mask(F.col("__h"))})
+    bits = _filters(spark, held, "all").groupBy("word").agg(F.bit_or("bits").alias("__bits"))
+    passed = looked.join(bits, F.col("__word") == F.col("word")).filter(_holds("__bits", "__mask"))
+    asked = passed.select(*hashed.columns, "__mask", F.explode(F.array(*entries)).alias("__e"))
     asked = asked.withColumn("__word", _word(F.col("__h"), F.col("__e.blocks"))).alias("a")
     of = _filters(spark, held, "periods").alias("f")
     same = (F.col("a.__word") == F.col("f.word")) & (F.col("a.__e.load") == F.col("f.load")) \
         & F.col("a.__e.period").eqNullSafe(F.col("f.period"))
     hits = asked.join(of, same).filter(_holds("f.bits", "a.__mask"))
-    return hits.select(*[F.col(f"a.{c}") for c in keys.columns], F.col("a.__e.period").alias("period")).distinct()
+    return hits.select(*[F.col(f"a.{c}") for c in hashed.columns], F.col("a.__e.period").alias("period")).distinct()
 
 
 def repeats_of_load(spark: SparkSession, path: str, history: DataFrame, load: DataFrame,
@@ -141,27 +143,30 @@ def repeats_of_load(spark: SparkSession, path: str, history: DataFrame, load: Da
     """Keys of a load that repeat within it or were loaded before: key, rows in_load, rows in_history.
 
     ``history`` is the fact that the store's loads make up, the new load not
-    included; only its periods that may hold a key of the load are read.
-    ``scratch`` is a fresh folder for the candidates; without it they are worked
-    out twice.
+    included; only its periods that may hold a key of the load are read. The
+    load is counted and looked up by its keys' hashes; only rows whose hash
+    repeats or is held are grouped by the key itself. ``scratch`` is a fresh
+    folder for these hashes; without it they are worked out three times.
     """
-    counted = load.groupBy(*key).agg(F.count(F.lit(1)).alias("in_load"))
-    may = maybe_known(spark, path, counted.select(*key), key)
+    load, history = (df.select(*{**dict.fromkeys(key), part: None}, content_hash(key).alias("__h")) for df in (load, history))
+    counted = load.groupBy("__h").agg(F.count(F.lit(1)).alias("n"))
+    held = _held_hashes(spark, path, counted.select("__h")).withColumn("known", F.lit(True))
+    repeated = counted.filter("n > 1").select("__h", F.lit(None).cast("string").alias("period"), F.lit(False).alias("known"))
+    told = held.unionByName(repeated)
     if scratch is not None:
-        may.write.parquet(scratch)
-        may = spark.read.schema(may.schema).parquet(scratch)
-    periods = [r["period"] for r in may.select("period").distinct().collect()]  # a row for each period
+        told.write.parquet(scratch)
+        told = spark.read.schema(told.schema).parquet(scratch)
+    periods = [r["period"] for r in told.filter("known").select("period").distinct().collect()]  # a row for each period
     named = [p for p in periods if p is not None]
     wanted = _period(part).isin(named) if named else F.lit(False)
     if None in periods:
         wanted = wanted | F.col(part).isNull()
 
-    def same(left: str, right: str) -> Column:
-        return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in key])
+    def counts(rows: DataFrame, hashes: DataFrame, name: str) -> DataFrame:
+        return rows.join(hashes.select("__h").distinct(), "__h", "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias(name))
 
-    candidates = may.select(*key).distinct()
-    old = history.filter(wanted).select(*key).alias("h").join(candidates.alias("c"), same("h", "c"), "left_semi")
-    old = old.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    found = counted.alias("l").join(old.alias("o"), same("l", "o"), "left")
-    out = found.select(*[F.col(f"l.{c}") for c in key], "l.in_load", F.coalesce("o.n", F.lit(0)).alias("in_history"))
+    new = counts(load, told, "in_load").alias("l")
+    old = counts(history.filter(wanted), told.filter("known"), "n").alias("o")
+    same = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"o.{c}")) for c in key])
+    out = new.join(old, same, "left").select(*[F.col(f"l.{c}") for c in key], "l.in_load", F.coalesce("o.n", F.lit(0)).alias("in_history"))
     return out.filter((F.col("in_load") > 1) | (F.col("in_history") > 0))

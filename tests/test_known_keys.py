@@ -91,3 +91,15 @@ def test_only_the_key_of_touched_periods_is_read(spark, lives_small):
         found.explain("formatted")
     assert "1996" in [line for line in text.getvalue().splitlines() if "PartitionFilters" in line and "date_year" in line][0]
     assert "1995" not in text.getvalue()
+
+
+def test_keys_of_a_load_cross_the_shuffles_as_hashes(spark, lives_small):
+    """Only rows whose hash repeats or is held are grouped by the key: the rest of the load crosses as 64-bit hashes."""
+    path, key = fresh_path(spark, "t"), ["payer_id", "plan_id", "date_id"]
+    k.add_keys(lives_small.filter("date_year <= '1996'"), path, "1", key, "date_year", expected=1 << 16)
+    load = lives_small.filter("date_year > '1996'")
+    out = k.repeats_of_load(spark, path, lives_small.filter("date_year <= '1996'"), load, key, "date_year", scratch=fresh_path(spark, "t"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("Aggregate [payer_id") < plan.index("LeftSemi")
+    plain = load.groupBy(*key).count().filter("count > 1")
+    assert out.filter("in_load > 1").count() == plain.count()

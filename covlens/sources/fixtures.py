@@ -4,14 +4,13 @@ The model reads a ready-made lives fact; here Spark derives it from
 ``lineitem`` and its dimension tables, so that every query's work grows with
 the data. The mapping is the one of FIXTURES.md section 2.
 
-Join order for scale: lines meet part and supplier while they are narrow, and
-the order side (orders + customer + nation + region), joined at order grain,
-last, on the order key in a sort-merge join. It is hinted so: these are the two
-largest tables, and a file-size estimate of the pruned line columns would
-otherwise broadcast the line side at small scale and run the whole join as one
-serial stream. So no line carries its order's columns through a join's shuffle,
-and rows come out in the order of their keys: the lines of an order lie side by
-side, where the shuffle that deals out the files compresses what they share.
+Join order for scale: lines meet part while they are narrow, then the order side
+(orders + customer), joined at order grain, on the order key in a sort-merge
+join. It is hinted so: these are the two largest tables, and a file-size
+estimate of the pruned line columns would otherwise broadcast the line side at
+small scale and run the whole join as one serial stream. So no line carries its
+order's columns through the shuffles of part and orders, nor its supplier's,
+which is by far the smallest of these tables and comes last.
 Nation and region are fixed-size (25 and 5 rows), so they are broadcast by hint;
 customer, part and supplier are left to the planner, which broadcasts them
 only when their measured size is under the threshold (AQE re-checks at run
@@ -98,8 +97,33 @@ def _code(col, mapping: dict) -> F.Column:
     return _case(col, {key: i for i, key in enumerate(mapping, 1)}, 0).cast("tinyint")
 
 
-def _by_code(code: str, mapping: dict, default: str) -> F.Column:
-    return _case(F.col(code), dict(enumerate(mapping.values(), 1)), default)
+def _by_code(code: F.Column, mapping: dict, default: str) -> F.Column:
+    return _case(code, dict(enumerate(mapping.values(), 1)), default)
+
+
+# Small codes that cross the shuffles packed into one number, each with the count of its values.
+LINE_CODES = {"kept": 2, "open": 2}
+ORDER_CODES = {"pending": 2, "priority": len(ROLE_BY_PRIORITY) + 1, "segment": len(BOOK_BY_SEGMENT) + 1}
+
+
+def _flag(condition) -> F.Column:
+    """1 where a condition holds, else (NULL too) 0."""
+    return F.when(condition, 1).otherwise(0)
+
+
+def _packed(codes: dict[str, int]) -> F.Column:
+    number = F.lit(0)
+    for name, values in codes.items():
+        number = number * values + F.col(name)
+    return number.cast("tinyint")
+
+
+def _unpacked(number: str, codes: dict[str, int]) -> dict[str, F.Column]:
+    out, rest = {}, 1
+    for name, values in reversed(codes.items()):
+        out[name] = F.floor(F.col(number) / rest) % values
+        rest *= values
+    return out
 
 
 def _lives_rows(spark: SparkSession, sf_dir: str, named: bool = True) -> DataFrame:
@@ -112,24 +136,25 @@ def _lives_rows(spark: SparkSession, sf_dir: str, named: bool = True) -> DataFra
         "c_custkey", "c_name", "c_nationkey", _code(F.col("c_mktsegment"), BOOK_BY_SEGMENT).alias("segment")
     )
     orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", (F.col("o_orderstatus") == "P").alias("pending"),
+        "o_orderkey", "o_custkey", _flag(F.col("o_orderstatus") == "P").alias("pending"),
         _code(F.substring("o_orderpriority", 1, 1), ROLE_BY_PRIORITY).alias("priority"),
     )
-    order_side = orders.join(customer, orders.o_custkey == customer.c_custkey).drop("o_custkey")
+    order_side = orders.join(customer, orders.o_custkey == customer.c_custkey).select(
+        "o_orderkey", "c_custkey", "c_name", "c_nationkey", _packed(ORDER_CODES).alias("order_codes")
+    )
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     lineitem = table(spark, sf_dir, "lineitem")
     shipped = wall_clock(lineitem, "l_shipdate")
     lineitem = lineitem.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("qty"),
-        (F.col("l_returnflag") != "R").alias("kept"), (F.col("l_linestatus") == "O").alias("open"),
+        _flag(F.col("l_returnflag") != "R").alias("kept"), _flag(F.col("l_linestatus") == "O").alias("open"),
         F.trunc(shipped, "month").alias("shipped"),
     )
-    lines = (
-        lineitem.join(part, lineitem.l_partkey == part.p_partkey).drop("p_partkey")
-        .join(supplier, lineitem.l_suppkey == supplier.s_suppkey).drop("s_suppkey")
-    )
+    lineitem = lineitem.withColumn("line_codes", _packed(LINE_CODES)).drop(*LINE_CODES)
+    lines = lineitem.join(part, lineitem.l_partkey == part.p_partkey).drop("p_partkey")
     rows = lines.hint("merge").join(order_side, lineitem.l_orderkey == order_side.o_orderkey).drop("o_orderkey")
+    rows = rows.join(supplier, lineitem.l_suppkey == supplier.s_suppkey).drop("s_suppkey")
     return _with_geo(rows, _geo(spark, sf_dir)) if named else rows
 
 
@@ -137,7 +162,8 @@ def _lives_columns() -> dict[str, F.Column]:
     """The fact's columns over the rows of ``_lives_rows``, by name in declared order."""
     year = _text(F.year("shipped"))
     month2 = F.lpad(_text(F.month("shipped")), 2, "0")
-    priority = F.col("priority")
+    codes = _unpacked("line_codes", LINE_CODES) | _unpacked("order_codes", ORDER_CODES)
+    priority = codes["priority"]
     has_eco = (F.col("l_orderkey") % 5) != 0
     gpo_bucket = F.col("l_suppkey") % 3
     has_gpo = gpo_bucket != 0
@@ -151,8 +177,8 @@ def _lives_columns() -> dict[str, F.Column]:
         "payer_name": F.when(F.col("c_custkey") % 97 != 0, F.col("c_name")),
         "pbm_id": _text(F.col("l_suppkey")),
         "pbm_name": F.col("s_name"),
-        "flag_current_record": F.when(F.col("open"), "Y").otherwise("N"),
-        "book_of_business": _by_code("segment", BOOK_BY_SEGMENT, "Commercial"),
+        "flag_current_record": F.when(codes["open"] == 1, "Y").otherwise("N"),
+        "book_of_business": _by_code(codes["segment"], BOOK_BY_SEGMENT, "Commercial"),
         "zip": zip_of(F.col("c_custkey")),
         "date_id": F.concat(year, month2, F.lit("01")),
         "date_year_month": F.concat(year, F.lit("-"), month2),
@@ -160,7 +186,7 @@ def _lives_columns() -> dict[str, F.Column]:
         "date_year": year,
         "commercial_region_name": _case(F.col("n_regionkey"), REGION_NAME_BY_KEY, "West"),
         "source_book_of_business": _case(F.col("l_linenumber") % 6, SOURCE_BOOK_BY_LINE),
-        "payer_role": _by_code("priority", ROLE_BY_PRIORITY, "PLAN ADMINISTRATOR"),
+        "payer_role": _by_code(priority, ROLE_BY_PRIORITY, "PLAN ADMINISTRATOR"),
         "lives_source": F.when(priority.isin(1, 2), "Payer-PBM").otherwise("DRG Plan"),
         "plan_id": _text(F.col("l_partkey")),
         "plan_name": F.col("p_name"),
@@ -183,9 +209,9 @@ def _lives_columns() -> dict[str, F.Column]:
                         _text(F.col("l_partkey")), _text(F.col("l_suppkey")))
         ),
         "load_time": F.concat(year, F.lit("-"), month2, F.lit("-15T00:00:00Z")),
-        "rx_lives": F.when(F.col("kept"), qty),
+        "rx_lives": F.when(codes["kept"] == 1, qty),
         "mx_lives": F.when(F.col("l_linenumber") != 7, qty + F.col("l_linenumber")),
-        "pbm_rx_lives": F.when(F.col("pending"), qty),
+        "pbm_rx_lives": F.when(codes["pending"] == 1, qty),
     }
     return {f.name: cols[f.name].cast(f.dataType) for f in LIVES_SCHEMA.fields}
 

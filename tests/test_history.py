@@ -123,16 +123,17 @@ def test_narrow_rows_of_the_fact(spark):
     assert by_zip.count() == written.count() and by_zip.exceptAll(written).isEmpty()
 
 
-def test_lines_meet_orders_last_and_nations_are_named_after_the_last_shuffle(spark):
-    """No line carries its order's columns or a nation's names through the shuffles, and the files are packed tight."""
+def test_lines_meet_orders_narrow_and_nations_are_named_after_the_last_shuffle(spark):
+    """No line carries its order's, supplier's or nation's columns further than need be, and the files are packed tight."""
     from covlens.sources import fixtures
 
     from conftest import SMALL
 
     narrow = fixtures._lives_rows(spark, SMALL, named=False)
-    assert not {"n_name", "r_name", "c_mktsegment", "o_orderstatus", "date_year"} & set(narrow.columns)
+    assert not {"n_name", "r_name", "c_mktsegment", "o_orderstatus", "priority", "date_year"} & set(narrow.columns)
     joins = [line for line in narrow._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
-    assert "l_orderkey" in joins[0]
+    order = [next(c for c in ("l_suppkey", "l_orderkey", "l_partkey") if c in j) for j in joins if "l_" in j]
+    assert order == ["l_suppkey", "l_orderkey", "l_partkey"]  # the last join first
     path = fresh_path(spark, "t")
     fixtures.write_lives(narrow, path, fixtures._geo(spark, SMALL))
     written = fixtures.lives_table(spark, SMALL)

@@ -38,6 +38,8 @@ from .rollup import path_missing
 #: Keys to a 64-bit word, and bits that a key sets in it.
 KEYS_PER_WORD = 4
 BITS = 4
+#: Words of 64 bits in the bitmap of candidate hashes that goes to all tasks (8 MB of bits at most).
+MAP_WORDS = 1 << 20
 
 _MARK = "load string, data string, blocks long, periods array<struct<period: string, blocks: long>>"
 
@@ -138,6 +140,15 @@ def _held_hashes(spark: SparkSession, path: str, hashed: DataFrame) -> DataFrame
     return hits.select(*[F.col(f"a.{c}") for c in hashed.columns], F.col("a.__e.period").alias("period")).distinct()
 
 
+def _likely(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The rows whose ``__h`` is among ``hashes``, and a few more, without a shuffle of rows: by a broadcast bitmap of ``MAP_WORDS`` words."""
+    word, bit = F.pmod("__h", F.lit(MAP_WORDS)), F.pmod(F.floor(F.col("__h") / MAP_WORDS), F.lit(64)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    words = hashes.groupBy(word.alias("__word")).agg(F.bit_or(one).alias("__bits"))
+    marked = rows.withColumns({"__word": word, "__mask": one})
+    return marked.join(F.broadcast(words), "__word").filter(_holds("__bits", "__mask")).drop("__word", "__mask", "__bits")
+
+
 def repeats_of_load(spark: SparkSession, path: str, history: DataFrame, load: DataFrame,
                     key: Sequence[str] = LIVES_KEY, part: str = "date_id", scratch: str | None = None) -> DataFrame:
     """Keys of a load that repeat within it or were loaded before: key, rows in_load, rows in_history.
@@ -163,7 +174,9 @@ def repeats_of_load(spark: SparkSession, path: str, history: DataFrame, load: Da
         wanted = wanted | F.col(part).isNull()
 
     def counts(rows: DataFrame, hashes: DataFrame, name: str) -> DataFrame:
-        return rows.join(hashes.select("__h").distinct(), "__h", "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias(name))
+        some = _likely(rows, hashes) if scratch is not None else rows
+        # Not a semi join: the optimizer would move that below the bitmap's join, and all rows would be shuffled.
+        return some.join(hashes.select("__h").distinct(), "__h").groupBy(*key).agg(F.count(F.lit(1)).alias(name))
 
     new = counts(load, told, "in_load").alias("l")
     old = counts(history.filter(wanted), told.filter("known"), "n").alias("o")

@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -142,10 +143,28 @@ class Vocabulary:
         """(tokens, distinct words) of the training documents that are none of the model's words."""
         return self.tokens - int(self.by_number.sum()), self.distinct - int((self.by_number > 0).sum())
 
+    @cached_property
+    def table(self) -> tuple[np.int64, np.ndarray, int]:
+        """(bits to shift by, first place in ``hashes`` of each value of the leading bits, most places of one value)."""
+        bits = max(1, len(self.hashes).bit_length() + 1)
+        edges = np.arange(-(1 << bits - 1), 1 << bits - 1, dtype=np.int64) << np.int64(64 - bits)
+        first = np.append(np.searchsorted(self.hashes, edges), len(self.hashes))
+        return np.int64(64 - bits), first, int(np.diff(first).max())
+
     def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(model number, count, whether the count is known here) of each token."""
-        at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
+        shift, first, most = self.table
+        place = (tokens >> shift) + (len(first) >> 1)
+        at = np.minimum(first[place], len(self.hashes) - 1)
         here = self.hashes[at] == tokens
+        rest = np.flatnonzero(~here)
+        for step in range(1, most):  # the next one of those with the same leading bits
+            rest = rest[first[place[rest]] + step < first[place[rest] + 1]]
+            own = first[place[rest]] + step
+            same = self.hashes[own] == tokens[rest]
+            at[rest[same]] = own[same]
+            here[rest[same]] = True
+            rest = rest[~same]
         return np.where(here, self.number[at], self.size), np.where(here, self.counts[at], 0), here
 
 
@@ -175,11 +194,9 @@ def _chosen(x: np.ndarray, rows: np.ndarray, at: np.ndarray, whole: bool, calm:
     return x if whole else None, mine - np.log(total.astype(np.float64))
 
 
-def _sigmoid(x):
-    out = np.negative(x)
-    np.exp(out, out=out)
-    out += 1
-    return np.reciprocal(out, out=out)
+def _order(numbers: np.ndarray, most: int) -> np.ndarray:
+    """Places of numbers from 0 to ``most`` in ascending order, equal ones as they come (small integers are sorted by radix)."""
+    return np.argsort(numbers.astype(np.min_scalar_type(most)), kind="stable")
 
 
 def word_scores(p: dict, cuts: np.ndarray, states: np.ndarray, words: np.ndarray, grad: dict | None = None):
@@ -192,7 +209,7 @@ def word_scores(p: dict, cuts: np.ndarray, states: np.ndarray, words: np.ndarray
     # One more column, of ones, meets the biases.
     wide = np.concatenate([states, np.ones((len(states), 1), states.dtype)], 1)
     by_class, by_word = np.vstack([p["cls"], p["cls_b"]]), np.column_stack([p["out"], p["out_b"]])
-    most = max(1, np.abs(states).max(initial=0)) * max(np.abs(by_class).sum(0).max(), np.abs(by_word).sum(1).max())
+    most = max(1, np.abs(states).max(initial=0)) * max(np.abs(by_class).sum(0).max(), (np.abs(by_word) @ np.ones(n + 1, by_word.dtype)).max())
     calm = bool(most < CALM)
     d, score = _chosen(wide @ by_class, every, group, grad is not None, calm)
     back = None
@@ -202,75 +219,118 @@ def word_scores(p: dict, cuts: np.ndarray, states: np.ndarray, words: np.ndarray
         grad["cls"] += step[:n]
         grad["cls_b"] += step[n]
         back = d @ p["cls"].T
-    order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(len(cuts)))
-    for c in np.flatnonzero(np.diff(ends)).tolist():
-        rows, first, last = order[ends[c]:ends[c + 1]], cuts[c], cuts[c + 1]
-        if last - first == 1:
-            continue
-        own = wide[rows]
-        at = words[rows] - first
-        d, chosen = _chosen(own @ by_word[first:last].T, every[:len(rows)], at, grad is not None, calm)
-        score[rows] += chosen
-        if grad is not None:
-            d[every[:len(rows)], at] += 1
-            step = d.T @ own
-            grad["out"][first:last] += step[:, :n]
-            grad["out_b"][first:last] += step[:, n]
-            back[rows] += d @ p["out"][first:last]
+    # Word by word inside the classes of several: only products are formed class by class, the rows of all classes
+    # lie one after another in ``flat``.
+    order, low = _order(group, len(cuts)), cuts.tolist()
+    ends = np.searchsorted(group[order], np.arange(len(cuts))).tolist()
+    several = [c for c in range(len(low) - 1) if ends[c] < ends[c + 1] and low[c + 1] - low[c] > 1]
+    if not several:
+        return score, back
+    order = np.concatenate([order[ends[c]:ends[c + 1]] for c in several])
+    own, size = wide[order], np.diff(cuts)[group[order]]
+    place = runs(size) + words[order] - cuts[group[order]]
+    kind = np.result_type(states, by_word)
+    flat, total, ones = np.empty(int(size.sum()), kind), np.empty(len(order), kind), np.ones(int(size.max()), kind)
+    blocks, row, cell = [], 0, 0
+    for c in several:
+        to, last = row + ends[c + 1] - ends[c], cell + (ends[c + 1] - ends[c]) * (low[c + 1] - low[c])
+        x = flat[cell:last].reshape(to - row, -1)
+        np.matmul(own[row:to], by_word[low[c]:low[c + 1]].T, out=x)
+        if not calm:
+            x -= x.max(1, keepdims=True)
+        blocks.append((x, slice(row, to), slice(low[c], low[c + 1])))
+        row, cell = to, last
+    mine = flat[place].astype(np.float64)
+    np.exp(flat, out=flat)
+    for x, rows, _ in blocks:
+        np.matmul(x, ones[:x.shape[1]], out=total[rows])
+    score[order] += mine - np.log(total.astype(np.float64))
+    if grad is None:
+        return score, back
+    flat *= np.repeat(-1 / total, size)
+    flat[place] += 1
+    by_own, by_state = np.zeros_like(by_word), np.empty((len(order), n), kind)
+    for x, rows, members in blocks:
+        np.matmul(x.T, own[rows], out=by_own[members])
+        np.matmul(x, p["out"][members], out=by_state[rows])
+    grad["out"] += by_own[:, :n]
+    grad["out_b"] += by_own[:, n]
+    back[order] += by_state
     return score, back
 
 
+def _by_gate(x: np.ndarray) -> np.ndarray:
+    """(..., 3 x HIDDEN) as (3, ..., HIDDEN): update gate, reset gate, new state."""
+    return np.ascontiguousarray(np.moveaxis(x.reshape(*x.shape[:-1], 3, HIDDEN), -2, 0))
+
+
 def unroll(p: dict, inputs: np.ndarray, starts: np.ndarray, h: np.ndarray, keep: list | None = None):
-    """(state before each token, state after the last one) of a window: inputs (steps, lanes, 3 x HIDDEN), starts: a document begins."""
-    states, n = np.empty((*inputs.shape[:2], HIDDEN), np.float32), 2 * HIDDEN
-    some = starts.any(1).tolist()
-    for t in range(len(inputs)):
+    """(state before each token, state after the last one) of a window: inputs (3, steps, lanes, HIDDEN), starts: a document begins.
+
+    ``keep`` gets the gates, the new states and the products of states and weights of all steps."""
+    steps, lanes = inputs.shape[1:3]
+    states = np.empty((steps + 1, lanes, HIDDEN), np.float32)
+    states[0] = h
+    held = steps if keep is not None else 1
+    gates, news, products = (np.empty((*size, held, lanes, HIDDEN), np.float32) for size in ((2,), (), (3,)))
+    weights, less, some, moved = _by_gate(p["h"]), -inputs[:2], starts.any(1).tolist(), np.empty((lanes, HIDDEN), np.float32)
+    for t in range(steps):
+        h, at = states[t], t % held
         if some[t]:
-            h = np.where(starts[t][:, None], np.float32(0), h)
-        states[t] = h
-        a = h @ p["h"]
-        gates = _sigmoid(inputs[t, :, :n] + a[:, :n])
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        new = np.tanh(inputs[t, :, n:] + r * a[:, n:])
-        if keep is not None:
-            keep.append((z, r, new, a[:, n:]))
-        h = new + z * (h - new)
-    return states, h
+            h[starts[t]] = 0
+        a, gate, new = products[:, at], gates[:, at], news[at]
+        np.matmul(h, weights, out=a)
+        np.subtract(less[:, t], a[:2], out=gate)
+        np.exp(gate, out=gate)
+        gate += 1
+        np.reciprocal(gate, out=gate)
+        np.multiply(gate[1], a[2], out=new)
+        new += inputs[2, t]
+        np.tanh(new, out=new)
+        np.subtract(h, new, out=moved)
+        moved *= gate[0]
+        np.add(new, moved, out=states[t + 1])
+    if keep is not None:
+        keep += [*gates, news, products[2]]
+    return states[:-1], states[-1]
 
 
 def gradient(p: dict, cuts: np.ndarray, words: np.ndarray, starts: np.ndarray, live: np.ndarray, h: np.ndarray):
     """(gradient of the log-probabilities' sum over a full window's tokens, state after it, sum of log-probabilities)."""
-    grad, keep, n = {k: np.zeros_like(v) for k, v in p.items()}, [], 2 * HIDDEN
+    grad, keep = {k: np.zeros_like(v) for k, v in p.items()}, []
     x = p["embed"][words]
-    states, after = unroll(p, x @ p["x"] + p["b"], starts, h, keep)
+    inputs = np.matmul(x.reshape(-1, EMBED), _by_gate(p["x"])) + _by_gate(p["b"])[:, None]
+    states, after = unroll(p, inputs.reshape(3, *words.shape, HIDDEN), starts, h, keep)
     at = np.flatnonzero(live.ravel())
     flat = states.reshape(-1, HIDDEN)
     score, back = word_scores(p, cuts, flat[at], words.ravel()[at], grad)
     dstates = np.zeros_like(flat)
     dstates[at] = back
     dstates = dstates.reshape(states.shape)
-    z, r, new, a = (np.stack(k) for k in zip(*keep))
-    by_new, by_z, by_r = (1 - z) * (1 - new * new), (states - new) * z * (1 - z), a * r * (1 - r)
-    dx, dh = np.empty((*words.shape, 3 * HIDDEN), np.float32), np.zeros_like(h)
-    da, back_h, some = np.empty_like(dx), np.ascontiguousarray(p["h"].T), starts.any(1).tolist()
+    z, r, new, a = keep
+    # By the sums of the new state and of both gates, and by what the reset gate lets through.
+    d, dh = np.empty((len(words), 4, *h.shape), np.float32), np.zeros_like(h)
+    by_state, by_new = (np.empty((len(words), 2, *h.shape), np.float32) for _ in range(2))
+    by_state[:, 0], by_state[:, 1] = (1 - z) * (1 - new * new), (states - new) * z * (1 - z)
+    by_new[:, 0], by_new[:, 1] = a * r * (1 - r), r
+    da, back_h, some, before = np.empty((*words.shape, 3, HIDDEN), np.float32), np.ascontiguousarray(p["h"].T), starts.any(1).tolist(), np.empty_like(h)
+    flat_da, turned = da.reshape(*words.shape, 3 * HIDDEN), d[:, 1:].transpose(0, 2, 1, 3)
     for t in range(len(words) - 1, -1, -1):
-        d = dx[t]
-        np.multiply(dh, by_new[t], out=d[:, n:])
-        np.multiply(dh, by_z[t], out=d[:, :HIDDEN])
-        np.multiply(d[:, n:], by_r[t], out=d[:, HIDDEN:n])
-        da[t, :, :n] = d[:, :n]
-        np.multiply(d[:, n:], r[t], out=da[t, :, n:])
-        dh = dh * z[t]
-        dh += da[t] @ back_h
+        np.multiply(dh, by_state[t], out=d[t, :2])
+        np.multiply(d[t, 0], by_new[t], out=d[t, 2:])
+        da[t] = turned[t]
+        dh *= z[t]
+        np.matmul(flat_da[t], back_h, out=before)
+        dh += before
         dh += dstates[t]
         if some[t]:
             dh[starts[t]] = 0
-    grad["h"] += states.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
-    flat = dx.reshape(-1, 3 * HIDDEN)
+    grad["h"] += flat.T @ flat_da.reshape(-1, 3 * HIDDEN)
+    da[:, :, 2] = d[:, 0]
+    flat = flat_da.reshape(-1, 3 * HIDDEN)
     grad["b"] += flat.sum(0)
     grad["x"] += x.reshape(-1, EMBED).T @ flat
-    order = np.argsort(words.ravel(), kind="stable")
+    order = _order(words.ravel(), len(p["embed"]))
     held = words.ravel()[order]
     first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
     grad["embed"][held[first]] = np.add.reduceat((flat @ p["x"].T)[order], first)
@@ -344,15 +404,23 @@ def learn(p: dict, squares: dict, cuts: np.ndarray, ids: np.ndarray, counts: np.
     words = np.append(ids[lanes.source], 0)
     h = np.zeros((len(lanes.size), HIDDEN), np.float32)
     for running, place, live in lanes.windows(STEPS):
-        g, h, score = gradient(p, cuts, words[place], lanes.begins[place], live, h[:running])
+        here = words[place]
+        g, h, score = gradient(p, cuts, here, lanes.begins[place], live, h[:running])
         total += score
+        met = np.zeros(len(p["embed"]), bool)
+        met[here] = True
         for k, v in g.items():
-            squares[k] += v * v
-            step = np.sqrt(squares[k])
+            # Only the embeddings of the window's words have a gradient; the others stay as they are.
+            rows = np.flatnonzero(met) if k == "embed" else slice(None)
+            v = v[rows]
+            step = v * v
+            step += squares[k][rows]
+            squares[k][rows] = step
+            np.sqrt(step, out=step)
             step += np.float32(1e-6)
             np.divide(v, step, out=step)
             step *= np.float32(RATE)
-            p[k] += step
+            p[k][rows] += step
     return total
 
 
@@ -360,10 +428,10 @@ def scores(p: dict, cuts: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np
     """Natural log-probability of each document's tokens; a rare word counts as being rare."""
     lanes = Lanes(counts, LANES)
     words = np.append(ids[lanes.source], 0)
-    inputs = p["embed"] @ p["x"] + p["b"]
+    inputs = _by_gate(p["embed"] @ p["x"] + p["b"])
     h, out = np.zeros((len(lanes.size), HIDDEN), np.float32), np.zeros(len(words))
     for running, place, live in lanes.windows(STEPS):
-        states, h = unroll(p, inputs[words[place]], lanes.begins[place], h[:running])
+        states, h = unroll(p, np.take(inputs, words[place], 1), lanes.begins[place], h[:running])
         at = place[live]
         out[at] = word_scores(p, cuts, states[live], words[at])[0]
     total = np.zeros(len(counts))

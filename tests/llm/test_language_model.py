@@ -198,3 +198,39 @@ def test_calm_rows_are_not_moved():
     soft, logs = lm._chosen(x.copy(), np.array([0]), np.array([1]), True, True)
     moved, same = lm._chosen(x.copy(), np.array([0]), np.array([1]), True, False)
     assert np.allclose(soft, moved) and np.allclose(soft.sum(), -1) and np.allclose(logs, same)
+
+
+def test_words_are_scored_without_a_softmax_for_each_class(monkeypatch):
+    """One softmax over the classes and one pass over all classes' words, whatever the number of classes."""
+    rng, cuts, calls = np.random.default_rng(4), np.arange(0, 61, 3), []
+    states, words = rng.standard_normal((200, lm.HIDDEN)).astype(np.float32), rng.integers(0, 61, 200)
+    p = {"cls": (lm.HIDDEN, 21), "cls_b": (21,), "out": (60, lm.HIDDEN), "out_b": (60,)}
+    p = {k: rng.standard_normal(shape).astype(np.float32) for k, shape in p.items()}
+    grad = {k: np.zeros_like(v) for k, v in p.items()}
+    monkeypatch.setattr(lm, "_chosen", lambda *a, plain=lm._chosen: calls.append(1) or plain(*a))
+    score, back = lm.word_scores(p, cuts, states, words, grad)
+    assert len(calls) == 1
+    expected, by_state, by_word = np.zeros(200), np.zeros(states.shape), np.zeros(p["out"].shape)
+    for i, w in enumerate(words.tolist()):
+        softs = [(states[i] @ p["cls"] + p["cls_b"], w // 3, p["cls"].T)]
+        if w < 60:
+            own = p["out"][w // 3 * 3:w // 3 * 3 + 3]
+            softs.append((own @ states[i] + p["out_b"][w // 3 * 3:w // 3 * 3 + 3], w % 3, own))
+        for k, (x, at, rows) in enumerate(softs):
+            d = -np.exp(x) / np.exp(x).sum()
+            expected[i] += np.log(-d[at])
+            d[at] += 1
+            by_state[i] += d @ rows
+            if k:
+                by_word[w // 3 * 3:w // 3 * 3 + 3] += d[:, None] * states[i]
+    assert np.allclose(score, expected, atol=1e-3)
+    assert np.allclose(back, by_state, atol=1e-3) and np.allclose(grad["out"], by_word, atol=1e-3)
+
+
+def test_look_up_of_words_that_share_their_leading_bits():
+    hashes = np.sort(np.concatenate([np.arange(5), [-1, 1 << 62, (1 << 62) + 1, -(1 << 63), (1 << 63) - 1]]))
+    v = lm.Vocabulary(hashes, np.arange(10) + 1, np.arange(10), np.array([0, 10]), np.arange(10) + 1, 55, 10)
+    tokens = np.concatenate([hashes[::-1], [5, -2, (1 << 62) + 2, 1 << 40, (1 << 63) - 2]])
+    number, count, here = v.look_up(tokens)
+    assert number.tolist() == [*range(9, -1, -1)] + [10] * 5
+    assert count.tolist() == [*range(10, 0, -1)] + [0] * 5 and here.tolist() == [True] * 10 + [False] * 5

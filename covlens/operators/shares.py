@@ -15,11 +15,14 @@ a scan of only the grain and lives columns, combined map-side, so its shuffle
 is tiny whatever the request's width. Coarser grains are window sums over this
 small frame, whose size is bounded by the number of grain values. One
 NULL-safe equi-join (D4: a NULL ecosystem is a key value) brings them to the
-request rows; AQE broadcasts the denominator frame when its measured size is
-under the threshold, else it shuffles and splits skewed partitions. ``method="window"``
+request rows; the denominator frame, which does not grow with the fact, is
+broadcast by hint, so a request as wide as the fact is neither shuffled nor sorted
+a second time. ``method="window"``
 takes the denominators' frame from the aggregated request instead of a second
 scan of the fact: the better choice where the request is far smaller than the
-fact. ``method="stored"`` writes that frame to the shared folder when the plan
+fact, and where the grains have too many values to broadcast: there AQE broadcasts
+the frame only when its measured size is under the threshold, else it shuffles and
+splits skewed partitions. ``method="stored"`` writes that frame to the shared folder when the plan
 is built, so its size is known and a small one is broadcast without shuffling
 the request a second time: the better choice for requests nearly as wide as
 the fact, at the price of a small job before the query. A request holding none of a grain's dimensions divides by the grand
@@ -110,6 +113,8 @@ def _with_denominators(base: DataFrame, agg: DataFrame, grains: dict[str, list[s
             den.write.parquet(path)
             den = den.sparkSession.read.schema(den.schema).parquet(path)
         cond = [out[c].eqNullSafe(den[f"__g_{c}"]) for c in union]
+        if method == "join":
+            den = F.broadcast(den)
         out = out.join(den, cond, "left").drop(*[f"__g_{c}" for c in union])
     for d, g in grains.items():
         if not g:

@@ -92,6 +92,25 @@ def test_stored_denominators_need_no_second_shuffle(spark, lives_small):
     assert df.exceptAll(plain).count() == 0 and plain.exceptAll(df).count() == 0
 
 
+def test_wide_request_is_shuffled_once_whatever_the_threshold(spark, lives_small):
+    df_of = lambda method: lives_shares(
+        lives_small, ["pct_ecosystem_lives", "pct_national_lives"],
+        ["ecosystem_code", "benefit_type", "date_year_month", "zip", "plan_id"], method=method)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")  # smaller than any denominators
+    try:
+        df = df_of("join")
+        rows = df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        other = df_of("window").collect()
+    finally:
+        spark.conf.set(name, before)
+    assert "BroadcastHashJoin" in final and "SortMergeJoin" not in final
+    assert len([x for x in final.split("\n") if "Exchange hashpartitioning" in x and "plan_id" in x]) == 1
+    assert sorted(map(repr, rows)) == sorted(map(repr, other))
+
+
 def test_scale_settings():
     from covlens.plans.settings import scale_settings
 

@@ -32,6 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 MAX_TOKENS = 4096
 MAX_SEGMENTS = 256
 MAX_LOSS = 4096
@@ -314,4 +316,4 @@ def pack(
     if prompt:
         columns.append(F.col(prompt).cast("long").alias("prompt"))
     run = _pack_partition(tokenizer_path, (max_tokens, max_segments, max_loss), prompt is not None, plain_specials)
-    return docs.select(*columns).mapInArrow(run, PIECES)
+    return docs.select(*columns).mapInArrow(lean(run), PIECES)

@@ -1,7 +1,9 @@
 import re
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
+from covlens.llm import common, packing
 from covlens.llm.common import stored
 
 from . import brute
@@ -45,3 +47,17 @@ def test_each_stage_against_brute_force(spark, steps):
 def test_run_gives_the_last_stage(spark, steps):
     assert corpus_pipeline.run(spark, SF).count() == steps[-1].count()
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_workers_give_back_what_they_freed(monkeypatch, make_docs):
+    """At the end of a task and not before, by the operators' wrapper and by packing."""
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda plain=common.give_back: calls.append(plain()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5))], ["x"])
+    task = common.sliced(lambda batches: batches, 2)(iter([batch]))
+    assert next(task).num_rows == 2 and not calls
+    assert sum(b.num_rows for b in task) == 3 and len(calls) == 1
+    wrapped = []
+    monkeypatch.setattr(packing, "lean", lambda run, plain=common.lean: wrapped.append(run) or plain(run))
+    packing.pack(make_docs([]), "no tokenizer is read")
+    assert len(wrapped) == 1

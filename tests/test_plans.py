@@ -107,7 +107,7 @@ def test_wide_request_is_shuffled_once_whatever_the_threshold(spark, lives_small
     finally:
         spark.conf.set(name, before)
     assert "BroadcastHashJoin" in final and "SortMergeJoin" not in final
-    assert len([x for x in final.split("\n") if "Exchange hashpartitioning" in x and "plan_id" in x]) == 1
+    assert len([x for x in final.split("\n") if "Exchange hashpartitioning" in x and "plan_id#" in x]) == 1
     assert sorted(map(repr, rows)) == sorted(map(repr, other))
 
 

@@ -9,10 +9,10 @@ fact before or after a load, and a load that dies changes nothing.
 
 In a touched period, current rows and the load meet by a digest of the key
 (NULL a value like any other) and a hash of the content. That meeting is of
-these alone; its outcome is written, and whole rows are joined with it, by
-broadcast where few rows repeat or change and shuffled, once, where many do. A
-first load meets nothing: its whole rows cross only the shuffle that deals out
-the files. A row whose content is the same stays as it is, so a load given
+these alone; its outcome is written and sent to the rows as bitmaps (see
+``membership``), so whole rows of the fact, and of a load that lies by period as a
+stored fact does, are written by the tasks that read them. Only a load whose
+periods are spread over its tasks is dealt out by period, once. A row whose content is the same stays as it is, so a load given
 twice changes nothing. ``replaces=True`` takes the load for all there is of its
 periods: current rows it lacks are closed. Rows that repeat a key within a load
 are reduced to the newest by ``newest_by``, ties by the larger hash. The period
@@ -28,36 +28,50 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import fresh_path
+from ..sources.fixtures import COMPRESSION
 from ..sources.schemas import LIVES_KEY
 from .incremental import _MANIFEST, _NO_VALUE, _manifest
+from .membership import key_digest, levels_of, told, with_chosen
 from .prepare import content_hash
 from .rollup import current_version, publish
 
+#: Files written for each task or period, up to which a load is written from where its rows are.
+FILES = 4
+#: Periods whose files one task keeps open at a time; the rows of further ones are sorted first.
+WRITERS = 16
+
 VALIDITY = [T.StructField("valid_from", T.StringType()), T.StructField("valid_to", T.StringType())]
 
 
-def _key_digest(key: Sequence[str]) -> Column:
-    """16 bytes that tell a key: its values as a JSON array of texts, NULL a value like any other."""
-    return F.unhex(F.md5(F.to_json(F.array(*[F.col(c).cast("string") for c in key]))))
+def _newest(load: DataFrame, newest_by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """One row for each key ``__k``. Only rows whose key's hash repeats are put in order; all others stay where they are."""
+    counted = load.groupBy(F.xxhash64("__k").alias("__g")).agg(F.count(F.lit(1)).alias("n"))
+    repeated = told(counted.filter("n > 1").select("__g"), "history-repeated")
+    if repeated.isEmpty():
+        return load
+    load, last = load.withColumn("__g", F.xxhash64("__k")), [F.col(c).desc() for c in newest_by] + [content_hash(columns).desc()]
+    nth = F.row_number().over(Window.partitionBy("__g", "__k").orderBy(*last))
+    many = load.join(repeated, "__g", "left_semi").withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
+    return load.join(repeated, "__g", "left_anti").unionByName(many).drop("__g")
 
 
-def _told(df: DataFrame, kind: str) -> DataFrame:
-    """Narrow rows written once: joins with them are planned by their measured size."""
-    path = fresh_path(df.sparkSession, f"history-{kind}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _periods(load: DataFrame, named: Column) -> tuple[list[str], bool]:
+    """The load's periods, in order, and whether they lie apart: its tasks hold few periods each."""
+    held = load.select(named.alias("p"), F.spark_partition_id().alias("t")).distinct()
+    rows = held.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t")).collect()  # a row for each period
+    files, tasks = sum(r["n"] for r in rows), max((r["t"] + 1 for r in rows), default=0)
+    return sorted(r["p"] for r in rows), files <= FILES * max(tasks, len(rows))
 
 
-def _newest(load: DataFrame, newest_by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One row for each key ``__k``. Only rows whose key repeats are put in order; all others stay where they are."""
-    repeated = _told(load.groupBy("__k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__k"), "repeated")
-    if repeated.isEmpty():
-        return load
-    last = [F.col(c).desc() for c in newest_by] + [content_hash(columns).desc()]
-    nth = F.row_number().over(Window.partitionBy("__k").orderBy(*last))
-    many = load.join(repeated, "__k", "left_semi").withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
-    return load.join(repeated, "__k", "left_anti").unionByName(many)
+def _write_in_place(rows: DataFrame, path: str) -> None:
+    """Write a folder for each ``__part`` from where the rows are, with no sort while a task meets few of them."""
+    conf, name = rows.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name, None)
+    conf.set(name, str(WRITERS))
+    try:
+        rows.write.partitionBy("__part").parquet(path, compression=COMPRESSION)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
 
 
 def read_history(spark: SparkSession, path: str, schema: T.StructType, parts: Sequence[str] | None = None) -> DataFrame:
@@ -90,28 +104,34 @@ def merge_load(
     if stamp is not None and any(at <= last for _, last in held.values()):
         raise ValueError(f"a load at {at} does not follow the loads before it")
     named = F.coalesce(F.col(part).cast("string"), F.lit(_NO_VALUE))
-    touched = sorted(r[0] for r in load.select(named.alias("p")).distinct().collect())  # a row for each period
+    touched, apart = _periods(load, named)
     if not touched:
         return []
     schema, names, content = load.schema, load.columns, [c for c in load.columns if c not in key]
-    told = {"__k": _key_digest(key), "__h": content_hash(content)}
+    hashes = {"__k": key_digest(key), "__h": content_hash(content)}
     history = read_history(spark, path, schema, touched)
-    current = history.filter("valid_to is null").withColumns(told)
-    new = _newest(load.withColumns(told), newest_by, names)
+    current = history.filter("valid_to is null").withColumns(hashes)
+    new = _newest(load.withColumns(hashes), newest_by, names)
     kept, came = current.withColumn("valid_to", F.lit(None).cast("string")), new
     if any(p in held for p in touched):
-        met = current.select("__k", "__h").join(new.select("__k", F.col("__h").alias("__new")), "__k", "left")
-        same = F.coalesce(F.col("__h") == F.col("__new"), F.lit(False) if replaces else F.lit(None))  # NULL: not in the load
-        fates = _told(met.select("__k", same.alias("same")).filter("same is not null"), "fates")
-        closed = fates.filter("not same").select(F.col("__k").alias("__c"))
-        kept = current.join(closed, F.col("__k") == F.col("__c"), "left")
-        kept = kept.withColumn("valid_to", F.when(F.col("__c").isNotNull(), F.lit(at)))
-        came = new.join(fates.filter("same").select("__k"), "__k", "left_anti")
+        none = F.lit(None).cast("long")
+        both = current.select("__k", F.col("__h").alias("was"), none.alias("now"))
+        both = both.unionByName(new.select("__k", none.alias("was"), F.col("__h").alias("now")))
+        met = both.groupBy("__k").agg(F.max("was").alias("was"), F.max("now").alias("now"))
+        # Changed, or new; without a row in the load (withdrawn) only if the load is all there is.
+        changed = F.coalesce(F.col("was") != F.col("now"), F.col("now").isNotNull() | F.lit(replaces))
+        levels = levels_of(told(met.select("__k", changed.alias("chosen")), "history-fates"), "history-changed")
+        kept = with_chosen(current, levels).withColumn("valid_to", F.when(F.col("__chosen"), F.lit(at)))
+        came = with_chosen(new, levels).filter("__chosen")
     kept = kept.select(*names, "valid_from", "valid_to")
     came = came.select(*names, F.lit(at).alias("valid_from"), F.lit(None).cast("string").alias("valid_to"))
-    rows = history.filter("valid_to is not null").unionByName(kept).unionByName(came)
+    came = came.withColumn("__part", named)
+    if not apart:
+        came = came.hint("rebalance", "__part")
+    stays = history.filter("valid_to is not null").unionByName(kept).withColumn("__part", named)
+    rows = stays.unionByName(came) if any(p in held for p in touched) else came
     run = f"{path.rstrip('/')}/parts/{uuid.uuid4().hex}"
-    rows.withColumn("__part", named).hint("rebalance", "__part").write.partitionBy("__part").parquet(run)
+    _write_in_place(rows, run)
     manifest = [(p, *held[p]) for p in held if p not in touched] + [(p, f"{run}/__part={p}", at) for p in touched]
     publish(spark.createDataFrame(manifest, _MANIFEST).coalesce(1), path, layout=())
     return touched

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import FREED, settings
 from ..sources.fixtures import COMPRESSION
 from ..sources.schemas import LIVES_KEY
 from .incremental import _MANIFEST, _NO_VALUE, _manifest
@@ -65,13 +66,8 @@ def _periods(load: DataFrame, named: Column) -> tuple[list[str], bool]:
 
 def _write_in_place(rows: DataFrame, path: str) -> None:
     """Write a folder for each ``__part`` from where the rows are, with no sort while a task meets few of them."""
-    conf, name = rows.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
-    before = conf.get(name, None)
-    conf.set(name, str(WRITERS))
-    try:
+    with settings(rows.sparkSession, {**FREED, "spark.sql.maxConcurrentOutputFileWriters": str(WRITERS)}):
         rows.write.partitionBy("__part").parquet(path, compression=COMPRESSION)
-    finally:
-        conf.unset(name) if before is None else conf.set(name, before)
 
 
 def read_history(spark: SparkSession, path: str, schema: T.StructType, parts: Sequence[str] | None = None) -> DataFrame:

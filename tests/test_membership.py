@@ -63,3 +63,24 @@ def test_a_load_with_its_periods_spread_over_tasks_is_dealt_out(spark, monkeypat
     plans, out = _merged(spark, monkeypatch, path, [("1", rows)], key=["k", "month"], part="month")
     assert "REBALANCE" in plans[0].upper() and out.count() == 4000
     assert len(out.inputFiles()) == 30
+
+
+def test_the_fact_meets_few_suppliers_after_its_last_shuffle(spark, monkeypatch):
+    """Same rows as with suppliers met before it; rows of a customer follow each other within a file."""
+    from covlens.sources import fixtures
+
+    from conftest import SMALL
+
+    path, direct = fresh_path(spark, "t"), fixtures.derive_lives(spark, SMALL)
+    few = fixtures._few_suppliers(spark, SMALL)
+    narrow = fixtures._lives_rows(spark, SMALL, named=False, supplied=False)
+    assert few is not None and "s_name" not in narrow.columns
+    fixtures.write_lives(narrow, path, fixtures._geo(spark, SMALL), few)
+    written = spark.read.schema(direct.schema).parquet(path).select(*direct.columns)
+    assert written.count() == direct.count() and written.exceptAll(direct).isEmpty()
+    order = ["date_id", *fixtures.SELECTIVE_COLUMNS]
+    one = written.inputFiles()[0]
+    keys = [(tuple(r[c] for c in order), int(r["payer_id"])) for r in spark.read.parquet(one).select(*order, "payer_id").coalesce(1).collect()]
+    assert keys == sorted(keys)
+    monkeypatch.setattr(fixtures, "FEW_SUPPLIERS", 0)
+    assert fixtures._few_suppliers(spark, SMALL) is None

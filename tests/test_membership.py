@@ -10,17 +10,19 @@ from covlens.session import fresh_path
 from pyspark.sql import functions as F
 
 
+@pytest.mark.parametrize("most", [False, True])
 @pytest.mark.parametrize("listed, bits, share", [(1 << 17, 16, 3), (20, 1, 3), (10, 2, 900), (0, 1, 2), (0, 16, 1), (5, 1, 3000)])
-def test_chosen_keys_are_told_exactly(spark, monkeypatch, listed, bits, share):
+def test_chosen_keys_are_told_exactly(spark, monkeypatch, listed, bits, share, most):
     monkeypatch.setattr(m, "LISTED", listed)
     monkeypatch.setattr(m, "BITS_PER_KEY", bits)
-    keys = spark.range(12_000).select(m.key_digest(["id"]).alias("__k"), (F.col("id") % share == 0).alias("chosen"))
-    levels = m.levels_of(m.told(keys, "t"), "t")
-    assert len(levels) > 1 or listed > 20 or share > 2000
+    chosen = (F.col("id") % share == 0) != F.lit(most)
+    levels = m.levels_of(m.told(spark.range(12_000).select(m.key_digest(["id"]).alias("__k"), chosen.alias("chosen")), "t"), "t")
+    assert levels.first != most or share < 3  # begins with the fewer
+    assert len(levels.known) > 1 or share == 1 or listed > 20 or share > 2000
     rows = spark.range(12_000).withColumns({"__k": m.key_digest(["id"]), "again": F.lit("x")})
     out = m.with_chosen(rows.unionByName(rows), levels)
     assert out.columns == ["id", "__k", "again", "__chosen"] and out.count() == 24_000
-    assert out.filter(F.col("__chosen") != (F.col("id") % share == 0)).isEmpty()
+    assert out.filter(F.col("__chosen") != chosen).isEmpty()
     assert "hashpartitioning" not in plan_text(out, "simple") and "Exchange SinglePartition" not in plan_text(out, "simple")
 
 
